@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import chat, decontam, mixing, quality_rules
+from tidewatch.llm import chat, decontam, mixing, pii, quality_rules
 from tidewatch.llm.store import table
 
 CONTROL = "<|im_end|><|im_start|>assistant ok"
@@ -27,12 +27,20 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digest(chat.format_chats(rows.unionByName(probe)))
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = pii.find_personal_data(table(spark, sf_dir, "documents"))
+    base = F.col("base")
+    return found.select(
+        "doc_id", *[pii.count_kind(base, k).alias(f"n_{k}") for k in pii.BASE], F.sha2(pii.spans_text(base), 256).alias("base_sha256"), pii.spans_text(F.col("spans")).alias("spans")
+    )
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op6_mixing, op8_chat_format, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op6_mixing, op8_chat_format, op9_personal_data, op10_decontaminate)}
 
 OP8_SQL = r"""
 WITH rows AS (
