@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes of text that are hashed at a time, and that a slice of a batch holds about.
 PIECE, SLICE = 1 << 20, 1 << 21
@@ -36,7 +37,7 @@ def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
 def slices(batch: pa.RecordBatch, text: str = "text") -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows with about SLICE bytes of text; one row at least."""
     col = batch.column(batch.schema.get_field_index(text))
-    size = np.cumsum(np.nan_to_num(pa.compute.binary_length(col).to_numpy(zero_copy_only=False).astype(float)))
+    size = np.cumsum(np.nan_to_num(pc.binary_length(col).to_numpy(zero_copy_only=False).astype(float)))
     at = 0
     while at < batch.num_rows:
         to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + SLICE, "right")))

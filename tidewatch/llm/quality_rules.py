@@ -24,13 +24,14 @@ BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 FEATURES = ("words", "word_length", "symbols", "repeats", "dup_lines", "upper", "stutter", "distinct")
 
 
-def text_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def text_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(id, the statistics of the text, and the figures that rules are learned on).
 
-    Whole texts; a null or empty text has only zeros. Rows with the same id are judged each on its own text.
+    Whole texts; a null or empty text has only zeros. ``keep`` passes columns of ``docs`` on, as ``_keep_<name>``. Rows with the same id are judged each on its own text.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    split = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), space_words(text).alias("w"))
+    kept = [f"_keep_{c}" for c in keep]
+    split = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), space_words(text).alias("w"), *[F.col(c).alias(k) for c, k in zip(keep, kept, strict=True)])
     # a window of three words as one number; only rows in which some number repeats are looked at more closely
     three = F.when(F.size("w") < 3, F.array().cast("array<bigint>")).otherwise(
         F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 3, F.lit(0))), lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)))
@@ -47,6 +48,7 @@ def text_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike("[^" + SPACE[1:]))
     one = at.select(
         "doc_id",
+        *kept,
         F.size("w").alias("n_words"),
         (F.length("text") - F.length(F.regexp_replace("text", SPACE + "+", ""))).alias("n_space"),
         F.length("text").alias("n_text"),
@@ -61,6 +63,7 @@ def text_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     share = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
     return one.select(
         "doc_id",
+        *kept,
         *[F.col(c).cast("long").alias(c) for c in ("n_words", "n_symbols", "n_dup_lines", "n_repeat_words")],
         chars.cast("long").alias("word_chars"),
         n.cast("double").alias("words"),

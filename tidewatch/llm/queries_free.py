@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import html_text, neardup
+from tidewatch.llm import html_text, neardup, site_quality, toxicity
 from tidewatch.llm.store import table
 
 
@@ -12,11 +12,20 @@ def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op3_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = site_quality.site_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "n_words", "site_rate", "score", "kept")
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_html_text, op4_near_duplicates)}
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
+QUERIES = {f.__name__: f for f in (op1_html_text, op3_site_quality, op4_near_duplicates, op5_toxicity)}
 
 OP4_SQL = r"""
 WITH RECURSIVE d AS (
