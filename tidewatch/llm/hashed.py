@@ -34,13 +34,13 @@ def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
-def slices(batch: pa.RecordBatch, text: str = "text") -> Iterator[pa.RecordBatch]:
-    """The batch in runs of rows with about SLICE bytes of text; one row at least."""
+def slices(batch: pa.RecordBatch, text: str = "text", limit: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows with about ``limit`` bytes of text; one row at least."""
     col = batch.column(batch.schema.get_field_index(text))
     size = np.cumsum(np.nan_to_num(pc.binary_length(col).to_numpy(zero_copy_only=False).astype(float)))
     at = 0
     while at < batch.num_rows:
-        to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + SLICE, "right")))
+        to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + limit, "right")))
         yield batch.slice(at, to - at)
         at = to
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import html_text, neardup, site_quality, toxicity
+from tidewatch.llm import html_text, lm, neardup, site_quality, toxicity
 from tidewatch.llm.store import table
 
 
@@ -25,7 +25,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_html_text, op3_site_quality, op4_near_duplicates, op5_toxicity)}
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(table(spark, sf_dir, "documents"))[0]
+
+
+QUERIES = {f.__name__: f for f in (op1_html_text, op3_site_quality, op4_near_duplicates, op5_toxicity, op7_lm_score)}
 
 OP4_SQL = r"""
 WITH RECURSIVE d AS (
