@@ -10,8 +10,9 @@ their full sets.
 Texts with the same set are one class, so copies never pair up. In a band's
 group every member is held against the smallest first; what is then in one
 component needs no more pairs. Groups that still join several components are
-compared in blocks, whose sketches stay inside a task, and only pairs that look
-alike leave it.
+compared in blocks: all pairs of a block are looked at inside a task, first by
+their sketches and, where these look alike, by their full sets, and only links
+that join two components leave it.
 """
 
 from __future__ import annotations
@@ -83,14 +84,15 @@ def _sketches(shingle: int):
 
 
 def _band_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, rep) for each band of each sketch."""
+    """(key, rep, band) for each band of each sketch."""
     for batch in batches:
         if not batch.num_rows:
             continue
         packed = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u8").reshape(batch.num_rows, BUCKETS // BAND)
         keys = hashed.mix(packed + np.arange(BUCKETS // BAND, dtype=np.uint64) * hashed.BASE).astype(np.int64)
         rep = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), BUCKETS // BAND)
-        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(rep, pa.int64())], ["key", "rep"])
+        band = np.tile(np.arange(BUCKETS // BAND, dtype=np.int32), batch.num_rows)
+        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(rep, pa.int64()), pa.array(band)], ["key", "rep", "band"])
 
 
 def _alike(similarity: int):
@@ -127,39 +129,104 @@ def _confirmed(shingle: int, similarity: int):
     return run
 
 
-def _block_pairs(similarity: int):
-    """Pairs of different components that look alike, of rows sorted by (key, i, j); each group is a block pair of at most 2 * BLOCK rows."""
-    least = least_estimate(similarity)
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The runs of equal (key, i, j) of sorted rows, each a batch of at most 2 * BLOCK rows."""
+    held: pa.Table | None = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        if not table.num_rows:
+            continue
+        table = table.combine_chunks()
+        ids = [table.column(c).to_numpy() for c in ("key", "i", "j")]
+        cuts = np.flatnonzero(np.any([x[1:] != x[:-1] for x in ids], axis=0)) + 1
+        edges = [0, *cuts.tolist()]
+        for at, to in zip(edges[:-1], edges[1:], strict=True):
+            yield table.slice(at, to - at).combine_chunks()
+        held = table.slice(edges[-1])
+    if held is not None and held.num_rows:
+        yield held.combine_chunks()
 
-    def pairs(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-        rep, comp, side, i_is_j, n, sketch = zip(*rows, strict=True)
-        rep, comp, side, n = np.array(rep), np.array(comp), np.array(side), np.array(n, float)
-        s = np.frombuffer(b"".join(sketch), "<u2").reshape(len(rows), BUCKETS)
-        left, right = (np.arange(len(rows)),) * 2 if i_is_j[0] else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
-        found = [(np.zeros(0, np.int64),) * 2]
+
+class _Block:
+    """Rows of a block pair, and for each the rows of other components that look alike and that this group has to compare.
+
+    Two sketches meet in the groups of all bands they share; the first such band compares them, the others don't.
+    """
+
+    def __init__(self, table: pa.Table, similarity: int):
+        self.similarity = similarity
+        self.rep, self.comp, self.side, n = (table.column(c).to_numpy() for c in ("rep", "comp", "side", "n"))
+        self.n = n.astype(float)
+        self.band = table.column("band")[0].as_py()
+        self.own = table.column("i")[0].as_py() == table.column("j")[0].as_py()
+        self.sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), "<u2").reshape(-1, BUCKETS)
+
+    def alike(self) -> Iterator[tuple[int, np.ndarray]]:
+        every = np.arange(len(self.rep))
+        left, right = (every, every) if self.own else (np.flatnonzero(self.side == 0), np.flatnonzero(self.side == 1))
+        least = least_estimate(self.similarity)
         for k in left:
-            to = right[(comp[right] != comp[k]) & ((rep[right] > rep[k]) if i_is_j[0] else (rep[right] != rep[k]))]
+            to = right[(self.comp[right] != self.comp[k]) & (self.rep[right] > self.rep[k] if self.own else self.rep[right] != self.rep[k])]
+            to = to[100 * np.minimum(self.n[to], self.n[k]) >= self.similarity * np.maximum(self.n[to], self.n[k])]
             if len(to):
-                ok = (estimate((s[to] == s[k]).sum(axis=1), n[to], n[k]) >= least) & (100 * np.minimum(n[to], n[k]) >= similarity * np.maximum(n[to], n[k]))
-                found.append((np.minimum(rep[k], rep[to[ok]]), np.maximum(rep[k], rep[to[ok]])))
-        return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
+                equal = self.sketch[to] == self.sketch[k]
+                first = equal.reshape(len(to), BUCKETS // BAND, BAND).all(axis=2).argmax(axis=1)
+                yield k, to[(estimate(equal.sum(axis=1), self.n[to], self.n[k]) >= least) & (first == self.band)]
+
+
+def _open_rows(similarity: int):
+    """Of the rows of block pairs, those that look like some other that their group has to compare them with."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _groups(batches):
+            if table.num_rows < 2:
+                continue
+            keep = np.zeros(table.num_rows, bool)
+            for k, to in _Block(table, similarity).alike():
+                if len(to):
+                    keep[k] = keep[to] = True
+            if keep.any():
+                yield from table.filter(pa.array(keep)).combine_chunks().to_batches()
+
+    return run
+
+
+def _block_links(similarity: int):
+    """Links (a, b) between components, confirmed on full sets: as many as join what can be joined, not all of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, held = None, []
+        for table in _groups(batches):
+            block, sets = _Block(table, similarity), [np.frombuffer(x, "<u8") for x in table.column("set").to_pylist()]
+            joined: dict[int, int] = {}
+
+            def top(c: int, joined: dict[int, int] = joined) -> int:
+                while c in joined:
+                    c = joined[c]
+                return c
+
+            a, b = [], []
+            for k, to in block.alike():
+                for j in to:
+                    x, y = top(int(block.comp[k])), top(int(block.comp[j]))
+                    if x == y:
+                        continue
+                    both = len(np.intersect1d(sets[k], sets[j], assume_unique=True))
+                    if 100 * both >= similarity * (len(sets[k]) + len(sets[j]) - both):
+                        joined[max(x, y)] = min(x, y)
+                        a.append(int(min(block.rep[k], block.rep[j])))
+                        b.append(int(max(block.rep[k], block.rep[j])))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-        def out() -> pa.RecordBatch:
-            a, b = pairs(held)
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+    return run
 
-        for batch in batches:
-            for key, i, j, *row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if (key, i, j) != group:
-                    if len(held) > 1:
-                        yield out()
-                    group, held = (key, i, j), []
-                held.append((row[0], row[1], row[2], i == j, row[3], row[4]))
-        if len(held) > 1:
-            yield out()
+
+def _full_sets(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in hashed.slices(whole):
+                word, rows = hashed.words(batch.column(1))
+                sets = [hashed.shingle_set(word[a:b], shingle).tobytes() for a, b in zip(rows[:-1], rows[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["rep", "set"])
 
     return run
 
@@ -198,9 +265,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: int = S
     first = sets.filter("doc_id is not null").join(classes.withColumnRenamed("rep", "doc_id"), [*same, "doc_id"])
     reps = written(first.select(F.col("doc_id").alias("rep"), "text_key", "n", "sketch").dropDuplicates(["rep"]), "neardup-reps")
 
-    keys = written(reps.select("rep", "sketch").mapInArrow(_band_keys, "key bigint, rep bigint"), "neardup-keys")
+    keys = written(reps.select("rep", "sketch").mapInArrow(_band_keys, "key bigint, rep bigint, band int"), "neardup-keys")
     groups = keys.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("rep").alias("a")).filter("members > 1")
-    grouped = written(keys.join(groups, "key").select("key", "members", "a", "rep"), "neardup-groups")
+    grouped = written(keys.join(groups, "key").select("key", "members", "a", "rep", "band"), "neardup-groups")
     sketch = reps.select("rep", "n", "sketch")
     side = lambda k: sketch.select(F.col("rep").alias(k), F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"s_{k}"))
     texts = base.join(reps.select(F.col("rep").alias("doc_id"), "text_key"), ["doc_id", "text_key"]).dropDuplicates(["doc_id"])
@@ -224,12 +291,15 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: int = S
     own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
     dealt = open_rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     dealt = dealt.select(
-        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "comp",
+        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "comp", "band",
         F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "n", "sketch",
     )
-    ranged = dealt.repartition(F.col("key"), F.col("i"), F.col("j")).sortWithinPartitions("key", "i", "j", "rep")
-    more = ranged.mapInArrow(_block_pairs(similarity), "a bigint, b bigint").distinct().join(seen, ["a", "b"], "left_anti")
-    more_links = confirmed(written(more, "neardup-more"), "neardup-links")
+    by_group = lambda df: df.repartition(F.col("key"), F.col("i"), F.col("j")).sortWithinPartitions("key", "i", "j", "rep")
+    shape = "key bigint, i int, j int, rep bigint, comp bigint, band int, side int, n bigint, sketch binary"
+    still = written(by_group(dealt).mapInArrow(_open_rows(similarity), shape), "neardup-open")
+    wanted = texts.join(still.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").select(F.col("doc_id").alias("rep"), "text")
+    full = written(wanted.mapInArrow(_full_sets(shingle), "rep bigint, set binary"), "neardup-sets")
+    more_links = written(by_group(still.join(full, "rep")).mapInArrow(_block_links(similarity), "a bigint, b bigint"), "neardup-links")
     parts = components(links.union(more_links))
 
     of_class = classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select(*same, F.coalesce("component", "rep").alias("component"))
