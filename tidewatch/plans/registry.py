@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from tidewatch.plans import q_align, q_features
+
+MODULES = (q_align, q_features)
+QUERIES = {k: f for m in MODULES for k, f in m.query.queries.items()}
+ORACLE_SQL = {k: s for m in MODULES for k, s in m.query.sql.items()}
