@@ -131,7 +131,8 @@ def window_edge(i: Column, start_us: Column, end_us: Column, target_s: int) -> C
 
 
 def clamp(c: Column, low: float = 0.0, high: float = 1.0) -> Column:
-    return F.least(F.lit(high), F.greatest(F.lit(low), c))
+    """Within the bounds; null stays null, which the functions below would otherwise skip."""
+    return F.when(c.isNotNull(), F.least(F.lit(high), F.greatest(F.lit(low), c)))
 
 
 def movement_intensity(mean_steps: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch import schema as S
+from tidewatch.session import written
 
 
 def _slices(rows: DataFrame, keys: list[str], start: str = "start_us", end: str = "end_us") -> DataFrame:
@@ -86,7 +87,7 @@ def duplicate_groups(rows: DataFrame, key: str = "subject", rounds: int = 64) ->
     for _ in range(rounds):
         log = F.when(F.col("log_id").isNotNull(), F.min("root").over(by_log)).otherwise(F.col("root"))
         new = out.withColumn("_a", log).withColumn("_b", F.min("_a").over(by_bounds))
-        new = new.withColumn("_changed", F.col("_b") != F.col("root")).withColumn("root", F.col("_b")).drop("_a", "_b").checkpoint()
+        new = written(new.withColumn("_changed", F.col("_b") != F.col("root")).withColumn("root", F.col("_b")).drop("_a", "_b"), "duplicate-groups")
         out = new.drop("_changed")
         if not new.filter("_changed").limit(1).count():
             break

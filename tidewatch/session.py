@@ -1,8 +1,11 @@
-"""The Spark session that the engine expects."""
+"""The Spark session that the engine expects, and written tables that cut lineage."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -18,3 +21,20 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, driver_memory: st
     """A local session for tests and the benchmark; a cluster brings its own."""
     conf = CONF | {"spark.sql.shuffle.partitions": str(shuffle_partitions), "spark.driver.memory": driver_memory}
     return SparkSession.builder.master(f"local[{cores}]").appName("tidewatch").config(map=conf).getOrCreate()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir; a fresh local folder is set only where it is unset (tests)."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        path = "file://" + tempfile.mkdtemp(prefix="tidewatch-")
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path.rstrip("/")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet under the shared folder and read again: a lost executor costs no recomputation."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
