@@ -8,12 +8,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; a fresh local folder is set only where it is unset (tests)."""
+    """The session's spark.checkpoint.dir; only where it is unset (tests), a fresh local folder for each application."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="tidewatch-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            _own[app] = "file://" + tempfile.mkdtemp(prefix="tidewatch-")
+        path = _own[app]
     return path.rstrip("/")
 
 

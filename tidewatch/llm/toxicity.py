@@ -3,8 +3,8 @@
 Documents and examples are TF-IDF vectors over terms that go with the label:
 words and the beginnings of words. The examples are an inverted index in
 blocks; for each term and block the largest weight is kept. A query adds these
-to a bound for each block and scores blocks exactly, best bound first, until no
-bound reaches its k-th neighbour, so its neighbours are exact. Their votes,
+to a bound for each block, scores the blocks of the best bounds and then those
+whose bound reaches its k-th neighbour, so its neighbours are exact. Their votes,
 weighted by cosine and held against the general rate, are calibrated on votes
 that the examples get from each other.
 """
@@ -24,7 +24,7 @@ from tidewatch.llm.store import written
 
 #: Labelled examples and terms of the index at most: the classifier's bounded sample.
 EXAMPLES, TERMS = 6_000, 4_096
-NEIGHBOURS, BLOCK, CALIBRATED = 15, 64, 3_000
+NEIGHBOURS, BLOCK, FIRST_BLOCKS, CALIBRATED = 15, 64, 4, 3_000
 PREFIXES = (4, 6)
 #: Weight of the general rate among the votes, as the squared cosine of one neighbour; least support and association of a term.
 PRIOR_WEIGHT, LEAST_DOCS, LEAST_G2 = 0.25, 4, 12.0
@@ -97,24 +97,39 @@ class Index:
         w = (1 + np.log(tf[known])).astype(np.float32) * self.idf[at]
         return at, w / np.sqrt(np.sum(w * w)) if len(at) else w
 
+    def exact(self, at: np.ndarray, w: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The examples in some blocks with a positive cosine, and the cosines."""
+        place = (at[:, None] * self.blocks + blocks[None, :]).ravel()
+        start, size = self.ptr[place], self.ptr[place + 1] - self.ptr[place]
+        ends = np.cumsum(size)
+        posting = np.arange(ends[-1]) + np.repeat(start - ends + size, size)
+        score = np.bincount(self.ids[posting], weights=np.repeat(np.repeat(w, len(blocks)), size) * self.weights[posting])
+        ids = np.flatnonzero(score > 0)
+        return ids, score[ids]
+
     def nearest(self, at: np.ndarray, w: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The examples of the k largest positive cosines (ties: the lower place) and these."""
+        """The examples of the k largest positive cosines (ties: the lower place) and these.
+
+        The blocks of the best bounds are scored first; then those whose bound reaches the k-th cosine found.
+        """
+        best_id, best = np.zeros(0, np.int64), np.zeros(0)
         if not len(at):
-            return np.zeros(0, np.int64), np.zeros(0, np.float32)
+            return best_id, best
         bounds = w @ self.most[at]
-        best_id, best = np.zeros(0, np.int64), np.zeros(0, np.float32)
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or len(best) == k and bounds[b] * 1.00001 < best[-1]:
-                break
-            score = np.zeros(BLOCK, np.float32)
-            for t, q in zip(at, w, strict=True):
-                i, j = self.ptr[t * self.blocks + b], self.ptr[t * self.blocks + b + 1]
-                if i < j:
-                    score[self.ids[i:j] - b * BLOCK] += q * self.weights[i:j]
-            hit = np.flatnonzero(score > 0)
-            ids, scores = np.concatenate([best_id, hit + b * BLOCK]), np.concatenate([best, score[hit]])
+        order = np.argsort(-bounds, kind="stable")
+        order = order[bounds[order] > 0]
+        for blocks in (order[:FIRST_BLOCKS], order[FIRST_BLOCKS:]):
+            if len(best) == k:
+                blocks = blocks[bounds[blocks] * 1.0001 >= best[-1]]
+            if not len(blocks):
+                continue
+            ids, scores = self.exact(at, w, blocks)
+            ids, scores = np.concatenate([best_id, ids]), np.concatenate([best, scores])
             if without >= 0:
                 ids, scores = ids[ids != without], scores[ids != without]
+            if len(ids) > 4 * k:  # the k-th largest and what ties with it
+                near = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
+                ids, scores = ids[near], scores[near]
             top = np.lexsort((ids, -scores))[:k]
             best_id, best = ids[top], scores[top]
         return best_id, best
