@@ -28,6 +28,8 @@ NEIGHBOURS, BLOCK, FIRST_BLOCKS, CALIBRATED = 15, 64, 4, 3_000
 PREFIXES = (4, 6)
 #: Weight of the general rate among the votes, as the squared cosine of one neighbour; least support and association of a term.
 PRIOR_WEIGHT, LEAST_DOCS, LEAST_G2 = 0.25, 4, 12.0
+#: Terms in a larger share of the examples say little of any and are no part of the vocabulary.
+MOST_SHARE = 0.2
 BREAKS = np.zeros(256, bool)
 BREAKS[[c for c in range(128) if not chr(c).isalnum()]] = True
 
@@ -169,7 +171,7 @@ def fit_index(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, max_
     sample = texts.select(F.xxhash64("text").alias("mix"), F.col("toxic").cast("int").alias("toxic"), "text").dropDuplicates(["mix"])
     counted = written(sample.mapInArrow(_counts, "mix bigint, toxic int, terms array<bigint>, tf array<int>"), "toxicity-examples")
     n, n_toxic = counted.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    seen = counted.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("toxic").alias("pos")).filter(F.col("df") >= min(LEAST_DOCS, max(1, n // 50)))
+    seen = counted.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("toxic").alias("pos")).filter(F.col("df").between(min(LEAST_DOCS, max(1, n // 50)), MOST_SHARE * n))
 
     def part(a, b):
         return F.when(a > 0, a * F.log(a / b)).otherwise(0.0)
