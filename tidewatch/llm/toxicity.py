@@ -28,7 +28,7 @@ NEIGHBOURS, BLOCK, FIRST_BLOCKS, CALIBRATED = 15, 64, 4, 3_000
 PREFIXES = (4, 6)
 #: Weight of the general rate among the votes, as the squared cosine of one neighbour; least support and association of a term.
 PRIOR_WEIGHT, LEAST_DOCS, LEAST_G2 = 0.25, 4, 12.0
-#: Terms in a larger share of the examples say little of any and are no part of the vocabulary.
+#: Terms in a larger share of the examples (or twice the share of toxic ones) say little of any and are no part of the vocabulary.
 MOST_SHARE = 0.2
 BREAKS = np.zeros(256, bool)
 BREAKS[[c for c in range(128) if not chr(c).isalnum()]] = True
@@ -147,9 +147,7 @@ class Index:
         """Platt's curve through the votes that examples get from the others; one kind of label leaves the votes as they are."""
         y, x = [], []
         for place in range(0, len(rows), max(1, len(rows) // CALIBRATED)):
-            ids, cos = self.nearest(*self.vector(*rows[self.order[place]]), k + 2, place)
-            other = cos < 0.9999  # copies of the example know its label
-            v = self.vote(ids[other][:k], cos[other][:k])
+            v = self.vote(*self.nearest(*self.vector(*rows[self.order[place]]), k, place))
             x.append(np.log(v / (1 - v)))
             y.append(self.labels[place])
         x, y = np.array(x), np.array(y, float)
@@ -158,8 +156,8 @@ class Index:
         z, w = np.column_stack([x, np.ones(len(x))]), np.array([1.0, 0.0])
         for _ in range(30):
             p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-            w = w + np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + 1e-2 * np.eye(2), z.T @ (y - p) - 1e-2 * (w - [1.0, 0.0]))
-        if w[0] > 0:
+            w = w + np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.eye(2), z.T @ (y - p) - (w - [1.0, 0.0]))
+        if 0 < w[0] < 20:
             self.scale, self.shift = float(w[0]), float(w[1])
 
 
@@ -171,7 +169,7 @@ def fit_index(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, max_
     sample = texts.select(F.xxhash64("text").alias("mix"), F.col("toxic").cast("int").alias("toxic"), "text").dropDuplicates(["mix"])
     counted = written(sample.mapInArrow(_counts, "mix bigint, toxic int, terms array<bigint>, tf array<int>"), "toxicity-examples")
     n, n_toxic = counted.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    seen = counted.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("toxic").alias("pos")).filter(F.col("df").between(min(LEAST_DOCS, max(1, n // 50)), MOST_SHARE * n))
+    seen = counted.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("toxic").alias("pos")).filter(F.col("df").between(min(LEAST_DOCS, max(1, n // 50)), max(MOST_SHARE * n, 2.0 * n_toxic)))
 
     def part(a, b):
         return F.when(a > 0, a * F.log(a / b)).otherwise(0.0)
