@@ -30,6 +30,8 @@ from tidewatch.llm.store import written
 SHINGLE, SIMILARITY = 4, 80
 BUCKETS, BAND, MANTISSA = 128, 4, 10
 BLOCK = 512
+#: Ids of documents whose texts are compared, sent to all tasks up to this number (16 bytes each).
+BROADCAST_IDS = 500_000
 _MULTIPLY = hashed.mix(np.arange(1, BUCKETS + 1, dtype=np.uint64) * hashed.BASE) | np.uint64(1)
 _ADD = hashed.mix(np.arange(1001, 1001 + BUCKETS, dtype=np.uint64) * hashed.BASE)
 
@@ -270,10 +272,16 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: int = S
     grouped = written(keys.join(groups, "key").select("key", "members", "a", "rep", "band"), "neardup-groups")
     sketch = reps.select("rep", "n", "sketch")
     side = lambda k: sketch.select(F.col("rep").alias(k), F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"s_{k}"))
-    texts = base.join(reps.select(F.col("rep").alias("doc_id"), "text_key"), ["doc_id", "text_key"]).dropDuplicates(["doc_id"])
-    text = lambda k: texts.select(F.col("doc_id").alias(k), F.col("text").alias(f"t_{k}"))
+
+    def texts(ids: DataFrame, name: str) -> DataFrame:
+        """(doc_id, text) of some representatives; few of them are looked up without dealing out the documents."""
+        need = written(reps.select(F.col("rep").alias("doc_id"), "text_key").join(ids.select("doc_id").distinct(), "doc_id"), f"{name}-ids")
+        few = need.count() <= BROADCAST_IDS
+        return written(base.join(F.broadcast(need) if few else need, ["doc_id", "text_key"]).dropDuplicates(["doc_id"]).select("doc_id", "text"), name)
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
+        own = texts(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), f"{name}-texts")
+        text = lambda k: own.select(F.col("doc_id").alias(k), F.col("text").alias(f"t_{k}"))
         full = pairs.join(text("a"), "a").join(text("b"), "b").select("a", "b", "t_a", "t_b")
         return written(full.mapInArrow(_confirmed(shingle, similarity), "a bigint, b bigint"), name)
 
@@ -297,7 +305,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: int = S
     by_group = lambda df: df.repartition(F.col("key"), F.col("i"), F.col("j")).sortWithinPartitions("key", "i", "j", "rep")
     shape = "key bigint, i int, j int, rep bigint, comp bigint, band int, side int, n bigint, sketch binary"
     still = written(by_group(dealt).mapInArrow(_open_rows(similarity), shape), "neardup-open")
-    wanted = texts.join(still.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").select(F.col("doc_id").alias("rep"), "text")
+    wanted = texts(still.select(F.col("rep").alias("doc_id")), "neardup-open-texts").select(F.col("doc_id").alias("rep"), "text")
     full = written(wanted.mapInArrow(_full_sets(shingle), "rep bigint, set binary"), "neardup-sets")
     more_links = written(by_group(still.join(full, "rep")).mapInArrow(_block_links(similarity), "a bigint, b bigint"), "neardup-links")
     parts = components(links.union(more_links))
