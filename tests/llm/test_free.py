@@ -165,6 +165,20 @@ def test_toxicity(spark):
     assert toxicity.toxicity(documents(spark, ODD, ODD_IDS), labels.limit(0)).filter("score <> 0.5").count() == 0
 
 
+def test_toxicity_keeps_all_terms(spark):
+    rng = random.Random(9)
+    noise = lambda: " ".join(f"w{rng.randrange(500)}" for _ in range(40))
+    known = [i for i in range(600) if not toxicity.crc_held_out(i)][:300]
+    texts = {i: noise() + (" badword" if k % 5 == 0 else "") for k, i in enumerate(known)}
+    texts[known[0]] = " ".join(f"own{k}x" for k in range(30))  # words of this toxic example alone
+    texts |= {1000: texts[known[0]] + " more", 1001: "badword " + " ".join(f"new{k}" for k in range(2000)), 1002: "badword"}
+    docs = documents(spark, list(texts.values()), list(texts))
+    labels = spark.createDataFrame([(i, 1, int(k % 5 == 0)) for k, i in enumerate(known)], "doc_id bigint, quality int, toxic int")
+    got = {r.doc_id: r.evidence for r in toxicity.toxicity(docs, labels).collect()}
+    assert got[1000][0].cosine > 0.9 and got[1000][0].label == 1
+    assert 0 < got[1001][0].cosine < 0.3 * got[1002][0].cosine
+
+
 # --- language model
 
 

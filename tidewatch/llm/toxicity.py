@@ -1,12 +1,13 @@
 """Toxicity by the nearest labelled examples.
 
-Documents and examples are TF-IDF vectors over terms that go with the label:
-words and the beginnings of words. The examples are an inverted index in
-blocks; for each term and block the largest weight is kept. A query adds these
-to a bound for each block, scores the blocks of the best bounds and then those
-whose bound reaches its k-th neighbour, so its neighbours are exact. Their votes,
-weighted by cosine and held against the general rate, are calibrated on votes
-that the examples get from each other.
+Documents and examples are TF-IDF vectors over all their terms, words and the
+beginnings of words, with document frequencies over all documents. A factor of
+how a term goes with the label weighs it; no term is left out. The cosines with
+all examples are exact: terms that many examples share are one matrix product,
+the others an inverted index. Terms that no example has change a document's
+length only: this is summed by a join of these terms with their frequencies.
+The nearest examples' votes, weighted by cosine and held against the general
+rate, are calibrated on votes that the examples get from each other.
 """
 
 from __future__ import annotations
@@ -22,14 +23,16 @@ from pyspark.sql import functions as F
 from tidewatch.llm import hashed
 from tidewatch.llm.store import written
 
-#: Labelled examples and terms of the index at most: the classifier's bounded sample.
-EXAMPLES, TERMS = 6_000, 4_096
-NEIGHBOURS, BLOCK, FIRST_BLOCKS, CALIBRATED = 15, 64, 4, 3_000
+#: Labelled examples at most: the classifier's bounded sample.
+EXAMPLES = 6_000
+NEIGHBOURS, TOGETHER, CALIBRATED = 15, 64, 3_000
 PREFIXES = (4, 6)
-#: Weight of the general rate among the votes, as the squared cosine of one neighbour; least support and association of a term.
-PRIOR_WEIGHT, LEAST_DOCS, LEAST_G2 = 0.25, 4, 12.0
-#: Terms in a larger share of the examples (or twice the share of toxic ones) say little of any and are no part of the vocabulary.
-MOST_SHARE = 0.2
+#: Weight of the general rate among the votes, as the squared cosine of one neighbour.
+PRIOR_WEIGHT = 0.25
+#: A term's factor without any association with the label, and the association (G2) that takes it halfway to one.
+LEAST_FACTOR, HALF_G2 = 0.25, 12.0
+#: Terms in a larger share of the examples stand in the matrix.
+DENSE_SHARE = 1 / 32
 BREAKS = np.zeros(256, bool)
 BREAKS[[c for c in range(128) if not chr(c).isalnum()]] = True
 
@@ -50,106 +53,122 @@ def terms(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.stack(kinds, axis=1).ravel(), rows * len(kinds)
 
 
+def _rows(col: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The distinct terms of each row, and their counts."""
+    all_terms, rows = terms(col)
+    for a, b in zip(rows[:-1], rows[1:], strict=True):
+        k, n = np.unique(all_terms[a:b], return_counts=True)
+        yield k[k != 0], n[k != 0]
+
+
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Terms and their counts in each example."""
+    """Terms and their counts in each example, packed."""
     for whole in batches:
         for batch in hashed.slices(whole):
-            all_terms, rows = terms(batch.column(2))
-            keys, tfs = [], []
-            for a, b in zip(rows[:-1], rows[1:], strict=True):
-                k, n = np.unique(all_terms[a:b], return_counts=True)
-                keys.append(k[k != 0].astype(np.int64))
-                tfs.append(n[k != 0].astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.int64())), pa.array(tfs, pa.list_(pa.int32()))], ["mix", "toxic", "terms", "tf"]
-            )
+            rows = [(k.astype("<u8").tobytes(), n.astype("<i4").tobytes()) for k, n in _rows(batch.column(2))]
+            packed = [pa.array([r[i] for r in rows], pa.binary()) for i in range(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *packed], ["mix", "toxic", "terms", "tf"])
+
+
+def find(vocabulary: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of keys in a sorted vocabulary, and which of them stand there."""
+    if not len(vocabulary):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(vocabulary, keys), len(vocabulary) - 1)
+    return at, vocabulary[at] == keys
 
 
 class Index:
-    """Blocks of examples: postings by term, sorted by example, and the largest weight of each term in each block."""
+    """The examples' vectors by term: a matrix of the terms that many share, postings of the others."""
 
     def __init__(self, vocabulary: np.ndarray, idf: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]], labels: list[int]):
         order = np.argsort(vocabulary)
         self.vocabulary, self.idf = vocabulary[order], idf[order].astype(np.float32)
         vectors = [self.vector(*r) for r in rows]
-        # examples that are alike stand in the same block: by label, then by the heaviest term
-        place = sorted(range(len(rows)), key=lambda i: (labels[i], int(vectors[i][0][np.argmax(vectors[i][1])]) if len(vectors[i][0]) else -1, i))
-        self.labels = np.array([labels[i] for i in place], np.int8)
+        self.labels = np.array(labels, np.int8)
         self.rate = float((self.labels.sum() + 1) / (len(labels) + 2)) if labels else 0.5
-        self.order = np.array(place)
-        ids = np.concatenate([np.zeros(0, np.int64), *[np.full(len(vectors[i][0]), k) for k, i in enumerate(place)]]).astype(np.int64)
-        term = np.concatenate([np.zeros(0, np.int64), *[vectors[i][0] for i in place]]).astype(np.int64)
-        weight = np.concatenate([np.zeros(0, np.float32), *[vectors[i][1] for i in place]]).astype(np.float32)
-        by_term = np.lexsort((ids, term))
-        self.ids, self.weights = ids[by_term].astype(np.int32), weight[by_term]
-        self.blocks = -(-len(rows) // BLOCK)
-        self.most = np.zeros((len(vocabulary), max(1, self.blocks)), np.float32)
-        np.maximum.at(self.most, (term, ids // BLOCK), weight)
-        edges = np.arange(len(vocabulary) * self.blocks + 1)
-        self.ptr = np.searchsorted(term[by_term] * self.blocks + self.ids // BLOCK, edges)
+        self.order = np.arange(len(rows))
+        ids = np.repeat(self.order, [len(v[0]) for v in vectors]).astype(np.int32)
+        term = np.concatenate([np.zeros(0, np.int64), *[v[0] for v in vectors]])
+        weight = np.concatenate([np.zeros(0, np.float32), *[v[1] for v in vectors]]).astype(np.float32)
+        by_term = np.argsort(term, kind="stable")
+        self.ids, self.weights = ids[by_term], weight[by_term]
+        self.ptr = np.searchsorted(term[by_term], np.arange(len(vocabulary) + 1))
         self.scale, self.shift = 1.0, 0.0
+        self.dense = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"dense": None}
+
+    def _matrix(self) -> tuple[np.ndarray, np.ndarray]:
+        """The row of each term in the matrix or -1, and the matrix; made where it is needed."""
+        if self.dense is None:
+            many = np.flatnonzero(np.diff(self.ptr) > max(1, DENSE_SHARE * len(self.labels)))
+            slot = np.full(len(self.vocabulary), -1)
+            slot[many] = np.arange(len(many))
+            matrix = np.zeros((len(many), len(self.labels)), np.float32)
+            for k, t in enumerate(many):
+                matrix[k, self.ids[self.ptr[t] : self.ptr[t + 1]]] = self.weights[self.ptr[t] : self.ptr[t + 1]]
+            self.dense = slot, matrix
+        return self.dense
+
+    def weighed(self, keys: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Known terms and their weights."""
+        at, known = find(self.vocabulary, keys)
+        at = at[known]
+        return at, (1 + np.log(tf[known])).astype(np.float32) * self.idf[at]
 
     def vector(self, keys: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Known terms and their weights, of length one."""
-        if not len(self.vocabulary) or not len(keys):
-            return np.zeros(0, np.int64), np.zeros(0, np.float32)
-        at = np.minimum(np.searchsorted(self.vocabulary, keys), len(self.vocabulary) - 1)
-        known = self.vocabulary[at] == keys
-        at = at[known]
-        w = (1 + np.log(tf[known])).astype(np.float32) * self.idf[at]
+        at, w = self.weighed(keys, tf)
         return at, w / np.sqrt(np.sum(w * w)) if len(at) else w
 
-    def exact(self, at: np.ndarray, w: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The examples in some blocks with a positive cosine, and the cosines."""
-        place = (at[:, None] * self.blocks + blocks[None, :]).ravel()
-        start, size = self.ptr[place], self.ptr[place + 1] - self.ptr[place]
-        ends = np.cumsum(size)
-        posting = np.arange(ends[-1]) + np.repeat(start - ends + size, size)
-        score = np.bincount(self.ids[posting], weights=np.repeat(np.repeat(w, len(blocks)), size) * self.weights[posting])
-        ids = np.flatnonzero(score > 0)
-        return ids, score[ids]
+    def cosines(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """The cosine of each vector with each example."""
+        slot, matrix = self._matrix()
+        query = np.zeros((len(vectors), len(matrix)), np.float32)
+        for k, (at, w) in enumerate(vectors):
+            many = slot[at] >= 0
+            query[k, slot[at[many]]] = w[many]
+        out = (query @ matrix).astype(float)
+        for k, (at, w) in enumerate(vectors):
+            few = slot[at] < 0
+            start = self.ptr[at[few]]
+            size = self.ptr[at[few] + 1] - start
+            if size.sum():
+                ends = np.cumsum(size)
+                posting = np.arange(ends[-1]) + np.repeat(start - ends + size, size)
+                out[k] += np.bincount(self.ids[posting], weights=np.repeat(w[few], size) * self.weights[posting], minlength=len(self.labels))
+        return out
+
+    @staticmethod
+    def best(scores: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """The places of the k largest positive scores (ties to six digits: the lower place) and these."""
+        if without >= 0:
+            scores[without] = 0
+        rank = np.round(scores, 6)
+        ids = np.flatnonzero(scores > 0 if len(scores) <= k else (scores > 0) & (rank >= np.partition(rank, len(rank) - k)[len(rank) - k]))
+        ids = ids[np.lexsort((ids, -rank[ids]))[:k]]
+        return ids, scores[ids]
 
     def nearest(self, at: np.ndarray, w: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The examples of the k largest positive cosines (ties: the lower place) and these.
-
-        The blocks of the best bounds are scored first; then those whose bound reaches the k-th cosine found.
-        """
-        best_id, best = np.zeros(0, np.int64), np.zeros(0)
-        if not len(at):
-            return best_id, best
-        bounds = w @ self.most[at]
-        order = np.argsort(-bounds, kind="stable")
-        order = order[bounds[order] > 0]
-        for blocks in (order[:FIRST_BLOCKS], order[FIRST_BLOCKS:]):
-            if len(best) == k:
-                blocks = blocks[bounds[blocks] * 1.0001 >= best[-1]]
-            if not len(blocks):
-                continue
-            ids, scores = self.exact(at, w, blocks)
-            ids, scores = np.concatenate([best_id, ids]), np.concatenate([best, scores])
-            if without >= 0:
-                ids, scores = ids[ids != without], scores[ids != without]
-            if len(ids) > 4 * k:  # the k-th largest and what ties with it
-                near = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
-                ids, scores = ids[near], scores[near]
-            top = np.lexsort((ids, -scores))[:k]
-            best_id, best = ids[top], scores[top]
-        return best_id, best
+        """The examples of the k largest positive cosines and these."""
+        return self.best(self.cosines([(at, w)])[0], k, without)
 
     def vote(self, ids: np.ndarray, cosines: np.ndarray) -> float:
         w = cosines.astype(float) ** 2
         return float(((w * self.labels[ids]).sum() + PRIOR_WEIGHT * self.rate) / (w.sum() + PRIOR_WEIGHT))
 
-    def score(self, vote: float) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.scale * np.log(vote / (1 - vote)) + self.shift, -30, 30))))
-
     def calibrate(self, rows: list[tuple[np.ndarray, np.ndarray]], k: int) -> None:
         """Platt's curve through the votes that examples get from the others; one kind of label leaves the votes as they are."""
         y, x = [], []
-        for place in range(0, len(rows), max(1, len(rows) // CALIBRATED)):
-            v = self.vote(*self.nearest(*self.vector(*rows[self.order[place]]), k, place))
-            x.append(np.log(v / (1 - v)))
-            y.append(self.labels[place])
+        places = range(0, len(rows), max(1, len(rows) // CALIBRATED))
+        for a in range(0, len(places), TOGETHER):
+            some = places[a : a + TOGETHER]
+            for place, scores in zip(some, self.cosines([self.vector(*rows[p]) for p in some]), strict=True):
+                v = self.vote(*self.best(scores, k, place))
+                x.append(np.log(v / (1 - v)))
+                y.append(self.labels[place])
         x, y = np.array(x), np.array(y, float)
         if len(set(y)) < 2:
             return
@@ -161,59 +180,108 @@ class Index:
             self.scale, self.shift = float(w[0]), float(w[1])
 
 
-def fit_index(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, max_terms: int = TERMS, neighbours: int = NEIGHBOURS) -> Index:
-    """The index of at most ``examples`` labelled documents that are not held out, taken in the order of a hash; equal texts once."""
+def association(df: np.ndarray, pos: np.ndarray, n: int, n_toxic: int) -> np.ndarray:
+    """G2 of each term with the label, from the examples and the toxic ones that have it."""
+    rate = n_toxic / max(n, 1)
+    if not 0 < rate < 1:
+        return np.zeros(len(df))
+
+    def part(a, b):
+        return np.where(a > 0, a * np.log(np.maximum(a, 1) / np.maximum(b, 1e-12)), 0.0)
+
+    return np.maximum(0.0, 2 * (part(pos, df * rate) + part(df - pos, df * (1 - rate)) + part(n_toxic - pos, (n - df) * rate) + part(n - df - n_toxic + pos, (n - df) * (1 - rate))))
+
+
+def _frequencies(vocabulary):
+    """Of a task's documents: how many have each known term, as (null, term, count, null); and (text_key, term, count in the text,
+    number of such terms) for each term that no example has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known_terms, names = vocabulary.value, ["text_key", "term", "n", "others"]
+        df = np.zeros(len(known_terms), np.int64)
+        for whole in batches:
+            for batch in hashed.slices(whole):
+                keys, out = batch.column(0).to_numpy(), []
+                for key, (k, n) in zip(keys, _rows(batch.column(1)), strict=True):
+                    at, known = find(known_terms, k)
+                    df[at[known]] += 1
+                    if len(other := k[~known]):
+                        out.append((np.full(len(other), key), other.astype(np.int64), n[~known].astype(np.int64), np.full(len(other), len(other))))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names)
+        some = np.flatnonzero(df)
+        none = pa.nulls(len(some), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, pa.array(known_terms[some].astype(np.int64)), pa.array(df[some]), none], names)
+
+    return run
+
+
+def fit_index(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, neighbours: int = NEIGHBOURS) -> tuple[Index, DataFrame]:
+    """The index of at most ``examples`` labelled documents that are not held out, taken in the order of a hash, equal texts once;
+    and (text_key, more): what the terms that no example has add to the square of a text's length."""
+    spark = docs.sparkSession
     known = labels.filter("toxic is not null and doc_id is not null").filter(~held_out()).select("doc_id", "toxic").distinct()
     chosen = known.orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id", "toxic").limit(examples)
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").filter("text is not null")
     sample = texts.select(F.xxhash64("text").alias("mix"), F.col("toxic").cast("int").alias("toxic"), "text").dropDuplicates(["mix"])
-    counted = written(sample.mapInArrow(_counts, "mix bigint, toxic int, terms array<bigint>, tf array<int>"), "toxicity-examples")
-    n, n_toxic = counted.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    seen = counted.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("toxic").alias("pos")).filter(F.col("df").between(min(LEAST_DOCS, max(1, n // 50)), max(MOST_SHARE * n, 2.0 * n_toxic)))
-
-    def part(a, b):
-        return F.when(a > 0, a * F.log(a / b)).otherwise(0.0)
-
-    df, pos, rate = F.col("df").cast("double"), F.col("pos").cast("double"), n_toxic / max(n, 1)
-    g2 = 2 * (part(pos, df * rate) + part(df - pos, df * (1 - rate)) + part(n_toxic - pos, (n - df) * rate) + part(n - df - n_toxic + pos, (n - df) * (1 - rate)))
-    best = seen.withColumn("g2", g2).filter(F.col("g2") >= LEAST_G2).orderBy(F.desc("g2"), "term").limit(max_terms).collect() if 0 < n_toxic < n else []
-    vocabulary = np.array([r["term"] for r in best], np.int64).astype(np.uint64)
-    idf = np.array([np.log((n + 1) / (r["df"] + 0.5)) for r in best], float)
-    chosen_terms = docs.sparkSession.createDataFrame([(r["term"],) for r in best], "term bigint")
-    narrow = counted.select("mix", "toxic", F.explode(F.arrays_zip("terms", "tf")).alias("x")).select("mix", "toxic", F.col("x.terms").alias("term"), F.col("x.tf").alias("tf"))
-    vectors = narrow.join(F.broadcast(chosen_terms), "term").groupBy("mix").agg(F.collect_list(F.struct("term", "tf")).alias("v"))
-    rows = counted.select("mix", "toxic").join(vectors, "mix", "left").orderBy("mix", "toxic").collect()
-    pairs = []
-    for r in rows:
-        v = sorted((x["term"], x["tf"]) for x in r["v"] or [])
-        pairs.append((np.array([t for t, _ in v], np.int64).astype(np.uint64), np.array([c for _, c in v], float)))
-    index = Index(vocabulary, idf, pairs, [r["toxic"] for r in rows])
+    counted = written(sample.mapInArrow(_counts, "mix bigint, toxic int, terms binary, tf binary"), "toxicity-examples")
+    rows = counted.orderBy("mix", "toxic").collect()
+    pairs = [(np.frombuffer(r["terms"], "<u8"), np.frombuffer(r["tf"], "<i4").astype(float)) for r in rows]
+    toxic = [r["toxic"] for r in rows]
+    vocabulary, place = np.unique(np.concatenate([np.zeros(0, np.uint64), *[k for k, _ in pairs]]), return_inverse=True)
+    of_label = np.repeat(np.array(toxic, float), [len(k) for k, _ in pairs])
+    here, pos = np.bincount(place, minlength=len(vocabulary)).astype(float), np.bincount(place, of_label, minlength=len(vocabulary))
+    g2 = association(here, pos, len(rows), sum(toxic))
+    factor = LEAST_FACTOR + (1 - LEAST_FACTOR) * g2 / (g2 + HALF_G2)
+
+    shared = spark.sparkContext.broadcast(vocabulary)
+    keyed = docs.select(F.xxhash64("text").alias("text_key"), "text")
+    seen = written(keyed.mapInArrow(_frequencies(shared), "text_key bigint, term bigint, n bigint, others bigint"), "toxicity-terms")
+    n_docs = docs.count()
+    of_known = seen.filter("text_key is null").groupBy("term").agg(F.sum("n").alias("df")).toArrow()
+    at, _ = find(vocabulary, of_known.column(0).to_numpy().astype(np.int64).astype(np.uint64))
+    df = np.zeros(len(vocabulary))
+    df[at] = of_known.column(1).to_numpy()
+    index = Index(vocabulary, np.log((n_docs + 1) / (df + 0.5)) * factor, pairs, toxic)
     index.calibrate(pairs, neighbours)
-    return index
 
+    others = seen.filter("text_key is not null")
+    rare = others.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    weight = (1 + F.log("n")) * F.log((n_docs + 1) / (F.col("df") + 0.5)) * LEAST_FACTOR
+    # rows of one text bring its terms each
+    more = others.join(rare, "term").groupBy("text_key").agg((F.sum(weight * weight) * F.max("others") / F.count(F.lit(1))).alias("more"))
+    return index, more
 
-def score_texts(docs: DataFrame, index: Index, neighbours: int = NEIGHBOURS) -> DataFrame:
+
+def score_texts(docs: DataFrame, index: Index, more: DataFrame, neighbours: int = NEIGHBOURS) -> DataFrame:
     """(doc_id, score, evidence): the calibrated vote of the nearest examples; evidence has their places, labels and cosines."""
     shared = docs.sparkSession.sparkContext.broadcast(index)
+    kind = pa.list_(pa.struct([("example", pa.int32()), ("label", pa.int32()), ("cosine", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         for whole in batches:
-            for batch in hashed.slices(whole):
-                all_terms, rows = terms(batch.column(1))
-                if len(index.vocabulary):
-                    at = np.minimum(np.searchsorted(index.vocabulary, all_terms), len(index.vocabulary) - 1)
-                    known = np.flatnonzero(index.vocabulary[at] == all_terms)
-                    all_terms, rows = all_terms[known], np.searchsorted(known, rows)
-                scores, evidence = [], []
-                for a, b in zip(rows[:-1], rows[1:], strict=True):
-                    ids, cos = index.nearest(*index.vector(*np.unique(all_terms[a:b], return_counts=True)), neighbours)
-                    scores.append(index.score(index.vote(ids, cos)))
-                    evidence.append([{"example": int(i), "label": int(index.labels[i]), "cosine": float(c)} for i, c in zip(ids[:3], cos[:3], strict=True)])
-                kind = pa.list_(pa.struct([("example", pa.int32()), ("label", pa.int32()), ("cosine", pa.float64())]))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(evidence, kind)], ["doc_id", "score", "evidence"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, score double, evidence array<struct<example:int,label:int,cosine:double>>")
+            for piece in hashed.slices(whole):
+                for a in range(0, piece.num_rows, TOGETHER):
+                    batch = piece.slice(a, TOGETHER)
+                    known = [index.weighed(*r) for r in _rows(batch.column(2))]
+                    square = [float(np.sum(w.astype(float) ** 2)) for _, w in known]
+                    near = [index.best(c, neighbours) for c in index.cosines([(at, w / np.float32(q**0.5) if q else w) for (at, w), q in zip(known, square, strict=True)])]
+                    votes = [float((c**2).sum()) for _, c in near]
+                    toxic = [float((c**2 * index.labels[ids]).sum()) for ids, c in near]
+                    evidence = [[{"example": int(i), "label": int(index.labels[i]), "cosine": float(c)} for i, c in zip(ids[:3], cos[:3], strict=True)] for ids, cos in near]
+                    numbers = [pa.array(x, pa.float64()) for x in (square, votes, toxic)]
+                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *numbers, pa.array(evidence, kind)], ["doc_id", "text_key", "square", "votes", "toxic", "evidence"])
+
+    shape = "doc_id bigint, text_key bigint, square double, votes double, toxic double, evidence array<struct<example:int,label:int,cosine:double>>"
+    found = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, shape).join(more, "text_key", "left")
+    # cosines so far are with the part of the text that has known terms
+    share = F.when(F.col("square") > 0, F.col("square") / (F.col("square") + F.coalesce("more", F.lit(0.0)))).otherwise(0.0)
+    vote = (F.col("toxic") * F.col("share") + PRIOR_WEIGHT * index.rate) / (F.col("votes") * F.col("share") + PRIOR_WEIGHT)
+    odds = index.scale * F.log(F.col("vote") / (1 - F.col("vote"))) + index.shift
+    score = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), odds))))
+    whole = F.transform("evidence", lambda e: F.struct(e["example"].alias("example"), e["label"].alias("label"), (e["cosine"] * F.sqrt("share")).alias("cosine")))
+    return found.withColumn("share", share).withColumn("vote", vote).select("doc_id", score.alias("score"), whole.alias("evidence"))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, examples: int = EXAMPLES, neighbours: int = NEIGHBOURS) -> DataFrame:
@@ -223,8 +291,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, example
     labels of both kinds that holds for all. Rows are independent: null and repeated ids are ordinary. Only the text enters
     a score; other columns are ignored.
     """
-    index = fit_index(docs, labels, examples, TERMS, neighbours)
-    out = score_texts(docs, index, neighbours)
+    index, more = fit_index(docs, labels, examples, neighbours)
+    out = score_texts(docs, index, more, neighbours)
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence")
 
 
