@@ -24,7 +24,7 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest id. Rows equal in id and text count once."""
     row = F.concat_ws(":", F.col("doc_id"), F.col("text_key")).alias("row")
-    kept = neardup.near_duplicates(docs).filter("kept").select(row)
+    kept = neardup.near_duplicates(docs, shingle=5).filter("kept").select(row)
     keyed = docs.withColumn("text_key", F.xxhash64("text")).select(*COLUMNS, row)
     return keyed.join(kept, "row", "left_semi").dropDuplicates(["row"]).select(*COLUMNS)
 

@@ -84,6 +84,17 @@ def test_near_duplicates_of_odd_rows(spark):
     assert neardup.near_duplicates(documents(spark, ["x"]).limit(0)).count() == 0
 
 
+def test_pair_between_the_thresholds_of_four_and_five_words(spark):
+    import corpus_pipeline as c
+
+    one = [f"w{i}" for i in range(1000)]
+    other = [f"x{i}" if i % 40 == 20 else w for i, w in enumerate(one)]  # 897 of 1,097 sets of four are common, 871 of 1,121 of five
+    docs = documents(spark, [" ".join(one), " ".join(other)], [1, 2])
+    assert [r.kept for r in neardup.near_duplicates(docs, shingle=4).orderBy("doc_id").collect()] == [True, False]
+    assert [r.kept for r in neardup.near_duplicates(docs, shingle=5).orderBy("doc_id").collect()] == [True, True]
+    assert c.drop_near_duplicates(spark, docs, DATA).count() == 2
+
+
 def test_sketch_estimates_jaccard():
     rng = np.random.default_rng(1)
     for j in (0.5, 0.8, 0.95):

@@ -18,7 +18,7 @@ def op3_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=4).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
