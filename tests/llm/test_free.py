@@ -24,6 +24,16 @@ def test_main_text():
     assert len(html_text.main_blocks("<article>" + "<p>word word</p>" * 5000 + "</article>")) == 5000
 
 
+def test_all_regions_of_a_page():
+    long = [f"Sentence {i} is long enough to be dense text, with many words and few tags in it." for i in range(10)]
+    p = lambda some: "".join(f"<p>{x}</p>" for x in some)
+    head = '<body><nav><a href="/">Home</a></nav>'
+    assert html_text.main_blocks(f"{head}<main><section>{p(long[:8])}</section><section>{p(long[8:])}</section></main>") == long
+    assert html_text.main_blocks(f"{head}<article>{p(long[:8])}</article><article>{p(long[8:])}</article><footer>end</footer>") == long
+    assert html_text.main_blocks(f'<body><form action="x.aspx"><nav><a>Home</a></nav><div>{p(long)}</div></form></body>') == long
+    assert html_text.main_blocks(f'{head}<article>{p(long)}<form><p>Your name</p><input><button>Send</button></form></article>') == long
+
+
 def test_pages_query(spark):
     rows = [(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (None, None, None, "x"), (2, "u", "", "x"), (3, None, "<p>just text", "x")]
     got = html_text.extract_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string, text string")).collect()

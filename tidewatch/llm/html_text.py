@@ -2,9 +2,10 @@
 
 The standard library's parser streams events; blocks of text become lines with
 the elements that hold them. The text-to-tag ratio of each line is smoothed by
-a Gaussian and split in two clusters by a threshold; the element that holds
-most of the dense lines is the content region. Lines of the region are kept,
-short ones too, but for those inside navigation, adverts, forms and the like.
+a Gaussian and split in two clusters by a threshold; the innermost element that
+holds all dense lines is the content region. Lines of the region are kept,
+short ones too, but for those inside navigation, adverts, forms and the like. A
+form around nearly all dense text is an element like others.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose text is never part of an article.
 DROPPED = frozenset(
-    "head title script style noscript template nav footer aside form button select option textarea iframe object svg canvas audio video map dialog menu datalist".split()
+    "head title script style noscript template nav footer aside button select option textarea iframe object svg canvas audio video map dialog menu datalist".split()
 )
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark meter output progress q ruby rb rp rt s samp small span strike strong sub sup time tt u var".split()
@@ -41,13 +42,16 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 OWN_HEAD = frozenset("entry post article story content".split())
 #: An element that starts ends one of these that is open.
 ENDS = {k: frozenset(("p " + v).split()) for k, v in {"p": "", "li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th"}.items()}
-SIGMA, RADIUS, MAJORITY = 1.0, 3, 0.7
+SIGMA, RADIUS = 1.0, 3
+#: A form with this share of the dense text is no form to be filled in.
+PAGE_FORM = 0.9
 
 
 class _Element:
-    __slots__ = ("heading", "parent", "region", "skip", "tag")
+    __slots__ = ("form", "heading", "parent", "region", "skip", "tag")
 
     def __init__(self, tag: str, parent: _Element | None, skip: bool):
+        self.form = parent and parent.form or (self if tag == "form" else None)
         self.tag, self.parent, self.skip = tag, parent, skip
         self.heading = tag in HEADINGS or bool(parent and parent.heading)
         self.region = self if parent is None or tag in REGIONS else parent.region
@@ -110,7 +114,7 @@ class _Lines(HTMLParser):
             self.end_line()
         if tag in VOID:
             return
-        if not inline and tag not in DROPPED:
+        if not inline and tag not in DROPPED and tag != "form":
             self.close_any(ENDS.get(tag, ENDS["p"]))
         skip = self.top.skip or marked or tag in DROPPED
         if tag == "header":  # of the page; an article's own keeps its headings
@@ -185,32 +189,45 @@ def _threshold(values: list[float]) -> float:
     return cut
 
 
-def _region(lines: list[_Line]) -> _Element | None:
-    """The innermost element that holds most of the dense text; an article isn't entered further."""
-    ratios = [0.0 if x.at.skip else len(x.text) / max(1, x.tags) for x in lines]
+def _dense(lines: list[_Line], skipped: list[bool]) -> list[tuple[_Line, int]]:
+    """The lines above the threshold and their lengths; without one, all that aren't skipped."""
+    ratios = [0.0 if k else len(x.text) / max(1, x.tags) for x, k in zip(lines, skipped, strict=True)]
     smooth = _smoothed(ratios)
     cut = _threshold(smooth)
     dense = [(x, len(x.text)) for x, r, s in zip(lines, ratios, smooth, strict=True) if s >= cut and r > 0]
-    if not dense:
-        dense = [(x, len(x.text)) for x in lines if not x.at.skip]
-    mass: dict[_Element, int] = {}
-    own_heading: set[_Element] = {x.at.region for x in lines if x.at.heading and not x.at.skip}
-    for x, n in dense:
-        e = x.at.region
-        while e is not None:
-            mass[e] = mass.get(e, 0) + n
-            e = e.parent.region if e.parent is not None else None
-    if not mass:
-        return None
-    under: dict[_Element | None, list[_Element]] = {}
-    for e in mass:
-        under.setdefault(e.parent.region if e.parent is not None else None, []).append(e)
-    at = under[None][0]
-    while at.tag != "article" and (at not in own_heading or at.tag in ("", "html", "body")):
-        inner = max(under.get(at, []), key=mass.__getitem__, default=None)
-        if inner is None or mass[inner] < MAJORITY * mass[at]:
+    return dense or [(x, len(x.text)) for x, k in zip(lines, skipped, strict=True) if not k]
+
+
+def _skipped(lines: list[_Line]) -> list[bool]:
+    """Whether each line is in a marked part or in a form; a form around nearly all dense text isn't counted."""
+    marked = [x.at.skip for x in lines]
+    page = None
+    if any(x.at.form for x in lines):
+        held: dict[_Element | None, int] = {}
+        for x, n in _dense(lines, marked):
+            held[x.at.form] = held.get(x.at.form, 0) + n
+        page = next((e for e, n in held.items() if e is not None and n >= PAGE_FORM * sum(held.values())), None)
+    return [k or x.at.form is not None and x.at.form is not page for x, k in zip(lines, marked, strict=True)]
+
+
+def _region(lines: list[_Line], skipped: list[bool]) -> _Element | None:
+    """The innermost element that holds all dense text; an article isn't entered further."""
+    own_heading: set[_Element] = {x.at.region for x, k in zip(lines, skipped, strict=True) if x.at.heading and not k}
+    chains: dict[_Element, list[_Element]] = {}
+    for x, _ in _dense(lines, skipped):
+        if x.at.region not in chains:
+            chain, e = [], x.at.region
+            while e is not None:
+                chain.append(e)
+                e = e.parent.region if e.parent is not None else None
+            chains[x.at.region] = chain[::-1]
+    at = None
+    for level in zip(*chains.values(), strict=False):
+        if any(e is not level[0] for e in level):
+            break
+        at = level[0]
+        if at.tag == "article" or at in own_heading and at.tag not in ("", "html", "body"):
             break
-        at = inner
     return at
 
 
@@ -222,15 +239,16 @@ def main_blocks(html: str | None) -> list[str]:
     parser.feed(html)
     parser.close()
     parser.end_line()
-    region = _region(parser.lines) if parser.lines else None
+    skipped = _skipped(parser.lines)
+    region = _region(parser.lines, skipped) if parser.lines else None
     if region is None:
         return []
     out = []
-    for x in parser.lines:
+    for x, k in zip(parser.lines, skipped, strict=True):
         e = x.at.region
         while e is not None and e is not region:
             e = e.parent.region if e.parent is not None else None
-        if e is region and not x.at.skip:
+        if e is region and not k:
             out.append(x.text)
     return out
 
