@@ -153,6 +153,25 @@ def test_added_spans_and_redaction(spark):
     assert model is not None and pii.find_personal_data(documents(spark, ["none here"]))[1] is None
 
 
+def test_added_patterns_take_whole_values(spark):
+    key, jwt = "a1B2" * 50, f"{'eyJ0' * 20}.{'eyJz' * 40}.{'x-_9' * 30}"
+    values = [
+        (f'token = "{key}"', "secret"), (f"token={jwt}", "secret"), ("api_key: abc123~45==", "secret"), ("AKIA" + "Q7" * 20, "secret"), ("password=" + "p4" * 20000, "secret"),
+        ("DE89370400440532013000", "account"), ("DE89 3704 0044 0532 0130 00", "account"), ("FR1420041010050500013M02606", "account"), ("NO9386011117947", "account"),
+        ("BE68539007547034", "account"), ("@some_name", "handle"), ("@" + "n" * 40, "handle"),
+    ]
+    kinds = list(pii.KINDS)
+    for end in (" it", ". It"):
+        found = pii.candidate_spans(documents(spark, [f"so {v}{end}" for v, _ in values])).collect()
+        spans = {r.doc_id: [(s.start, s.end) for s in r.found if kinds[s.kind] == values[r.doc_id][1]] for r in found}
+        assert spans == {i: [(3, 3 + len(v))] for i, (v, _) in enumerate(values)}
+    lost = pii.candidate_spans(documents(spark, ["at @site.org", "a@b.c", "password: ......"])).select(F.explode("found").alias("s")).filter(F.col("s.kind") >= len(pii.BASE))
+    assert lost.count() == 0
+    texts = [f'so token = "{key}" it', f"so token={jwt} it", "a plain text 12 34"] * 20
+    out, _ = pii.find_personal_data(documents(spark, texts), keep=("text",))
+    assert {r.red for r in out.select(pii.redact(F.col("text"), F.col("spans")).alias("red")).collect()} == {"so [SECRET] it", "a plain text 12 34"}
+
+
 def test_personal_data_query(spark):
     text = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
     for r in QUERIES["op9_personal_data"](spark, DATA).collect():

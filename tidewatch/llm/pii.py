@@ -32,11 +32,12 @@ BASE = {
 }
 OCTET = "0*+(?:[1-9]?[0-9]?|1[0-9][0-9]|2[0-4][0-9]|25[0-5])"
 
-#: Looser patterns whose spans are voted on; the kind they would add.
+#: Looser patterns whose spans are voted on; the kind they would add. A secret is the whole run of its characters, but for full
+#: stops at its end.
 LOOSE = {
-    "secret": r"(?<![A-Za-z0-9_])(?:AKIA[A-Z0-9]{12,20}|(?:password|passwd|pwd|secret|token|api_?key)\s{0,2}[=:]\s{0,2}\x22?[A-Za-z0-9+/_-]{6,128}\x22?)",
-    "account": r"(?<![A-Za-z0-9])(?:[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}|[0-9]{3}-[0-9]{2}-[0-9]{4})(?![A-Za-z0-9])",
-    "handle": r"(?<![A-Za-z0-9._%+@-])@[A-Za-z_][A-Za-z0-9_]{2,30}(?![A-Za-z0-9@.])",
+    "secret": r"(?<![A-Za-z0-9_])(?:AKIA[A-Z0-9]{12,}+|(?:password|passwd|pwd|secret|token|api_?key)\s{0,2}[=:]\s{0,2}\x22?[A-Za-z0-9+/_.=~-]{6,}(?<!\.)\x22?)",
+    "account": r"(?<![A-Za-z0-9])(?:[A-Z]{2}[0-9]{2}(?:(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?|(?:\x20?[A-Z0-9]{4}){2}\x20?[A-Z0-9]{3})|[0-9]{3}-[0-9]{2}-[0-9]{4})(?![A-Za-z0-9])",
+    "handle": r"(?<![A-Za-z0-9._%+@-])@[A-Za-z_][A-Za-z0-9_]{2,}+(?!@|\.[A-Za-z0-9])",
 }
 #: What a text must have, by a cheaper test, for its pattern to be tried.
 NEEDS = {"email": "@", "ip": "[0-9]\\.[0-9]", "card": "[0-9][\\x20-]?[0-9]", "phone": "\\+[0-9]", "secret": "AKIA|[=:]", "account": "[0-9]{2}", "handle": "@"}
