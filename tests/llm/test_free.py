@@ -105,6 +105,16 @@ def test_pair_between_the_thresholds_of_four_and_five_words(spark):
     assert c.drop_near_duplicates(spark, docs, DATA).count() == 2
 
 
+def test_near_duplicates_of_null_and_repeated_ids(spark):
+    one, two, three = (" ".join(f"{p}{i}" for i in range(60)) for p in "abc")
+    texts = [one, two, two + " more", three, three + " more"]
+    out = {r.text_key: r for r in neardup.near_duplicates(documents(spark, texts, [1, 1, 2, None, None]).repartition(1)).collect()}
+    keys = [r.k for r in documents(spark, texts).orderBy("doc_id").select(F.xxhash64("text").alias("k")).collect()]
+    got = [out[k] for k in keys]
+    assert [r.component_id for r in got] == [1, 1, 1, None, None]
+    assert [r.kept for r in got[:3]] == [True, True, False] and sorted(r.kept for r in got[3:]) == [False, True]
+
+
 def test_sketch_estimates_jaccard():
     rng = np.random.default_rng(1)
     for j in (0.5, 0.8, 0.95):

@@ -255,17 +255,17 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: int = S
     """(doc_id, text_key, n_shingles, component_id, kept), one row for each row of ``docs``.
 
     Two documents are linked if ``100 * both >= similarity * either``; component_id is the smallest id reachable. Null and
-    empty texts have no shingles and no links. Rows are members by their own text; equal rows share a class. If the
-    smallest ids of two different sets coincide, one of the two is compared. A null id never stands for a class: such a row
-    has its class's component and isn't kept beside it, or, without one, a null component and is kept. Other columns are
-    ignored.
+    empty texts have no shingles and no links. Rows are members by their own text; equal sets share a class, whose key is
+    a hash of the set, so null and repeated ids lose no link. Of a component the rows of the smallest id and, of these, of
+    the smallest text_key are kept; only where all ids are null, a null one is. Other columns are ignored.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
     sets = written(base.mapInArrow(_sketches(shingle), "doc_id bigint, text_key bigint, n bigint, fp1 bigint, fp2 bigint, sketch binary"), "neardup-sketches")
     same = ["n", "fp1", "fp2"]
-    classes = written(sets.filter("n > 0").groupBy(*same).agg(F.min("doc_id").alias("rep")).filter("rep is not null"), "neardup-classes")
-    first = sets.filter("doc_id is not null").join(classes.withColumnRenamed("rep", "doc_id"), [*same, "doc_id"])
-    reps = written(first.select(F.col("doc_id").alias("rep"), "text_key", "n", "sketch").dropDuplicates(["rep"]), "neardup-reps")
+    stands = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("text_key").alias("key"))
+    classes = written(sets.filter("n > 0").groupBy(*same).agg(F.min("text_key").alias("text_key"), F.min(stands).alias("stands")).withColumn("rep", F.xxhash64(*same)), "neardup-classes")
+    first = sets.filter("n > 0").join(classes.select("rep", "text_key", *same), [*same, "text_key"])
+    reps = written(first.select("rep", "text_key", "n", "sketch").dropDuplicates(["rep"]), "neardup-reps")
 
     keys = written(reps.select("rep", "sketch").mapInArrow(_band_keys, "key bigint, rep bigint, band int"), "neardup-keys")
     groups = keys.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("rep").alias("a")).filter("members > 1")
@@ -276,8 +276,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: int = S
     def texts(ids: DataFrame, name: str) -> DataFrame:
         """(doc_id, text) of some representatives; few of them are looked up without dealing out the documents."""
         need = written(reps.select(F.col("rep").alias("doc_id"), "text_key").join(ids.select("doc_id").distinct(), "doc_id"), f"{name}-ids")
+        all_texts = base.select("text_key", "text")
         few = need.count() <= BROADCAST_IDS
-        return written(base.join(F.broadcast(need) if few else need, ["doc_id", "text_key"]).dropDuplicates(["doc_id"]).select("doc_id", "text"), name)
+        return written(all_texts.join(F.broadcast(need) if few else need, "text_key").dropDuplicates(["doc_id"]).select("doc_id", "text"), name)
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         own = texts(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), f"{name}-texts")
@@ -310,13 +311,16 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: int = S
     more_links = written(by_group(still.join(full, "rep")).mapInArrow(_block_links(similarity), "a bigint, b bigint"), "neardup-links")
     parts = components(links.union(more_links))
 
-    of_class = classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select(*same, F.coalesce("component", "rep").alias("component"))
-    out = sets.select("doc_id", "text_key", *same).join(of_class, same, "left")
-    component = F.coalesce("component", "doc_id")
+    of_class = classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select(*same, "stands", F.coalesce("component", "rep").alias("component"))
+    of_class = written(of_class, "neardup-of-class")
+    least = of_class.groupBy("component").agg(F.min("stands").alias("least"))
+    out = sets.select("doc_id", "text_key", *same).join(of_class.join(least, "component").select(*same, "least"), same, "left")
+    component = F.when(F.col("least").isNotNull(), F.col("least.id")).otherwise(F.col("doc_id"))
+    kept = F.col("least").isNull() | F.col("doc_id").eqNullSafe(F.col("least.id")) & (F.col("text_key") == F.col("least.key"))
     return out.select(
         F.col("doc_id").alias(id_col),
         "text_key",
         F.col("n").alias("n_shingles"),
         component.alias("component_id"),
-        component.eqNullSafe(F.col("doc_id")).alias("kept"),
+        kept.alias("kept"),
     )
