@@ -156,3 +156,9 @@ def test_numbers_and_units(spark):
     assert {r.t: r.x for r in df.collect()} == cases
     one = spark.range(1).select(X.to_canonical(F.lit("temperature"), F.lit("fahrenheit"), F.lit(98.6)).alias("t"), X.to_canonical(F.lit("pressure"), F.lit("psi"), F.lit(1.0)).alias("p")).first()
     assert one.t == 37.0 and one.p is None
+
+
+def test_long_chain_of_duplicates_is_one_group(spark):
+    rows = [("s", f"{i:04}", i // 2, i // 2 + 1, (i + 1) // 2, False, True) for i in range(200)]
+    df = spark.createDataFrame(rows, "subject string, content string, start_us bigint, end_us bigint, log_id bigint, is_main boolean, has_stages boolean")
+    assert [(r.content, r.n) for r in intervals.deduplicate(df).collect()] == [("0000", 200)]

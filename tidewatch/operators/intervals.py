@@ -76,22 +76,23 @@ def ownership(rows: DataFrame, keys: list[str]) -> DataFrame:
     return runs.groupBy(*keys, "run").agg(F.first("owner").alias("content"), F.min("lo").alias("start_us"), F.max("hi").alias("end_us")).drop("run")
 
 
-def duplicate_groups(rows: DataFrame, key: str = "subject", rounds: int = 64) -> DataFrame:
+def duplicate_groups(rows: DataFrame, key: str = "subject") -> DataFrame:
     """Each row with ``root``: the least content key among its duplicates, taken transitively.
 
     Rows of a subject are duplicates if they share a log id or both bounds. Each round takes the least label of every such
-    group, as window functions, until labels stay; a chain of n groups takes n rounds at most, real ones two or three.
+    group, as window functions, and then the label of the label, until labels stay.
     """
     out = rows.withColumn("root", F.col("content"))
     by_log, by_bounds = Window.partitionBy(key, "log_id"), Window.partitionBy(key, "start_us", "end_us")
-    for _ in range(rounds):
+    while True:
         log = F.when(F.col("log_id").isNotNull(), F.min("root").over(by_log)).otherwise(F.col("root"))
         new = out.withColumn("_a", log).withColumn("_b", F.min("_a").over(by_bounds))
-        new = written(new.withColumn("_changed", F.col("_b") != F.col("root")).withColumn("root", F.col("_b")).drop("_a", "_b"), "duplicate-groups")
+        up = new.groupBy(F.col(key), F.col("content").alias("_b")).agg(F.min("_b").alias("_up"))
+        new = new.join(up, [key, "_b"], "left").withColumn("_b", F.least("_b", "_up"))
+        new = written(new.withColumn("_changed", F.col("_b") != F.col("root")).withColumn("root", F.col("_b")).select(*out.columns, "_changed"), "duplicate-groups")
         out = new.drop("_changed")
         if not new.filter("_changed").limit(1).count():
-            break
-    return out
+            return out
 
 
 def deduplicate(rows: DataFrame, key: str = "subject") -> DataFrame:
