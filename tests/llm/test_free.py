@@ -1,5 +1,6 @@
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -163,25 +164,95 @@ def test_sparse_sites_shrink_to_the_general_rate(spark):
 # --- toxicity
 
 
-def test_neighbours_are_exact():
+def sparse_examples(rng, vocabulary, n, groups=6):
+    """Examples of several kinds, each with a vocabulary of its own and some words that all share."""
+    parts, rows = np.array_split(vocabulary[40:], groups), []
+    for i in range(n):
+        own = np.concatenate([rng.choice(parts[i % groups], rng.integers(0, 30)), rng.choice(vocabulary[:40], rng.integers(0, 12))])
+        t = np.unique(own)
+        rows.append((t, rng.integers(1, 4, len(t)).astype(float)))
+    return rows
+
+
+def test_neighbours_are_exact_and_blocks_are_skipped():
     rng = np.random.default_rng(0)
     vocabulary = np.unique(rng.integers(1, 2**62, 400).astype(np.uint64))
-    rows = []
-    for _ in range(500):
-        t = np.unique(rng.choice(vocabulary, rng.integers(0, 30)))
-        rows.append((t, rng.integers(1, 4, len(t)).astype(float)))
-    index = toxicity.Index(vocabulary, rng.uniform(1, 5, len(vocabulary)), rows, [int(x) for x in rng.random(500) < 0.2])
-    dense = np.zeros((500, len(vocabulary)))
-    for k, i in enumerate(index.order):
+    rows = sparse_examples(rng, vocabulary, 700)
+    rows[9] = rows[3]  # a tie
+    index = toxicity.Index(vocabulary, rng.uniform(1, 5, len(vocabulary)), rows, [int(x) for x in rng.random(700) < 0.2])
+    assert sorted(index.order) == list(range(700)) and np.diff(index.starts).max() <= toxicity.BLOCK
+    dense = np.zeros((700, len(vocabulary)))
+    for place, i in enumerate(index.order):
         at, w = index.vector(*rows[i])
-        dense[k, at] = w
-    for r in rows[:80]:
-        at, w = index.vector(*r)
-        query = np.zeros(len(vocabulary))
-        query[at] = w
-        all_cosines = dense @ query
-        ids, cosines = index.nearest(at, w, 10)
-        assert np.allclose(cosines, np.sort(all_cosines[all_cosines > 0])[::-1][:10], atol=1e-5) and np.allclose(all_cosines[ids], cosines, atol=1e-5)
+        dense[place, at] = w
+    queries = rows[:200] + [(vocabulary[:0], np.zeros(0))]
+    for without in (None, [int(index.place[i]) for i in range(200)] + [0]):
+        near = index.nearest([index.vector(*r) for r in queries], 10, without)
+        for i, (r, (ids, cosines)) in enumerate(zip(queries, near, strict=True)):
+            at, w = index.vector(*r)
+            query = np.zeros(len(vocabulary))
+            query[at] = w
+            every = dense @ query
+            if without:
+                every[without[i]] = 0
+            want = np.sort(every[every > 0])[::-1][:10]
+            assert len(ids) == len(want) and np.allclose(cosines, want, atol=1e-5) and np.allclose(every[ids], cosines, atol=1e-5)
+    assert index.seen < 0.8 * index.held
+
+
+def brute_toxicity(texts, known, least_factor):
+    """Scores by plain loops: {id: text}, {id: label} of the examples; all examples are used for the calibration."""
+    cut = re.compile("[^\\x00-\\x2f\\x3a-\\x40\\x5b-\\x60\\x7b-\\x7f]+")
+
+    def terms(t):
+        w = cut.findall(lower(t))
+        return Counter([(0, x) for x in w] + [(n, x.encode()[:n]) for x in w for n in toxicity.PREFIXES if len(x.encode()) > n])
+
+    tf = {i: terms(t) for i, t in texts.items()}
+    df = Counter(k for c in tf.values() for k in c)
+    n, n_toxic, examples = len(known), sum(known.values()), {}
+    for i in known:
+        examples.setdefault(texts[i], i)
+    assert len(examples) == n
+    held, bad = Counter(k for i in known for k in tf[i]), Counter(k for i, y in known.items() if y for k in tf[i])
+    weight = {}
+    for k in df:
+        d, p = held[k], bad[k]
+        cells = [(p, d * n_toxic / n), (d - p, d * (n - n_toxic) / n), (n_toxic - p, (n - d) * n_toxic / n), (n - d - n_toxic + p, (n - d) * (n - n_toxic) / n)]
+        g2 = max(0.0, 2 * sum(a * math.log(a / b) for a, b in cells if a > 0)) if d else 0.0
+        weight[k] = math.log((len(texts) + 1) / (df[k] + 0.5)) * (least_factor + (1 - least_factor) * g2 / (g2 + toxicity.HALF_G2))
+    vector = {i: {k: (1 + math.log(c)) * weight[k] for k, c in t.items()} for i, t in tf.items()}
+    length = {i: math.sqrt(sum(x * x for x in v.values())) for i, v in vector.items()}
+    rate = (n_toxic + 1) / (n + 2)
+
+    def vote(i, without=None):
+        near = []
+        for j in known:
+            if j != without and length[i] and length[j]:
+                c = sum(x * vector[j].get(k, 0.0) for k, x in vector[i].items()) / length[i] / length[j]
+                if c > 0:
+                    near.append((c, known[j]))
+        near = sorted(near, reverse=True)[: toxicity.NEIGHBOURS]
+        return (sum(c * c * y for c, y in near) + toxicity.PRIOR_WEIGHT * rate) / (sum(c * c for c, _ in near) + toxicity.PRIOR_WEIGHT)
+
+    odds = lambda v: math.log(v / (1 - v))
+    x, y = np.array([odds(vote(i, i)) for i in known]), np.array(list(known.values()), float)
+    a, b = 1.0, 0.0
+    for _ in range(20000):  # plain descent to the same penalised optimum
+        p = 1 / (1 + np.exp(-(a * x + b)))
+        a, b = a - 0.01 * (((p - y) * x).sum() + a - 1) / len(x) * 10, b - 0.01 * ((p - y).sum() + b) / len(x) * 10
+    return {i: 1 / (1 + math.exp(-(a * odds(vote(i)) + b))) for i in texts}
+
+
+def test_toxicity_equals_brute_force(spark):
+    rng = random.Random(12)
+    texts = {i: " ".join(f"Word{rng.randrange(60)}" for _ in range(rng.randint(3, 25))) + (" nastyword" if i % 4 == 0 else "") for i in range(160)} | {500: "", 501: "Unknown words only"}
+    known = {i: int(i % 4 == 0) for i in range(160) if not toxicity.crc_held_out(i)}
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(160)], "doc_id bigint, quality int, toxic int")
+    for least_factor in (0.25, 1.0):
+        got = {r.doc_id: r.score for r in toxicity.toxicity(documents(spark, list(texts.values()), list(texts)), labels, least_factor=least_factor).collect()}
+        want = brute_toxicity(texts, known, least_factor)
+        assert all(abs(got[i] - want[i]) < 2e-3 for i in texts), sorted((abs(got[i] - want[i]), i, got[i], want[i]) for i in texts)[-3:]
 
 
 def test_toxicity(spark):
@@ -194,6 +265,15 @@ def test_toxicity(spark):
     assert all(got[i].held_out == (zlib.crc32(str(i).encode()) % 3 == 1) for i in got)
     assert all(got[i].predicted == (i % 5 == 0) for i in range(400)) and got[400].score == got[401].score < 0.5
     assert toxicity.toxicity(documents(spark, ODD, ODD_IDS), labels.limit(0)).filter("score <> 0.5").count() == 0
+    assert toxicity.toxicity(documents(spark, ["x"]).limit(0), labels).count() == 0
+    assert toxicity.toxicity(documents(spark, ODD, ODD_IDS), spark.createDataFrame([(3, 1, 1), (4, 1, 0), (5, None, None), (None, 1, 1)], labels.schema)).count() == len(ODD)
+
+
+def test_held_out_toxic_documents_are_found(spark):
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    got = QUERIES["op5_toxicity"](spark, DATA).join(labels, "doc_id").filter("held_out").groupBy("toxic").agg(F.avg("predicted").alias("k")).collect()
+    share = {r.toxic: r.k for r in got}
+    assert share[1] >= 0.7 and share[0] <= 0.02, share
 
 
 def test_toxicity_keeps_all_terms(spark):

@@ -2,12 +2,15 @@
 
 Documents and examples are TF-IDF vectors over all their terms, words and the
 beginnings of words, with document frequencies over all documents. A factor of
-how a term goes with the label weighs it; no term is left out. The cosines with
-all examples are exact: terms that many examples share are one matrix product,
-the others an inverted index. Terms that no example has change a document's
-length only: this is summed by a join of these terms with their frequencies.
-The nearest examples' votes, weighted by cosine and held against the general
-rate, are calibrated on votes that the examples get from each other.
+how a term goes with the label weighs it (``least_factor=1`` gives plain
+TF-IDF); no term is left out. The nearest examples are exact. They are found by
+a block-max inverted index: alike examples stand in one block, the postings of
+rare terms are added up, frequent terms have a largest weight for each block,
+and a block is looked into only if its bound reaches the cosine of the last
+neighbour so far. Terms that no example has change a document's length only:
+this is summed by a join of these terms with their frequencies. The nearest
+examples' votes, weighted by cosine and held against the general rate, are
+calibrated on votes that the examples get from each other.
 """
 
 from __future__ import annotations
@@ -31,8 +34,10 @@ PREFIXES = (4, 6)
 PRIOR_WEIGHT = 0.25
 #: A term's factor without any association with the label, and the association (G2) that takes it halfway to one.
 LEAST_FACTOR, HALF_G2 = 0.25, 12.0
-#: Terms in a larger share of the examples stand in the matrix.
-DENSE_SHARE = 1 / 32
+#: Terms in a larger share of the examples have block maxima; of the others all postings are read.
+FREQUENT_SHARE = 1 / 32
+#: Examples to a block at most; blocks that are looked into before the first and the second cut; what bounds may be off by.
+BLOCK, FIRST_BLOCKS, SLACK = 64, (2, 8), 1e-5
 BREAKS = np.zeros(256, bool)
 BREAKS[[c for c in range(128) if not chr(c).isalnum()]] = True
 
@@ -78,39 +83,57 @@ def find(vocabulary: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return at, vocabulary[at] == keys
 
 
+def alike_order(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the rows in which neighbours are alike, and where its blocks begin: each part is halved along its main direction."""
+    done, parts = [], [np.arange(len(vectors))]
+    while parts:
+        rows = parts.pop()
+        if len(rows) <= BLOCK:
+            done.append(rows)
+            continue
+        own = vectors[rows] - vectors[rows].mean(axis=0)
+        way = own[np.argmax((own * own).sum(axis=1))]
+        for _ in range(4):
+            way = (own @ way) @ own
+            way = way / max(float(np.sqrt(way @ way)), 1e-12)
+        by = rows[np.argsort(np.round(own @ way, 5), kind="stable")]
+        parts += [by[len(by) // 2 :], by[: len(by) // 2]]
+    sizes = [len(d) for d in done]
+    return np.concatenate(done) if done else np.zeros(0, np.int64), np.cumsum([0, *sizes])
+
+
 class Index:
-    """The examples' vectors by term: a matrix of the terms that many share, postings of the others."""
+    """The examples' vectors by term: postings of the rare terms; of the frequent ones the weights and their maxima by block."""
 
     def __init__(self, vocabulary: np.ndarray, idf: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]], labels: list[int]):
         order = np.argsort(vocabulary)
         self.vocabulary, self.idf = vocabulary[order], idf[order].astype(np.float32)
         vectors = [self.vector(*r) for r in rows]
-        self.labels = np.array(labels, np.int8)
-        self.rate = float((self.labels.sum() + 1) / (len(labels) + 2)) if labels else 0.5
-        self.order = np.arange(len(rows))
-        ids = np.repeat(self.order, [len(v[0]) for v in vectors]).astype(np.int32)
+        n = len(rows)
+        ids = np.repeat(np.arange(n), [len(v[0]) for v in vectors]).astype(np.int32)
         term = np.concatenate([np.zeros(0, np.int64), *[v[0] for v in vectors]])
         weight = np.concatenate([np.zeros(0, np.float32), *[v[1] for v in vectors]]).astype(np.float32)
-        by_term = np.argsort(term, kind="stable")
-        self.ids, self.weights = ids[by_term], weight[by_term]
-        self.ptr = np.searchsorted(term[by_term], np.arange(len(vocabulary) + 1))
+        frequent = np.flatnonzero(np.bincount(term, minlength=len(vocabulary)) > max(1, FREQUENT_SHARE * n))
+        self.slot = np.full(len(vocabulary), -1, np.int32)
+        self.slot[frequent] = np.arange(len(frequent))
+        many = self.slot[term] >= 0
+        matrix = np.zeros((n, len(frequent)), np.float32)
+        matrix[ids[many], self.slot[term[many]]] = weight[many]
+        #: The example at each place of the index, and where its blocks begin.
+        self.order, self.starts = alike_order(matrix)
+        place = np.empty(n, np.int32)
+        place[self.order] = np.arange(n)
+        matrix = matrix[self.order].T
+        self.blocks = [np.ascontiguousarray(matrix[:, a:b]) for a, b in zip(self.starts[:-1], self.starts[1:], strict=True)]
+        self.maxima = np.stack([x.max(axis=1) for x in self.blocks], axis=1) if n else np.zeros((len(frequent), 0), np.float32)
+        by_term = np.argsort(term[~many], kind="stable")
+        self.ids, self.weights = place[ids[~many]][by_term], weight[~many][by_term]
+        self.ptr = np.searchsorted(term[~many][by_term], np.arange(len(vocabulary) + 1))
+        self.labels = np.array(labels, np.int8)[self.order]
+        self.place = place
+        self.rate = float((self.labels.sum() + 1) / (n + 2)) if n else 0.5
         self.scale, self.shift = 1.0, 0.0
-        self.dense = None
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"dense": None}
-
-    def _matrix(self) -> tuple[np.ndarray, np.ndarray]:
-        """The row of each term in the matrix or -1, and the matrix; made where it is needed."""
-        if self.dense is None:
-            many = np.flatnonzero(np.diff(self.ptr) > max(1, DENSE_SHARE * len(self.labels)))
-            slot = np.full(len(self.vocabulary), -1)
-            slot[many] = np.arange(len(many))
-            matrix = np.zeros((len(many), len(self.labels)), np.float32)
-            for k, t in enumerate(many):
-                matrix[k, self.ids[self.ptr[t] : self.ptr[t + 1]]] = self.weights[self.ptr[t] : self.ptr[t + 1]]
-            self.dense = slot, matrix
-        return self.dense
+        self.seen = self.held = 0
 
     def weighed(self, keys: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Known terms and their weights."""
@@ -123,38 +146,58 @@ class Index:
         at, w = self.weighed(keys, tf)
         return at, w / np.sqrt(np.sum(w * w)) if len(at) else w
 
-    def cosines(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """The cosine of each vector with each example."""
-        slot, matrix = self._matrix()
-        query = np.zeros((len(vectors), len(matrix)), np.float32)
-        for k, (at, w) in enumerate(vectors):
-            many = slot[at] >= 0
-            query[k, slot[at[many]]] = w[many]
-        out = (query @ matrix).astype(float)
-        for k, (at, w) in enumerate(vectors):
-            few = slot[at] < 0
-            start = self.ptr[at[few]]
-            size = self.ptr[at[few] + 1] - start
-            if size.sum():
-                ends = np.cumsum(size)
-                posting = np.arange(ends[-1]) + np.repeat(start - ends + size, size)
-                out[k] += np.bincount(self.ids[posting], weights=np.repeat(w[few], size) * self.weights[posting], minlength=len(self.labels))
-        return out
+    def _rare(self, at: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """What the rare terms add to the cosine with each example."""
+        few = self.slot[at] < 0
+        start = self.ptr[at[few]]
+        size = self.ptr[at[few] + 1] - start
+        if not size.sum():
+            return np.zeros(len(self.labels))
+        ends = np.cumsum(size)
+        posting = np.arange(ends[-1]) + np.repeat(start - ends + size, size)
+        return np.bincount(self.ids[posting], weights=np.repeat(w[few], size) * self.weights[posting], minlength=len(self.labels))
+
+    def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each vector the places of the k largest positive cosines and these; ``without`` is an own place that doesn't count.
+
+        No cosine in a block is above its bound, the block's maxima times the vector and the largest sum of rare terms. So
+        blocks under the k-th cosine so far are skipped; what is found is exact.
+        """
+        m, n, n_blocks = len(vectors), len(self.labels), len(self.blocks)
+        if not n:
+            return [(np.zeros(0, np.int64), np.zeros(0))] * m
+        query, rare = np.zeros((m, len(self.maxima)), np.float32), np.empty((m, n))
+        for k_row, (at, w) in enumerate(vectors):
+            many = self.slot[at] >= 0
+            query[k_row, self.slot[at[many]]] = w[many]
+            rare[k_row] = self._rare(at, w)
+        bound = (query @ self.maxima).astype(float) + np.maximum.reduceat(rare, self.starts[:-1], axis=1)
+        scores, seen = np.zeros((m, n)), np.zeros((m, n_blocks), bool)
+        least = np.zeros((m, 1))
+        for first in (*FIRST_BLOCKS, n_blocks):
+            ask = (bound + SLACK >= least) & (bound > 0) & ~seen
+            if first < n_blocks:
+                cut = np.partition(bound, n_blocks - first, axis=1)[:, n_blocks - first : n_blocks - first + 1]
+                ask &= bound >= cut
+            for b in np.flatnonzero(ask.any(axis=0)):
+                rows, a, e = np.flatnonzero(ask[:, b]), self.starts[b], self.starts[b + 1]
+                scores[rows, a:e] = query[rows] @ self.blocks[b] + rare[rows, a:e]
+            seen |= ask
+            if without is not None:
+                scores[np.arange(m), without] = 0
+            if n > k:
+                least = np.partition(scores, n - k, axis=1)[:, n - k : n - k + 1]
+        self.seen, self.held = self.seen + int(seen.sum()), self.held + seen.size
+        return [self.best(s, k) for s in scores]
 
     @staticmethod
-    def best(scores: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+    def best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The places of the k largest positive scores (ties to six digits: the lower place) and these."""
-        if without >= 0:
-            scores[without] = 0
         rank = np.round(scores, 6)
         ids = np.flatnonzero(scores > 0 if len(scores) <= k else (scores > 0) & (rank >= np.partition(rank, len(rank) - k)[len(rank) - k]))
         ids = ids[np.lexsort((ids, -rank[ids]))[:k]]
         return ids, scores[ids]
 
-    def nearest(self, at: np.ndarray, w: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The examples of the k largest positive cosines and these."""
-        return self.best(self.cosines([(at, w)])[0], k, without)
-
     def vote(self, ids: np.ndarray, cosines: np.ndarray) -> float:
         w = cosines.astype(float) ** 2
         return float(((w * self.labels[ids]).sum() + PRIOR_WEIGHT * self.rate) / (w.sum() + PRIOR_WEIGHT))
@@ -162,13 +205,14 @@ class Index:
     def calibrate(self, rows: list[tuple[np.ndarray, np.ndarray]], k: int) -> None:
         """Platt's curve through the votes that examples get from the others; one kind of label leaves the votes as they are."""
         y, x = [], []
-        places = range(0, len(rows), max(1, len(rows) // CALIBRATED))
-        for a in range(0, len(places), TOGETHER):
-            some = places[a : a + TOGETHER]
-            for place, scores in zip(some, self.cosines([self.vector(*rows[p]) for p in some]), strict=True):
-                v = self.vote(*self.best(scores, k, place))
+        every = range(0, len(rows), max(1, len(rows) // CALIBRATED))
+        for a in range(0, len(every), TOGETHER):
+            some = every[a : a + TOGETHER]
+            own = [int(self.place[r]) for r in some]
+            for at, near in zip(own, self.nearest([self.vector(*rows[r]) for r in some], k, own), strict=True):
+                v = self.vote(*near)
                 x.append(np.log(v / (1 - v)))
-                y.append(self.labels[place])
+                y.append(self.labels[at])
         x, y = np.array(x), np.array(y, float)
         if len(set(y)) < 2:
             return
@@ -216,7 +260,7 @@ def _frequencies(vocabulary):
     return run
 
 
-def fit_index(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, neighbours: int = NEIGHBOURS) -> tuple[Index, DataFrame]:
+def fit_index(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, neighbours: int = NEIGHBOURS, least_factor: float = LEAST_FACTOR) -> tuple[Index, DataFrame]:
     """The index of at most ``examples`` labelled documents that are not held out, taken in the order of a hash, equal texts once;
     and (text_key, more): what the terms that no example has add to the square of a text's length."""
     spark = docs.sparkSession
@@ -225,14 +269,14 @@ def fit_index(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, neig
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").filter("text is not null")
     sample = texts.select(F.xxhash64("text").alias("mix"), F.col("toxic").cast("int").alias("toxic"), "text").dropDuplicates(["mix"])
     counted = written(sample.mapInArrow(_counts, "mix bigint, toxic int, terms binary, tf binary"), "toxicity-examples")
-    rows = counted.orderBy("mix", "toxic").collect()
-    pairs = [(np.frombuffer(r["terms"], "<u8"), np.frombuffer(r["tf"], "<i4").astype(float)) for r in rows]
-    toxic = [r["toxic"] for r in rows]
+    rows = counted.orderBy("mix", "toxic").select("toxic", "terms", "tf").toArrow()
+    pairs = [(np.frombuffer(k.as_buffer(), "<u8"), np.frombuffer(n.as_buffer(), "<i4").astype(float)) for k, n in zip(rows["terms"], rows["tf"], strict=True)]
+    toxic = rows["toxic"].to_pylist()
     vocabulary, place = np.unique(np.concatenate([np.zeros(0, np.uint64), *[k for k, _ in pairs]]), return_inverse=True)
     of_label = np.repeat(np.array(toxic, float), [len(k) for k, _ in pairs])
     here, pos = np.bincount(place, minlength=len(vocabulary)).astype(float), np.bincount(place, of_label, minlength=len(vocabulary))
-    g2 = association(here, pos, len(rows), sum(toxic))
-    factor = LEAST_FACTOR + (1 - LEAST_FACTOR) * g2 / (g2 + HALF_G2)
+    g2 = association(here, pos, len(pairs), sum(toxic))
+    factor = least_factor + (1 - least_factor) * g2 / (g2 + HALF_G2)
 
     shared = spark.sparkContext.broadcast(vocabulary)
     keyed = docs.select(F.xxhash64("text").alias("text_key"), "text")
@@ -247,7 +291,7 @@ def fit_index(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, neig
 
     others = seen.filter("text_key is not null")
     rare = others.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weight = (1 + F.log("n")) * F.log((n_docs + 1) / (F.col("df") + 0.5)) * LEAST_FACTOR
+    weight = (1 + F.log("n")) * F.log((n_docs + 1) / (F.col("df") + 0.5)) * least_factor
     # rows of one text bring its terms each
     more = others.join(rare, "term").groupBy("text_key").agg((F.sum(weight * weight) * F.max("others") / F.count(F.lit(1))).alias("more"))
     return index, more
@@ -266,10 +310,10 @@ def score_texts(docs: DataFrame, index: Index, more: DataFrame, neighbours: int
                     batch = piece.slice(a, TOGETHER)
                     known = [index.weighed(*r) for r in _rows(batch.column(2))]
                     square = [float(np.sum(w.astype(float) ** 2)) for _, w in known]
-                    near = [index.best(c, neighbours) for c in index.cosines([(at, w / np.float32(q**0.5) if q else w) for (at, w), q in zip(known, square, strict=True)])]
+                    near = index.nearest([(at, w / np.float32(q**0.5) if q else w) for (at, w), q in zip(known, square, strict=True)], neighbours)
                     votes = [float((c**2).sum()) for _, c in near]
                     toxic = [float((c**2 * index.labels[ids]).sum()) for ids, c in near]
-                    evidence = [[{"example": int(i), "label": int(index.labels[i]), "cosine": float(c)} for i, c in zip(ids[:3], cos[:3], strict=True)] for ids, cos in near]
+                    evidence = [[{"example": int(index.order[i]), "label": int(index.labels[i]), "cosine": float(c)} for i, c in zip(ids[:3], cos[:3], strict=True)] for ids, cos in near]
                     numbers = [pa.array(x, pa.float64()) for x in (square, votes, toxic)]
                     yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *numbers, pa.array(evidence, kind)], ["doc_id", "text_key", "square", "votes", "toxic", "evidence"])
 
@@ -284,14 +328,14 @@ def score_texts(docs: DataFrame, index: Index, more: DataFrame, neighbours: int
     return found.withColumn("share", share).withColumn("vote", vote).select("doc_id", score.alias("score"), whole.alias("evidence"))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, examples: int = EXAMPLES, neighbours: int = NEIGHBOURS) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, examples: int = EXAMPLES, neighbours: int = NEIGHBOURS, least_factor: float = LEAST_FACTOR) -> DataFrame:
     """(doc_id, held_out, score, predicted, evidence), one row for each row of ``docs``.
 
     A text without a known term (null and empty ones too) has no neighbour and gets the calibrated general rate. Without
     labels of both kinds that holds for all. Rows are independent: null and repeated ids are ordinary. Only the text enters
     a score; other columns are ignored.
     """
-    index, more = fit_index(docs, labels, examples, neighbours)
+    index, more = fit_index(docs, labels, examples, neighbours, least_factor)
     out = score_texts(docs, index, more, neighbours)
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence")
 
