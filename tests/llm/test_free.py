@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -35,6 +36,57 @@ def test_all_regions_of_a_page():
     assert html_text.main_blocks(f'{head}<article>{p(long)}<form><p>Your name</p><input><button>Send</button></form></article>') == long
 
 
+def test_wrappers_with_telling_names():
+    long = [f"Sentence {i} is long enough to be dense text, with many words and few tags in it." for i in range(6)]
+    body = "".join(f"<p>{x}</p>" for x in long)
+    names = ["content with-sidebar", "no-sidebar", "post has-comments", "legal-news", "social-policy", "newsletter-archive", "ad-free article", "page-header-and-body", "sidebar", "comments", "main-content"]
+    for name in names:
+        assert html_text.main_blocks(f'<body><nav><a>Home</a></nav><div class="{name}">{body}</div><footer>end</footer></body>') == long, name
+    for name in ["sidebar", "comments-area", "site-footer", "ad", "adBox", "cookie-banner", "newsletter-signup", "related-posts", "share-buttons", "nav menu", "comment-list", "page-header"]:
+        page = f'<body><div class="post">{body}</div><div class="{name}"><p>{long[0]}</p><p>Another line that is as dense as the text of the article.</p></div></body>'
+        assert html_text.main_blocks(page) == long, name
+    lead = f"<body><div><p>{long[0]}</p></div><div>{body}</div></body>"
+    assert html_text.main_blocks(lead) == [long[0], *long]
+    spans = f'<body><p><span hidden>gone<p>{long[0]}</p><p>{long[1]} <span class="ad">buy <b>now</b></span> {long[2]}</p><p><b>{long[3]}</i></p></body>'
+    assert html_text.main_blocks(spans) == [long[0], long[1], long[2], long[3]]
+
+
+def test_pages_take_linear_time():
+    for piece in ("<div>x ", "<b>x</i> ", "<div>word here <p>", "<span class=ad>x<div></div>", "<span hidden>", "<i><div></i>", "<li><h1>x", "</div>x"):
+        took = []
+        for n in (10_000, 40_000):
+            start = time.process_time()
+            html_text.main_blocks(piece * n)
+            took.append(time.process_time() - start)
+        assert took[1] < 3 and took[1] < 9 * took[0] + 0.2, (piece, took)
+
+
+def brute_dense(sizes, tags, out):
+    ratios = [0.0 if o else n / max(1, t) for n, t, o in zip(sizes, tags, out, strict=True)]
+    smooth = []
+    for i in range(len(ratios)):
+        near = [(math.exp(-((i - j) ** 2) / 2), ratios[j]) for j in range(max(0, i - 3), min(len(ratios), i + 4))]
+        smooth.append(sum(w * r for w, r in near) / sum(w for w, _ in near))
+    cut = upper = sum(smooth) / len(smooth)
+    for _ in range(20):
+        low, high = [v for v in smooth if v <= cut], [v for v in smooth if v > cut]
+        if low and high:
+            upper = sum(high) / len(high)
+            cut = (sum(low) / len(low) + upper) / 2
+    cut = min(cut, upper / 2)
+    return [s >= cut - 1e-9 and r > 0 for s, r in zip(smooth, ratios, strict=True)]
+
+
+def test_ratio_smoothing_and_clusters_equal_loops():
+    rng = random.Random(4)
+    for _ in range(200):
+        n = rng.randint(1, 40)
+        sizes, tags, out = [rng.choice([3, 20, 90, 400]) for _ in range(n)], [rng.randint(0, 9) for _ in range(n)], [rng.random() < 0.2 for _ in range(n)]
+        want = brute_dense(sizes, tags, out)
+        got = html_text.dense_lines(np.array(sizes), np.array(tags), np.array(out)).tolist()
+        assert got == (want if any(want) else [not o for o in out])
+
+
 def test_pages_query(spark):
     rows = [(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (None, None, None, "x"), (2, "u", "", "x"), (3, None, "<p>just text", "x")]
     got = html_text.extract_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string, text string")).collect()

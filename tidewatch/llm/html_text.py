@@ -4,8 +4,11 @@ The standard library's parser streams events; blocks of text become lines with
 the elements that hold them. The text-to-tag ratio of each line is smoothed by
 a Gaussian and split in two clusters by a threshold; the innermost element that
 holds all dense lines is the content region. Lines of the region are kept,
-short ones too, but for those inside navigation, adverts, forms and the like. A
-form around nearly all dense text is an element like others.
+short ones too, but for those inside navigation, adverts, forms and the like.
+
+Elements that are such by their name, role or style never count. A class or an
+id, or a form, only suggests it: one that encloses nearly all dense text is an
+element like others. Work is linear in the events and in the depth.
 """
 
 from __future__ import annotations
@@ -35,26 +38,37 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion promoted banner sidebar sidenav nav navbar navigation menu breadcrumb breadcrumbs "
     "footer header masthead cookie cookies consent gdpr notice popup modal overlay subscribe subscription newsletter signup login comment comments commentlist reply replies respond "
-    "disqus social share sharing sharebar related recommended recommendations widget widgets toolbar pagination pager skip hidden copyright legal disclaimer".split()
+    "disqus form social share sharing sharebar related recommended recommendations widget widgets toolbar pagination pager skip hidden copyright legal disclaimer".split()
 )
-ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
+ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar".split())
+#: Beside a mark these say that it is absent, or only present, in what is named.
+ABSENT = frozenset("no with without has have hide hides show shows free less non not".split())
+#: Words of place or shape: the word before them says what the thing is.
+SHAPES = frozenset("area bar block blocks body bottom box button buttons column container content copy count desktop fixed form group head heading icon icons id inner item items left link links list logo main mobile outer panel post posts primary right row secondary section site slot small story sticky title top unit wide wrap wrapper".split())
 #: With one of these beside it, "header" names the head of the article.
 OWN_HEAD = frozenset("entry post article story content".split())
 #: An element that starts ends one of these that is open.
 ENDS = {k: frozenset(("p " + v).split()) for k, v in {"p": "", "li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th"}.items()}
 SIGMA, RADIUS = 1.0, 3
-#: A form with this share of the dense text is no form to be filled in.
-PAGE_FORM = 0.9
+#: A form or a marked element with this share of the dense text, and at least so many characters of it, is one like others.
+WRAPPER, WRAPPED = 0.9, 200
 
 
 class _Element:
-    __slots__ = ("form", "heading", "parent", "region", "skip", "tag")
+    """``n`` and ``last`` are the first and the last number among the element and what it holds; ``mark`` is the nearest form or marked element."""
+
+    __slots__ = ("block", "counts", "heading", "inner", "last", "mark", "n", "outer", "parent", "region", "skip", "tag")
 
-    def __init__(self, tag: str, parent: _Element | None, skip: bool):
-        self.form = parent and parent.form or (self if tag == "form" else None)
-        self.tag, self.parent, self.skip = tag, parent, skip
+    def __init__(self, tag: str, parent: _Element | None, n: int, skip: bool, marked: bool):
+        self.tag, self.parent, self.n, self.last, self.skip = tag, parent, n, n, skip
+        self.outer = parent and parent.mark
+        self.mark = self if marked else self.outer
         self.heading = tag in HEADINGS or bool(parent and parent.heading)
         self.region = self if parent is None or tag in REGIONS else parent.region
+        self.block = self
+        #: Of an inline element that is left out: the inline tags open inside it, and how many of each.
+        self.inner: list[str] | None = None
+        self.counts: dict[str, int] = {}
 
 
 class _Line:
@@ -64,34 +78,56 @@ class _Line:
         self.text, self.tags, self.at = text, tags, at
 
 
+def _token_marks(token: str) -> bool:
+    """Whether a class name marks: its last word that isn't a shape is a mark, or the first one is and shapes follow."""
+    words = re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", token).lower())
+    if not words or ABSENT.intersection(words):
+        return False
+    if "header" in words and OWN_HEAD.intersection(words):
+        return False
+    while len(words) > 1 and words[-1] in SHAPES:
+        words.pop()
+    return words[-1] in MARKS
+
+
 @lru_cache(4096)
 def _named(names: str) -> bool:
-    words = set(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", names).lower()))
-    hit = words & MARKS
-    return bool(hit - {"header"} or hit and not words & OWN_HEAD)
+    return any(_token_marks(x) for x in names.split())
 
 
-def _marked(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+def _attributes(attrs: list[tuple[str, str | None]]) -> tuple[bool, bool]:
+    """Whether an element is out for certain, and whether its names mark it."""
     names = ""
     for k, v in attrs:
         if k in ("class", "id"):
             names += f" {v or ''}"
         elif k == "hidden" or k == "aria-hidden" and v == "true" or k == "role" and (v or "").lower() in ROLES:
-            return True
+            return True, False
+        elif k == "role" and v == "form":
+            names += " form"
         elif k == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", v or "", re.I):
-            return True
-    return names != "" and tag not in ("html", "body", "main") and _named(names)
+            return True, False
+    return False, names != "" and _named(names)
+
+
+def _inline_out(e: _Element) -> None:
+    e.inner, e.block = [], e.parent.block
 
 
 class _Lines(HTMLParser):
-    """Lines of a page; each has the tags seen since the line before."""
+    """Lines of a page; each has the tags seen since the line before.
+
+    Inline elements only count as tags, but for those that are left out and what stands in these. Every element is entered
+    and left once, and ends of elements that aren't open are found by a count, so the work is linear.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.top = self.root = _Element("", None, False)
+        self.top = self.root = _Element("", None, 0, False, False)
+        self.open: dict[str, int] = {}
         self.lines: list[_Line] = []
         self.parts: list[str] = []
-        self.tags, self.at = 0, self.root
+        self.tags, self.at, self.n = 0, self.root, 0
 
     def updatepos(self, i, j):  # line numbers aren't asked for
         return j
@@ -103,132 +139,173 @@ class _Lines(HTMLParser):
                 self.tags = 0
             self.parts = []
 
+    def enter(self, tag: str, skip: bool, marked: bool) -> None:
+        self.n += 1
+        self.top = _Element(tag, self.top, self.n, self.top.skip or skip, marked)
+        self.open[tag] = self.open.get(tag, 0) + 1
+
+    def leave(self) -> None:
+        e = self.top
+        e.last = self.n
+        self.open[e.tag] -= 1
+        self.top = e.parent
+
     def handle_starttag(self, tag, attrs):
         self.tags += 1
         if tag == "br":
             self.parts.append(" ")
             return
-        inline = tag in INLINE
-        marked = bool(attrs) and _marked(tag, attrs)
-        if not inline or marked:
-            self.end_line()
+        out, marked = _attributes(attrs) if attrs else (False, False)
+        if tag in INLINE:
+            self.start_inline(tag, out, marked)
+            return
+        self.end_line()
         if tag in VOID:
             return
-        if not inline and tag not in DROPPED and tag != "form":
-            self.close_any(ENDS.get(tag, ENDS["p"]))
-        skip = self.top.skip or marked or tag in DROPPED
-        if tag == "header":  # of the page; an article's own keeps its headings
-            skip = skip or not self.inside("article")
-        self.top = _Element(tag, self.top, skip)
+        if tag not in DROPPED and tag != "form":
+            self.end_open(tag)
+        out = out or tag in DROPPED or tag == "header" and not self.open.get("article")  # an article's own header keeps its headings
+        self.enter(tag, out, tag == "form" or marked and tag not in ("html", "body", "main"))
+
+    def start_inline(self, tag: str, out: bool, marked: bool) -> None:
+        e = self.top
+        if out or marked:
+            self.end_line()
+            self.enter(tag, out, marked)
+            _inline_out(self.top)
+        elif e.inner is not None:
+            e.inner.append(tag)
+            e.counts[tag] = e.counts.get(tag, 0) + 1
 
     def handle_startendtag(self, tag, attrs):
-        if tag in VOID:
-            self.handle_starttag(tag, attrs)
-        else:
-            self.handle_starttag(tag, attrs)
+        self.handle_starttag(tag, attrs)
+        if tag not in VOID:
             self.handle_endtag(tag)
 
-    def inside(self, tag: str) -> bool:
-        e = self.top
-        while e is not None:
-            if e.tag == tag:
-                return True
-            e = e.parent
-        return False
-
-    def close_any(self, tags: frozenset[str]) -> None:
-        """Ends the nearest open element of ``tags`` that no region or list stands in front of."""
-        e = self.top
-        while e.parent is not None and (e.tag in INLINE or e.tag in tags or e.tag in HEADINGS):
-            if e.tag in tags:
-                self.top = e.parent
-                return
-            e = e.parent
+    def end_open(self, tag: str) -> None:
+        """Ends the blocks that the start of this one ends, and the inline elements open in them."""
+        ends, b = ENDS.get(tag, ENDS["p"]), self.top.block
+        while b.tag in ends or b.tag in HEADINGS and tag in HEADINGS:
+            while self.top is not b:
+                self.leave()
+            self.leave()
+            b = self.top.block
 
     def handle_endtag(self, tag):
         self.tags += 1
         if tag in VOID:
             return
-        inline, e = tag in INLINE, self.top
-        while e.parent is not None and e.tag != tag:
-            if (inline or tag == "p") and e.tag not in INLINE:
-                e = self.root
-                break
-            e = e.parent
-        if not inline or e.skip and e.parent is not None and not e.parent.skip:
-            self.end_line()
-        if e.parent is not None:
-            self.top = e.parent
+        e = self.top
+        if tag in INLINE:
+            if e.inner is None:
+                return
+            if e.counts.get(tag):
+                while (x := e.inner.pop()) != tag:
+                    e.counts[x] -= 1
+                e.counts[tag] -= 1
+            elif e.tag == tag:
+                self.end_line()
+                self.leave()
+            return
+        self.end_line()
+        if not self.open.get(tag) or tag == "p" and e.block.tag != "p":
+            return
+        while self.top.tag != tag:
+            self.leave()
+        self.leave()
 
     def handle_data(self, data):
         if not self.parts:
             self.at = self.top
         self.parts.append(data)
 
+    def finish(self) -> None:
+        self.close()
+        self.end_line()
+        while self.top.parent is not None:
+            self.leave()
+        self.root.last = self.n
+
 
 GAUSS = np.exp(-(np.arange(-RADIUS, RADIUS + 1) ** 2) / (2 * SIGMA * SIGMA))
 
 
-def _smoothed(values: list[float]) -> list[float]:
-    near = np.convolve(np.asarray(values + [0.0] * 2 * RADIUS), GAUSS)[RADIUS : RADIUS + len(values)]
-    full = np.convolve(np.asarray([1.0] * len(values) + [0.0] * 2 * RADIUS), GAUSS)[RADIUS : RADIUS + len(values)]
-    return (near / full).tolist()
+def smoothed(values: np.ndarray) -> np.ndarray:
+    """The mean of the values around each, weighted by a Gaussian; beyond the ends there is nothing."""
+    near = np.convolve(np.concatenate([values, np.zeros(2 * RADIUS)]), GAUSS)[RADIUS : RADIUS + len(values)]
+    full = np.convolve(np.concatenate([np.ones(len(values)), np.zeros(2 * RADIUS)]), GAUSS)[RADIUS : RADIUS + len(values)]
+    return near / full
+
 
+def threshold(values: np.ndarray) -> float:
+    """Between the means of two clusters, moved until it stays, but at most half the mean of the upper one: a page of text alone isn't cut.
 
-def _threshold(values: list[float]) -> float:
-    """Between the means of two clusters, moved until it stays."""
-    cut = sum(values) / len(values)
+    (A line beside text gets 0.3 of its level by the smoothing, the first line of text 0.7.)
+    """
+    cut = upper = float(values.mean())
     for _ in range(20):
-        low, high = [v for v in values if v <= cut], [v for v in values if v > cut]
-        if not low or not high:
+        high = values > cut
+        if high.all() or not high.any():
             break
-        new = (sum(low) / len(low) + sum(high) / len(high)) / 2
+        upper = float(values[high].mean())
+        new = (float(values[~high].mean()) + upper) / 2
         if new == cut:
             break
         cut = new
-    return cut
-
-
-def _dense(lines: list[_Line], skipped: list[bool]) -> list[tuple[_Line, int]]:
-    """The lines above the threshold and their lengths; without one, all that aren't skipped."""
-    ratios = [0.0 if k else len(x.text) / max(1, x.tags) for x, k in zip(lines, skipped, strict=True)]
-    smooth = _smoothed(ratios)
-    cut = _threshold(smooth)
-    dense = [(x, len(x.text)) for x, r, s in zip(lines, ratios, smooth, strict=True) if s >= cut and r > 0]
-    return dense or [(x, len(x.text)) for x, k in zip(lines, skipped, strict=True) if not k]
-
-
-def _skipped(lines: list[_Line]) -> list[bool]:
-    """Whether each line is in a marked part or in a form; a form around nearly all dense text isn't counted."""
-    marked = [x.at.skip for x in lines]
-    page = None
-    if any(x.at.form for x in lines):
-        held: dict[_Element | None, int] = {}
-        for x, n in _dense(lines, marked):
-            held[x.at.form] = held.get(x.at.form, 0) + n
-        page = next((e for e, n in held.items() if e is not None and n >= PAGE_FORM * sum(held.values())), None)
-    return [k or x.at.form is not None and x.at.form is not page for x, k in zip(lines, marked, strict=True)]
-
-
-def _region(lines: list[_Line], skipped: list[bool]) -> _Element | None:
+    return min(cut, upper / 2)
+
+
+def dense_lines(sizes: np.ndarray, tags: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """Which lines are above the threshold, of lines with so many characters and tags; without one, all that aren't out."""
+    ratios = np.where(out, 0.0, sizes / np.maximum(1, tags))
+    smooth = smoothed(ratios)
+    dense = (smooth >= threshold(smooth)) & (ratios > 0)
+    return dense if dense.any() else ~out
+
+
+def _left_out(lines: list[_Line], sizes: np.ndarray, tags: np.ndarray) -> np.ndarray:
+    """Whether each line is in an element that is out, or in a form or marked element that doesn't enclose nearly all dense text."""
+    out = np.array([x.at.skip for x in lines])
+    marks: dict[_Element, int] = {}
+    for x in lines:
+        e = x.at.mark
+        while e is not None and e not in marks:
+            marks[e] = 0
+            e = e.outer
+    if not marks:
+        return out
+    dense, total = dense_lines(sizes, tags, out), 0
+    for x, d, n in zip(lines, dense, sizes.tolist(), strict=True):
+        if d:
+            total += n
+            if x.at.mark is not None:
+                marks[x.at.mark] += n
+    inside_first = sorted(marks, key=lambda e: -e.n)
+    for e in inside_first:
+        if e.outer is not None:
+            marks[e.outer] += marks[e]
+    dead: dict[_Element, bool] = {}
+    for e in reversed(inside_first):
+        dead[e] = bool(e.outer is not None and dead[e.outer]) or not (marks[e] >= WRAPPER * total and marks[e] >= WRAPPED)
+    return out | np.array([x.at.mark is not None and dead[x.at.mark] for x in lines])
+
+
+def _region(lines: list[_Line], dense: np.ndarray, out: np.ndarray) -> _Element | None:
     """The innermost element that holds all dense text; an article isn't entered further."""
-    own_heading: set[_Element] = {x.at.region for x, k in zip(lines, skipped, strict=True) if x.at.heading and not k}
-    chains: dict[_Element, list[_Element]] = {}
-    for x, _ in _dense(lines, skipped):
-        if x.at.region not in chains:
-            chain, e = [], x.at.region
-            while e is not None:
-                chain.append(e)
-                e = e.parent.region if e.parent is not None else None
-            chains[x.at.region] = chain[::-1]
-    at = None
-    for level in zip(*chains.values(), strict=False):
-        if any(e is not level[0] for e in level):
-            break
-        at = level[0]
-        if at.tag == "article" or at in own_heading and at.tag not in ("", "html", "body"):
-            break
-    return at
+    some = [x.at.region for x, d in zip(lines, dense, strict=True) if d]
+    if not some:
+        return None
+    own_heading = {x.at.region for x, k in zip(lines, out, strict=True) if x.at.heading and not k}
+    first, last = min(some, key=lambda e: e.n), max(some, key=lambda e: e.n)
+    way, e = [], first
+    while e is not None:
+        if e.last >= last.n:  # holds both, and so all that stand between
+            way.append(e)
+        e = e.parent.region if e.parent is not None else None
+    for e in reversed(way):
+        if e.tag == "article" or e in own_heading and e.tag not in ("", "html", "body"):
+            return e
+    return way[0]
 
 
 def main_blocks(html: str | None) -> list[str]:
@@ -237,20 +314,16 @@ def main_blocks(html: str | None) -> list[str]:
         return []
     parser = _Lines()
     parser.feed(html)
-    parser.close()
-    parser.end_line()
-    skipped = _skipped(parser.lines)
-    region = _region(parser.lines, skipped) if parser.lines else None
+    parser.finish()
+    lines = parser.lines
+    if not lines:
+        return []
+    sizes, tags = np.array([len(x.text) for x in lines]), np.array([x.tags for x in lines])
+    out = _left_out(lines, sizes, tags)
+    region = _region(lines, dense_lines(sizes, tags, out), out)
     if region is None:
         return []
-    out = []
-    for x, k in zip(parser.lines, skipped, strict=True):
-        e = x.at.region
-        while e is not None and e is not region:
-            e = e.parent.region if e.parent is not None else None
-        if e is region and not k:
-            out.append(x.text)
-    return out
+    return [x.text for x, k in zip(lines, out, strict=True) if not k and region.n <= x.at.n <= region.last]
 
 
 def _texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
