@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -20,6 +21,14 @@ def test_query_equals_sql(spark, name):
 # --- chat
 
 
+def test_long_chat(spark):
+    rows = [(1, i, ["user", "assistant"][i % 2], f"turn <|{i}é") for i in range(20_000)]
+    out = chat.chat_digest(chat.format_chats(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"))).collect()[0]
+    loss = "".join(t for *_, r, t in rows if r == "assistant")
+    assert (out.n_turns, out.loss_chars, out.loss_sha256) == (20_000, len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    assert out.turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for *_, r, t in rows).encode()).hexdigest()
+
+
 def test_chat_round_trip(spark):
     rows = [(1, 0, "user", "hi <|im_end|>\n&lt;|"), (1, 0, "user", "hi <|im_end|>\n&lt;|"), (1, 1, "assistant", "<|im_sep|>&amp;"), (1, 2, "assistant", None), (1, None, "sys\ntem", "first"), (None, 3, None, ""), (2, 0, "assistant", "<"), (2, 1, "user", "|im_end|>")]
     df = spark.createDataFrame([(*r, "x", 1) for r in rows], "conv_id bigint, turn bigint, role string, text string, t string, pos int")
@@ -172,6 +181,51 @@ def test_added_patterns_take_whole_values(spark):
     assert {r.red for r in out.select(pii.redact(F.col("text"), F.col("spans")).alias("red")).collect()} == {"so [SECRET] it", "a plain text 12 34"}
 
 
+def test_added_candidates_equal_loops(spark):
+    rng = random.Random(31)
+    parts = ["Password: Abc123.x ", "TOKEN=", "eyJ0.aB-_", "AKIA" + "Q7" * 9, "@some_one", "@", "a@b.c", "Dr. Anna Weber", "Mary ", "Smith", "J. ", "12 Long ", "Oak ", "Street", "Streets ", "jo.do at mail dot site dot com", " [at] ", "dot", "x", " ", ".", "DE89 3704 0044 0532 0130 00", "078-05-1120", "=", "7"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(800)] + ["Password: " + "k9" * 500 + " end", "Mr Aaa Bbb"]
+    found = pii.candidate_spans(documents(spark, texts)).collect()
+    got = {r.doc_id: sorted((s.start, s.end, s.kind) for s in r.found if s.kind >= len(pii.BASE)) for r in found}
+    patterns = [(k, re.compile(p)) for k, p in enumerate(pii.LOOSE.values(), len(pii.BASE))]
+    want = {i: sorted((m.start(), m.end(), k) for k, p in patterns for m in p.finditer(t)) for i, t in enumerate(texts)}
+    assert got == want and {k for v in want.values() for *_, k in v} == set(range(len(pii.BASE), len(pii.KINDS)))
+
+
+def test_redaction_equals_a_loop(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(60):
+        text = "".join(rng.choice("abé𝒳 ") for _ in range(rng.choice([0, 5, 60, 300])))
+        spans = sorted((a, rng.randrange(4), min(len(text), a + rng.randint(1, 9))) for a in (rng.randrange(len(text)) for _ in range(rng.choice([0, 1, 7, 40])) if text))
+        rows.append((i, text, spans))
+    df = spark.createDataFrame(rows, "i int, text string, spans array<struct<start:int,kind:int,end:int>>")
+    for r in df.select("i", pii.redact(F.col("text"), F.col("spans")).alias("red")).collect():
+        _, text, spans = rows[r.i]
+        out, at = "", 0
+        for a, k, e in spans:
+            if a >= at:
+                out += text[at:a] + f"[{pii.KINDS[k].upper()}]"
+            at = max(at, e)
+        assert r.red == out + text[at:]
+
+
+def test_many_spans_in_one_text(spark):
+    text = "write to jo.81@mail7.example.com now " * 50_000 + "Password: " + "k9" * 500 + " end"
+    start = time.time()
+    out, _ = pii.find_personal_data(documents(spark, [text, "token=abcdef123456 x"] * 2), keep=("text",))
+    red = out.select(pii.redact(F.col("text"), F.col("spans")).alias("red"), F.size("base").alias("n")).collect()
+    assert {r.n for r in red} == {50_000, 0} and {r.red for r in red} == {"write to [EMAIL] now " * 50_000 + "[SECRET] end", "[SECRET] x"}
+    assert time.time() - start < 60
+
+
+def test_personal_data_of_empty_tables(spark):
+    out, model = pii.find_personal_data(documents(spark, ["x"]).limit(0), keep=("text",))
+    assert model is None and out.count() == 0
+    out, _ = pii.find_personal_data(documents(spark, ODD, ODD_IDS), keep=("text", "n_chars"))
+    assert out.count() == len(ODD) and out.columns == ["doc_id", "base", "spans", "text", "n_chars"]
+
+
 def test_personal_data_query(spark):
     text = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
     for r in QUERIES["op9_personal_data"](spark, DATA).collect():

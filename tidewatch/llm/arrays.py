@@ -1,0 +1,73 @@
+"""Array expressions whose work grows with the array to the power 1.5 at most.
+
+A fold that appends to an array copies it at every step. Here an array of n is
+cut in pieces of about the root of n; folds run within a piece and over pieces.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _fold(values: Column, op: Callable[[Column, Column], Column], before: bool = False) -> Column:
+    """The running results over an array, each with its own value or, if ``before``, without; they begin at 0."""
+    start = F.struct(F.lit(0).cast("long").alias("now"), F.array().cast("array<bigint>").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        now = op(acc["now"], x).cast("long")
+        return F.struct(now.alias("now"), F.concat(acc["out"], F.array(acc["now"] if before else now)).alias("out"))
+
+    return F.aggregate(values, start, step)["out"]
+
+
+def _root(n: Column) -> Column:
+    return F.greatest(F.lit(1), F.ceil(F.sqrt(n))).cast("int")
+
+
+def _running(values: Column, op: Callable[[Column, Column], Column]) -> Column:
+    def of(v: Column) -> Column:
+        size = _root(F.size(v))
+        pieces = F.transform(F.sequence(F.lit(0), (F.ceil(F.size(v) / size) - 1).cast("int")), lambda k: _fold(F.slice(v, k * size + 1, size), op))
+        whole = let(pieces, lambda p: F.flatten(F.zip_with(p, _fold(F.transform(p, lambda x: F.element_at(x, -1)), op, before=True), lambda x, b: F.transform(x, lambda y: op(b, y)))))
+        return F.when(F.size(v) > 0, whole).otherwise(F.array().cast("array<bigint>"))
+
+    return let(values.cast("array<bigint>"), of)
+
+
+def running_sum(values: Column) -> Column:
+    """For each value the sum of those up to it."""
+    return _running(values, lambda a, b: a + b)
+
+
+def running_max(values: Column) -> Column:
+    """For each value (not negative) the largest of those up to it."""
+    return _running(values, lambda a, b: F.greatest(a, b))
+
+
+def cut(text: Column, starts: Column, ends: Column) -> Column:
+    """The pieces of a text from each start to its end (code points; sorted, without overlap). A text is walked through once for each piece
+    of the root of n, and this for each place in it, not the whole text for each place."""
+
+    def of(v: Column) -> Column:
+        s, e, n = v["s"], v["e"], F.size(v["s"])
+        size = _root(n)
+        at = lambda a, i: F.get(a, i)
+
+        def piece(k: Column) -> Column:
+            first, last = k * size, F.least((k + 1) * size, n) - 1
+            lo = at(s, first)
+            own = F.substr(v["t"], (lo + 1).cast("int"), (at(e, last) - lo).cast("int"))
+            return let(own, lambda o: F.transform(F.sequence(first, last), lambda i: F.substr(o, (at(s, i) - lo + 1).cast("int"), (at(e, i) - at(s, i)).cast("int"))))
+
+        whole = F.flatten(F.transform(F.sequence(F.lit(0), (F.ceil(n / size) - 1).cast("int")), piece))
+        return F.when(n > 0, whole).otherwise(F.array().cast("array<string>"))
+
+    return let(F.struct(text.alias("t"), starts.cast("array<bigint>").alias("s"), ends.cast("array<bigint>").alias("e")), of)

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.llm.arrays import cut, running_sum
+
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>\n"
 
 
@@ -42,7 +44,8 @@ def format_chats(
 
     A run of rows with the same role becomes one block ``START role \\n text SEP text END``. Rows are sorted by
     (turn, role, text), so ties have one result; null turns come first, null roles and texts count as empty, repeated
-    rows stay. A null key is a conversation of its own. No rows give no conversations. Other columns are ignored.
+    rows stay. A null key is a conversation of its own. No rows give no conversations. Other columns are ignored. A conversation is one
+    row here and in the result: its text has to fit in one string (2 GB) and a task's memory.
     """
     turns = rows.select(
         F.col(key).alias("conv_id"),
@@ -56,18 +59,14 @@ def format_chats(
         return F.struct(lead.alias("lead"), escape(t["text"]).alias("body"), t["role"].isin(*loss_roles).alias("loss"))
 
     pieces = sorted_turns.select("conv_id", F.transform("turns", piece).alias("pieces"))
-    start = F.struct(F.lit(0).cast("long").alias("pos"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"))
-
-    def step(acc: Column, p: Column) -> Column:
-        at = acc["pos"] + F.length(p["lead"])
-        to = at + F.length(p["body"])
-        span = F.array(F.struct(at.cast("long").alias("start"), to.cast("long").alias("end")))
-        return F.struct(to.cast("long").alias("pos"), F.when(p["loss"], F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
+    placed = pieces.withColumn("ends", running_sum(F.transform("pieces", lambda p: F.length(p["lead"]) + F.length(p["body"]))))
+    all_spans = F.zip_with("pieces", "ends", lambda p, e: F.struct((e - F.length(p["body"])).alias("start"), e.alias("end"), p["loss"].alias("loss")))
+    spans = F.transform(F.filter(all_spans, lambda x: x["loss"]), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
 
-    return pieces.select(
+    return placed.select(
         F.col("conv_id").alias(key),
         F.concat(F.array_join(F.transform("pieces", lambda p: F.concat(p["lead"], p["body"])), ""), F.lit(END)).alias("formatted"),
-        F.aggregate("pieces", start, step)["spans"].alias("loss_spans"),
+        spans.alias("loss_spans"),
     )
 
 
@@ -86,7 +85,8 @@ def read_chats(formatted: Column) -> Column:
 
 def read_loss(formatted: Column, spans: Column) -> Column:
     """All text under the mask, unescaped, in order."""
-    return F.array_join(F.transform(spans, lambda s: unescape(F.substr(formatted, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")))), "")
+    pieces = cut(formatted, F.transform(spans, lambda s: s["start"]), F.transform(spans, lambda s: s["end"]))
+    return F.array_join(F.transform(pieces, unescape), "")
 
 
 def chat_digest(chats: DataFrame, key: str = "conv_id") -> DataFrame:

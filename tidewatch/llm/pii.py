@@ -1,13 +1,16 @@
 """Personal data by weak supervision.
 
 Patterns find spans. Those of the four base kinds that pass their check stay.
-Looser candidates (secrets, handles, account numbers, written-out addresses)
-get votes from labelers: the shape of the span, a gazetteer of names before
-it, and the words around it. Expectation-maximisation over the counts of vote
-patterns estimates how reliable each labeler is, without labels; the posterior
-of each pattern then trains a classifier over the span's features, and spans
-that it takes for personal data are added. Everything that touches text is a
-Spark expression.
+Looser candidates (secrets, account numbers, handles, names of people, street
+addresses, mail addresses written out in words) get votes from labelers: the
+shape of the span, a gazetteer of given names and of words that introduce
+personal data, the words before it, how varied its characters are, and for base
+kinds their check. Expectation-maximisation over the counts of vote patterns
+estimates how reliable each labeler is, without labels; the posterior of each
+pattern then trains a classifier over the span's features, and candidates that
+it takes for personal data are added. What no pattern proposes isn't found: a
+name, say, needs a title or a given name of the gazetteer. Everything that
+touches text is a Spark expression.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.llm.arrays import cut, let, running_max, running_sum
 from tidewatch.llm.store import written
 
 #: Base patterns in the order of the kinds. They match what the plain ones match, leftmost and without overlap:
@@ -32,18 +36,30 @@ BASE = {
 }
 OCTET = "0*+(?:[1-9]?[0-9]?|1[0-9][0-9]|2[0-4][0-9]|25[0-5])"
 
+#: Given names, titles before names, kinds of street, and words that introduce personal data (fixed values).
+GIVEN = (
+    "James Mary John Patricia Robert Jennifer Michael Linda David Elizabeth William Barbara Richard Susan Joseph Jessica Thomas Sarah Daniel Karen Emma Oliver "
+    "Hans Karl Klaus Peter Wolfgang Sabine Petra Ursula Anna Monika Pierre Jean Marie Claire Louis Camille Sophie Jose Juan Carlos Carmen Lucia Pablo Ana Luis Maria"
+).split()
+TITLES = "Mr Mrs Ms Dr Prof Herr Frau Madame Monsieur Señor Señora".split()
+STREETS = "Street St Avenue Ave Road Rd Lane Ln Drive Boulevard Blvd Court Square Way Place".split()
+TRIGGERS = "password passwd pwd secret token key apikey login user account iban ssn contact follow mail email phone tel call card ip name address street live lives".split()
 #: Looser patterns whose spans are voted on; the kind they would add. A secret is the whole run of its characters, but for full
-#: stops at its end.
+#: stops at its end; an account number has the lengths that its standard allows.
 LOOSE = {
-    "secret": r"(?<![A-Za-z0-9_])(?:AKIA[A-Z0-9]{12,}+|(?:password|passwd|pwd|secret|token|api_?key)\s{0,2}[=:]\s{0,2}\x22?[A-Za-z0-9+/_.=~-]{6,}(?<!\.)\x22?)",
+    "secret": r"(?<![A-Za-z0-9_])(?:AKIA[A-Z0-9]{12,}+|(?i:password|passwd|pwd|secret|token|api_?key)\s*+[=:]\s*+\x22?[A-Za-z0-9+/_.=~-]{6,}(?<!\.)\x22?)",
     "account": r"(?<![A-Za-z0-9])(?:[A-Z]{2}[0-9]{2}(?:(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?|(?:\x20?[A-Z0-9]{4}){2}\x20?[A-Z0-9]{3})|[0-9]{3}-[0-9]{2}-[0-9]{4})(?![A-Za-z0-9])",
     "handle": r"(?<![A-Za-z0-9._%+@-])@[A-Za-z_][A-Za-z0-9_]{2,}+(?!@|\.[A-Za-z0-9])",
+    "name": rf"(?<![A-Za-z])(?=[A-Z])(?:(?:{'|'.join(TITLES)})\.?\x20[A-Z][a-z]++(?:\x20[A-Z][a-z]++)?|(?:{'|'.join(GIVEN)})\x20(?:[A-Z]\.\x20)?[A-Z][a-z]++)(?![A-Za-z])",
+    "address": rf"(?<![A-Za-z0-9])[0-9]{{1,5}}\x20(?:[A-Z][a-z]+\x20)+?(?:{'|'.join(STREETS)})(?![A-Za-z])",
+    "written": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:\x20++|\x20*+[\[({]\x20*+)(?i:at)(?:\x20++|\x20*+[\])}]\x20*+)[A-Za-z0-9-]++(?:(?:\x20++|\x20*+[\[({]\x20*+)(?i:dot)(?:\x20++|\x20*+[\])}]\x20*+)[A-Za-z0-9-]++)+",
 }
 #: What a text must have, by a cheaper test, for its pattern to be tried.
-NEEDS = {"email": "@", "ip": "[0-9]\\.[0-9]", "card": "[0-9][\\x20-]?[0-9]", "phone": "\\+[0-9]", "secret": "AKIA|[=:]", "account": "[0-9]{2}", "handle": "@"}
+NEEDS = {
+    "email": "@", "ip": "[0-9]\\.[0-9]", "card": "[0-9][\\x20-]?[0-9]", "phone": "\\+[0-9]", "secret": "AKIA|[=:]", "account": "[0-9]{2}", "handle": "@",
+    "name": "[A-Z][a-z]+\\.?\\x20[A-Z]", "address": "[0-9]\\x20[A-Z][a-z]", "written": "(?i)[^A-Za-z]dot[^A-Za-z]",
+}
 KINDS = (*BASE, *LOOSE)
-#: Words that introduce personal data (fixed values).
-GAZETTEER = "password passwd pwd secret token key apikey login user account iban ssn contact follow mail email phone tel call card ip"
 BEFORE = 24
 LABELERS = ("shape", "gazetteer", "context", "spread", "check")
 FEATURES = (*LABELERS, "long", "digits")
@@ -74,10 +90,11 @@ def _votes(kind: str, span: Column, before: Column) -> list[Column]:
     flag = lambda c: F.when(c, 1).otherwise(0)
     letters, digits = span.rlike("[A-Za-z]"), span.rlike("[0-9]")
     near = F.lower(F.concat(before, F.lit(" "), span))
-    words = "|".join(GAZETTEER.split())
+    words = "|".join([*TRIGGERS, *[n.lower() for n in GIVEN]])
     distinct = F.size(F.array_distinct(F.split(span, "")))
+    shape = {"name": span.rlike(r"[A-Z][a-z]+\x20(?:[A-Z]\.\x20)?[A-Z]"), "address": span.rlike(r"^[0-9]+\x20[A-Z]"), "written": span.rlike(r"(?i)\bat\b.*\bdot\b"), "account": digits}
     return [
-        flag(F.length(span) >= 8) if kind in BASE else flag(letters & digits),
+        flag(F.length(span) >= 8) if kind in BASE else flag(shape.get(kind, letters & digits)),
         F.when(near.rlike(rf"(?<![a-z])(?:{words})(?![a-z])"), 1).otherwise(-1),
         F.when(before.rlike(r"(?:[:=]|\b(?:is|for|at|to))\s*$"), 1).when(before.rlike(r"[A-Za-z0-9]$"), 0).otherwise(-1),
         flag(distinct >= 6),
@@ -103,15 +120,13 @@ def _found(kind: str) -> Column:
 
     pairs = F.filter(F.zip_with(between, spans, lambda g, s: F.when(s.isNotNull(), about(g, s))), lambda x: x.isNotNull())
     span_type = "struct<kind:int,start:int,end:int," + ",".join(f"{n}:int" for n in FEATURES) + ">"
-    start = F.struct(F.lit(0).alias("pos"), F.array().cast(f"array<{span_type}>").alias("out"))
+    ends = running_sum(F.transform(pairs, lambda x: x["gap"] + x["len"]))
 
-    def step(acc: Column, x: Column) -> Column:
-        at = acc["pos"] + x["gap"]
-        to = at + x["len"]
-        one = F.struct(F.lit(KINDS.index(kind)).alias("kind"), at.alias("start"), to.alias("end"), *[x[n].cast("int").alias(n) for n in FEATURES])
-        return F.struct(to.alias("pos"), F.concat(acc["out"], F.array(one)).alias("out"))
+    def placed(x: Column, end: Column) -> Column:
+        named = [x[n].cast("int").alias(n) for n in FEATURES]
+        return F.struct(F.lit(KINDS.index(kind)).alias("kind"), (end - x["len"]).cast("int").alias("start"), end.cast("int").alias("end"), *named)
 
-    return F.when(F.size(spans) > 0, F.aggregate(pairs, start, step)["out"]).otherwise(F.array().cast(f"array<{span_type}>"))
+    return F.when(F.size(spans) > 0, F.zip_with(pairs, ends, placed)).otherwise(F.array().cast(f"array<{span_type}>"))
 
 
 def candidate_spans(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -234,13 +249,13 @@ def count_kind(spans: Column, kind: str) -> Column:
 def redact(text: Column, spans: Column) -> Column:
     """The text with each span as ``[KIND]``; of spans that overlap, the first stands for all up to where the last ends."""
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    start = F.struct(F.lit(0).alias("pos"), F.array().cast("array<string>").alias("out"))
+    #: Up to where the text is done before each span, and after the last.
+    done = F.concat(F.array(F.lit(0).cast("long")), running_max(F.transform(spans, lambda s: s["end"])))
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["pos"]
-        piece = F.array(F.substr(text, acc["pos"] + 1, s["start"] - acc["pos"]), F.get(names, s["kind"]))
-        return F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), F.when(fresh, F.concat(acc["out"], piece)).otherwise(acc["out"]).alias("out"))
+    def whole(v: Column) -> Column:
+        starts = F.concat(F.transform(v["spans"], lambda s: s["start"].cast("long")), F.array(F.length(v["text"]).cast("long")))
+        pieces = cut(v["text"], v["done"], F.zip_with(starts, v["done"], lambda a, b: F.greatest(a, b)))
+        marks = F.transform(v["spans"], lambda s, i: F.when(s["start"] >= F.get(v["done"], i), F.get(names, s["kind"])).otherwise(""))
+        return F.array_join(F.zip_with(pieces, marks, lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), "")
 
-    done = F.aggregate(spans, start, step)
-    whole = F.concat(F.array_join(done["out"], ""), F.substr(text, done["pos"] + 1, F.length(text)))
-    return F.when(F.size(spans) > 0, whole).otherwise(text)
+    return F.when(F.size(spans) > 0, let(F.struct(text.alias("text"), spans.alias("spans"), done.alias("done")), whole)).otherwise(text)
