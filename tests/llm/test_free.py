@@ -375,6 +375,44 @@ def test_language_model_equals_brute_force(spark):
     assert lm.score_documents(documents(spark, ["x"]).limit(0))[0].count() == 0
 
 
+def test_mixture_weights_equal_an_own_em(spark):
+    rng = random.Random(5)
+    vocab = [f"w{i}" for i in range(40)]
+    follow = {w: rng.sample(vocab, 3) for w in vocab}
+    texts = []
+    for _ in range(700):
+        w = [rng.choice(vocab)]
+        while len(w) < 30:
+            w.append(rng.choice(follow[w[-1]]) if rng.random() < 0.6 else rng.choice(vocab))
+        texts.append(" ".join(w))
+    _, model = lm.score_documents(documents(spark, texts))
+    part = [zlib.crc32(str(i).encode()) % 7 for i in range(len(texts))]
+    rest = [[0, *t.split(), None] for t, p in zip(texts, part, strict=True) if p not in (lm.HELD_OUT, lm.DELETED)]
+    one, two = Counter(x for w in rest for x in w), Counter(p for w in rest for p in zip(w, w[1:], strict=False))
+    n = sum(v for k, v in one.items() if k != 0)
+    cells = {}
+    for t, p in zip(texts, part, strict=True):
+        if p == lm.DELETED:
+            w = [0, *t.split(), None]
+            for h, x in zip(w, w[1:], strict=False):
+                bucket = min(lm.BUCKETS - 1, math.ceil(math.log2(one[h] + 1)))
+                cells.setdefault(bucket, []).append((two[h, x] / one[h] if one[h] else 0.0, one[x] / n, 1 / len(one)))
+    for bucket, rows in cells.items():
+        if len(rows) < 300:
+            continue
+        w = [1 / 3] * 3
+        for _ in range(400):
+            shares = [[a * b for a, b in zip(w, r, strict=True)] for r in rows]
+            w = [sum(s[k] / sum(s) for s in shares) / len(rows) for k in range(3)]
+        assert all(abs(a - b) < 0.03 for a, b in zip(w, model.weights[bucket], strict=True)), (bucket, w, model.weights[bucket])
+
+
+def test_numbers_by_byte():
+    x = np.random.default_rng(0).integers(0, 2**63, 1000).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+    assert (lm.unpacked(lm.packed(x)) == x).all() and (lm.unpacked(lm.packed(x, 7), 7) == x & np.uint64(2**56 - 1)).all()
+    assert len(lm.unpacked(lm.packed(x[:0], 3), 3)) == 0
+
+
 # --- pipeline
 
 

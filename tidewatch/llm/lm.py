@@ -5,11 +5,13 @@ unigram and a uniform floor; the weights depend on how often the context was
 seen and are learned by expectation-maximisation on a part of the training
 documents whose counts are deleted from the estimates.
 
-Counts cover all training documents. Tokens and bigrams are hashes, packed by
-batches of documents: each batch sends its distinct n-grams, in order, to the
-shards that own them; a shard adds up the counts and answers each batch; a
-batch then scores its documents. Batches and shards are rows that Spark
-shuffles, and a task holds one of them at a time.
+Counts cover all training documents. Tokens and bigrams are hashes of 64 bits,
+packed by batches of documents: each batch sends its distinct n-grams, in
+order, to the shards that own them; a shard adds up the counts and answers each
+batch; a batch then scores its documents. Batches and shards are rows that
+Spark shuffles, and a task holds one of them at a time. There are as many
+shards as keep one at some millions of n-grams, without a limit; numbers are
+stored by byte, so that what they share is compressed away.
 """
 
 from __future__ import annotations
@@ -26,8 +28,8 @@ from pyspark.sql import functions as F
 from tidewatch.llm import hashed
 from tidewatch.llm.store import written
 
-#: Bytes of text to a batch; shards at least and at most; tokens to a shard between these.
-BATCH, LEAST_SHARDS, MOST_SHARDS, SHARD_TOKENS = 1 << 23, 256, 8192, 1 << 20
+#: Bytes of text to a batch; shards at least, tokens to a shard, and to a partition of shards.
+BATCH, LEAST_SHARDS, SHARD_TOKENS, PART_TOKENS = 1 << 23, 256, 1 << 21, 1 << 20
 BEGIN, END = hashed.mix(np.array([11, 13], np.uint64))
 #: Parts of crc32(id as text) mod 7: held out from training, and deleted from the counts while the weights are learned.
 HELD_OUT, DELETED, PARTS = 2, 0, 7
@@ -39,6 +41,17 @@ def part(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(PARTS)), F.lit(1)).cast("int")
 
 
+def packed(numbers: np.ndarray, width: int = 8) -> bytes:
+    """The lowest ``width`` bytes of the numbers: the first byte of all, then the second of all, and so on."""
+    return np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def unpacked(blob: bytes, width: int = 8) -> np.ndarray:
+    out = np.zeros((len(blob) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(blob, np.uint8).reshape(width, -1).T
+    return out.view("<u8").ravel()
+
+
 def _batch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row for each batch of documents; deleted ones are batches of their own."""
     names = ["batch", "deleted", "doc_ids", "train", "sizes", "vocabulary", "tokens"]
@@ -56,8 +69,10 @@ def _batch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 inside = np.ones(len(tokens), bool)
                 inside[ends] = False
                 tokens[inside], tokens[ends] = word, END
-                vocabulary, index = np.unique(tokens, return_inverse=True)
-                planes = index.astype("<u4").view(np.uint8).reshape(-1, 4).T
+                vocabulary, index, times = np.unique(tokens, return_inverse=True, return_counts=True)
+                order = np.argsort(-times, kind="stable")  # frequent tokens get small numbers
+                rank = np.empty(len(order), np.int64)
+                rank[order] = np.arange(len(order))
                 width = max(1, (len(vocabulary).bit_length() + 7) // 8)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -66,8 +81,8 @@ def _batch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         pa.array([rows.column(0).to_pylist()], pa.list_(pa.int64())),
                         pa.array([(rows.column(1).to_numpy(zero_copy_only=False) != HELD_OUT).tolist()], pa.list_(pa.bool_())),
                         pa.array([sizes.tolist()], pa.list_(pa.int32())),
-                        pa.array([vocabulary.tobytes()], pa.binary()),
-                        pa.array([np.ascontiguousarray(planes[:width]).tobytes()], pa.binary()),
+                        pa.array([vocabulary[order].tobytes()], pa.binary()),
+                        pa.array([packed(rank[index], width)], pa.binary()),
                     ],
                     names,
                 )
@@ -81,10 +96,9 @@ class _Batch:
         self.train = np.repeat(np.array(row["train"], bool), self.sizes)
         self.vocabulary = np.frombuffer(row["vocabulary"], np.uint64)
         n = int(self.sizes.sum())
-        planes = np.zeros((n, 4), np.uint8)
-        packed = np.frombuffer(row["tokens"], np.uint8).reshape(-1, n)
-        planes[:, : len(packed)] = packed.T
-        self.tokens = planes.view("<u4").ravel()
+        self.tokens = unpacked(row["tokens"], len(row["tokens"]) // n).astype(np.int64)
+        #: The vocabulary in the order of its hashes, in which shards answer.
+        self.order = np.argsort(self.vocabulary)
         self.starts = np.cumsum(self.sizes) - self.sizes
         context = np.empty(n, np.uint64)
         own = self.vocabulary[self.tokens]
@@ -92,20 +106,11 @@ class _Batch:
         context[self.starts] = BEGIN
         self.bigrams, self.places = np.unique(hashed.mix(context * hashed.BASE + own), return_inverse=True)
 
-
-def _packed(keys: np.ndarray, kind: int, bits: int) -> bytes:
-    """Unigrams whole; of bigrams 40 bits, those after the shard's."""
-    if kind == 1:
-        return keys.tobytes()
-    return np.ascontiguousarray(((keys << np.uint64(bits)) >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
-
-
-def _unpacked(blob: bytes, kind: int) -> np.ndarray:
-    if kind == 1:
-        return np.frombuffer(blob, np.uint64)
-    out = np.zeros((len(blob) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(blob, np.uint8).reshape(-1, 5)
-    return out.view("<u8").ravel()
+    def of_tokens(self, uni: np.ndarray) -> np.ndarray:
+        """Each token's figure, from figures of the vocabulary in the order of its hashes."""
+        out = np.empty(len(uni))
+        out[self.order] = uni
+        return out[self.tokens]
 
 
 def _requests(bits: int):
@@ -117,16 +122,19 @@ def _requests(bits: int):
             for k in range(table.num_rows):
                 row = table.slice(k, 1).to_pylist()[0]
                 b = _Batch(row)
-                for kind, keys, index in ((1, b.vocabulary, b.tokens), (2, b.bigrams, b.places)):
-                    counts = np.bincount(index[b.train], minlength=len(keys)).astype("<u4")
-                    edges = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
-                    full = np.flatnonzero(np.diff(edges))
+                width = (71 - bits) // 8  # the shard's bits needn't be sent
+                for kind, keys, index, order in ((1, b.vocabulary[b.order], b.tokens, b.order), (2, b.bigrams, b.places, slice(None))):
+                    counts = np.bincount(index[b.train], minlength=len(keys))[order]
+                    shard = keys >> np.uint64(64 - bits)
+                    edges = np.concatenate([[0], np.flatnonzero(shard[1:] != shard[:-1]) + 1, [len(keys)]])
+                    full = shard[edges[:-1]]
+                    parts = list(zip(edges[:-1], edges[1:], strict=True))
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array(np.full(len(full), kind, np.int32)), pa.array(full.astype(np.int32)),
+                            pa.array(np.full(len(full), kind, np.int32)), pa.array(full.astype(np.int64)),
                             pa.array(np.full(len(full), row["batch"], np.int64)), pa.array(np.full(len(full), row["deleted"])),
-                            pa.array([_packed(keys[edges[p] : edges[p + 1]], kind, bits) for p in full], pa.binary()),
-                            pa.array([counts[edges[p] : edges[p + 1]].tobytes() for p in full], pa.binary()),
+                            pa.array([packed(keys[x:y], width) for x, y in parts], pa.binary()),
+                            pa.array([packed(counts[x:y], 4) for x, y in parts], pa.binary()),
                         ],
                         names,
                     )
@@ -134,16 +142,19 @@ def _requests(bits: int):
     return run
 
 
-ANSWERS = "kind int, shard int, batch bigint, deleted boolean, counts binary, deleted_counts binary, n_types bigint, n_tokens bigint, rest_types bigint, rest_tokens bigint"
+ANSWERS = "kind int, shard bigint, batch bigint, deleted boolean, counts binary, deleted_counts binary, n_types bigint, n_tokens bigint, rest_types bigint, rest_tokens bigint"
 
 
 def _answers(key: tuple, table: pa.Table) -> pa.Table:
-    """A shard's sums for each batch that asked, in the order it asked; the first row also has the shard's totals."""
-    kind = key[0].as_py()
+    """A shard's sums for each batch that asked, in the order it asked; the first row also has the shard's totals.
+
+    Sums are taken in doubles, which are exact up to 2**53, and sent as 64 bits.
+    """
     rows = table.select(["batch", "deleted", "keys", "counts"]).to_pylist()
-    keys = [_unpacked(r["keys"], kind) for r in rows]
-    sizes = [len(k) for k in keys]
-    counts = np.concatenate([np.frombuffer(r["counts"], "<u4") for r in rows]).astype(float)
+    counts = [unpacked(r["counts"], 4) for r in rows]
+    sizes = [len(c) for c in counts]
+    keys = [unpacked(r["keys"], len(r["keys"]) // n) for r, n in zip(rows, sizes, strict=True)]
+    counts = np.concatenate(counts).astype(float)
     types, index = np.unique(np.concatenate(keys), return_inverse=True)
     from_deleted = np.repeat(np.array([r["deleted"] for r in rows]), sizes)
     total = np.bincount(index, weights=counts, minlength=len(types))
@@ -153,20 +164,20 @@ def _answers(key: tuple, table: pa.Table) -> pa.Table:
         own = index[at : at + n]
         at += n
         figures = (int((total > 0).sum()), int(total.sum()), int((total > deleted).sum()), int((total - deleted).sum())) if k == 0 else (0, 0, 0, 0)
-        out.append((kind, key[1].as_py(), r["batch"], r["deleted"], total[own].astype("<u4").tobytes(), deleted[own].astype("<u4").tobytes() if r["deleted"] else b"", *figures))
-    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+        out.append((key[0].as_py(), key[1].as_py(), r["batch"], r["deleted"], packed(total[own]), packed(deleted[own]) if r["deleted"] else b"", *figures))
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
     names = [x.split()[0] for x in ANSWERS.split(", ")]
     return pa.table({n: pa.array(v, t) for n, v, t in zip(names, zip(*out, strict=True), kinds, strict=True)})
 
 
 def _sums(right: pa.Table, kind: int, column: str) -> np.ndarray:
     rows = sorted((r["shard"], r[column]) for r in right.select(["kind", "shard", column]).to_pylist() if r["kind"] == kind)
-    return np.concatenate([np.zeros(0, "<u4"), *[np.frombuffer(x, "<u4") for _, x in rows]]).astype(float)
+    return np.concatenate([np.zeros(0), *[unpacked(x).astype(float) for _, x in rows]])
 
 
 def _estimates(b: _Batch, uni: np.ndarray, bi: np.ndarray, n_tokens: float, n_docs: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each token: the bucket of its context's count, and its bigram and unigram estimates."""
-    own = uni[b.tokens]
+    """For each token: the bucket of its context's count, and its bigram and unigram estimates, from counts in the order of hashes."""
+    own = b.of_tokens(uni)
     context = np.empty(len(own))
     context[1:] = own[:-1]
     context[b.starts] = n_docs
@@ -214,11 +225,13 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tokens = written(rows.mapInArrow(_batch_rows, schema), "lm-tokens")
     sizes = F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)
     train_docs = F.size(F.filter("train", lambda t: t))
-    n_all, docs_all, docs_deleted = tokens.agg(F.sum(sizes), F.sum(train_docs), F.sum(F.when(F.col("deleted"), train_docs))).first()
-    bits = int(np.clip(((n_all or 0) // SHARD_TOKENS).bit_length(), LEAST_SHARDS.bit_length() - 1, MOST_SHARDS.bit_length() - 1))
+    n_all, docs_all, docs_deleted, n_batches = tokens.agg(F.sum(sizes), F.sum(train_docs), F.sum(F.when(F.col("deleted"), train_docs)), F.count(F.lit(1))).first()
+    bits = max(LEAST_SHARDS.bit_length() - 1, ((n_all or 0) // SHARD_TOKENS).bit_length())
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by_shard, by_batch = max(least, (n_all or 0) // PART_TOKENS), max(least, 2 * n_batches)
 
-    asked = tokens.mapInArrow(_requests(bits), "kind int, shard int, batch bigint, deleted boolean, keys binary, counts binary")
-    answers = written(asked.groupBy("kind", "shard").applyInArrow(_answers, ANSWERS), "lm-answers")
+    asked = tokens.mapInArrow(_requests(bits), "kind int, shard bigint, batch bigint, deleted boolean, keys binary, counts binary")
+    answers = written(asked.repartition(by_shard, "kind", "shard").groupBy("kind", "shard").applyInArrow(_answers, ANSWERS), "lm-answers")
     names = ("n_types", "n_tokens", "rest_types", "rest_tokens")
     n_types, n_tokens, rest_types, rest_tokens = (int(x or 0) for x in answers.filter("kind = 1").agg(*[F.sum(n) for n in names]).first())
     rest_docs = (docs_all or 0) - (docs_deleted or 0)
@@ -249,7 +262,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             bucket, two, one = _estimates(b, uni, bi, model.n_tokens, model.n_docs)
             w = np.array(model.weights)[bucket]
             p = w[:, 0] * two + w[:, 1] * one + w[:, 2] / (model.n_types + 1)
-            own = uni[b.tokens]
+            own = b.of_tokens(uni)
             add = lambda x, b=b: np.add.reduceat(x, b.starts)
             out["doc_id"] += row["doc_ids"]
             out["held_out"] += [not t for t in row["train"]]
@@ -260,6 +273,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         kinds = {"doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base_score": pa.float64(), "score": pa.float64()}
         return pa.table({k: pa.array(v, kinds[k]) for k, v in out.items()})
 
-    all_of = tokens.groupBy("batch").cogroup(answers.select("kind", "shard", "batch", "counts").groupBy("batch"))
+    dealt = lambda df: df.repartition(by_batch, "batch").groupBy("batch")
+    all_of = dealt(tokens).cogroup(dealt(answers.select("kind", "shard", "batch", "counts")))
     scored = all_of.applyInArrow(scores, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
     return scored.select(F.col("doc_id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score", "score"), model
