@@ -140,6 +140,33 @@ def test_near_duplicates_equal_brute_force(spark):
     assert got == brute_components(ids, texts)
 
 
+def test_components_of_chains(spark):
+    rng = random.Random(3)
+    chain = rng.sample(range(10_000), 300)
+    edges = [*zip(chain, chain[1:], strict=False), *zip(range(20_000, 20_200), range(20_001, 20_201), strict=True), (5, 10_001), (30_000, 30_000)]
+    df = spark.createDataFrame([rng.choice([(a, b), (b, a)]) for a, b in edges], "a bigint, b bigint")
+    got = {r.node: r.component for r in neardup.components(df).collect()}
+    root = {}
+
+    def top(i):
+        while root.setdefault(i, i) != i:
+            i = root[i]
+        return i
+
+    for a, b in edges:
+        x, y = top(a), top(b)
+        root[max(x, y)] = min(x, y)
+    assert got == {i: top(i) for i in root}
+
+
+def test_one_hot_band(spark):
+    rng = random.Random(1)
+    hot = " ".join(f"h{i}" for i in range(150))
+    texts = [hot + " " + " ".join(f"x{rng.randrange(9000)}" for _ in range(rng.choice([20, 45, 90]))) for _ in range(300)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(documents(spark, texts)).collect()}
+    assert got == brute_components(list(range(300)), texts)
+
+
 def test_near_duplicates_of_odd_rows(spark):
     out = neardup.near_duplicates(documents(spark, ODD, ODD_IDS)).collect()
     assert len(out) == len(ODD)

@@ -29,7 +29,8 @@ from tidewatch.llm.store import written
 
 SHINGLE, SIMILARITY = 4, 80
 BUCKETS, BAND, MANTISSA = 128, 4, 10
-BLOCK = 512
+#: Rows to a block of a large group: its pairs are dealt out as (rows / BLOCK) blocks for each row.
+BLOCK = 2048
 #: Ids of documents whose texts are compared, sent to all tasks up to this number (16 bytes each).
 BROADCAST_IDS = 500_000
 _MULTIPLY = hashed.mix(np.arange(1, BUCKETS + 1, dtype=np.uint64) * hashed.BASE) | np.uint64(1)
@@ -236,15 +237,17 @@ def _full_sets(shingle: int):
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node that each node of an edge (a, b) can reach.
 
-    Each round takes the least label among the neighbours and then the label of the label; rounds are written tables.
+    In each round all nodes of a label take the least label that any of them has beside it, and then the label of that
+    label, so distances to the root double; rounds are written tables.
     """
     both = written(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "neardup-edges")
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("label")), "neardup-labels")
     while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
-        lower = labels.join(near, labels["node"] == near["a"]).select("node", "label", F.least("label", "near").alias("lower"))
-        up = labels.select(F.col("node").alias("lower"), F.col("label").alias("above"))
-        new = written(lower.join(up, "lower").select("node", "label", F.least("lower", "above").alias("new")), "neardup-labels")
+        hooks = labels.join(near, labels["node"] == near["a"]).groupBy("label").agg(F.min(F.least("label", "near")).alias("to"))
+        hooked = written(labels.join(hooks, "label").select("node", "label", "to"), "neardup-labels")
+        up = hooked.select(F.col("node").alias("to"), F.col("to").alias("above"))
+        new = written(hooked.join(up, "to").select("node", "label", F.least("to", "above").alias("new")), "neardup-labels")
         changed = new.filter("label <> new").agg(F.count(F.lit(1))).first()[0]
         labels = new.select("node", F.col("new").alias("label"))
         if not changed:
@@ -269,7 +272,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: int = S
 
     keys = written(reps.select("rep", "sketch").mapInArrow(_band_keys, "key bigint, rep bigint, band int"), "neardup-keys")
     groups = keys.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("rep").alias("a")).filter("members > 1")
-    grouped = written(keys.join(groups, "key").select("key", "members", "a", "rep", "band"), "neardup-groups")
+    # merged by sorting, as a join of this kind can split the rows of a key that very many sketches share
+    grouped = written(keys.join(groups.hint("merge"), "key").select("key", "members", "a", "rep", "band"), "neardup-groups")
     sketch = reps.select("rep", "n", "sketch")
     side = lambda k: sketch.select(F.col("rep").alias(k), F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"s_{k}"))
 
@@ -295,7 +299,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: int = S
     # groups of three and more that still hold several components
     wide = grouped.filter("members > 2").join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
     mixed = wide.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-    open_rows = wide.join(mixed, "key").join(sketch, "rep")
+    open_rows = wide.join(mixed.hint("merge"), "key").join(sketch, "rep")
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
     dealt = open_rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
