@@ -4,11 +4,13 @@ Each document of a source expects the same number of copies (target words over
 source words). Documents stand on a line in the order of their size class, a
 salt and their size; the expected copies are summed along it, one random
 offset per source is added, and a copy is emitted per integer crossed. As the
-sizes are laid out in order, the words taken come near the target.
+sizes are laid out in order, the words taken come near the target; of a few
+random offsets, each source has the one that comes nearest.
 
 The prefix sum is taken over counts in three steps (rows within a cell of
 source, class and salt; cells within a class; classes within a source), so no
-task holds a whole source.
+task holds a whole source. Sources are numbered and levelled without a window
+over all of them, as they may be as many as hosts are.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from tidewatch.llm.words import space_words
 #: Rows that a cell of the largest source holds about, and the least number of salts.
 CELL_ROWS, LEAST_SALTS = 50_000, 32
 MAX_COPIES = 3
+#: Random offsets of which a source gets the best.
+OFFSETS = 32
 
 
 def word_count(text: Column) -> Column:
@@ -35,34 +39,46 @@ def _source_key() -> Column:
     return F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
 
 
+def _numbered(sources: DataFrame) -> DataFrame:
+    """Sources with ``number``, their place by code point from 0, null last: places within sorted partitions and what stands before these."""
+    key = [F.col("source").isNull(), F.col("source")]
+    parts = written(sources.repartitionByRange(*key).sortWithinPartitions(*key).withColumn("part", F.spark_partition_id()), "mixing-sources")
+    order = Window.partitionBy("part").orderBy(*key)
+    counts = parts.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = counts.withColumn("before", F.sum("n").over(Window.orderBy("part")) - F.col("n")).select("part", "before")  # a row for each partition
+    return parts.join(F.broadcast(before), "part").withColumn("number", F.col("before") + F.row_number().over(order) - 1).drop("part", "before")
+
+
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_copies: float = MAX_COPIES) -> DataFrame:
     """(source, source_size, n_docs, target) from rows (source, size).
 
     Weights repeat over the sources by code point, null last. Targets are ``min(max_copies * size, level * weight)`` with the
-    level at which they add up to all words: what sharing the excess again and again ends at. A source without words gets 0.
-    The windows see one row per source.
+    level at which they add up to all words. As in sharing the excess again and again, the sources above the level are
+    capped and the level is taken anew from the others, until none is above; each round is one aggregation. A source without
+    words gets 0.
     """
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
-    by_name = Window.orderBy(F.col("source").isNull(), F.col("source"))
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.row_number().over(by_name) - 1) % len(weights) + 1).cast("int"))
-    per = per.withColumn("w", weight).withColumn("cap", F.col("source_size") * float(max_copies)).withColumn("cap_level", F.col("cap") / F.col("w"))
-    by_cap = Window.orderBy("cap_level", F.col("source").isNull(), "source")
-    whole = by_cap.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    capped = F.coalesce(F.sum("cap").over(by_cap.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    open_weight = F.sum("w").over(by_cap.rowsBetween(0, Window.unboundedFollowing))
-    level = (F.sum("source_size").over(whole) - capped) / open_weight
-    # sources are capped in this order; the first one that its level leaves below its cap sets the level of all after it
-    leveled = per.withColumn("level", F.when(level <= F.col("cap_level"), level))
-    leveled = leveled.withColumn("level", F.first("level", ignorenulls=True).over(whole))
-    return leveled.select("source", "source_size", "n_docs", F.least(F.col("cap"), F.col("level") * F.col("w")).alias("target"))
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("number") % len(weights) + 1).cast("int"))
+    per = _numbered(per).withColumn("w", weight).withColumn("cap", F.col("source_size") * float(max_copies)).withColumn("cap_level", F.col("cap") / F.col("w"))
+    per = written(per, "mixing-levels")
+    total = per.agg(F.sum("source_size")).first()[0] or 0
+    level = -1.0
+    while True:
+        over = F.col("cap_level") < level
+        capped, weighing = per.agg(F.sum(F.when(over, F.col("cap")).otherwise(0.0)), F.sum(F.when(over, 0.0).otherwise(F.col("w")))).first()
+        new = (total - capped) / weighing if weighing else level
+        if new <= level:
+            break
+        level = new
+    return per.select("source", "source_size", "n_docs", F.least(F.col("cap"), F.lit(float(level)) * F.col("w")).alias("target"))
 
 
 def systematic_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17, keep: tuple[str, ...] = ()) -> DataFrame:
     """Every row with its ``size``, ``source_size``, ``target`` and ``copies`` (0 to 3), and the columns in ``keep``.
 
     Null text has size 0; a null source is a source; null ids are ordinary rows. Rows equal in id, size and text are
-    interchangeable: which of them gets a copy doesn't show. Reruns agree, as the order and the offsets are hashes. An empty
-    table gives an empty result. Other columns are ignored, whatever their names.
+    interchangeable: which of them gets a copy doesn't show, and one cell counts them all. Reruns agree, as the order and
+    the offsets are hashes. An empty table gives an empty result. Other columns are ignored, whatever their names.
     """
     rows = docs.select(
         F.col(id_col).alias("doc_id"),
@@ -92,18 +108,28 @@ def systematic_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         cells.join(classes, ["skey", "class"]).join(targets.withColumn("skey", _source_key()), "skey")
         .select("skey", "class", "salt", (F.col("before_class") + F.col("before_cell")).alias("start"), "source_size", "target")
     )
-    place = F.row_number().over(Window.partitionBy("skey", "class", "salt").orderBy("size", "mix", "doc_id"))
-    placed = rows.withColumn("place", place).join(starts, ["skey", "class", "salt"])
     each = F.when(F.col("source_size") > 0, F.least(F.lit(float(MAX_COPIES)), F.col("target") / F.col("source_size"))).otherwise(0.0)
-    offset = F.pmod(F.xxhash64(F.lit(seed), F.lit("offset"), F.col("source")), F.lit(1 << 30)) / float(1 << 30)
-    edge = lambda k: F.floor((F.col("start") + k) * F.col("each") + F.col("offset"))
-    out = placed.withColumn("each", each).withColumn("offset", offset)
+    starts = written(starts.withColumn("each", each), "mixing-starts")
+    order = Window.partitionBy("skey", "class", "salt").orderBy("size", "mix", "doc_id")
+    own = rows.select("skey", "class", "salt", "size", "mix", "doc_id")
+
+    def copies(offset: Column) -> Column:
+        edge = lambda k: F.floor(k * F.col("each") + offset)
+        return F.least(F.lit(MAX_COPIES), edge(F.col("at")) - edge(F.col("at") - 1)).cast("long")
+
+    offset = lambda k: F.pmod(F.xxhash64(F.lit(seed), F.lit("offset"), k, F.col("skey")), F.lit(1 << 30)) / float(1 << 30)
+    tried = own.withColumn("row", F.row_number().over(order)).join(starts, ["skey", "class", "salt"]).withColumn("at", F.col("start") + F.col("row"))
+    some = tried.select("skey", "size", "at", "each", "target", F.explode(F.sequence(F.lit(0), F.lit(OFFSETS - 1))).alias("k"))
+    missed = some.groupBy("skey", "k").agg(F.abs(F.sum(F.col("size") * copies(offset(F.col("k")))) - F.first("target")).alias("missed"))
+    best = written(missed.groupBy("skey").agg(F.min_by("k", F.struct("missed", "k")).alias("k")).withColumn("offset", offset(F.col("k"))), "mixing-offsets").select("skey", "offset")
+
+    out = rows.withColumn("row", F.row_number().over(order)).join(starts.join(best, "skey"), ["skey", "class", "salt"]).withColumn("at", F.col("start") + F.col("row"))
     return out.select(
         F.col("doc_id").alias(id_col),
         "size",
         F.col("source_size").cast("long").alias("source_size"),
         F.col("target").cast("double").alias("target"),
-        F.least(F.lit(MAX_COPIES), edge(F.col("place")) - edge(F.col("place") - 1)).cast("long").alias("copies"),
+        copies(F.col("offset")).alias("copies"),
         *[F.col(f"_keep_{i}").alias(c) for i, c in enumerate(keep)],
     )
 
