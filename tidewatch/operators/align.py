@@ -136,12 +136,12 @@ def unavailable(series: DataFrame, sessions: DataFrame) -> DataFrame:
 
 
 def timezone_suspects(resampled: DataFrame, points: DataFrame, sessions: DataFrame) -> DataFrame:
-    """(session_id, coverage, suspect): little heart rate in the session, though there is some near it."""
+    """(session_id, coverage, suspect): little heart rate in the session, though its subject has some near it. Points have ``subject``, sessions too."""
     cover = resampled.filter("metric = 'heart_rate'").groupBy("session_id").agg(F.avg(F.when(F.col("value").isNotNull(), 1.0).otherwise(0.0)).alias("coverage"))
-    hr = points.filter("metric = 'heart_rate'").select(F.col("us").alias("p_us"))
+    hr = points.filter("metric = 'heart_rate'").select("subject", F.col("us").alias("p_us")).distinct()
     day = 24 * S.HOUR
     slots = sessions.withColumn("slot", F.explode(F.sequence(F.floor((F.col("start_us") - S.NEARBY_US) / day), F.floor((F.col("end_us") + S.NEARBY_US) / day))))
-    near = slots.join(hr.withColumn("slot", F.floor(F.col("p_us") / day)), "slot").filter(
+    near = slots.join(hr.withColumn("slot", F.floor(F.col("p_us") / day)), ["subject", "slot"]).filter(
         (F.col("p_us") >= F.col("start_us") - S.NEARBY_US) & (F.col("p_us") <= F.col("end_us") + S.NEARBY_US) & ((F.col("p_us") < F.col("start_us")) | (F.col("p_us") > F.col("end_us")))
     )
     out = sessions.join(cover, "session_id", "left").join(near.select("session_id").distinct().withColumn("near", F.lit(True)), "session_id", "left")
@@ -150,6 +150,44 @@ def timezone_suspects(resampled: DataFrame, points: DataFrame, sessions: DataFra
 
 
 def fingerprint(points: DataFrame) -> DataFrame:
-    """(session_id, fingerprint): a hash of the session's points that doesn't depend on their order."""
-    row = F.concat_ws("|", "source", "metric", F.col("us").cast("string"), F.format_string("%.6f", "value"), "unit")
-    return points.groupBy("session_id").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(row)), "\n"), 256).alias("fingerprint"))
+    """(session_id, fingerprint): a digest of the session's points that doesn't depend on their order: their number and the sums of the two
+    halves of each row's MD5. Sums are taken before the shuffle, so no task holds a session."""
+    row = F.md5(F.concat_ws("|", "source", "metric", F.col("us").cast("string"), F.col("value").cast("string"), "unit"))
+    half = lambda at: F.sum(F.conv(F.substring(row, at, 15), 16, 10).cast("decimal(20,0)")).cast("string")
+    return points.groupBy("session_id").agg(F.concat_ws("-", F.count(F.lit(1)).cast("string"), half(1), half(17)).alias("fingerprint"))
+
+
+def widest_gaps(points: DataFrame) -> DataFrame:
+    """(metric, n, widest_us): the longest time between neighbouring points of a metric. Days are scanned for themselves, then their ends are
+    held against each other."""
+    day = 24 * S.HOUR
+    within = Window.partitionBy("metric", "_day").orderBy("us")
+    own = points.select("metric", "us", F.floor(F.col("us") / day).alias("_day")).withColumn("_gap", F.col("us") - F.lag("us").over(within))
+    days = own.groupBy("metric", "_day").agg(F.count(F.lit(1)).alias("n"), F.max("_gap").alias("_gap"), F.min("us").alias("_first"), F.max("us").alias("_last"))
+    across = F.col("_first") - F.lag("_last").over(Window.partitionBy("metric").orderBy("_day"))
+    return days.withColumn("_across", across).groupBy("metric").agg(F.sum("n").alias("n"), F.max(F.greatest("_gap", "_across")).alias("widest_us"))
+
+
+def pivot_counts(points: DataFrame, metrics: tuple[str, ...]) -> DataFrame:
+    """(session_id, a column for each metric): how many points a session has."""
+    return points.groupBy("session_id").agg(*[F.count(F.when(F.col("metric") == m, 1)).alias(m) for m in metrics])
+
+
+def attach_daily(sessions: DataFrame, series: DataFrame, daily: DataFrame, zone: str) -> DataFrame:
+    """(session_id, rmssd): the daily figure (subject, date, rmssd) of the date on which a session ends, for sessions without HRV of their own."""
+    ends = sessions.withColumn("date", F.to_date(F.from_utc_timestamp(F.timestamp_micros("end_us"), zone))).select("session_id", "subject", "date")
+    have = series.filter("metric = 'hrv_rmssd'").select("session_id").distinct()
+    return ends.join(have, "session_id", "left_anti").join(daily.select("subject", "date", "rmssd"), ["subject", "date"]).select("session_id", "rmssd")
+
+
+def set_sides(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, side): keys that are in the left rows, the right ones or both, once each; in one grouping."""
+    mark = lambda df, k: df.select(*keys, F.lit(k).alias("_k"))
+    sides = mark(left, 1).unionByName(mark(right, 2)).groupBy(*keys).agg(F.bit_or("_k").alias("_k"))
+    return sides.select(*keys, F.element_at(F.array(F.lit("left"), F.lit("right"), F.lit("both")), F.col("_k")).alias("side"))
+
+
+def first_distinct(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Of rows equal in ``keys`` the first by ``order``."""
+    rest = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order, *rest)).alias("_r")).select(*keys, "_r.*")

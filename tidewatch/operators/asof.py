@@ -29,6 +29,13 @@ def as_of(points: DataFrame, probes: DataFrame, keys: list[str], at: str = "us",
     return out.filter("_probe = 1").select(*keys, at, *own, *found)
 
 
+def segment_at(segments: DataFrame, probes: DataFrame, target_s: int) -> DataFrame:
+    """Probes (session_id, t) with the state of the segment (session_id, t0, t1, state) that holds them; the end belongs to the one that ends there."""
+    found = as_of(segments.withColumn("t", F.col("t0")), probes, ["session_id"], at="t", carry=("t1", "state"))
+    inside = (F.col("t") < F.col("prev_t1")) | (F.col("t") == float(target_s)) & (F.col("prev_t1") == float(target_s))
+    return found.select("session_id", "t", F.when(inside, F.col("prev_state")).alias("state"))
+
+
 def lerp(t: Column, t0: Column, v0: Column, t1: Column, v1: Column) -> Column:
     """Between (t0, v0) and (t1, v1), never beyond either value."""
     x = v0 + (v1 - v0) * ((t - t0) / (t1 - t0).cast("double"))

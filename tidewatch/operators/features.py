@@ -50,28 +50,51 @@ def missing_fraction(stats: DataFrame, sessions: DataFrame, metrics: DataFrame,
     return every.join(stats.select("session_id", "metric", "w", "n", "present"), ["session_id", "metric", "w"], "left").select("session_id", "metric", "w", F.coalesce(share, F.lit(1.0)).alias("missing"))
 
 
-def window_smooth(timeline: DataFrame, sessions: DataFrame, res_us: int, target_s: int = S.DEFAULT_TARGET_S, widths: dict[str, int] = S.SMOOTHING_US) -> DataFrame:
-    """(session_id, metric, w, smoothed): the mean around the window's middle, both ends included; samples are found by their place on the grid."""
+def _by_width(metric: Column, widths: dict[str, int], value: Column, order: Window, half: int) -> Column:
+    """The mean within a metric's width around a row, kept within the values' bounds: a frame for each width, all over one sorting."""
+    out = F.lit(None).cast("double")
+    for width in sorted(set(widths.values())):
+        frame = order.rangeBetween(-(width // half), width // half)
+        mean = F.least(F.greatest(F.avg(value).over(frame), F.min(value).over(frame)), F.max(value).over(frame))
+        out = F.when(metric.isin(*[m for m, w in widths.items() if w == width]), mean).otherwise(out)
+    return out
+
+
+def window_smooth(timeline: DataFrame, sessions: DataFrame, target_s: int = S.DEFAULT_TARGET_S, widths: dict[str, int] = S.SMOOTHING_US) -> DataFrame:
+    """(session_id, metric, w, smoothed): the mean of the samples around the window's middle, both ends included.
+
+    Samples and middles stand in one order, of twice their time, so middles are whole numbers; each is read once.
+    """
     have = timeline.select("session_id", "metric").distinct()
-    mid = windows(sessions, target_s).join(sessions, "session_id").join(have, "session_id")
-    twice = F.col("w_start") + F.col("w_end") - 2 * F.col("start_us")
-    width = X.lookup(F.col("metric"), widths)
-    lo = F.greatest(F.lit(0), F.ceil((twice - width) / (2 * res_us)).cast("bigint"))
-    hi = F.least(F.floor((F.col("end_us") - F.col("start_us") - 1) / res_us).cast("bigint"), F.floor((twice + width) / (2 * res_us)).cast("bigint"))
-    near = mid.select("session_id", "metric", "w", F.explode_outer(F.when(hi >= lo, F.sequence(lo, hi))).alias("k"))
-    found = near.join(timeline.select("session_id", "metric", "k", "value"), ["session_id", "metric", "k"], "left")
-    return found.groupBy("session_id", "metric", "w").agg(F.least(F.greatest(F.avg("value"), F.min("value")), F.max("value")).alias("smoothed"))
+    none = lambda t: F.lit(None).cast(t)
+    middles = windows(sessions, target_s).join(have, "session_id").select("session_id", "metric", (F.col("w_start") + F.col("w_end")).alias("twice"), none("double").alias("value"), "w")
+    samples = timeline.select("session_id", "metric", (2 * F.col("us")).alias("twice"), "value", none("int").alias("w"))
+    order = Window.partitionBy("session_id", "metric").orderBy("twice")
+    both = samples.unionByName(middles).withColumn("smoothed", _by_width(F.col("metric"), widths, F.col("value"), order, 1))
+    return both.filter("w is not null").select("session_id", "metric", "w", "smoothed")
 
 
 def sample_smooth(timeline: DataFrame, widths: dict[str, int] = S.SMOOTHING_US) -> DataFrame:
     """Each sample with ``smoothed``: the mean within half a width to both sides; missing samples stay missing."""
-    out = None
-    for width in sorted(set(widths.values())):
-        own = timeline.filter(F.col("metric").isin(*[m for m, w in widths.items() if w == width]))
-        frame = Window.partitionBy("session_id", "metric").orderBy("us").rangeBetween(-(width // 2), width // 2)
-        part = own.withColumn("smoothed", F.when(F.col("value").isNotNull(), F.avg("value").over(frame)))
-        out = part if out is None else out.unionByName(part)
-    return out
+    order = Window.partitionBy("session_id", "metric").orderBy("us")
+    return timeline.withColumn("smoothed", F.when(F.col("value").isNotNull(), _by_width(F.col("metric"), widths, F.col("value"), order, 2)))
+
+
+def metric_window_features(timeline: DataFrame, sessions: DataFrame, target_s: int = S.DEFAULT_TARGET_S, widths: dict[str, int] = S.SMOOTHING_US) -> DataFrame:
+    """(session_id, metric, w, n, present, mean, min, max, slope, missing, smoothed) for every window and every metric with samples."""
+    own = timeline.filter(F.col("metric").isin(*S.CONTINUOUS))
+    stats = window_stats(own, sessions, target_s)
+    smooth = window_smooth(own, sessions, target_s, widths)
+    missing = F.coalesce(1 - F.col("present") / F.col("n"), F.lit(1.0))
+    return smooth.join(stats, ["session_id", "metric", "w"], "left").select("session_id", "metric", "w", "n", "present", "mean", "min", "max", "slope", missing.alias("missing"), "smoothed")
+
+
+def extract(timeline: DataFrame, segments: DataFrame, sessions: DataFrame, target_s: int = S.DEFAULT_TARGET_S, widths: dict[str, int] = S.SMOOTHING_US) -> tuple[DataFrame, DataFrame]:
+    """All features of a night: (session_id, metric, w, ...) by metric, and (session_id, w, stage, state, intensity) by window."""
+    fractions = stage_fractions(segments, sessions, target_s)
+    dominant = dominant_stage(fractions)
+    by_window = dominant.join(coarse_states(dominant), ["session_id", "w"]).join(movement(timeline.filter("metric = 'steps'"), segments, sessions, target_s), ["session_id", "w"])
+    return metric_window_features(timeline, sessions, target_s, widths), by_window
 
 
 def stage_overlap(segments: DataFrame, sessions: DataFrame, target_s: int = S.DEFAULT_TARGET_S) -> DataFrame:
@@ -120,11 +143,11 @@ def coarse_states(dominant: DataFrame) -> DataFrame:
     return kept.select("session_id", "w", F.last("_kept", ignorenulls=True).over(order).alias("state"))
 
 
-def movement(timeline: DataFrame, segments: DataFrame, sessions: DataFrame, target_s: int = S.DEFAULT_TARGET_S) -> DataFrame:
-    """(session_id, w, intensity): from the mean steps; in sessions without any, the share of restless and brief segments."""
-    steps = window_stats(timeline.filter("metric = 'steps'"), sessions, target_s).select("session_id", "w", "mean", "present")
+def movement(steps: DataFrame, segments: DataFrame, sessions: DataFrame, target_s: int = S.DEFAULT_TARGET_S) -> DataFrame:
+    """(session_id, w, intensity): from the mean of held steps; in sessions without any, the share of restless and brief segments."""
+    stats = window_stats(steps.withColumn("metric", F.lit("steps")), sessions, target_s).select("session_id", "w", "mean", "present")
     rest = stage_overlap(segments, sessions, target_s).filter("stage = 'restless' or is_brief").groupBy("session_id", "w").agg(F.sum("overlap_us").alias("rest_us"))
-    every = windows(sessions, target_s).join(steps, ["session_id", "w"], "left").join(rest, ["session_id", "w"], "left")
+    every = windows(sessions, target_s).join(stats, ["session_id", "w"], "left").join(rest, ["session_id", "w"], "left")
     counted = F.sum(F.coalesce("present", F.lit(0))).over(Window.partitionBy("session_id"))
     share = X.clamp(F.coalesce("rest_us", F.lit(0)) / (F.col("w_end") - F.col("w_start")))
     return every.withColumn("_any", counted).select("session_id", "w", F.when(F.col("_any") > 0, X.movement_intensity(F.col("mean"))).otherwise(share).alias("intensity"))
@@ -137,6 +160,30 @@ def brief_awakenings(segments: DataFrame, sessions: DataFrame, target_s: int = S
     return own.filter((F.col("end_us") - F.col("start_us")) / float(S.US) < F.col("ratio")).select("session_id", "start_us", "end_us")
 
 
-def availability(timeline: DataFrame) -> DataFrame:
-    """(session_id, metric, missing): the share of samples without a value."""
-    return timeline.groupBy("session_id", "metric").agg((1 - F.count("value") / F.count(F.lit(1))).alias("missing"))
+def availability(timeline: DataFrame, fractions: DataFrame | None = None, daily_hrv: DataFrame | None = None) -> DataFrame:
+    """(session_id, metric, missing, available): the share of samples without a value, and whether there is any to follow.
+
+    HRV is available in sessions with a daily figure (session_id, rmssd), too. Where there are no steps but stages, movement is
+    available, and its missing share is that of the unknown stage over the windows (session_id, w, stage, us, fraction).
+    """
+    out = timeline.groupBy("session_id", "metric").agg((1 - F.count("value") / F.count(F.lit(1))).alias("missing"))
+    day, unknown = F.lit(False), F.lit(None).cast("double")
+    if daily_hrv is not None:
+        out = out.join(daily_hrv.filter("rmssd is not null").select("session_id", F.lit(True).alias("_day")), "session_id", "left")
+        day = (F.col("metric") == "hrv_rmssd") & F.coalesce("_day", F.lit(False))
+    if fractions is not None:
+        share = fractions.groupBy("session_id").agg((F.sum(F.when(F.col("stage") == "unknown", F.col("us"))) / F.sum("us")).alias("_unknown"))
+        out = out.join(share.filter("_unknown < 1"), "session_id", "left")
+        unknown = F.when((F.col("metric") == "steps") & (F.col("missing") == 1), F.col("_unknown"))
+    missing = F.coalesce(unknown, F.col("missing"))
+    return out.select("session_id", "metric", missing.alias("missing"), ((F.col("missing") < 1) | day | unknown.isNotNull()).alias("available"))
+
+
+def merge_reports(reports: DataFrame) -> DataFrame:
+    """(metric, n, first_us, last_us): reports of several imports or sessions (metric, n, first_us, last_us) as one."""
+    return reports.groupBy("metric").agg(F.sum("n").alias("n"), F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"))
+
+
+def report(points: DataFrame, keys: tuple[str, ...] = ("session_id",)) -> DataFrame:
+    """(keys, metric, n, first_us, last_us): how many points, and when."""
+    return points.groupBy(*keys, "metric").agg(F.count(F.lit(1)).alias("n"), F.min("us").alias("first_us"), F.max("us").alias("last_us"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch import schema as S
+from tidewatch.functions import scalars as X
 from tidewatch.session import written
 
 
@@ -15,7 +16,18 @@ def _slices(rows: DataFrame, keys: list[str], start: str = "start_us", end: str
     return bounds.withColumn("hi", F.lead("lo").over(Window.partitionBy(*keys).orderBy("lo"))).filter("hi is not null")
 
 
-def stage_segments(intervals: DataFrame, sessions: DataFrame) -> DataFrame:
+def _dealt(rows: DataFrame, bucket_us: int) -> DataFrame:
+    """Rows (start_us, end_us) once for each stretch of time that they touch, as ``_bucket``."""
+    return rows.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("start_us") / bucket_us), F.floor((F.greatest(F.col("end_us") - 1, F.col("start_us"))) / bucket_us))))
+
+
+def _covering(pieces: DataFrame, rows: DataFrame, keys: list[str], bucket_us: int) -> DataFrame:
+    """Pieces (lo, hi) with the rows that cover them: only rows of the same stretch of time meet, not all of a key."""
+    at = pieces.withColumn("_bucket", F.floor(F.col("lo") / bucket_us))
+    return at.join(_dealt(rows, bucket_us), [*keys, "_bucket"]).filter("start_us <= lo and end_us >= hi").drop("_bucket")
+
+
+def stage_segments(intervals: DataFrame, sessions: DataFrame, bucket_us: int = 15 * S.MINUTE) -> DataFrame:
     """Segments that don't overlap, from intervals (session_id, src_idx, start_us, end_us, stage, is_brief) that may.
 
     Intervals are clipped to the session. Where several cover an instant, the largest (is_brief, start, src_idx) wins;
@@ -24,7 +36,7 @@ def stage_segments(intervals: DataFrame, sessions: DataFrame) -> DataFrame:
     cut = intervals.join(sessions.select("session_id", F.col("start_us").alias("_s"), F.col("end_us").alias("_e")), "session_id")
     cut = cut.withColumn("start_us", F.greatest("start_us", "_s")).withColumn("end_us", F.least("end_us", "_e")).filter("end_us > start_us")
     pieces = _slices(cut, ["session_id"])
-    over = pieces.join(cut, "session_id").filter("start_us <= lo and end_us >= hi")
+    over = _covering(pieces, cut, ["session_id"], bucket_us)
     won = over.groupBy("session_id", "lo", "hi").agg(F.max_by(F.struct("src_idx", "stage", "is_brief"), F.struct("is_brief", "start_us", "src_idx")).alias("w"))
     order = Window.partitionBy("session_id").orderBy("lo")
     same = (F.lag("hi").over(order) == F.col("lo")) & (F.lag("w.src_idx").over(order) == F.col("w.src_idx"))
@@ -63,11 +75,11 @@ def merged(rows: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def ownership(rows: DataFrame, keys: list[str]) -> DataFrame:
+def ownership(rows: DataFrame, keys: list[str], bucket_us: int = 6 * S.HOUR) -> DataFrame:
     """(keys, content, start_us, end_us): each instant belongs to the best member that covers it (main, longest, earliest, content);
     neighbouring pieces of one owner are joined."""
     pieces = _slices(rows, keys)
-    over = pieces.join(rows, keys).filter("start_us <= lo and end_us >= hi")
+    over = _covering(pieces, rows, keys, bucket_us)
     best = F.struct(~F.col("is_main"), -(F.col("end_us") - F.col("start_us")), F.col("start_us"), F.col("content"))
     won = over.groupBy(*keys, "lo", "hi").agg(F.min_by("content", best).alias("owner"))
     order = Window.partitionBy(*keys).orderBy("lo")
@@ -76,6 +88,25 @@ def ownership(rows: DataFrame, keys: list[str]) -> DataFrame:
     return runs.groupBy(*keys, "run").agg(F.first("owner").alias("content"), F.min("lo").alias("start_us"), F.max("hi").alias("end_us")).drop("run")
 
 
+def merged_segments(owners: DataFrame, segments: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, content, start_us, end_us, stage, is_brief): each owner's segments (keys, content, ...), cut to the stretches that it owns."""
+    names = [k for k in keys if k in segments.columns]
+    own = owners.select(*keys, "content", F.col("start_us").alias("_s"), F.col("end_us").alias("_e")).join(segments, [*names, "content"])
+    cut = own.select(*keys, "content", F.greatest("start_us", "_s").alias("start_us"), F.least("end_us", "_e").alias("end_us"), "stage", "is_brief")
+    return cut.filter("end_us > start_us")
+
+
+def first_of_rank(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, value): the value of the best member of each group that has one (main, longest, earliest, content)."""
+    best = F.struct(~F.col("is_main"), -(F.col("end_us") - F.col("start_us")), F.col("start_us"), F.col("content"))
+    return rows.groupBy(*keys).agg(F.min_by(value, F.when(F.col(value).isNotNull(), best)).alias(value))
+
+
+def merged_points(points: DataFrame, members: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, us, source, metric, value, unit): the members' points (content, ...) by group, equal ones once."""
+    return points.join(members.select(*keys, "content"), "content").select(*keys, "us", "source", "metric", "value", "unit").distinct()
+
+
 def duplicate_groups(rows: DataFrame, key: str = "subject") -> DataFrame:
     """Each row with ``root``: the least content key among its duplicates, taken transitively.
 
@@ -116,8 +147,64 @@ def auto_select(sessions: DataFrame, zone: str, key: str = "subject") -> DataFra
     return sessions.groupBy(key).agg(F.max_by("content", main).alias("content"))
 
 
-def containing(old: DataFrame, new: DataFrame, key: str = "subject") -> DataFrame:
-    """Each old session with the shortest new one that contains it (ties: earliest, least content), or null."""
-    n = new.select(key, F.struct((F.col("end_us") - F.col("start_us")).alias("d"), F.col("start_us").alias("s"), F.col("content").alias("c"), F.col("end_us").alias("e")).alias("n"))
-    both = old.join(n, key, "left").withColumn("_in", (F.col("n.s") <= F.col("start_us")) & (F.col("n.e") >= F.col("end_us")))
-    return both.groupBy(key, "content").agg(F.min(F.when(F.col("_in"), F.col("n")))["c"].alias("container"))
+def containing(old: DataFrame, new: DataFrame, key: str = "subject", bucket_us: int = 30 * 24 * S.HOUR) -> DataFrame:
+    """Each old session with the new one that contains it, or null: one with the same bounds, else the shortest (ties: least content).
+
+    Only sessions of the same stretch of time meet.
+    """
+    n = _dealt(new.select(key, "start_us", "end_us", F.col("content").alias("_c")), bucket_us).withColumnsRenamed({"start_us": "_s", "end_us": "_e"})
+    both = old.withColumn("_bucket", F.floor(F.col("start_us") / bucket_us)).join(n, [key, "_bucket"], "left")
+    inside = (F.col("_s") <= F.col("start_us")) & (F.col("_e") >= F.col("end_us"))
+    other = (F.col("_s") != F.col("start_us")) | (F.col("_e") != F.col("end_us"))
+    rank = F.struct(other.alias("other"), (F.col("_e") - F.col("_s")).alias("d"), F.col("_c").alias("c"))
+    return both.groupBy(key, "content").agg(F.min(F.when(inside, rank))["c"].alias("container"))
+
+
+def choose(sessions: DataFrame, choices: DataFrame, key: str = "subject") -> DataFrame:
+    """(subject, choice, content): the listed session with the chosen key (:func:`~tidewatch.functions.scalars.session_key`), the least content
+    of several; null where none has it."""
+    own = sessions.select(key, F.col("content"), X.session_key(F.col("start_us"), F.col("end_us")).alias("choice"))
+    return choices.select(key, "choice").join(own, [key, "choice"], "left").groupBy(key, "choice").agg(F.min("content").alias("content"))
+
+
+def manual_sessions(ranges: DataFrame, zone: str) -> DataFrame:
+    """Rows (subject, start, end) as written, with start_us, end_us and ``problem``: null for a range that ends after its start and lasts a day
+    at most. Times without an offset are of the zone; a date alone is none. A manual session has one stage, unknown, and is no main sleep."""
+    us = lambda c: F.unix_micros(X.instant(F.when(X.has_time(F.col(c)), X.iso_parts(F.col(c))), zone))
+    both = ranges.withColumn("start_us", us("start")).withColumn("end_us", us("end"))
+    blank = lambda c: F.col(c).isNull() | (F.trim(c) == "")
+    problem = (
+        F.when(blank("start"), "start is missing").when(F.col("start_us").isNull(), "start could not be read").when(blank("end"), "end is missing")
+        .when(F.col("end_us").isNull(), "end could not be read").when(F.col("end_us") <= F.col("start_us"), "end is not after the start")
+        .when(F.col("end_us") - F.col("start_us") > S.MANUAL_CAP_US, "longer than 24 hours")
+    )
+    return both.withColumn("problem", problem)
+
+
+def resolve_selection(current: DataFrame, sessions: DataFrame, zone: str, key: str = "subject") -> DataFrame:
+    """(subject, kind, content): the selection after an import, from the one before (subject, kind, content, start_us, end_us; no row for none).
+
+    A manual one stays. A user's choice follows the session that contains it now, or stays. Else the automatic rule picks; a
+    subject without candidates has kind ``none``.
+    """
+    subjects = current.select(key).union(sessions.select(key)).distinct()
+    user = current.filter("kind = 'user'")
+    follow = containing(user, sessions, key).withColumnsRenamed({"content": "_c"})
+    kept = user.select(key, F.col("content").alias("_c")).join(follow, [key, "_c"], "left").select(key, F.coalesce("container", "_c").alias("_user"))
+    manual = current.filter("kind = 'manual'").select(key, F.col("content").alias("_manual"))
+    auto = auto_select(sessions, zone, key).withColumnRenamed("content", "_auto")
+    every = subjects.join(manual, key, "left").join(kept, key, "left").join(auto, key, "left")
+    kind = F.when(F.col("_manual").isNotNull(), "manual").when(F.col("_auto").isNull(), "none").when(F.col("_user").isNotNull(), "user").otherwise("auto")
+    content = F.when(kind == "manual", F.col("_manual")).when(kind == "user", F.col("_user")).when(kind == "auto", F.col("_auto"))
+    return every.select(key, kind.alias("kind"), content.alias("content"))
+
+
+def on_date(sessions: DataFrame, day: str, zone: str) -> DataFrame:
+    """Sessions that end on a date of the zone."""
+    return sessions.filter(F.to_date(F.from_utc_timestamp(F.timestamp_micros("end_us"), zone)) == F.lit(day).cast("date"))
+
+
+def with_imports(sessions: DataFrame, imports: DataFrame) -> DataFrame:
+    """Sessions (import_id, position, ...) of completed imports (import_id, seq), with ``place``: in the order of import and position."""
+    own = sessions.join(imports.select("import_id", "seq"), "import_id")
+    return own.withColumn("place", F.row_number().over(Window.partitionBy("import_id").orderBy("position"))).orderBy("seq", "position")

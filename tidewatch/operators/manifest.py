@@ -43,3 +43,10 @@ def violations(sessions: DataFrame, windows: DataFrame, fractions: DataFrame, ta
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def cache_lookup(asked: DataFrame, replays: DataFrame) -> DataFrame:
+    """Each (fingerprint, config, version) that is asked for with its newest ``replay`` (by ``seq``), or null."""
+    key = ["fingerprint", "config", "version"]
+    newest = replays.groupBy(*key).agg(F.max_by("replay", "seq").alias("replay"))
+    return asked.join(newest, key, "left")

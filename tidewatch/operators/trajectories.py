@@ -1,94 +1,263 @@
-"""Parameter trajectories: normalising, hysteresis, combining, rate limits."""
+"""Parameter trajectories: normalising, contributions with hysteresis and glides, combining, rate limits, presets, schedules.
+
+Times are seconds of the replay. What depends on the value before is a fold over
+a key's array (a session's windows), which Spark deals out by session.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Mapping
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch import schema as S
 from tidewatch.functions import scalars as X
+from tidewatch.functions.arrays import fold_each
 from tidewatch.operators.asof import as_of, lerp
 from tidewatch.operators.events import runs
 
-STATE_PRESET = {"awake": "open", "light": "drift", "deep": "still", "rem": "glow", "asleep": "drift", "restless": "open", "unknown": "drift"}
 
+@dataclass(frozen=True)
+class Route:
+    """What a metric drives: a parameter or None, how strongly, and by how much its raw value must move."""
 
-def spans(smoothed: DataFrame) -> DataFrame:
-    """(session_id, metric, low, high): the range of the smoothed values, widened around its middle to the metric's least span."""
-    r = smoothed.filter("smoothed is not null").groupBy("session_id", "metric").agg(F.min("smoothed").alias("lo"), F.max("smoothed").alias("hi"))
-    half = F.greatest(F.col("hi") - F.col("lo"), X.lookup(F.col("metric"), S.LEAST_SPAN, 1.0)) / 2
-    mid = (F.col("lo") + F.col("hi")) / 2
-    return r.select("session_id", "metric", (mid - half).alias("low"), (mid + half).alias("high"))
+    target: str | None
+    sensitivity: float
+    hysteresis: float = 0.0
 
+    @property
+    def enabled(self) -> bool:
+        return self.target is not None and self.sensitivity > 0
 
-def normalize_windows(smoothed: DataFrame, sensitivity: Mapping[str, float]) -> DataFrame:
-    """(session_id, metric, w, n, v): values within their span, and mapped by sensitivity; missing stays missing."""
-    both = smoothed.join(spans(smoothed), ["session_id", "metric"], "left")
-    n = F.when(F.col("smoothed").isNotNull(), X.normalized(F.col("smoothed"), F.col("low"), F.col("high")))
-    return both.select("session_id", "metric", "w", n.alias("n")).withColumn("v", F.when(F.col("n").isNotNull(), X.mapped_value(F.col("n"), F.col("metric"), X.lookup(F.col("metric"), dict(sensitivity), 1.0))))
 
+Routes = Mapping[str, Route]
 
-def _fold(rows: DataFrame, keys: list[str], order: str, value: str, first: Column, step, kind: str = "double") -> DataFrame:
-    """Each row's ``out``: a fold over the key's rows in order. ``step(last, x)`` gives the next value."""
-    arr = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("x")))).alias("a"))
-    empty = F.struct(first.cast(kind).alias("last"), F.array().cast(f"array<struct<o:bigint,x:double,out:{kind}>>").alias("out"))
 
-    def advance(acc: Column, e: Column) -> Column:
-        new = step(acc["last"], e["x"])
-        item = F.struct(e["o"].cast("bigint").alias("o"), e["x"].cast("double").alias("x"), new.alias("out"))
-        return F.struct(new.alias("last"), F.concat(acc["out"], F.array(item)).alias("out"))
+def _of_metric(values: Mapping[str, object], default=None, metric: str = "metric") -> Column:
+    return X.lookup(F.col(metric), dict(values), default)
 
-    folded = arr.select(*keys, F.explode(F.aggregate("a", empty, advance)["out"]).alias("e"))
-    return folded.select(*keys, F.col("e.o").alias(order), F.col("e.x").alias(value), F.col("e.out").alias("out"))
 
-
-def rate_limit(rows: DataFrame, value: str = "v", rate: float = S.RATE_SLOW, dt: float = S.WINDOW_S, keys: tuple[str, ...] = ("session_id", "metric")) -> DataFrame:
-    """Each value as near to its target as a largest change per step allows."""
-    most = rate * dt
-    step = lambda last, x: F.when(last.isNull(), x).otherwise(F.greatest(last - most, F.least(last + most, x)))
-    return _fold(rows, list(keys), "w", value, F.lit(None), step)
+def window_spans(windows: DataFrame, sessions: DataFrame, target_s: int) -> DataFrame:
+    """(session_id, w, t0, t1): the windows in replay seconds, by the compression ratio."""
+    ratio = (F.col("end_us") - F.col("start_us")) / float(S.US) / target_s
+    at = lambda c: (F.col(c) - F.col("start_us")) / float(S.US) / ratio
+    return windows.join(sessions.select("session_id", "start_us", "end_us"), "session_id").select("session_id", "w", at("w_start").alias("t0"), at("w_end").alias("t1"))
 
 
-def hysteresis(rows: DataFrame, value: str, threshold: float, keys: tuple[str, ...] = ("session_id", "metric")) -> DataFrame:
-    """The reference value: it moves only when a value is ``threshold`` away from it, and is forgotten at a missing one."""
-    step = lambda last, x: F.when(x.isNull(), F.lit(None).cast("double")).when(last.isNull() | (F.abs(x - last) >= threshold), x).otherwise(last)
-    return _fold(rows, list(keys), "w", value, F.lit(None), step)
+def _span(lo: Column, hi: Column, metric: Column) -> tuple[Column, Column]:
+    half = F.greatest(hi - lo, X.lookup(metric, S.LEAST_SPAN, 1.0)) / 2
+    return (lo + hi) / 2 - half, (lo + hi) / 2 + half
 
 
-def glide(held: DataFrame, dt: float = S.WINDOW_S) -> DataFrame:
-    """(session_id, metric, w, v): missing values glide to neutral within a second, and stay there until a value returns."""
-    order = Window.partitionBy("session_id", "metric").orderBy("w")
-    last = F.last("out", ignorenulls=True).over(order)
-    since = F.last(F.when(F.col("out").isNotNull(), F.col("w")), ignorenulls=True).over(order)
-    share = X.clamp((F.col("w") - since) * dt / S.GLIDE_S)
-    return held.select("session_id", "metric", "w", F.coalesce("out", last + (S.NEUTRAL - last) * share, F.lit(S.NEUTRAL)).alias("v"))
+def spans(smoothed: DataFrame) -> DataFrame:
+    """(session_id, metric, low, high): the range of the smoothed values, widened around its middle to the metric's least span."""
+    r = smoothed.filter("smoothed is not null").groupBy("session_id", "metric").agg(F.min("smoothed").alias("lo"), F.max("smoothed").alias("hi"))
+    low, high = _span(F.col("lo"), F.col("hi"), F.col("metric"))
+    return r.select("session_id", "metric", low.alias("low"), high.alias("high"))
 
 
-def combine(contributions: DataFrame, targets: Mapping[str, str], sensitivity: Mapping[str, float]) -> DataFrame:
-    """(session_id, param, w, v): the mean of the metrics that drive a parameter, weighted by sensitivity."""
-    c = contributions.withColumn("param", X.lookup(F.col("metric"), dict(targets))).withColumn("s", X.lookup(F.col("metric"), dict(sensitivity), 0.0))
-    return c.filter("param is not null and s > 0").groupBy("session_id", "param", "w").agg((F.sum(F.col("v") * F.col("s")) / F.sum("s")).alias("v"))
+def normalize_windows(smoothed: DataFrame, sensitivity: Mapping[str, float]) -> DataFrame:
+    """(session_id, metric, w, smoothed, n, v): values within their span, and mapped by sensitivity; missing stays missing."""
+    whole = Window.partitionBy("session_id", "metric")
+    low, high = _span(F.col("_lo"), F.col("_hi"), F.col("metric"))
+    own = smoothed.withColumn("_lo", F.min("smoothed").over(whole)).withColumn("_hi", F.max("smoothed").over(whole))
+    n = F.when(F.col("smoothed").isNotNull(), X.normalized(F.col("smoothed"), low, high))
+    mapped = own.select("session_id", "metric", "w", "smoothed", n.alias("n"))
+    return mapped.withColumn("v", F.when(F.col("n").isNotNull(), X.mapped_value(F.col("n"), F.col("metric"), _of_metric(sensitivity, 1.0))))
 
 
-def boost(trajectory: DataFrame, intensity: DataFrame, params: tuple[str, ...], sensitivity: float = 1.0) -> DataFrame:
-    """Restless windows raise some parameters."""
-    both = trajectory.join(intensity, ["session_id", "w"], "left")
-    more = F.when(F.col("param").isin(*params) & (F.col("intensity") > S.RESTLESS), S.RESTLESS_BOOST * sensitivity).otherwise(0.0)
-    return both.select("session_id", "param", "w", X.clamp(F.col("v") + more).alias("v"))
+def _fold(rows: DataFrame, keys: list[str], order: str, values: list[str], start: Column, step, kind: str) -> DataFrame:
+    """Each row's ``out``: the state of a fold over the key's rows in order. ``step(state, row)`` gives the next state."""
+    arr = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), *values))).alias("_a"))
+    both = arr.withColumn("_s", fold_each(F.col("_a"), start, step, kind))
+    each = both.select(*keys, F.explode(F.arrays_zip("_a", "_s")).alias("_e"))
+    return each.select(*keys, F.col("_e._a._o").alias(order), *[F.col(f"_e._a.{v}").alias(v) for v in values], F.col("_e._s").alias("out"))
 
 
-def variation(smoothed: DataFrame, scales: Mapping[str, float]) -> DataFrame:
-    """(session_id, metric, w, score): the distance to the session's median, in the metric's scale, from 0 to 1."""
-    mid = smoothed.groupBy("session_id", "metric").agg(F.percentile("smoothed", F.lit(0.5)).alias("mid"))
-    both = smoothed.join(mid, ["session_id", "metric"]).filter(F.col("metric").isin(*scales))
-    return both.select("session_id", "metric", "w", X.clamp(F.abs(F.col("smoothed") - F.col("mid")) / X.lookup(F.col("metric"), dict(scales))).alias("score"))
+def rate_limit(rows: DataFrame, value: str = "v", rate: float | Column = S.RATE_SLOW, dt: float = S.WINDOW_S, keys: tuple[str, ...] = ("session_id", "metric"), order: str = "w") -> DataFrame:
+    """Each value as near to its target as a largest change per step of ``dt`` allows."""
+    most = rate * dt
+    step = lambda last, x: F.when(last.isNull(), x[value]).otherwise(F.greatest(last - most, F.least(last + most, x[value])))
+    return _fold(rows, list(keys), order, [value], F.lit(None), step, "double")
+
+
+def hysteresis(rows: DataFrame, value: str, threshold: float, applied: str | None = None, keys: tuple[str, ...] = ("session_id", "metric")) -> DataFrame:
+    """``out``: what ``applied`` (the value itself by default) was when the value last moved by ``threshold`` from where it had moved before;
+    null where the value is missing, and forgotten there."""
+    then = applied or value
+
+    def step(last: Column, x: Column) -> Column:
+        moves = last["ref"].isNull() | (F.abs(x[value] - last["ref"]) >= threshold)
+        new = F.struct(F.when(moves, x[value]).otherwise(last["ref"]).alias("ref"), F.when(moves, x[then]).otherwise(last["out"]).alias("out"))
+        return F.when(x[value].isNotNull(), new).otherwise(F.struct(F.lit(None).cast("double").alias("ref"), F.lit(None).cast("double").alias("out")))
+
+    kind = "struct<ref:double,out:double>"
+    folded = _fold(rows, list(keys), "w", list(dict.fromkeys([value, then])), F.struct(F.lit(None).alias("ref"), F.lit(None).alias("out")), step, kind)
+    return folded.withColumn("out", F.col("out.out"))
+
+
+STATE = "struct<missing:boolean,ref:double,applied:double,t0:double,v0:double,t1:double,v1:double,flip:boolean,center:boolean>"
+
+
+def contributions(mapped: DataFrame, spans_: DataFrame, routes: Routes, target_s: int, daily_hrv: DataFrame | None = None) -> DataFrame:
+    """(session_id, metric, t, v): each metric's trajectory as breakpoints.
+
+    ``mapped`` has (session_id, metric, w, smoothed, v) for every window. A metric that drives nothing, or has no value in the
+    session, rests at the middle; HRV without values takes the session's daily figure (session_id, rmssd) if there is one.
+    Values follow the raw value with hysteresis, at the windows' middles. Where values go missing or come back, the
+    trajectory glides within a second from where it is, at the window's start; a glide that another one interrupts is cut.
+    """
+    end = float(target_s)
+    have = mapped.groupBy("session_id", "metric").agg(F.count("smoothed").alias("_have"))
+    enabled = F.col("metric").isin([m for m, r in routes.items() if r.enabled])
+    # movement is never missing, so it is followed whatever it is
+    alive = have.withColumn("_live", enabled & (F.col("_have") > 0))
+    if daily_hrv is not None:
+        alive = alive.join(daily_hrv.select("session_id", "rmssd"), "session_id", "left")
+    else:
+        alive = alive.withColumn("rmssd", F.lit(None).cast("double"))
+    of_day = X.mapped_value(X.clamp(F.col("rmssd") / 100), F.col("metric"), _of_metric({m: r.sensitivity for m, r in routes.items()}, 0.0))
+    still = F.when((F.col("metric") == "hrv_rmssd") & enabled & F.col("rmssd").isNotNull(), of_day).otherwise(F.lit(S.NEUTRAL))
+    flat = alive.filter("not _live").select("session_id", "metric", F.explode(F.array(F.lit(0.0), F.lit(end))).alias("t"), still.alias("v"))
+
+    rows = mapped.join(alive.filter("_live").select("session_id", "metric"), ["session_id", "metric"]).join(spans_, ["session_id", "w"])
+    rows = rows.withColumn("limit", _of_metric({m: float(r.hysteresis) for m, r in routes.items()}, 0.0)).withColumnsRenamed({"t0": "a", "t1": "b"})
+
+    def step(s: Column, x: Column) -> Column:
+        gone, center = x["smoothed"].isNull(), (x["a"] + x["b"]) / 2
+        first = s["missing"].isNull()
+        flip = ~first & (gone != s["missing"])
+        moves = s["ref"].isNull() | (F.coalesce(s["missing"], F.lit(False))) | (F.abs(x["smoothed"] - s["ref"]) >= x["limit"])
+        ref = F.when(gone, s["ref"]).when(moves, x["smoothed"]).otherwise(s["ref"])
+        applied = F.when(gone, s["applied"]).when(moves, x["v"]).otherwise(s["applied"])
+        value = F.when(gone, F.lit(S.NEUTRAL)).otherwise(applied)
+        here = F.when(s["t1"] <= x["a"], s["v1"]).otherwise(s["v0"] + (s["v1"] - s["v0"]) * (x["a"] - s["t0"]) / (s["t1"] - s["t0"]))
+        at_center = first | ~flip & (s["t1"] < center)
+        return F.struct(
+            gone.alias("missing"), ref.alias("ref"), applied.alias("applied"),
+            F.when(first, F.lit(0.0)).when(flip, x["a"]).when(at_center, s["t1"]).otherwise(s["t0"]).alias("t0"),
+            F.when(first, value).when(flip, here).when(at_center, s["v1"]).otherwise(s["v0"]).alias("v0"),
+            F.when(flip, x["a"] + S.GLIDE_S).when(at_center, center).otherwise(s["t1"]).alias("t1"),
+            F.when(flip | at_center, value).otherwise(s["v1"]).alias("v1"),
+            flip.alias("flip"), at_center.alias("center"),
+        )
+
+    nothing = F.from_json(F.lit("{}"), STATE)
+    folded = _fold(rows, ["session_id", "metric"], "w", ["a", "b", "smoothed", "v", "limit"], nothing, step, STATE)
+    s = folded.select("session_id", "metric", "w", "out.*")
+    order = Window.partitionBy("session_id", "metric").orderBy("w")
+    later = F.min(F.when(F.col("flip"), F.col("t0"))).over(order.rowsBetween(1, Window.unboundedFollowing))
+    last = F.row_number().over(Window.partitionBy("session_id", "metric").orderBy(F.desc("w"))) == 1
+    s = s.withColumn("_later", later).withColumn("_last", last).withColumn("_first", F.row_number().over(order) == 1)
+    point = lambda t, v: F.struct(t.alias("t"), v.alias("v"))
+    none = F.lit(None).cast("struct<t:double,v:double>")
+    points = F.array(
+        F.when(F.col("_first"), point(F.lit(0.0), F.col("v0"))).otherwise(none),
+        F.when(F.col("flip"), point(F.col("t0"), F.col("v0"))).otherwise(none),
+        F.when(F.col("flip") & (F.col("_later").isNull() | (F.col("t1") < F.col("_later"))) | F.col("center"), point(F.col("t1"), F.col("v1"))).otherwise(none),
+        F.when(F.col("_last") & (F.col("t1") < end), point(F.lit(end), F.col("v1"))).otherwise(none),
+    )
+    moving = s.select("session_id", "metric", F.explode(F.array_compact(points)).alias("p")).select("session_id", "metric", "p.t", "p.v")
+    return flat.unionByName(moving)
+
+
+def restless_windows(intensity: DataFrame, states: DataFrame, windows: DataFrame) -> DataFrame:
+    """(session_id, w, restless): windows in a restless state, or in a run of movement above a threshold that lasts ten minutes of the night."""
+    both = windows.select("session_id", "w", "w_start", "w_end").join(intensity, ["session_id", "w"]).join(states.select("session_id", "w", "state"), ["session_id", "w"])
+    order = Window.partitionBy("session_id").orderBy("w")
+    up = F.col("intensity") > S.RESTLESS
+    marked = both.withColumn("_up", up).withColumn("_run", F.sum(F.when(F.col("_up").eqNullSafe(F.lag("_up").over(order)), 0).otherwise(1)).over(order))
+    run = Window.partitionBy("session_id", "_run")
+    long = F.col("_up") & (F.max("w_end").over(run) - F.min("w_start").over(run) >= S.RESTLESS_US)
+    return marked.select("session_id", "w", (long | (F.col("state") == "restless")).alias("restless"))
+
+
+def evaluate(breakpoints: DataFrame, probes: DataFrame, keys: list[str], at: str = "us", value: str = "value") -> DataFrame:
+    """Piecewise-linear values at the probes; before the first and after the last point these stand."""
+    both = as_of(breakpoints, probes, keys, at=at, carry=(at, value), forward=True)
+    prev, nxt = F.col(f"prev_{at}"), F.col(f"next_{at}")
+    inside = F.when(prev == nxt, F.col(f"prev_{value}")).otherwise(lerp(F.col(at), prev, F.col(f"prev_{value}"), nxt, F.col(f"next_{value}")))
+    own = [c for c in probes.columns if c not in (*keys, at)]
+    return both.select(*keys, at, *own, F.coalesce(inside, F.col(f"prev_{value}"), F.col(f"next_{value}")).alias(value))
+
+
+def combine(contributions_: DataFrame, spans_: DataFrame, routes: Routes, target_s: int, restless: DataFrame | None = None) -> DataFrame:
+    """(session_id, param, t, v): the parameters' trajectories, at the times of all breakpoints and of the windows' middles.
+
+    A parameter is the mean of the metrics that drive it, weighted by sensitivity, or the middle without any; restless windows
+    raise some parameters; a value changes no faster than the parameter's rate.
+    """
+    end = float(target_s)
+    middles = spans_.select("session_id", "w", ((F.col("t0") + F.col("t1")) / 2).alias("t"))
+    ends = spans_.select("session_id").distinct().select("session_id", F.explode(F.array(F.lit(0.0), F.lit(end))).alias("t"))
+    times = contributions_.select("session_id", "t").filter(F.col("t") <= end).unionByName(middles.select("session_id", "t")).unionByName(ends).distinct()
+    drives = {m: r for m, r in routes.items() if r.enabled}
+    own = contributions_.filter(F.col("metric").isin(list(drives)))
+    have = own.select("session_id", "metric").distinct()
+    values = evaluate(own, times.join(have, "session_id"), ["session_id", "metric"], at="t", value="v")
+    weight = _of_metric({m: float(r.sensitivity) for m, r in drives.items()}, 0.0)
+    param = _of_metric({m: r.target for m, r in drives.items()})
+    mixed = values.withColumn("param", param).groupBy("session_id", "param", "t").agg((F.sum(F.col("v") * weight) / F.sum(weight)).alias("v"))
+    every = times.select("session_id", "t", F.explode(F.array(*[F.lit(p) for p in S.PARAMETERS])).alias("param"))
+    mixed = every.join(mixed, ["session_id", "param", "t"], "left").withColumn("v", F.coalesce("v", F.lit(S.NEUTRAL)))
+    movement = routes.get("steps")
+    if restless is not None and movement is not None and movement.enabled:
+        more = F.when(F.col("restless"), F.lit(S.RESTLESS_BOOST * movement.sensitivity)).otherwise(0.0)
+        at = middles.join(restless, ["session_id", "w"]).select("session_id", "w", "t", more.alias("boost"))
+        raised = evaluate(at.select("session_id", "t", "boost"), times, ["session_id"], at="t", value="boost")
+        mixed = mixed.join(raised, ["session_id", "t"], "left")
+        lifted = F.when(F.col("param").isin(*S.BOOSTED), F.least(F.lit(1.0), F.col("v") + F.coalesce("boost", F.lit(0.0)))).otherwise(F.col("v"))
+        mixed = mixed.withColumn("v", lifted)
+
+    def step(last: Column, x: Column) -> Column:
+        most = x["rate"] * (x["_o"] - last["t"])
+        near = F.least(last["v"] + most, F.greatest(last["v"] - most, x["v"]))
+        return F.struct(x["_o"].alias("t"), F.when(last["t"].isNull(), x["v"]).otherwise(X.clamp(near)).alias("v"))
+
+    rated = mixed.withColumn("rate", F.when(F.col("param").isin(*S.FAST_PARAMETERS), S.RATE_FAST).otherwise(S.RATE_SLOW))
+    kind = "struct<t:double,v:double>"
+    out = _fold(rated.select("session_id", "param", "t", "v", "rate"), ["session_id", "param"], "t", ["v", "rate"], F.from_json(F.lit("{}"), kind), step, kind)
+    return out.select("session_id", "param", "t", F.col("out.v").alias("v"))
+
+
+def nature_controls(smoothed: DataFrame, spans_: DataFrame, routes: Routes, target_s: int, scales: Mapping[str, float] = S.VARIATION_SCALES) -> DataFrame:
+    """(session_id, metric, t, v): how far a room metric is from the session's median, in its scale and by its sensitivity, moving slowly.
+
+    Missing windows and metrics that drive nothing have 0 as their target. Windows beyond the end stand at the end.
+    """
+    end = float(target_s)
+    own = smoothed.filter(F.col("metric").isin(*scales)).join(spans_, ["session_id", "w"])
+    middle = F.percentile("smoothed", F.lit(0.5)).over(Window.partitionBy("session_id", "metric"))
+    strength = _of_metric({m: float(r.sensitivity) if r.enabled else 0.0 for m, r in routes.items()}, 0.0)
+    away = F.when(F.col("smoothed").isNotNull(), F.least(F.lit(1.0), F.abs(F.col("smoothed") - middle) / _of_metric(scales)) * strength)
+    rows = own.select("session_id", "metric", "w", F.least(F.lit(end), (F.col("t0") + F.col("t1")) / 2).alias("t"), F.coalesce(away, F.lit(0.0)).alias("target"))
+
+    def step(last: Column, x: Column) -> Column:
+        since = x["t"] - F.coalesce(last["t"], F.lit(0.0))
+        v0 = F.coalesce(last["v"], x["target"])
+        most = S.RATE_NATURE * since
+        v = v0 + F.greatest(-most, F.least(most, x["target"] - v0))
+        keep = since > 0
+        return F.struct(F.when(keep, x["t"]).otherwise(last["t"]).alias("t"), F.when(keep, v).otherwise(v0).alias("v"), F.coalesce(keep, F.lit(False)).alias("own"))
+
+    kind = "struct<t:double,v:double,own:boolean>"
+    folded = _fold(rows, ["session_id", "metric"], "w", ["t", "target"], F.from_json(F.lit("{}"), kind), step, kind)
+    by = Window.partitionBy("session_id", "metric")
+    marked = folded.withColumn("_first", F.row_number().over(by.orderBy("w")) == 1).withColumn("_last", F.row_number().over(by.orderBy(F.desc("w"))) == 1)
+    point = lambda t, v: F.struct(t.alias("t"), v.alias("v"))
+    none = F.lit(None).cast("struct<t:double,v:double>")
+    points = F.array(
+        F.when(F.col("_first"), point(F.lit(0.0), F.col("target"))).otherwise(none), F.when(F.col("out.own"), point(F.col("out.t"), F.col("out.v"))).otherwise(none),
+        F.when(F.col("_last") & (F.col("out.t") < end), point(F.lit(end), F.col("out.v"))).otherwise(none),
+    )
+    return marked.select("session_id", "metric", F.explode(F.array_compact(points)).alias("p")).select("session_id", "metric", "p.t", "p.v")
 
 
 def preset_spans(states: DataFrame, window_s: float = S.WINDOW_S) -> DataFrame:
-    """(session_id, preset, t0, t1, fade): runs of the states' presets, and how long each fades in: at most as long as it and the one before."""
-    p = states.withColumn("preset", X.lookup(F.col("state"), STATE_PRESET))
+    """(session_id, preset, t0, t1, fade): runs of the states' presets, and the crossfade at their start: at most as long as they and the run before."""
+    p = states.withColumn("preset", X.lookup(F.col("state"), S.STATE_PRESETS))
     r = runs(p, "preset", ["session_id"], "w").select("session_id", "preset", (F.col("first") * window_s).alias("t0"), ((F.col("last") + 1) * window_s).alias("t1"))
     order = Window.partitionBy("session_id").orderBy("t0")
     own = F.col("t1") - F.col("t0")
@@ -97,32 +266,59 @@ def preset_spans(states: DataFrame, window_s: float = S.WINDOW_S) -> DataFrame:
 
 
 def preset_gains(spans_: DataFrame, probes: DataFrame) -> DataFrame:
-    """(session_id, t, preset, gain): at each time the preset it is in and, while this fades in, the one before."""
+    """(session_id, t, preset, gain): at each time the presets that sound. A crossfade has its middle on the boundary of two spans."""
     order = Window.partitionBy("session_id").orderBy("t0")
-    with_before = spans_.withColumn("before", F.lag("preset").over(order))
-    at = with_before.select("session_id", F.col("t0").alias("us"), "t0", "t1", "fade", "preset", "before")
-    found = as_of(at, probes.select("session_id", F.col("t").alias("us")), ["session_id"], carry=("t0", "t1", "fade", "preset", "before"))
-    share = F.when(F.col("prev_fade") > 0, X.clamp((F.col("us") - F.col("prev_t0")) / F.col("prev_fade"))).otherwise(1.0)
-    both = found.filter("us < prev_t1").select("session_id", F.col("us").alias("t"), share.alias("share"), "prev_preset", "prev_before")
-    own = both.select("session_id", "t", F.col("prev_preset").alias("preset"), F.col("share").alias("gain"))
-    other = both.filter("share < 1 and prev_before is not null").select("session_id", "t", F.col("prev_before").alias("preset"), (1 - F.col("share")).alias("gain"))
-    return own.unionByName(other)
-
-
-def evaluate(breakpoints: DataFrame, probes: DataFrame, keys: list[str]) -> DataFrame:
-    """Piecewise-linear values at the probes' ``us``; before the first and after the last point these stand."""
-    both = as_of(breakpoints, probes, keys, forward=True)
-    inside = F.when(F.col("prev_us") == F.col("next_us"), F.col("prev_value")).otherwise(lerp(F.col("us"), F.col("prev_us"), F.col("prev_value"), F.col("next_us"), F.col("next_value")))
-    return both.select(*keys, "us", F.coalesce(inside, F.col("prev_value"), F.col("next_value")).alias("value"))
+    lead = lambda c, name: F.lead(c).over(order).alias(name)
+    near = spans_.select("session_id", F.col("t0").alias("us"), "t0", "t1", "fade", "preset", F.lag("preset").over(order).alias("before"), lead("preset", "after"), lead("fade", "out"))
+    found = as_of(near, probes.select("session_id", F.col("t").alias("us")), ["session_id"], carry=("t0", "t1", "fade", "preset", "before", "after", "out"))
+    t = F.col("us")
+    at = found.filter(t <= F.col("prev_t1")).select("session_id", t.alias("t"), *[F.col(f"prev_{c}").alias(c) for c in ("t0", "t1", "fade", "preset", "before", "after", "out")])
+    t, t0, t1, fade, out = (F.col(c) for c in ("t", "t0", "t1", "fade", "out"))
+    leaving, coming = (out > 0) & (t >= t1 - out / 2), (fade > 0) & (t <= t0 + fade / 2)
+    own = F.when(leaving, (t1 + out / 2 - t) / out).when((fade > 0) & (t < t0 + fade / 2), (t - t0 + fade / 2) / fade).otherwise(1.0)
+    three = F.array(
+        F.struct(F.col("preset").alias("preset"), own.alias("gain")),
+        F.struct(F.col("before").alias("preset"), F.when(coming, (t0 + fade / 2 - t) / fade).alias("gain")),
+        F.struct(F.col("after").alias("preset"), F.when(leaving, (t - t1 + out / 2) / out).alias("gain")),
+    )
+    each = at.select("session_id", "t", F.explode(three).alias("g")).filter("g.preset is not null and g.gain is not null")
+    return each.groupBy("session_id", "t", F.col("g.preset").alias("preset")).agg(F.sum("g.gain").alias("gain"))
 
 
 def gestures(events: DataFrame, target_s: int = S.DEFAULT_TARGET_S) -> DataFrame:
-    """(session_id, type, t0, t1): a second to both sides of onset and final awakening, within the replay."""
+    """(session_id, type, t0, t1): two seconds around onset and final awakening, moved inward at the ends of the replay."""
     own = events.filter(F.col("type").isin(*S.PINNED_EVENTS))
-    return own.select("session_id", "type", F.greatest(F.lit(0.0), F.col("replay_s") - 1).alias("t0"), F.least(F.lit(float(target_s)), F.col("replay_s") + 1).alias("t1"))
-
-
-def schedule_transients(intensity: DataFrame, seed: int = 1, window_s: float = S.WINDOW_S) -> DataFrame:
-    """(session_id, t, amp, kind): one for each window with movement, moved within it by a hash of the seed."""
-    jitter = F.pmod(F.xxhash64(F.lit(seed), F.col("session_id"), F.col("w")), F.lit(1 << 20)) / float(1 << 20)
-    return intensity.filter(F.col("intensity") > S.TRANSIENT).select("session_id", ((F.col("w") + jitter) * window_s).alias("t"), F.col("intensity").alias("amp"), F.lit("movement").alias("kind"))
+    t0 = F.least(F.lit(target_s - 2.0), F.greatest(F.lit(0.0), F.col("replay_s") - 1))
+    return own.select("session_id", "type", t0.alias("t0"), (t0 + 2).alias("t1"))
+
+
+def schedule_transients(intensity: DataFrame, spans_: DataFrame, routes: Routes, brief: DataFrame | None = None, seed: int = 1) -> DataFrame:
+    """(session_id, t, amp, kind): one in the middle half of each window with movement, at a place given by a hash of the seed, as strong as
+    movement and its sensitivity; and one for each brief awakening (session_id, t), before any cap."""
+    movement = routes.get("steps")
+    named = F.concat_ws(":", F.lit(str(seed)), "session_id", F.col("w").cast("string"))
+    jitter = F.conv(F.substring(F.md5(named), 1, 8), 16, 10).cast("bigint") / float(1 << 32)
+    both = intensity.filter(F.col("intensity") > S.TRANSIENT).join(spans_, ["session_id", "w"])
+    t = F.col("t0") + (F.col("t1") - F.col("t0")) * (0.25 + 0.5 * jitter)
+    strength = movement.sensitivity if movement is not None and movement.enabled else 0.0
+    out = both.filter(F.lit(strength > 0)).select("session_id", t.alias("t"), (F.lit(strength) * F.col("intensity")).alias("amp"), F.lit("movement").alias("kind"))
+    if brief is not None:
+        out = out.unionByName(brief.select("session_id", "t", F.lit(S.BRIEF_AMPLITUDE).alias("amp"), F.lit("brief_awakening").alias("kind")))
+    return out
+
+
+def render_plan(contributions_: DataFrame, spans_: DataFrame, states: DataFrame, restless: DataFrame, smoothed: DataFrame, events: DataFrame, transients: DataFrame, routes: Routes, target_s: int) -> DataFrame:
+    """(session_id, part, name, t, v): all that a renderer needs, as rows: trajectories, controls, presets (v: the crossfade), gestures and
+    transients (v: the amplitude). ``transients`` are capped already."""
+    row = lambda df, part, name, t, v: df.select("session_id", F.lit(part).alias("part"), F.col(name).alias("name"), F.col(t).cast("double").alias("t"), F.col(v).cast("double").alias("v"))
+    parts = [
+        row(combine(contributions_, spans_, routes, target_s, restless), "trajectory", "param", "t", "v"),
+        row(nature_controls(smoothed, spans_, routes, target_s), "control", "metric", "t", "v"),
+        row(preset_spans(states), "preset", "preset", "t0", "fade"),
+        row(gestures(events, target_s), "gesture", "type", "t0", "t1"),
+        row(transients, "transient", "kind", "t", "amp"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -2,8 +2,9 @@
 
 ``events`` are points: the type is the metric, the user picks one of three
 sensors and the unit, times are cut to the minute so that some collide. A
-session is the first eight hours (and a bit) of a day. Events of every tenth
-user are changes of sleep stage. Orders are candidate sessions of a customer.
+hundred users are a subject (a household); a session is a subject's day, from
+its first event to a minute after its last. Each event is also a change of
+sleep stage. Orders are candidate sessions of a customer.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-RES_US, LENGTH_US, TARGET_S = 60_000_000, 28_801_234_567, 180
+CUT_US, RES_US, AFTER_US, TARGET_S, USERS = 60_000_000, 300_000_000, 61_234_567, 180, 100
 METRIC = {"view": "heart_rate", "click": "hrv_rmssd", "purchase": "steps", "signup": "temperature", "error": "pressure"}
 
 
@@ -28,26 +29,29 @@ UNIT_SQL = """CASE event_type WHEN 'view' THEN 'bpm' WHEN 'click' THEN 'ms' WHEN
  ELSE CASE user_id % 4 WHEN 0 THEN 'hpa' WHEN 1 THEN 'inhg' WHEN 2 THEN 'kpa' ELSE 'psi' END END"""
 
 
-def points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")))
-    return e.select(
-        F.date_format("ts", "yyyy-MM-dd").alias("session_id"), (F.col("t") - F.pmod("t", F.lit(RES_US))).alias("us"),
-        F.concat(F.lit("sensorpush:"), (F.col("user_id") % 3).cast("string")).alias("source"), F.expr(_case("event_type", METRIC)).alias("metric"), "value", F.expr(UNIT_SQL).alias("unit"),
-        "event_id", "user_id",
+def _keyed(spark: SparkSession, sf_dir: str, where: str | None = None) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    e = (e.filter(where) if where else e).withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")))
+    subject = F.floor(F.col("user_id") / USERS).cast("string")
+    return e.withColumn("subject", subject).withColumn("session_id", F.concat_ws("/", F.date_format("ts", "yyyy-MM-dd"), "subject")).withColumn("us", F.col("t") - F.pmod("t", F.lit(CUT_US)))
+
+
+def points(spark: SparkSession, sf_dir: str, where: str | None = None) -> DataFrame:
+    return _keyed(spark, sf_dir, where).select(
+        "session_id", "subject", "us", F.concat(F.lit("sensorpush:"), (F.col("user_id") % 3).cast("string")).alias("source"), F.expr(_case("event_type", METRIC)).alias("metric"),
+        "value", F.expr(UNIT_SQL).alias("unit"), "event_id", "user_id",
     )
 
 
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    days = table(spark, sf_dir, "events").select(F.to_date("ts").alias("d")).distinct()
-    start = F.unix_micros(F.col("d").cast("timestamp"))
-    return days.select(F.date_format("d", "yyyy-MM-dd").alias("session_id"), start.alias("start_us"), (start + LENGTH_US).alias("end_us"))
+    return _keyed(spark, sf_dir).groupBy("session_id", "subject").agg(F.min("us").alias("start_us"), (F.max("us") + AFTER_US).alias("end_us"))
 
 
 def stage_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw intervals that may overlap: (session_id, src_idx, start_us, end_us, stage, is_brief)."""
-    p = points(spark, sf_dir).filter("user_id % 10 = 0")
     stage = F.expr("CASE event_id % 5 WHEN 0 THEN 'light' WHEN 1 THEN 'deep' WHEN 2 THEN 'rem' WHEN 3 THEN 'awake' ELSE 'restless' END")
-    return p.select("session_id", F.col("event_id").alias("src_idx"), F.col("us").alias("start_us"), (F.col("us") + (F.col("event_id") % 7 + 1) * 1_200_000_000).alias("end_us"), stage.alias("stage"), (F.col("event_id") % 4 == 0).alias("is_brief"))
+    end = F.col("us") + (F.col("event_id") % 7 + 1) * 1_200_000_000
+    return points(spark, sf_dir).select("session_id", F.col("event_id").alias("src_idx"), F.col("us").alias("start_us"), end.alias("end_us"), stage.alias("stage"), (F.col("event_id") % 4 == 0).alias("is_brief"))
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,10 +78,11 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- the same as SQL: each fragment is a list of common table expressions
 
 POINTS = f"""
-points AS (SELECT strftime(ts, '%Y-%m-%d') AS session_id, epoch_us(ts) // {RES_US} * {RES_US} AS us, 'sensorpush:' || (user_id % 3) AS source,
-  {_case("event_type", METRIC)} AS metric, value, {UNIT_SQL} AS unit, event_id, user_id FROM events)"""
+points AS (SELECT strftime(ts, '%Y-%m-%d') || '/' || (user_id // {USERS}) AS session_id, CAST(user_id // {USERS} AS VARCHAR) AS subject, epoch_us(ts) // {CUT_US} * {CUT_US} AS us,
+  'sensorpush:' || (user_id % 3) AS source, {_case("event_type", METRIC)} AS metric, value, {UNIT_SQL} AS unit, event_id, user_id FROM events)"""
 SESSIONS = f"""
-sessions AS (SELECT DISTINCT strftime(ts, '%Y-%m-%d') AS session_id, epoch_us(date_trunc('day', ts)) AS start_us, epoch_us(date_trunc('day', ts)) + {LENGTH_US} AS end_us FROM events)"""
+sessions AS (SELECT strftime(ts, '%Y-%m-%d') || '/' || (user_id // {USERS}) AS session_id, CAST(user_id // {USERS} AS VARCHAR) AS subject, min(epoch_us(ts) // {CUT_US} * {CUT_US}) AS start_us,
+  max(epoch_us(ts) // {CUT_US} * {CUT_US}) + {AFTER_US} AS end_us FROM events GROUP BY ALL)"""
 CONVERTED = """
 converted AS (SELECT * EXCLUDE (value, unit), CASE WHEN unit = 'fahrenheit' THEN (value - 32) * 5 / 9 WHEN unit = 'inhg' THEN value * 33.86389
   WHEN unit = 'kpa' THEN value * 10.0 WHEN unit = 'psi' THEN NULL ELSE value END AS value FROM points)"""
@@ -108,7 +113,7 @@ TIMELINE = "timeline AS (SELECT session_id, metric, k, us, value FROM resampled
 ALIGNED = ",".join((NORMAL, GRID, RESAMPLED, HELD, TIMELINE))
 RAW_STAGES = """
 raw AS (SELECT session_id, event_id AS src_idx, us AS start_us, us + (event_id % 7 + 1) * 1200000000 AS end_us,
-  CASE event_id % 5 WHEN 0 THEN 'light' WHEN 1 THEN 'deep' WHEN 2 THEN 'rem' WHEN 3 THEN 'awake' ELSE 'restless' END AS stage, event_id % 4 = 0 AS is_brief FROM points WHERE user_id % 10 = 0)"""
+  CASE event_id % 5 WHEN 0 THEN 'light' WHEN 1 THEN 'deep' WHEN 2 THEN 'rem' WHEN 3 THEN 'awake' ELSE 'restless' END AS stage, event_id % 4 = 0 AS is_brief FROM points)"""
 SEGMENTS = """
 firsts AS (SELECT session_id, start_us, arg_min(stage, src_idx) AS stage, arg_min(is_brief, src_idx) AS is_brief FROM raw GROUP BY ALL),
 segments AS (SELECT session_id, f.start_us, coalesce(lead(f.start_us) OVER (PARTITION BY session_id ORDER BY f.start_us), s.end_us) AS end_us, stage, is_brief

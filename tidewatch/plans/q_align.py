@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidewatch import schema as S
 from tidewatch.functions import scalars as X
 from tidewatch.operators import align as A
+from tidewatch.operators import features as W
 from tidewatch.plans import canonical as C
 from tidewatch.plans.register import Registry, rounded
 
@@ -62,11 +63,10 @@ def attach_telemetry(spark, d):
     return A.attach(C.points(spark, d), C.sessions(spark, d)).groupBy("session_id", "metric").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH {C.POINTS}, {C.CONVERTED}, cut AS (SELECT session_id, source, metric, us // 3600000000 AS hour, value FROM converted WHERE value IS NOT NULL)
-SELECT session_id, source, metric, hour, round(avg(value), 6) AS value, count(*) - 1 AS removed FROM cut GROUP BY ALL""")
+@query(f"WITH {C.POINTS}, {C.SESSIONS}, {C.CONVERTED}, {C.DEDUP} SELECT session_id, source, metric, us, round(value, 6) AS value, removed FROM dedup")
 def dedup_mean(spark, d):
-    p = A.to_canonical(C.points(spark, d)).filter("value is not null").withColumn("hour", F.floor(F.col("us") / S.HOUR))
-    return A.dedup_mean(p, ("session_id", "source", "metric", "hour")).withColumn("value", F.round("value", 6))
+    own = A.attach(A.to_canonical(C.points(spark, d)).filter("value is not null").drop("subject"), C.sessions(spark, d))
+    return A.dedup_mean(own).withColumn("value", F.round("value", 6))
 
 
 @query(f"""WITH {C.POINTS}, {C.SESSIONS}, {C.CONVERTED}, {C.DEDUP}, {C.CHOSEN}, others AS (SELECT s.session_id, s.metric, string_agg(s.source, ',' ORDER BY s.source) AS ignored FROM sensors s
@@ -141,7 +141,7 @@ def unavailable_metrics(spark, d):
 
 
 @query(f"""WITH {C.NORMAL}, {C.GRID}, {C.RESAMPLED}, cover AS (SELECT session_id, avg(CASE WHEN value IS NULL THEN 0.0 ELSE 1.0 END) AS c FROM resampled WHERE metric = 'heart_rate' GROUP BY 1),
-near AS (SELECT DISTINCT s.session_id FROM sessions s JOIN points p ON p.metric = 'heart_rate' AND p.us BETWEEN s.start_us - 50400000000 AND s.end_us + 50400000000 AND (p.us < s.start_us OR p.us > s.end_us))
+near AS (SELECT DISTINCT s.session_id FROM sessions s JOIN points p ON p.subject = s.subject AND p.metric = 'heart_rate' AND p.us BETWEEN s.start_us - 50400000000 AND s.end_us + 50400000000 AND (p.us < s.start_us OR p.us > s.end_us))
 SELECT s.session_id, round(coalesce(c, 0), 6) AS coverage, coalesce(c, 0) < 0.5 AND n.session_id IS NOT NULL AS suspect FROM sessions s LEFT JOIN cover USING (session_id) LEFT JOIN near n USING (session_id)""")
 def coverage_check(spark, d):
     s = C.sessions(spark, d)
@@ -153,17 +153,15 @@ def align_timeline(spark, d):
     return _timeline(spark, d).select("session_id", "metric", "k", "us", rounded("value"))
 
 
-@query(f"""WITH {C.POINTS} SELECT session_id, sha256(string_agg(r, chr(10) ORDER BY r)) AS fingerprint FROM (SELECT session_id,
-  source || '|' || metric || '|' || us || '|' || printf('%.6f', value) || '|' || unit AS r FROM points) GROUP BY 1""")
+@query(f"""WITH {C.POINTS}, r AS (SELECT session_id, md5(source || '|' || metric || '|' || us || '|' || CAST(value AS VARCHAR) || '|' || unit) AS h FROM points)
+SELECT session_id, concat_ws('-', count(*), sum(CAST('0x' || substr(h, 1, 15) AS BIGINT)), sum(CAST('0x' || substr(h, 17, 15) AS BIGINT))) AS fingerprint FROM r GROUP BY 1""")
 def fingerprint(spark, d):
     return A.fingerprint(C.points(spark, d))
 
 
-@query(f"""WITH {C.POINTS}, r AS (SELECT session_id, metric, count(*) AS n, min(us) AS first_us, max(us) AS last_us FROM points GROUP BY ALL)
-SELECT metric, CAST(sum(n) AS BIGINT) AS n, min(first_us) AS first_us, max(last_us) AS last_us FROM r GROUP BY 1""")
+@query(f"""WITH {C.POINTS} SELECT metric, count(*) AS n, min(us) AS first_us, max(us) AS last_us FROM points GROUP BY 1""")
 def merge_reports(spark, d):
-    each = C.points(spark, d).groupBy("session_id", "metric").agg(F.count(F.lit(1)).alias("n"), F.min("us").alias("first_us"), F.max("us").alias("last_us"))
-    return each.groupBy("metric").agg(F.sum("n").alias("n"), F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"))
+    return W.merge_reports(W.report(C.points(spark, d)))
 
 
 @query("""SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events""")

@@ -6,24 +6,23 @@ from pyspark.sql import functions as F
 
 from tidewatch import schema as S
 from tidewatch.functions import scalars as X
+from tidewatch.operators import align as A
 from tidewatch.operators import events as E
 from tidewatch.operators import features as W
 from tidewatch.operators import intervals as I
 from tidewatch.plans import canonical as C
-from tidewatch.plans.q_align import _resampled, _timeline
+from tidewatch.plans.q_align import _resampled, _series, _timeline
 from tidewatch.plans.register import Registry, off_ties, rounded
 
 query = Registry()
 STAGED = ",".join((C.POINTS, C.SESSIONS, C.RAW_STAGES, C.SEGMENTS, C.WINDOWS, C.OVERLAP, C.FRACTIONS))
 SAMPLED = ",".join((C.POINTS, C.SESSIONS, C.GRID, C.RAW_STAGES, C.SEGMENTS))
-STAGE_AT = """stages AS (SELECT g.session_id, k, us, CASE WHEN us < s.end_us THEN stage ELSE 'unknown' END AS stage FROM grid g ASOF LEFT JOIN segments s ON g.session_id = s.session_id AND g.us >= s.start_us),
+STAGE_AT = f"""stages AS (SELECT g.session_id, k, us, CASE WHEN us < s.end_us THEN stage ELSE 'unknown' END AS stage FROM grid g ASOF LEFT JOIN segments s ON g.session_id = s.session_id AND g.us >= s.start_us),
 r0 AS (SELECT *, CASE WHEN stage = lag(stage) OVER (PARTITION BY session_id ORDER BY us) THEN 0 ELSE 1 END AS fresh FROM stages), r1 AS (SELECT *, sum(fresh) OVER (PARTITION BY session_id ORDER BY us) AS run FROM r0),
-runs AS (SELECT session_id, stage, min(us) AS start_us, min(us) + count(*) * 60000000 AS end_us FROM r1 GROUP BY session_id, run, stage)"""
+runs AS (SELECT session_id, stage, min(us) AS start_us, min(us) + count(*) * {C.RES_US} AS end_us FROM r1 GROUP BY session_id, run, stage)"""
 
 
 def _stages(spark, d):
-    from tidewatch.operators import align as A
-
     return A.assign_stages(C.segments(spark, d), C.sessions(spark, d), C.RES_US)
 
 
@@ -36,8 +35,8 @@ def _states(spark, d):
 
 
 def _movement(spark, d, steps=True):
-    t = _timeline(spark, d)
-    return W.movement(t if steps else t.filter("session_id < '2024-01-10' or metric <> 'steps'"), C.segments(spark, d), C.sessions(spark, d), C.TARGET_S)
+    own = A.hold_steps(_series(spark, d).filter("metric = 'steps'"), C.sessions(spark, d), C.RES_US)
+    return W.movement(own if steps else own.filter("false"), C.segments(spark, d), C.sessions(spark, d), C.TARGET_S)
 
 
 @query(f"WITH {C.SESSIONS}, {C.WINDOWS} SELECT session_id, w, w_start, w_end FROM windows")
@@ -67,7 +66,7 @@ def missing_fraction(spark, d):
 
 @query(f"WITH {C.ALIGNED}, {C.WINDOWS}, {C.SMOOTH} SELECT session_id, metric, w, round(smoothed + 1.7e-9, 6) AS smoothed FROM smooth")
 def window_smooth_mid(spark, d):
-    return W.window_smooth(_timeline(spark, d), C.sessions(spark, d), C.RES_US, C.TARGET_S).select("session_id", "metric", "w", off_ties("smoothed"))
+    return W.window_smooth(_timeline(spark, d), C.sessions(spark, d), C.TARGET_S).select("session_id", "metric", "w", off_ties("smoothed"))
 
 
 @query(f"""WITH {C.ALIGNED} SELECT session_id, metric, k, round(CASE WHEN value IS NOT NULL THEN CASE WHEN metric = 'heart_rate'
@@ -97,7 +96,7 @@ def movement_intensity(spark, d):
     return _movement(spark, d).withColumn("intensity", F.round("intensity", 6))
 
 
-@query(f"""WITH {C.ALIGNED.replace(C.TIMELINE, "timeline AS (SELECT session_id, metric, k, us, value FROM resampled UNION ALL SELECT session_id, 'steps', k, us, value FROM held WHERE session_id < '2024-01-10')")},
+@query(f"""WITH {C.ALIGNED.replace(C.TIMELINE, "timeline AS (SELECT session_id, metric, k, us, value FROM resampled UNION ALL SELECT session_id, 'steps', k, us, value FROM held WHERE false)")},
  {C.RAW_STAGES}, {C.SEGMENTS}, {C.WINDOWS}, {C.STATS}, {C.OVERLAP}, {C.MOVEMENT} SELECT session_id, w, round(intensity, 6) AS intensity FROM movement""")
 def movement_fallback(spark, d):
     return _movement(spark, d, steps=False).withColumn("intensity", F.round("intensity", 6))
@@ -160,30 +159,44 @@ def stage_events(spark, d):
     return _stage_events(spark, d).withColumn("magnitude", F.round("magnitude", 6))
 
 
-def _burst_events(spark, d):
-    p = C.points(spark, d).filter("metric = 'steps'").groupBy("session_id", "us").agg(F.max("value").alias("v"))
-    return p.select("session_id", F.lit("movement_burst").alias("type"), "us", X.clamp(F.col("v") / 100).alias("magnitude"))
+MOVES = f"""{C.STATS}, {C.MOVEMENT},
+mv0 AS (SELECT m.*, w_start, w_end, intensity >= {S.BURST} AS b, intensity >= {S.RESTLESS} AS r FROM movement m JOIN windows x ON x.session_id = m.session_id AND x.w = m.w),
+mv1 AS (SELECT *, CASE WHEN b = lag(b) OVER o THEN 0 ELSE 1 END AS fb, CASE WHEN r = lag(r) OVER o THEN 0 ELSE 1 END AS fr FROM mv0 WINDOW o AS (PARTITION BY session_id ORDER BY w)),
+mv2 AS (SELECT *, sum(fb) OVER o AS gb, sum(fr) OVER o AS gr FROM mv1 WINDOW o AS (PARTITION BY session_id ORDER BY w)),
+moves AS (SELECT session_id, 'movement_burst' AS type, min(w_start) AS us, max(intensity) AS magnitude FROM mv2 WHERE b GROUP BY session_id, gb
+  UNION ALL SELECT session_id, 'restless_period', min(w_start), avg(intensity) FROM mv2 WHERE r GROUP BY session_id, gr HAVING max(w_end) - min(w_start) >= {S.RESTLESS_US})"""
+MERGED = f"""am AS (SELECT *, row_number() OVER (PARTITION BY session_id, type ORDER BY us, magnitude) AS i FROM allof),
+mg AS (SELECT session_id, type, i, us, us AS anchor, magnitude FROM am WHERE i = 1
+  UNION ALL SELECT a.session_id, a.type, a.i, a.us, CASE WHEN a.us - m.anchor <= {S.MERGE_US} THEN m.anchor ELSE a.us END, a.magnitude FROM mg m JOIN am a ON a.session_id = m.session_id AND a.type = m.type AND a.i = m.i + 1),
+merged AS (SELECT session_id, type, anchor AS us, max(magnitude) AS magnitude FROM mg GROUP BY session_id, type, anchor)"""
+NIGHT = f"{C.ALIGNED}, {C.RAW_STAGES}, {C.SEGMENTS}, {C.WINDOWS}, {C.OVERLAP}, {STAGE_AT}, {BOUNDS}, {EVENTS}, {MOVES}"
+
+
+def _movement_events(spark, d):
+    return E.movement_events(_movement(spark, d), W.windows(C.sessions(spark, d), C.TARGET_S))
+
+
+def _night_events(spark, d):
+    return _stage_events(spark, d).unionByName(_movement_events(spark, d))
 
 
-BURSTS = """b0 AS (SELECT session_id, us, least(1.0, greatest(0.0, max(value) / 100)) AS magnitude FROM points WHERE metric = 'steps' GROUP BY ALL),
-b AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY us) AS i FROM b0),
-m AS (SELECT session_id, i, us, us AS anchor, magnitude FROM b WHERE i = 1
-  UNION ALL SELECT b.session_id, b.i, b.us, CASE WHEN b.us - m.anchor <= 3600000000 THEN m.anchor ELSE b.us END, b.magnitude FROM m JOIN b ON b.session_id = m.session_id AND b.i = m.i + 1),
-mm AS (SELECT session_id, 'movement_burst' AS type, anchor AS us, max(magnitude) AS magnitude FROM m GROUP BY session_id, anchor)"""
+@query(f"WITH {C.ALIGNED}, {C.RAW_STAGES}, {C.SEGMENTS}, {C.WINDOWS}, {C.OVERLAP}, {MOVES} SELECT session_id, type, us, round(magnitude + 1.7e-9, 6) AS magnitude FROM moves")
+def movement_events(spark, d):
+    return _movement_events(spark, d).select("session_id", "type", "us", off_ties("magnitude"))
 
 
-@query(f"WITH RECURSIVE {C.POINTS}, {BURSTS} SELECT session_id, type, us, round(magnitude, 6) AS magnitude FROM mm")
+@query(f"WITH RECURSIVE {NIGHT}, allof AS (SELECT * FROM events_ UNION ALL SELECT * FROM moves), {MERGED} SELECT session_id, type, us, round(magnitude + 1.7e-9, 6) AS magnitude FROM merged")
 def merge_events(spark, d):
-    return E.merge_events(_burst_events(spark, d), S.HOUR).withColumn("magnitude", F.round("magnitude", 6))
+    return E.merge_events(_night_events(spark, d)).select("session_id", "type", "us", off_ties("magnitude"))
 
 
-@query(f"""WITH RECURSIVE {SAMPLED}, {STAGE_AT}, {BOUNDS}, {EVENTS}, {BURSTS}, allof AS (SELECT * FROM events_ UNION ALL SELECT * FROM mm),
+@query(f"""WITH RECURSIVE {NIGHT}, allof AS (SELECT session_id, type, us, round(magnitude, 9) AS magnitude FROM events_ UNION ALL SELECT session_id, type, us, round(magnitude, 9) FROM moves), {MERGED},
 p AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY type NOT IN ('sleep_onset', 'final_awakening'), magnitude DESC, us,
-  list_position(['sleep_onset', 'final_awakening', 'awakening', 'light_transition', 'deep_transition', 'rem_transition', 'movement_burst'], type)) AS place FROM allof)
-SELECT session_id, type, us, round(magnitude, 6) AS magnitude FROM p WHERE place <= 12""")
+  list_position(['sleep_onset', 'final_awakening', 'awakening', 'light_transition', 'deep_transition', 'rem_transition', 'movement_burst', 'restless_period'], type)) AS place FROM merged)
+SELECT session_id, type, us, round(magnitude + 1.7e-9, 6) AS magnitude FROM p WHERE place <= 12""")
 def topk_pinned(spark, d):
-    both = _stage_events(spark, d).unionByName(E.merge_events(_burst_events(spark, d), S.HOUR))
-    return E.cap_events(both).withColumn("magnitude", F.round("magnitude", 6))
+    both = E.merge_events(_night_events(spark, d).withColumn("magnitude", F.round("magnitude", 9)))
+    return E.cap_events(both).select("session_id", "type", "us", off_ties("magnitude"))
 
 
 @query(f"""WITH {SAMPLED}, {STAGE_AT}, {BOUNDS}, {EVENTS} SELECT session_id, type, us, round(magnitude, 6) AS magnitude, round((us - start_us) * 180 / CAST(end_us - start_us AS DOUBLE), 6) AS replay_s,
@@ -209,6 +222,14 @@ def room_events(spark, d):
 def cap_transients(spark, d):
     from tidewatch.operators import trajectories as T
 
-    m = _movement(spark, d)
-    both = T.schedule_transients(m, 1).unionByName(T.schedule_transients(m, 2).withColumn("kind", F.lit("brief"))).unionByName(T.schedule_transients(m, 3).withColumn("kind", F.lit("x")))
-    return E.cap_transients(both)
+    m, spans = _movement(spark, d), T.window_spans(W.windows(C.sessions(spark, d), C.TARGET_S), C.sessions(spark, d), C.TARGET_S)
+    drawn = [T.schedule_transients(m, spans, {"steps": T.Route("texture_density", 0.8)}, seed=k).withColumn("kind", F.lit(f"kind {k}")) for k in (1, 2, 3)]
+    return E.cap_transients(drawn[0].unionByName(drawn[1]).unionByName(drawn[2]))
+
+
+@query()
+def detect_events(spark, d):
+    """All kinds of events of all nights."""
+    smooth = W.sample_smooth(_resampled(spark, d).select("session_id", "metric", "k", "us", "value"))
+    stage_runs, bounds, windows = E.stage_runs(_stages(spark, d), C.RES_US), I.sleep_bounds(C.segments(spark, d)), W.windows(C.sessions(spark, d), C.TARGET_S)
+    return E.detect(stage_runs, bounds, _movement(spark, d), windows, smooth, C.sessions(spark, d), "Europe/Berlin", C.TARGET_S)

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidewatch.plans import q_align, q_features, q_intervals
+from tidewatch.plans import q_align, q_features, q_intervals, q_more
 
-MODULES = (q_align, q_features, q_intervals)
+MODULES = (q_align, q_features, q_intervals, q_more)
 QUERIES = {k: f for m in MODULES for k, f in m.query.queries.items()}
 ORACLE_SQL = {k: s for m in MODULES for k, s in m.query.sql.items()}

@@ -37,4 +37,10 @@ COVERAGE, NEARBY_US, MANUAL_CAP_US = 0.5, 14 * HOUR, 24 * HOUR
 RANGES = {"heart_rate": (20, 250), "steps": (0, 300), "hrv_rmssd": (0, 500)}
 LEAST_SPAN = {"heart_rate": 10.0, "hrv_rmssd": 10.0, "temperature": 2.0, "humidity": 10.0, "pressure": 3.0}
 NEUTRAL, GLIDE_S, RATE_FAST, RATE_SLOW, RATE_NATURE = 0.5, 1.0, 0.5, 0.2, 0.08
-CROSSFADE_S, RESTLESS_BOOST, TRANSIENTS_A_SECOND = 2.0, 0.25, 4
+CROSSFADE_S, RESTLESS_BOOST, TRANSIENTS_A_SECOND, BRIEF_AMPLITUDE = 2.0, 0.25, 4, 0.4
+FAST_PARAMETERS = ("pulse_rate", "rhythmic_density", "intensity", "transient_density")
+PARAMETERS = (*FAST_PARAMETERS, "brightness", "texture_density", "modulation")
+BOOSTED = ("texture_density", "transient_density")
+STATE_PRESETS = {"awake": "Awake", "light": "Light", "deep": "Deep", "rem": "REM", "asleep": "Light", "restless": "Light", "unknown": "Neutral"}
+VARIATION_SCALES = {"temperature": 1.0, "humidity": 5.0, "pressure": 1.0}
+SLEEP_SOURCE, MANUAL_SOURCE = "fitbit", "manual"

@@ -7,10 +7,14 @@ value (the value is skipped).
 
 from __future__ import annotations
 
+import csv
 import io
+import lzma
 import zipfile
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
+from datetime import date, timedelta
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,19 +31,39 @@ NAMES = {
     "hrv_details": r"(?i)^heart rate variability details - (\d{4}-\d{2}-\d{2})\.csv$",
     "hrv_daily": r"(?i)^daily heart rate variability summary - (\d{4}-\d{2}(?:-\d{2})?)\.csv$",
 }
+#: Kinds whose files are pruned by the day in their name.
+INTRADAY = ("heart_rate", "steps", "hrv_details")
+#: Kinds whose times are UTC unless overridden; the others are in the display zone.
+UTC_KINDS = ("heart_rate", "steps")
 MEMBER_CAP = 200 * 1024 * 1024
+UNREADABLE = (zipfile.BadZipFile, zlib.error, lzma.LZMAError, OSError, EOFError, NotImplementedError, RuntimeError, ValueError)
 MEMBERS = "path string, name string, content binary, skipped string"
 
 
 @dataclass(frozen=True)
 class Export:
-    """What an export holds: points, logs with their intervals, daily HRV, and a report of files."""
+    """What an export holds: points, logs with their intervals, daily HRV; and what was left out.
+
+    ``files`` counts files by kind and reason of skipping; ``skipped`` rows and values by file; ``adjusted`` times that daylight
+    saving skips or repeats, by file; ``unknown_levels`` stage names that aren't known, by file.
+    """
 
     points: DataFrame
     logs: DataFrame
     intervals: DataFrame
     daily_hrv: DataFrame
     files: DataFrame
+    skipped: DataFrame
+    adjusted: DataFrame
+    unknown_levels: DataFrame
+
+
+def source_zones(display: str, overrides: Mapping[str, str] | None = None) -> dict[str, str]:
+    """The zone that each kind of file is written in: an override, else UTC or the display zone."""
+    unknown = set(overrides or ()) - {*NAMES, "sensorpush"}
+    if unknown:
+        raise ValueError(f"no such kinds of file: {sorted(unknown)}")
+    return {k: "UTC" if k in UTC_KINDS else display for k in (*NAMES, "sensorpush")} | dict(overrides or {})
 
 
 def base_name(path: Column) -> Column:
@@ -68,46 +92,62 @@ def route(path: Column) -> Column:
 
 
 def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Archive members with their content, or the reason why one is skipped."""
+    """Archive members with their content, or the reason why one is skipped; one at a time."""
+    row = lambda *cells: pd.DataFrame([cells], columns=["path", "name", "content", "skipped"])
     for pdf in batches:
-        out = []
         for path, content in zip(pdf["path"], pdf["content"], strict=True):
             try:
                 archive = zipfile.ZipFile(io.BytesIO(bytes(content)))
-            except zipfile.BadZipFile:
-                out.append((path, "", None, "corrupt archive"))
+                members = archive.infolist()
+            except UNREADABLE:
+                yield row(path, "", None, "corrupt archive")
                 continue
-            for m in archive.infolist():
+            for m in members:
                 name = m.filename.rsplit("/", 1)[-1]
                 if m.is_dir():
                     continue
                 if m.flag_bits & 1:
-                    out.append((path, name, None, "encrypted"))
+                    yield row(path, name, None, "encrypted")
                 elif m.file_size > MEMBER_CAP:
-                    out.append((path, name, None, "too large"))
+                    yield row(path, name, None, "too large")
                 else:
                     try:
                         data = archive.open(m).read(MEMBER_CAP + 1)
-                        out.append((path, name, data, None) if len(data) <= MEMBER_CAP else (path, name, None, "too large"))
-                    except (zipfile.BadZipFile, OSError, EOFError):
-                        out.append((path, name, None, "corrupt member"))
-        yield pd.DataFrame(out, columns=["path", "name", "content", "skipped"])
+                        yield row(path, name, data, None) if len(data) <= MEMBER_CAP else row(path, name, None, "too large")
+                    except UNREADABLE:
+                        yield row(path, name, None, "corrupt member")
+
+
+def _any_case(text: str) -> str:
+    return "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in text)
+
+
+def _globs(first_day: str, last_day: str) -> str:
+    """File names with a day from the one before the first to the one after the last, and those that aren't pruned by day."""
+    first, last = date.fromisoformat(first_day) - timedelta(1), date.fromisoformat(last_day) + timedelta(1)
+    days = [(first + timedelta(k)).isoformat() for k in range((last - first).days + 1)]
+    other = [_any_case("sleep-") + "*", _any_case("daily heart rate variability summary") + "*", "*." + _any_case("zip")]
+    return "{" + ",".join([*[f"*{d}*" for d in days], *other]) + "}"
 
 
 def read_files(spark: SparkSession, path: str, first_day: str | None = None, last_day: str | None = None) -> DataFrame:
     """(path, name, kind, file_date, text, skipped) of the files under ``path`` and in its archives.
 
-    With days given, intraday files dated more than a day outside of them aren't kept, so their content isn't parsed.
+    With days given, intraday files dated more than a day outside of them aren't opened: their names are left out of the
+    listing, and members of archives before they are parsed. The report then has the files that were opened.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    if first_day and last_day:
+        reader = reader.option("pathGlobFilter", _globs(first_day, last_day))
+    files = reader.load(path).select("path", "content")
     is_zip = F.lower(F.col("path")).endswith(".zip")
     loose = files.filter(~is_zip).select("path", base_name(F.col("path")).alias("name"), "content", F.lit(None).cast("string").alias("skipped"))
     every = loose.unionByName(files.filter(is_zip).mapInPandas(_members, MEMBERS))
     named = every.withColumn("kind", file_kind(F.col("name"))).withColumn("file_date", file_date(F.col("name")))
     if first_day and last_day:
         near = F.col("file_date").between(F.date_sub(F.lit(first_day).cast("date"), 1), F.date_add(F.lit(last_day).cast("date"), 1))
-        named = named.filter(~F.col("kind").isin("heart_rate", "steps", "hrv_details") | F.col("file_date").isNull() | near)
-    text = F.regexp_replace(F.try_validate_utf8(F.col("content").cast("string")), "^﻿", "")
+        named = named.filter(F.coalesce(~F.col("kind").isin(*INTRADAY), F.lit(True)) | F.col("file_date").isNull() | near)
+    text = F.regexp_replace(F.try_validate_utf8(F.col("content").cast("string")), "^\ufeff", "")
     return named.select("path", "name", "kind", "file_date", text.alias("text"), "skipped")
 
 
@@ -118,46 +158,90 @@ def json_entries(files: DataFrame, kind: str) -> DataFrame:
     return arrays.lateralJoin(arrays.sparkSession.tvf.variant_explode(F.col("v").outer())).select("path", "name", "pos", F.col("value").alias("entry"))
 
 
-def _points(rows: DataFrame, metric: str, unit: str, zone: str) -> DataFrame:
-    """Points of rows (name, t, x): the time and the value as written."""
+def judged(rows: DataFrame, metric: str, unit: str, zone: str) -> DataFrame:
+    """Rows (name, present, at, x) with ts, value and ``problem``: a row without its fields or with a time that can't be read is skipped as a
+    row, whatever its value; else a value that is no number in range is skipped as a value. ``at`` is (wall, offset_us)."""
     number = X.parse_number(F.col("x"))
-    good = rows.withColumn("ts", X.localize(X.short_timestamp(F.col("t")), zone)).withColumn("value", number).filter("ts is not null and value is not null")
-    ranged = good.filter(X.in_range(F.lit(metric), F.col("value")))
-    return ranged.select(F.lit("fitbit").alias("source"), F.lit(metric).alias("metric"), "ts", "value", F.lit(unit).alias("unit"), F.col("name").alias("source_file"))
+    problem = F.when(~F.col("present") | F.col("at").isNull(), "row").when(~F.coalesce(X.in_range(F.lit(metric), F.col("value")), F.lit(False)), "value")
+    both = rows.withColumn("value", number).withColumn("ts", X.instant(F.col("at"), zone)).withColumn("problem", problem)
+    return both.withColumn("dst", F.when(problem.isNull(), X.dst_adjustment(F.col("at"), zone))).withColumn("metric", F.lit(metric)).withColumn("unit", F.lit(unit))
+
+
+def points_of(rows: DataFrame) -> DataFrame:
+    return rows.filter("problem is null").select(F.lit("fitbit").alias("source"), "metric", "ts", "value", "unit", F.col("name").alias("source_file"))
+
+
+def skipped_of(rows: DataFrame) -> DataFrame:
+    """(source_file, skipped, n): rows and values that were left out of each file."""
+    return rows.filter("problem is not null").groupBy(F.col("name").alias("source_file"), F.col("problem").alias("skipped")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def adjusted_of(rows: DataFrame) -> DataFrame:
+    """(source_file, adjustment, n): times that daylight saving skips or repeats."""
+    return rows.filter("dst is not null").groupBy(F.col("name").alias("source_file"), F.col("dst").alias("adjustment")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _json_rows(files: DataFrame, kind: str, path: str) -> DataFrame:
+    e = json_entries(files, kind)
+    field = lambda p: F.try_variant_get("entry", p, "variant").isNotNull()
+    text = lambda p: F.try_variant_get("entry", p, "string")
+    wall = X.short_timestamp(F.trim(text("$.dateTime")))
+    at = F.when(wall.isNotNull(), F.struct(wall.alias("wall"), F.lit(None).cast("bigint").alias("offset_us")))
+    return e.select("name", F.coalesce(field("$.dateTime") & field(path), F.lit(False)).alias("present"), at.alias("at"), text(path).alias("x"))
+
+
+def heart_rate_rows(files: DataFrame, zone: str = "UTC") -> DataFrame:
+    return judged(_json_rows(files, "heart_rate", "$.value.bpm"), "heart_rate", "bpm", zone)
+
+
+def steps_rows(files: DataFrame, zone: str = "UTC") -> DataFrame:
+    return judged(_json_rows(files, "steps", "$.value"), "steps", "count", zone)
 
 
 def heart_rate(files: DataFrame, zone: str = "UTC") -> DataFrame:
-    e = json_entries(files, "heart_rate")
-    return _points(e.select("name", F.try_variant_get("entry", "$.dateTime", "string").alias("t"), F.try_variant_get("entry", "$.value.bpm", "string").alias("x")), "heart_rate", "bpm", zone)
+    return points_of(heart_rate_rows(files, zone))
 
 
 def steps(files: DataFrame, zone: str = "UTC") -> DataFrame:
-    e = json_entries(files, "steps")
-    return _points(e.select("name", F.try_variant_get("entry", "$.dateTime", "string").alias("t"), F.try_variant_get("entry", "$.value", "string").alias("x")), "steps", "count", zone)
+    return points_of(steps_rows(files, zone))
+
 
+def _csv_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(name, t, x, problem) of the columns named timestamp and rmssd, whatever their case and place; or why a file can't be read."""
+    for pdf in batches:
+        for name, text in zip(pdf["name"], pdf["text"], strict=True):
+            rows = csv.reader(io.StringIO(text, newline=""), strict=True)
+            try:
+                every = [r for r in rows if any(c.strip() for c in r)]
+            except csv.Error:
+                yield pd.DataFrame([(name, None, None, f"no CSV from line {rows.line_num} on")], columns=["name", "t", "x", "problem"])
+                continue
+            head = [c.strip().lower() for c in every[0]] if every else []
+            lost = [c for c in ("timestamp", "rmssd") if c not in head]
+            if lost:
+                yield pd.DataFrame([(name, None, None, "no column " + " and ".join(lost))], columns=["name", "t", "x", "problem"])
+                continue
+            i, j = head.index("timestamp"), head.index("rmssd")
+            cell = lambda r, k: r[k] if k < len(r) else None
+            yield pd.DataFrame([(name, cell(r, i), cell(r, j), None) for r in every[1:]], columns=["name", "t", "x", "problem"], dtype=object)
 
-def _csv_rows(files: DataFrame, kind: str) -> DataFrame:
-    """(name, t, x): the columns named timestamp and rmssd, whatever their case and place."""
-    lines = files.filter(F.col("kind") == kind).select("name", F.split(F.regexp_replace("text", "\r", ""), "\n").alias("l"))
-    cells = lambda c: F.transform(F.split(c, ","), lambda x: F.trim(x))
-    head = F.transform(cells(F.get("l", 0)), lambda x: F.lower(x))
-    at = lines.select("name", F.array_position(head, "timestamp").cast("int").alias("i"), F.array_position(head, "rmssd").cast("int").alias("j"), F.explode(F.slice("l", 2, F.greatest(F.size("l") - 1, F.lit(0)))).alias("row"))
-    return at.filter("i > 0 and j > 0 and trim(row) <> ''").select("name", F.get(cells(F.col("row")), F.col("i") - 1).alias("t"), F.get(cells(F.col("row")), F.col("j") - 1).alias("x"))
 
+def csv_rows(files: DataFrame, kind: str) -> DataFrame:
+    return files.filter((F.col("kind") == kind) & F.col("text").isNotNull()).select("name", "text").mapInPandas(_csv_cells, "name string, t string, x string, problem string")
 
-def _iso(text: Column) -> Column:
-    return F.when(text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}(:[0-9]{2}(\.[0-9]{1,6})?)?$"), F.replace(text, F.lit("T"), F.lit(" ")).try_cast("timestamp").cast("timestamp_ntz"))
+
+def hrv_rows(files: DataFrame, zone: str) -> DataFrame:
+    rows = csv_rows(files, "hrv_details").filter("problem is null")
+    return judged(rows.select("name", F.lit(True).alias("present"), X.iso_parts(F.col("t")).alias("at"), "x"), "hrv_rmssd", "ms", zone)
 
 
 def hrv_details(files: DataFrame, zone: str) -> DataFrame:
-    rows = _csv_rows(files, "hrv_details").withColumn("ts", X.localize(_iso(F.col("t")), zone)).withColumn("value", X.parse_number(F.col("x")))
-    good = rows.filter("ts is not null and value is not null").filter(X.in_range(F.lit("hrv_rmssd"), F.col("value")))
-    return good.select(F.lit("fitbit").alias("source"), F.lit("hrv_rmssd").alias("metric"), "ts", "value", F.lit("ms").alias("unit"), F.col("name").alias("source_file"))
+    return points_of(hrv_rows(files, zone))
 
 
 def daily_hrv(files: DataFrame) -> DataFrame:
     """(date as written, rmssd, source_file)."""
-    rows = _csv_rows(files, "hrv_daily").select(F.substr("t", F.lit(1), F.lit(10)).try_cast("date").alias("date"), X.parse_number(F.col("x")).alias("rmssd"), F.col("name").alias("source_file"))
+    rows = csv_rows(files, "hrv_daily").filter("problem is null").select(X.iso_parts(F.col("t"))["wall"].cast("date").alias("date"), X.parse_number(F.col("x")).alias("rmssd"), F.col("name").alias("source_file"))
     return rows.filter("date is not null").filter(X.in_range(F.lit("hrv_rmssd"), F.col("rmssd")))
 
 
@@ -169,7 +253,7 @@ def sleep_logs(files: DataFrame, zone: str) -> tuple[DataFrame, DataFrame]:
     """
     e = json_entries(files, "sleep")
     get = lambda p, t="string": F.try_variant_get("entry", p, t)
-    us = lambda c: F.unix_micros(X.localize(_iso(c), zone))
+    us = lambda c: F.unix_micros(X.instant(X.iso_parts(c), zone))
     logs = e.select(
         "name", "pos", F.nullif(F.trim(get("$.logId")), F.lit("")).alias("log_id"), us(get("$.startTime")).alias("start_us"), us(get("$.endTime")).alias("end_us"),
         F.coalesce(get("$.isMainSleep", "boolean"), F.lit(False)).alias("is_main"), F.coalesce(get("$.type") == "stages", F.lit(False)).alias("has_stages"),
@@ -191,10 +275,22 @@ def sleep_logs(files: DataFrame, zone: str) -> tuple[DataFrame, DataFrame]:
     return logs.select(key.alias("session_id"), "log_id", "start_us", "end_us", "is_main", "has_stages", F.col("name").alias("source_file")), intervals
 
 
-def read_export(spark: SparkSession, path: str, zone: str = "UTC", first_day: str | None = None, last_day: str | None = None) -> Export:
-    """All tables of an export. Heart rate and steps are written in UTC, everything else in the display zone."""
+def unknown_levels(files: DataFrame) -> DataFrame:
+    """(source_file, level, n): names of stages that aren't known; their intervals are of the stage unknown."""
+    e = json_entries(files, "sleep").select("name", F.explode(F.try_variant_get("entry", "$.levels.data", "array<variant>")).alias("v"))
+    level = e.select("name", F.coalesce(F.trim(F.try_variant_get("v", "$.level", "string")), F.lit("")).alias("level"))
+    return level.filter(X.lookup(F.lower("level"), S.STAGE_NAMES).isNull()).groupBy(F.col("name").alias("source_file"), "level").agg(F.count(F.lit(1)).alias("n"))
+
+
+def read_export(spark: SparkSession, path: str, zone: str = "UTC", first_day: str | None = None, last_day: str | None = None, zones: Mapping[str, str] | None = None) -> Export:
+    """All tables of an export. Heart rate and steps are written in UTC, everything else in the display zone, unless ``zones`` says otherwise for a kind."""
     files = read_files(spark, path, first_day, last_day)
-    logs, intervals = sleep_logs(files, zone)
-    points = heart_rate(files).unionByName(steps(files)).unionByName(hrv_details(files, zone))
-    report = files.groupBy(F.coalesce("kind", F.lit("unsupported")).alias("kind"), F.coalesce("skipped", F.lit("")).alias("skipped")).agg(F.count(F.lit(1)).alias("files"))
-    return Export(points, logs, intervals, daily_hrv(files), report)
+    of = source_zones(zone, zones)
+    logs, intervals = sleep_logs(files, of["sleep"])
+    rows = [heart_rate_rows(files, of["heart_rate"]), steps_rows(files, of["steps"]), hrv_rows(files, of["hrv_details"])]
+    union = lambda make: make(rows[0]).unionByName(make(rows[1])).unionByName(make(rows[2]))
+    unread = csv_rows(files, "hrv_details").unionByName(csv_rows(files, "hrv_daily")).filter("problem is not null").select("name", F.col("problem").alias("_csv"))
+    not_json = F.col("kind").isin("heart_rate", "steps", "sleep") & F.coalesce(~F.schema_of_variant(F.try_parse_json("text")).startswith("ARRAY"), F.lit(True))
+    reason = F.coalesce("skipped", F.when(F.col("kind").isNotNull() & F.col("text").isNull(), "not UTF-8"), "_csv", F.when(not_json, "no JSON array"), F.lit(""))
+    report = files.join(unread, "name", "left").groupBy(F.coalesce("kind", F.lit("unsupported")).alias("kind"), reason.alias("skipped")).agg(F.count(F.lit(1)).alias("files"))
+    return Export(union(points_of), logs, intervals, daily_hrv(files), report, union(skipped_of), union(adjusted_of), unknown_levels(files))

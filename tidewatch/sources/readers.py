@@ -3,13 +3,27 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.sources import fitbit, sensorpush
 
-Reader = Callable[..., DataFrame]
+
+
+@dataclass(frozen=True)
+class LoadResult:
+    """What a reader gives: points (source, metric, ts, value, unit, source_file), what it skipped (source_file, skipped, n), and candidate
+    sessions with their intervals, if the source has any."""
+
+    points: DataFrame
+    skipped: DataFrame
+    sessions: DataFrame | None = None
+    intervals: DataFrame | None = None
+
+
+Reader = Callable[..., LoadResult]
 _readers: dict[str, Reader] = {}
 
 
@@ -33,8 +47,36 @@ def names() -> list[str]:
     return sorted(_readers)
 
 
-register("fitbit", lambda spark, path, zone="UTC": fitbit.read_export(spark, path, zone).points)
-register("sensorpush", lambda spark, path, zone="UTC": sensorpush.read_sensorpush(spark, path, zone))
+def _fitbit(spark: SparkSession, path: str, zone: str = "UTC", **options) -> LoadResult:
+    x = fitbit.read_export(spark, path, zone, **options)
+    return LoadResult(x.points, x.skipped, x.logs, x.intervals)
+
+
+def _sensorpush(spark: SparkSession, path: str, zone: str = "UTC") -> LoadResult:
+    return LoadResult(sensorpush.read_sensorpush(spark, path, zone), sensorpush.skipped_cells(sensorpush.read_cells(spark, path, zone)))
+
+
+register("fitbit", _fitbit)
+register("sensorpush", _sensorpush)
+
+
+def of_files(points: DataFrame, files: DataFrame) -> DataFrame:
+    """The points that come from some files (source_file)."""
+    return points.join(files.select("source_file").distinct(), "source_file", "left_semi")
+
+
+def write_partition(rows: DataFrame, path: str, import_id: str) -> None:
+    """Writes the rows of one import in place of those that it had; other imports stay. Metadata and telemetry are both kept like this."""
+    write_telemetry(rows, path, import_id)
+
+
+def delete_import(spark: SparkSession, import_id: str, *paths: str) -> bool:
+    """Removes an import from all tables under ``paths``; whether there was any."""
+    found = False
+    for path in paths:
+        part = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/import_id={import_id}")
+        found = bool(part.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(part, True)) or found
+    return found
 
 
 def write_telemetry(points: DataFrame, path: str, import_id: str) -> None:
