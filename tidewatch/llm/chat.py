@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.arrays import cut, running_sum
+from tidewatch.functions.arrays import cut, running_sum
 
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>\n"
 

@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.arrays import cut, let, running_max, running_sum
+from tidewatch.functions.arrays import cut, let, running_max, running_sum
 from tidewatch.llm.store import written
 
 #: Base patterns in the order of the kinds. They match what the plain ones match, leftmost and without overlap:
