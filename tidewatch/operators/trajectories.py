@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 
 from tidewatch import schema as S
 from tidewatch.functions import scalars as X
-from tidewatch.functions.arrays import fold_each
+from tidewatch.functions.arrays import fold_each, let
 from tidewatch.operators.asof import as_of, lerp
 from tidewatch.operators.events import runs
+from tidewatch.session import written
 
 
 @dataclass(frozen=True)
@@ -110,6 +111,7 @@ def contributions(mapped: DataFrame, spans_: DataFrame, routes: Routes, target_s
     trajectory glides within a second from where it is, at the window's start; a glide that another one interrupts is cut.
     """
     end = float(target_s)
+    mapped = written(mapped, "contribution-windows")  # read twice below
     have = mapped.groupBy("session_id", "metric").agg(F.count("smoothed").alias("_have"))
     enabled = F.col("metric").isin([m for m, r in routes.items() if r.enabled])
     # movement is never missing, so it is followed whatever it is
@@ -126,27 +128,31 @@ def contributions(mapped: DataFrame, spans_: DataFrame, routes: Routes, target_s
     rows = rows.withColumn("limit", _of_metric({m: float(r.hysteresis) for m, r in routes.items()}, 0.0)).withColumnsRenamed({"t0": "a", "t1": "b"})
 
     def step(s: Column, x: Column) -> Column:
-        gone, center = x["smoothed"].isNull(), (x["a"] + x["b"]) / 2
-        first = s["missing"].isNull()
+        first, gone = s["missing"].isNull(), x["smoothed"].isNull()
         flip = ~first & (gone != s["missing"])
-        moves = s["ref"].isNull() | (F.coalesce(s["missing"], F.lit(False))) | (F.abs(x["smoothed"] - s["ref"]) >= x["limit"])
-        ref = F.when(gone, s["ref"]).when(moves, x["smoothed"]).otherwise(s["ref"])
-        applied = F.when(gone, s["applied"]).when(moves, x["v"]).otherwise(s["applied"])
-        value = F.when(gone, F.lit(S.NEUTRAL)).otherwise(applied)
+        moves = s["ref"].isNull() | F.coalesce(s["missing"], F.lit(False)) | (F.abs(x["smoothed"] - s["ref"]) >= x["limit"])
         here = F.when(s["t1"] <= x["a"], s["v1"]).otherwise(s["v0"] + (s["v1"] - s["v0"]) * (x["a"] - s["t0"]) / (s["t1"] - s["t0"]))
-        at_center = first | ~flip & (s["t1"] < center)
-        return F.struct(
-            gone.alias("missing"), ref.alias("ref"), applied.alias("applied"),
-            F.when(first, F.lit(0.0)).when(flip, x["a"]).when(at_center, s["t1"]).otherwise(s["t0"]).alias("t0"),
-            F.when(first, value).when(flip, here).when(at_center, s["v1"]).otherwise(s["v0"]).alias("v0"),
-            F.when(flip, x["a"] + S.GLIDE_S).when(at_center, center).otherwise(s["t1"]).alias("t1"),
-            F.when(flip | at_center, value).otherwise(s["v1"]).alias("v1"),
-            flip.alias("flip"), at_center.alias("center"),
+        center = (x["a"] + x["b"]) / 2
+        seen = F.struct(
+            first.alias("first"), gone.alias("gone"), flip.alias("flip"), center.alias("c"), (first | ~flip & (s["t1"] < center)).alias("center"), here.alias("here"),
+            F.when(gone | ~moves, s["ref"]).otherwise(x["smoothed"]).alias("ref"), F.when(gone | ~moves, s["applied"]).otherwise(x["v"]).alias("applied"),
         )
 
+        def after(y: Column) -> Column:
+            value = F.when(y["gone"], F.lit(S.NEUTRAL)).otherwise(y["applied"])
+            return F.struct(
+                y["gone"].alias("missing"), y["ref"].alias("ref"), y["applied"].alias("applied"),
+                F.when(y["first"], F.lit(0.0)).when(y["flip"], x["a"]).when(y["center"], s["t1"]).otherwise(s["t0"]).alias("t0"),
+                F.when(y["first"], value).when(y["flip"], y["here"]).when(y["center"], s["v1"]).otherwise(s["v0"]).alias("v0"),
+                F.when(y["flip"], x["a"] + S.GLIDE_S).when(y["center"], y["c"]).otherwise(s["t1"]).alias("t1"),
+                F.when(y["flip"] | y["center"], value).otherwise(s["v1"]).alias("v1"), y["flip"].alias("flip"), y["center"].alias("center"),
+            )
+
+        return let(seen, after)
+
     nothing = F.from_json(F.lit("{}"), STATE)
     folded = _fold(rows, ["session_id", "metric"], "w", ["a", "b", "smoothed", "v", "limit"], nothing, step, STATE)
-    s = folded.select("session_id", "metric", "w", "out.*")
+    s = written(folded.select("session_id", "metric", "w", "out.*"), "contribution-steps")
     order = Window.partitionBy("session_id", "metric").orderBy("w")
     later = F.min(F.when(F.col("flip"), F.col("t0"))).over(order.rowsBetween(1, Window.unboundedFollowing))
     last = F.row_number().over(Window.partitionBy("session_id", "metric").orderBy(F.desc("w"))) == 1
@@ -190,9 +196,11 @@ def combine(contributions_: DataFrame, spans_: DataFrame, routes: Routes, target
     raise some parameters; a value changes no faster than the parameter's rate.
     """
     end = float(target_s)
+    contributions_ = written(contributions_, "contributions")  # read four times below
     middles = spans_.select("session_id", "w", ((F.col("t0") + F.col("t1")) / 2).alias("t"))
     ends = spans_.select("session_id").distinct().select("session_id", F.explode(F.array(F.lit(0.0), F.lit(end))).alias("t"))
     times = contributions_.select("session_id", "t").filter(F.col("t") <= end).unionByName(middles.select("session_id", "t")).unionByName(ends).distinct()
+    times = written(times, "trajectory-times")
     drives = {m: r for m, r in routes.items() if r.enabled}
     own = contributions_.filter(F.col("metric").isin(list(drives)))
     have = own.select("session_id", "metric").distinct()

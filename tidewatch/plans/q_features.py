@@ -107,7 +107,7 @@ def brief_awakenings(spark, d):
     return W.brief_awakenings(C.segments(spark, d), C.sessions(spark, d), 48)
 
 
-@query(f"WITH {C.ALIGNED} SELECT session_id, metric, round(1 - count(value) / CAST(count(*) AS DOUBLE), 6) AS missing FROM timeline GROUP BY ALL")
+@query(f"WITH {C.ALIGNED} SELECT session_id, metric, round(1 - count(value) / CAST(count(*) AS DOUBLE), 6) AS missing, count(value) > 0 AS available FROM timeline GROUP BY session_id, metric")
 def metric_availability(spark, d):
     return W.availability(_timeline(spark, d)).withColumn("missing", F.round("missing", 6))
 
