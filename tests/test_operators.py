@@ -162,3 +162,28 @@ def test_long_chain_of_duplicates_is_one_group(spark):
     rows = [("s", f"{i:04}", i // 2, i // 2 + 1, (i + 1) // 2, False, True) for i in range(200)]
     df = spark.createDataFrame(rows, "subject string, content string, start_us bigint, end_us bigint, log_id bigint, is_main boolean, has_stages boolean")
     assert [(r.content, r.n) for r in intervals.deduplicate(df).collect()] == [("0000", 200)]
+
+
+def test_times_and_texts(spark):
+    us = lambda n: F.lit(n).cast("bigint")
+    r = spark.range(1).select(
+        X.spoken_duration(us(3_930_000_000)).alias("a"), X.spoken_duration(us(499_999)).alias("b"), X.elapsed_text(us(130_500_000)).alias("c"), X.elapsed_text(us(45_500_000)).alias("d"), X.elapsed_text(us(-5)).alias("e"),
+        X.ratio_text(X.compression_ratio(us(0), us(8 * S.HOUR), 180)).alias("f"), X.too_short(us(0), us(180 * SEC), 180).alias("g"), X.add_elapsed(us(5), F.lit(1.5)).alias("h"),
+        X.display_time(us(0), "America/New_York").cast("string").alias("i"), X.marker_percent(F.lit(200.0), 180).alias("j"),
+        X.is_valid(us(1), F.lit("s"), F.lit("steps"), F.lit(2.0), F.lit("count")).alias("k"), X.is_valid(us(1), F.lit(" "), F.lit("steps"), F.lit(2.0), F.lit("count")).alias("l"),
+    ).first()
+    assert tuple(r) == ("1 h 5 min 30 s", "0 s", "2 min 10.5 s", "45.5 s", "0 s", "160.000", True, 1_500_005, "1969-12-31 19:00:00", 100.0, True, False)
+
+
+def test_selection_rules(spark):
+    h = S.HOUR
+    rows = [("u", 0, 8 * h, "a", None, True, True), ("u", 6 * h, 9 * h, "b", 3, False, True), ("u", 20 * h, 21 * h, "c", None, False, False)]
+    df = spark.createDataFrame(rows, "subject string, start_us bigint, end_us bigint, content string, log_id bigint, is_main boolean, has_stages boolean")
+    owners = {(r.content, r.start_us // h, r.end_us // h) for r in intervals.ownership(intervals.merge_islands(df, ["subject"]), ["subject", "island"]).collect()}
+    assert owners == {("a", 0, 8), ("b", 8, 9), ("c", 20, 21)}
+    ranges = spark.createDataFrame([("u", "2024-03-01 22:00", "2024-03-02 22:00"), ("v", "2024-03-01 22:00", "2024-03-02 22:00:01"), ("w", None, "x")], "subject string, start string, end string")
+    assert {r.subject: r.problem for r in intervals.manual_sessions(ranges, "UTC").collect()} == {"u": None, "v": "longer than 24 hours", "w": "start is missing"}
+    chosen = intervals.containing(spark.createDataFrame([("u", "x", h, 2 * h)], "subject string, content string, start_us bigint, end_us bigint"), df)
+    assert [r.container for r in chosen.collect()] == ["a"]
+    now = spark.createDataFrame([], "subject string, kind string, content string, start_us bigint, end_us bigint")
+    assert [tuple(r) for r in intervals.resolve_selection(now, df, "UTC").collect()] == [("u", "auto", "a")]

@@ -43,4 +43,3 @@ PARAMETERS = (*FAST_PARAMETERS, "brightness", "texture_density", "modulation")
 BOOSTED = ("texture_density", "transient_density")
 STATE_PRESETS = {"awake": "Awake", "light": "Light", "deep": "Deep", "rem": "REM", "asleep": "Light", "restless": "Light", "unknown": "Neutral"}
 VARIATION_SCALES = {"temperature": 1.0, "humidity": 5.0, "pressure": 1.0}
-SLEEP_SOURCE, MANUAL_SOURCE = "fitbit", "manual"
