@@ -127,14 +127,16 @@ def covering(rows, features):
 
 def test_rules_equal_a_second_covering():
     rng = random.Random(9)
-    features = ("words", "symbols", "upper")
-    for _ in range(4):
+    features, found = ("words", "symbols", "upper"), 0
+    for noise in (0.0, 0.0, 0.01, 0.02):
         rows = []
         for i in range(240):
             r = {f: round(rng.random(), 2) for f in features} | {"grow": i % 3 != 0, "id": i}
-            rows.append(r | {"bad": int(r["symbols"] > 0.7 and r["upper"] < 0.6 or r["words"] > 0.9 or rng.random() < 0.02)})
+            rows.append(r | {"bad": int(r["symbols"] > 0.7 and r["upper"] < 0.6 or r["words"] > 0.9 or rng.random() < noise)})
         got = [[(c.feature, c.above, c.threshold) for c in r.conditions] for r in quality_rules.learn_rules(rows, features=features)]
-        assert got == covering(rows, features) and got
+        assert got == covering(rows, features)
+        found += len(got)
+    assert found >= 4
 
 
 def test_the_emitted_list_decides_as_the_rules(spark):
@@ -145,6 +147,25 @@ def test_the_emitted_list_decides_as_the_rules(spark):
     assert all(r.rule == (1 if r.symbols > 0.5 and r.words <= 3 else 2 if r.upper > 0.4 else None) for r in got)
 
 
+# --- decontamination
+
+
+@pytest.mark.parametrize("broadcast", [10**6, 0])
+def test_preamble_of_many_items(spark, broadcast):
+    """One window that 400 items share is matched once for each place, and gives all its items."""
+    from tidewatch.llm import decontam
+
+    preamble = " ".join(f"read{i}" for i in range(13))
+    items = [(i, f"{preamble} item{i}") for i in range(400)]
+    texts = [f"x {preamble} y {preamble}", preamble + " item7", "nothing", None, "far " * 3000 + preamble]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    of_items = decontam.item_windows(bench)
+    assert decontam.contained_windows(documents(spark, texts), of_items, broadcast_shingles=broadcast).count() == 2 + 2 + 1
+    got = {r.doc_id: (r.n_hit, len(r.items), r.contaminated) for r in decontam.decontaminate(documents(spark, texts), bench, broadcast_shingles=broadcast).collect()}
+    assert got == {0: (26, 400, True), 1: (14, 400, True), 2: (0, 0, False), 3: (0, 0, False), 4: (13, 400, False)}
+    assert decontam.decontaminate(documents(spark, ["x"]).limit(0), bench, broadcast_shingles=broadcast).count() == 0
+
+
 # --- pipeline
 
 

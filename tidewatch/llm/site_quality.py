@@ -1,5 +1,8 @@
 """Quality classifier by hierarchical empirical Bayes.
 
+``documents`` has no url, so its source and language stand in for host and
+path; with urls these are columns of the caller (``host``, ``path``).
+
 A logistic model of text statistics gives each document's evidence. Sites
 (hosts) and parts of sites (paths) get posteriors from the soft counts of good
 documents: a host is shrunk toward the global rate and a path toward its host,
