@@ -271,7 +271,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: int = S
     reps = written(first.select("rep", "text_key", "n", "sketch").dropDuplicates(["rep"]), "neardup-reps")
 
     keys = written(reps.select("rep", "sketch").mapInArrow(_band_keys, "key bigint, rep bigint, band int"), "neardup-keys")
-    groups = keys.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("rep").alias("a")).filter("members > 1")
+    groups = written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("rep").alias("a")).filter("members > 1"), "neardup-band-groups")
     # merged by sorting, as a join of this kind can split the rows of a key that very many sketches share
     grouped = written(keys.join(groups.hint("merge"), "key").select("key", "members", "a", "rep", "band"), "neardup-groups")
     sketch = reps.select("rep", "n", "sketch")
@@ -298,7 +298,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: int = S
 
     # groups of three and more that still hold several components
     wide = grouped.filter("members > 2").join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
-    mixed = wide.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
+    wide = written(wide.select("key", "members", "rep", "band", "comp"), "neardup-wide")
+    mixed = written(wide.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key"), "neardup-mixed")
     open_rows = wide.join(mixed.hint("merge"), "key").join(sketch, "rep")
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
