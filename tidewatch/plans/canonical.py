@@ -1,7 +1,7 @@
 """The driver's tables read as telemetry, in Spark and as SQL fragments.
 
 ``events`` are points: the type is the metric, the user picks one of three
-sensors and the unit, times are cut to the minute so that some collide. A
+sensors and the unit, times are cut to the minute so that some collide. Three
 hundred users are a subject (a household); a session is a subject's day, from
 its first event to a minute after its last. Each event is also a change of
 sleep stage. Orders are candidate sessions of a customer.
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-CUT_US, RES_US, AFTER_US, TARGET_S, USERS = 60_000_000, 300_000_000, 61_234_567, 180, 100
+CUT_US, RES_US, AFTER_US, TARGET_S, USERS = 60_000_000, 300_000_000, 61_234_567, 180, 300
 METRIC = {"view": "heart_rate", "click": "hrv_rmssd", "purchase": "steps", "signup": "temperature", "error": "pressure"}
 
 
