@@ -38,6 +38,8 @@ LEAST_FACTOR, HALF_G2 = 0.25, 12.0
 FREQUENT_SHARE = 1 / 32
 #: Examples to a block at most; blocks that are looked into before the first and the second cut; what bounds may be off by.
 BLOCK, FIRST_BLOCKS, SLACK = 64, (2, 8), 1e-5
+#: The terms that most examples have, by which the examples are ordered.
+ORDERED_BY = 256
 BREAKS = np.zeros(256, bool)
 BREAKS[[c for c in range(128) if not chr(c).isalnum()]] = True
 
@@ -85,7 +87,7 @@ def find(vocabulary: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def alike_order(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """An order of the rows in which neighbours are alike, and where its blocks begin: each part is halved along its main direction."""
-    done, parts = [], [np.arange(len(vectors))]
+    done, parts = [], [np.arange(len(vectors))] if len(vectors) else []
     while parts:
         rows = parts.pop()
         if len(rows) <= BLOCK:
@@ -108,33 +110,55 @@ class Index:
     def __init__(self, vocabulary: np.ndarray, idf: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]], labels: list[int]):
         order = np.argsort(vocabulary)
         self.vocabulary, self.idf = vocabulary[order], idf[order].astype(np.float32)
-        vectors = [self.vector(*r) for r in rows]
         n = len(rows)
-        ids = np.repeat(np.arange(n), [len(v[0]) for v in vectors]).astype(np.int32)
-        term = np.concatenate([np.zeros(0, np.int64), *[v[0] for v in vectors]])
-        weight = np.concatenate([np.zeros(0, np.float32), *[v[1] for v in vectors]]).astype(np.float32)
-        frequent = np.flatnonzero(np.bincount(term, minlength=len(vocabulary)) > max(1, FREQUENT_SHARE * n))
+        sizes = np.array([len(k) for k, _ in rows], np.int64)
+        ids = np.repeat(np.arange(n, dtype=np.int32), sizes)
+        term, weight = np.empty(len(ids), np.int32), np.empty(len(ids), np.float32)
+        ends = np.cumsum(sizes)
+        for r, to, size in zip(rows, ends.tolist(), sizes.tolist(), strict=True):  # all terms of examples are known
+            term[to - size : to], weight[to - size : to] = self.vector(*r)
+        times = np.bincount(term, minlength=len(vocabulary))
+        frequent = np.flatnonzero(times > max(1, FREQUENT_SHARE * n))
+        frequent = frequent[np.argsort(-times[frequent], kind="stable")]
         self.slot = np.full(len(vocabulary), -1, np.int32)
         self.slot[frequent] = np.arange(len(frequent))
-        many = self.slot[term] >= 0
-        matrix = np.zeros((n, len(frequent)), np.float32)
-        matrix[ids[many], self.slot[term[many]]] = weight[many]
+        slot = self.slot[term]
         #: The example at each place of the index, and where its blocks begin.
+        first = (slot >= 0) & (slot < ORDERED_BY)
+        matrix = np.zeros((n, min(len(frequent), ORDERED_BY)), np.float32)
+        matrix[ids[first], slot[first]] = weight[first]
         self.order, self.starts = alike_order(matrix)
         place = np.empty(n, np.int32)
         place[self.order] = np.arange(n)
-        matrix = matrix[self.order].T
-        self.blocks = [np.ascontiguousarray(matrix[:, a:b]) for a, b in zip(self.starts[:-1], self.starts[1:], strict=True)]
-        self.maxima = np.stack([x.max(axis=1) for x in self.blocks], axis=1) if n else np.zeros((len(frequent), 0), np.float32)
-        by_term = np.argsort(term[~many], kind="stable")
-        self.ids, self.weights = place[ids[~many]][by_term], weight[~many][by_term]
-        self.ptr = np.searchsorted(term[~many][by_term], np.arange(len(vocabulary) + 1))
+        many = slot >= 0
+        self.frequent = len(frequent), place[ids[many]], slot[many], weight[many]
+        self.blocks = self.maxima = None
+        few = np.flatnonzero(~many)
+        few = few[np.argsort(term[few], kind="stable")]
+        self.ids, self.weights = place[ids[few]], weight[few]
+        self.ptr = np.searchsorted(term[few], np.arange(len(vocabulary) + 1))
         self.labels = np.array(labels, np.int8)[self.order]
         self.place = place
         self.rate = float((self.labels.sum() + 1) / (n + 2)) if n else 0.5
         self.scale, self.shift = 1.0, 0.0
         self.seen = self.held = 0
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"blocks": None, "maxima": None}
+
+    def _spread(self) -> None:
+        """Lays out the frequent terms' weights by block, with their maxima; tasks do it for themselves, so that less is sent."""
+        n_frequent, ids, slot, weight = self.frequent
+        by_place = np.argsort(ids, kind="stable")
+        edges = np.searchsorted(ids[by_place], self.starts)
+        self.blocks = []
+        for a, b, x, y in zip(self.starts[:-1], self.starts[1:], edges[:-1], edges[1:], strict=True):
+            own = by_place[x:y]
+            block = np.zeros((n_frequent, b - a), np.float32)
+            block[slot[own], ids[own] - a] = weight[own]
+            self.blocks.append(block)
+        self.maxima = np.stack([x.max(axis=1) for x in self.blocks], axis=1) if self.blocks else np.zeros((n_frequent, 0), np.float32)
+
     def weighed(self, keys: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Known terms and their weights."""
         at, known = find(self.vocabulary, keys)
@@ -163,9 +187,12 @@ class Index:
         No cosine in a block is above its bound, the block's maxima times the vector and the largest sum of rare terms. So
         blocks under the k-th cosine so far are skipped; what is found is exact.
         """
-        m, n, n_blocks = len(vectors), len(self.labels), len(self.blocks)
+        m, n = len(vectors), len(self.labels)
         if not n:
             return [(np.zeros(0, np.int64), np.zeros(0))] * m
+        if self.blocks is None:
+            self._spread()
+        n_blocks = len(self.blocks)
         query, rare = np.zeros((m, len(self.maxima)), np.float32), np.empty((m, n))
         for k_row, (at, w) in enumerate(vectors):
             many = self.slot[at] >= 0
@@ -202,18 +229,9 @@ class Index:
         w = cosines.astype(float) ** 2
         return float(((w * self.labels[ids]).sum() + PRIOR_WEIGHT * self.rate) / (w.sum() + PRIOR_WEIGHT))
 
-    def calibrate(self, rows: list[tuple[np.ndarray, np.ndarray]], k: int) -> None:
+    def calibrate(self, votes: list[float], labels: list[int]) -> None:
         """Platt's curve through the votes that examples get from the others; one kind of label leaves the votes as they are."""
-        y, x = [], []
-        every = range(0, len(rows), max(1, len(rows) // CALIBRATED))
-        for a in range(0, len(every), TOGETHER):
-            some = every[a : a + TOGETHER]
-            own = [int(self.place[r]) for r in some]
-            for at, near in zip(own, self.nearest([self.vector(*rows[r]) for r in some], k, own), strict=True):
-                v = self.vote(*near)
-                x.append(np.log(v / (1 - v)))
-                y.append(self.labels[at])
-        x, y = np.array(x), np.array(y, float)
+        x, y = np.log(np.array(votes, float)) - np.log1p(-np.array(votes, float)), np.array(labels, float)
         if len(set(y)) < 2:
             return
         z, w = np.column_stack([x, np.ones(len(x))]), np.array([1.0, 0.0])
@@ -260,46 +278,83 @@ def _frequencies(vocabulary):
     return run
 
 
-def fit_index(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, neighbours: int = NEIGHBOURS, least_factor: float = LEAST_FACTOR) -> tuple[Index, DataFrame]:
+def _example_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, n, toxic): how many of a task's examples have each term, and how many of these are toxic."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = [np.frombuffer(k.as_buffer(), "<u8") for k in batch.column(1)]
+        toxic = np.repeat(batch.column(0).to_numpy(zero_copy_only=False).astype(float), [len(k) for k in keys])
+        term, at = np.unique(np.concatenate(keys), return_inverse=True)
+        n, pos = np.bincount(at, minlength=len(term)), np.bincount(at, toxic, minlength=len(term))
+        yield pa.RecordBatch.from_arrays([pa.array(term.astype(np.int64)), pa.array(n), pa.array(pos.astype(np.int64))], ["term", "n", "toxic"])
+
+
+def _votes(shared, mixes: np.ndarray, neighbours: int):
+    """(vote, toxic) of some examples, evenly spread over their order: what the other examples say of them."""
+    step = max(1, len(mixes) // CALIBRATED)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
+        for batch in batches:
+            row = np.searchsorted(mixes, batch.column(0).to_numpy())
+            some = batch.filter(pa.array(row % step == 0))
+            row = row[row % step == 0]
+            for a in range(0, len(row), TOGETHER):
+                part = some.slice(a, TOGETHER)
+                vectors = [index.vector(np.frombuffer(k.as_buffer(), "<u8"), np.frombuffer(n.as_buffer(), "<i4")) for k, n in zip(part.column(2), part.column(3), strict=True)]
+                near = index.nearest(vectors, neighbours, [int(p) for p in index.place[row[a : a + TOGETHER]]])
+                yield pa.RecordBatch.from_arrays([pa.array([index.vote(*x) for x in near], pa.float64()), part.column(1)], ["vote", "toxic"])
+
+    return run
+
+
+def fit_index(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, neighbours: int = NEIGHBOURS, least_factor: float = LEAST_FACTOR) -> tuple[Index, object, DataFrame]:
     """The index of at most ``examples`` labelled documents that are not held out, taken in the order of a hash, equal texts once;
-    and (text_key, more): what the terms that no example has add to the square of a text's length."""
+    the same sent to all tasks; and (text_key, more): what the terms that no example has add to the square of a text's length."""
     spark = docs.sparkSession
     known = labels.filter("toxic is not null and doc_id is not null").filter(~held_out()).select("doc_id", "toxic").distinct()
     chosen = known.orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id", "toxic").limit(examples)
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").filter("text is not null")
     sample = texts.select(F.xxhash64("text").alias("mix"), F.col("toxic").cast("int").alias("toxic"), "text").dropDuplicates(["mix"])
     counted = written(sample.mapInArrow(_counts, "mix bigint, toxic int, terms binary, tf binary"), "toxicity-examples")
-    rows = counted.orderBy("mix", "toxic").select("toxic", "terms", "tf").toArrow()
-    pairs = [(np.frombuffer(k.as_buffer(), "<u8"), np.frombuffer(n.as_buffer(), "<i4").astype(float)) for k, n in zip(rows["terms"], rows["tf"], strict=True)]
-    toxic = rows["toxic"].to_pylist()
-    vocabulary, place = np.unique(np.concatenate([np.zeros(0, np.uint64), *[k for k, _ in pairs]]), return_inverse=True)
-    of_label = np.repeat(np.array(toxic, float), [len(k) for k, _ in pairs])
-    here, pos = np.bincount(place, minlength=len(vocabulary)).astype(float), np.bincount(place, of_label, minlength=len(vocabulary))
-    g2 = association(here, pos, len(pairs), sum(toxic))
+    of_terms = counted.select("toxic", "terms").mapInArrow(_example_terms, "term bigint, n bigint, toxic bigint").groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")).toArrow()
+    vocabulary = of_terms.column(0).to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(vocabulary)
+    vocabulary, here, pos = vocabulary[order], of_terms.column(1).to_numpy().astype(float)[order], of_terms.column(2).to_numpy().astype(float)[order]
+    n_examples, n_toxic = counted.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    g2 = association(here, pos, n_examples, n_toxic)
     factor = least_factor + (1 - least_factor) * g2 / (g2 + HALF_G2)
 
-    shared = spark.sparkContext.broadcast(vocabulary)
+    words = spark.sparkContext.broadcast(vocabulary)
     keyed = docs.select(F.xxhash64("text").alias("text_key"), "text")
-    seen = written(keyed.mapInArrow(_frequencies(shared), "text_key bigint, term bigint, n bigint, others bigint"), "toxicity-terms")
+    seen = written(keyed.mapInArrow(_frequencies(words), "text_key bigint, term bigint, n bigint, others bigint"), "toxicity-terms")
     n_docs = docs.count()
     of_known = seen.filter("text_key is null").groupBy("term").agg(F.sum("n").alias("df")).toArrow()
-    at, _ = find(vocabulary, of_known.column(0).to_numpy().astype(np.int64).astype(np.uint64))
+    at, _ = find(vocabulary, of_known.column(0).to_numpy().astype(np.int64).view(np.uint64))
     df = np.zeros(len(vocabulary))
     df[at] = of_known.column(1).to_numpy()
-    index = Index(vocabulary, np.log((n_docs + 1) / (df + 0.5)) * factor, pairs, toxic)
-    index.calibrate(pairs, neighbours)
+    words.unpersist()
+
+    rows = counted.orderBy("mix", "toxic").toArrow()
+    pairs = [(np.frombuffer(k.as_buffer(), "<u8"), np.frombuffer(n.as_buffer(), "<i4")) for k, n in zip(rows["terms"], rows["tf"], strict=True)]
+    index = Index(vocabulary, np.log((n_docs + 1) / (df + 0.5)) * factor, pairs, rows["toxic"].to_pylist())
+    mixes = rows["mix"].to_numpy().astype(np.int64)
+    del rows, pairs
+    shared = spark.sparkContext.broadcast(index)
+    told = counted.mapInArrow(_votes(shared, mixes, neighbours), "vote double, toxic int").toArrow().to_pydict()
+    index.calibrate(told["vote"], told["toxic"])
 
     others = seen.filter("text_key is not null")
     rare = others.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weight = (1 + F.log("n")) * F.log((n_docs + 1) / (F.col("df") + 0.5)) * least_factor
     # rows of one text bring its terms each
     more = others.join(rare, "term").groupBy("text_key").agg((F.sum(weight * weight) * F.max("others") / F.count(F.lit(1))).alias("more"))
-    return index, more
+    return index, shared, more
 
 
-def score_texts(docs: DataFrame, index: Index, more: DataFrame, neighbours: int = NEIGHBOURS) -> DataFrame:
+def score_texts(docs: DataFrame, index: Index, shared, more: DataFrame, neighbours: int = NEIGHBOURS) -> DataFrame:
     """(doc_id, score, evidence): the calibrated vote of the nearest examples; evidence has their places, labels and cosines."""
-    shared = docs.sparkSession.sparkContext.broadcast(index)
     kind = pa.list_(pa.struct([("example", pa.int32()), ("label", pa.int32()), ("cosine", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,8 +390,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, example
     labels of both kinds that holds for all. Rows are independent: null and repeated ids are ordinary. Only the text enters
     a score; other columns are ignored.
     """
-    index, more = fit_index(docs, labels, examples, neighbours, least_factor)
-    out = score_texts(docs, index, more, neighbours)
+    index, shared, more = fit_index(docs, labels, examples, neighbours, least_factor)
+    out = score_texts(docs, index, shared, more, neighbours)
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence")
 
 
