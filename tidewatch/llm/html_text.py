@@ -7,8 +7,10 @@ holds all dense lines is the content region. Lines of the region are kept,
 short ones too, but for those inside navigation, adverts, forms and the like.
 
 Elements that are such by their name, role or style never count. A class or an
-id, or a form, only suggests it: one that encloses nearly all dense text is an
-element like others. Work is linear in the events and in the depth.
+id, or a form, only suggests it: one that encloses nearly all dense text, where
+neither a heading nor prose stands outside of it, is an element like others. So
+comments and forms beside or inside an article go, however long they are. Work
+is linear in the events and in the depth.
 """
 
 from __future__ import annotations
@@ -50,8 +52,10 @@ OWN_HEAD = frozenset("entry post article story content".split())
 #: An element that starts ends one of these that is open.
 ENDS = {k: frozenset(("p " + v).split()) for k, v in {"p": "", "li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th"}.items()}
 SIGMA, RADIUS = 1.0, 3
-#: A form or a marked element with this share of the dense text, and at least so many characters of it, is one like others.
+#: A form or a marked element with this share of the dense text, and at least so many characters of it, can be one like others.
 WRAPPER, WRAPPED = 0.9, 200
+#: A line outside a paragraph is prose with so many characters, and so many for each tag.
+PROSE, PROSE_RATIO = 20, 10
 
 
 class _Element:
@@ -264,9 +268,14 @@ def dense_lines(sizes: np.ndarray, tags: np.ndarray, out: np.ndarray) -> np.ndar
 
 
 def _left_out(lines: list[_Line], sizes: np.ndarray, tags: np.ndarray) -> np.ndarray:
-    """Whether each line is in an element that is out, or in a form or marked element that doesn't enclose nearly all dense text."""
+    """Whether each line is in an element that is out, or in a form or marked element that isn't a wrapper of the whole.
+
+    A wrapper encloses nearly all dense text, and what encloses it holds no heading and no prose but in marked elements.
+    """
     out = np.array([x.at.skip for x in lines])
     marks: dict[_Element, int] = {}
+    #: Whether an element (None: the page) has a heading or prose that stands in no marked element inside of it.
+    tells: set[_Element | None] = set()
     for x in lines:
         e = x.at.mark
         while e is not None and e not in marks:
@@ -274,6 +283,9 @@ def _left_out(lines: list[_Line], sizes: np.ndarray, tags: np.ndarray) -> np.nda
             e = e.outer
     if not marks:
         return out
+    for x, k in zip(lines, out.tolist(), strict=True):
+        if not k and (x.at.heading or x.at.tag == "p" or len(x.text) >= max(PROSE, PROSE_RATIO * x.tags)):
+            tells.add(x.at.mark)
     dense, total = dense_lines(sizes, tags, out), 0
     for x, d, n in zip(lines, dense, sizes.tolist(), strict=True):
         if d:
@@ -284,9 +296,11 @@ def _left_out(lines: list[_Line], sizes: np.ndarray, tags: np.ndarray) -> np.nda
     for e in inside_first:
         if e.outer is not None:
             marks[e.outer] += marks[e]
-    dead: dict[_Element, bool] = {}
+    dead: dict[_Element | None, bool] = {None: False}
+    told: dict[_Element | None, bool] = {None: None in tells}
     for e in reversed(inside_first):
-        dead[e] = bool(e.outer is not None and dead[e.outer]) or not (marks[e] >= WRAPPER * total and marks[e] >= WRAPPED)
+        dead[e] = dead[e.outer] or told[e.outer] or not (marks[e] >= WRAPPER * total and marks[e] >= WRAPPED)
+        told[e] = told[e.outer] or e in tells
     return out | np.array([x.at.mark is not None and dead[x.at.mark] for x in lines])
 
 

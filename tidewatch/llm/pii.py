@@ -45,14 +45,15 @@ TITLES = "Mr Mrs Ms Dr Prof Herr Frau Madame Monsieur Señor Señora".split()
 STREETS = "Street St Avenue Ave Road Rd Lane Ln Drive Boulevard Blvd Court Square Way Place".split()
 TRIGGERS = "password passwd pwd secret token key apikey login user account iban ssn contact follow mail email phone tel call card ip name address street live lives".split()
 #: Looser patterns whose spans are voted on; the kind they would add. A secret is the whole run of its characters, but for full
-#: stops at its end; an account number has the lengths that its standard allows.
+#: stops at its end; an account number has the lengths that its standard allows; an address ends at its first kind of street.
+#: Groups that repeat without bound are possessive: the engine walks them in a loop and not by recursion, whatever their length.
 LOOSE = {
     "secret": r"(?<![A-Za-z0-9_])(?:AKIA[A-Z0-9]{12,}+|(?i:password|passwd|pwd|secret|token|api_?key)\s*+[=:]\s*+\x22?[A-Za-z0-9+/_.=~-]{6,}(?<!\.)\x22?)",
     "account": r"(?<![A-Za-z0-9])(?:[A-Z]{2}[0-9]{2}(?:(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?|(?:\x20?[A-Z0-9]{4}){2}\x20?[A-Z0-9]{3})|[0-9]{3}-[0-9]{2}-[0-9]{4})(?![A-Za-z0-9])",
     "handle": r"(?<![A-Za-z0-9._%+@-])@[A-Za-z_][A-Za-z0-9_]{2,}+(?!@|\.[A-Za-z0-9])",
     "name": rf"(?<![A-Za-z])(?=[A-Z])(?:(?:{'|'.join(TITLES)})\.?\x20[A-Z][a-z]++(?:\x20[A-Z][a-z]++)?|(?:{'|'.join(GIVEN)})\x20(?:[A-Z]\.\x20)?[A-Z][a-z]++)(?![A-Za-z])",
-    "address": rf"(?<![A-Za-z0-9])[0-9]{{1,5}}\x20(?:[A-Z][a-z]+\x20)+?(?:{'|'.join(STREETS)})(?![A-Za-z])",
-    "written": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:\x20++|\x20*+[\[({]\x20*+)(?i:at)(?:\x20++|\x20*+[\])}]\x20*+)[A-Za-z0-9-]++(?:(?:\x20++|\x20*+[\[({]\x20*+)(?i:dot)(?:\x20++|\x20*+[\])}]\x20*+)[A-Za-z0-9-]++)+",
+    "address": rf"(?<![A-Za-z0-9])[0-9]{{1,5}}\x20[A-Z][a-z]++\x20(?:(?!(?:{'|'.join(STREETS)})(?![A-Za-z]))[A-Z][a-z]++\x20)*+(?:{'|'.join(STREETS)})(?![A-Za-z])",
+    "written": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:\x20++|\x20*+[\[({]\x20*+)(?i:at)(?:\x20++|\x20*+[\])}]\x20*+)[A-Za-z0-9-]++(?:(?:\x20++|\x20*+[\[({]\x20*+)(?i:dot)(?:\x20++|\x20*+[\])}]\x20*+)[A-Za-z0-9-]++)++",
 }
 #: What a text must have, by a cheaper test, for its pattern to be tried.
 NEEDS = {

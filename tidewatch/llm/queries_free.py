@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import html_text, lm, neardup, site_quality, toxicity
+from tidewatch.llm import html_text, lm, neardup, phrases, site_quality, toxicity
 from tidewatch.llm.store import table
 
 
@@ -29,7 +29,11 @@ def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_documents(table(spark, sf_dir, "documents"))[0]
 
 
-QUERIES = {f.__name__: f for f in (op1_html_text, op3_site_quality, op4_near_duplicates, op5_toxicity, op7_lm_score)}
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_html_text, op3_site_quality, op4_near_duplicates, op5_toxicity, op7_lm_score, op13_collocations)}
 
 OP4_SQL = r"""
 WITH RECURSIVE d AS (
@@ -44,4 +48,28 @@ SELECT doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(y) AS component_id
 FROM r JOIN documents ON r.x = doc_id LEFT JOIN n USING (doc_id) GROUP BY doc_id
 """
 
-ORACLE_SQL = {"op4_near_duplicates": OP4_SQL}
+OP13_SQL = r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM d),
+g AS (SELECT lang, k, array_to_string(w[i + 1 : i + k], ' ') AS phrase
+      FROM (SELECT lang, w, k, unnest(range(0, len(w) - k + 1)) AS i FROM p, (SELECT unnest([1, 2, 3]) AS k) WHERE len(w) >= k)),
+f AS (SELECT lang, k, phrase, count(*) AS f, string_split(phrase, ' ') AS w FROM g GROUP BY lang, k, phrase),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT * FROM f WHERE k > 1 AND f >= 10),
+cut AS (
+  SELECT c.lang, c.k, c.phrase, c.f AS a, c.w, x.k AS first, x.f AS l, y.f AS r, (1000000::HUGEINT * c.f * c.f) // (x.f::HUGEINT * y.f) AS score
+  FROM c JOIN f x ON x.lang = c.lang AND x.k < c.k AND x.phrase = array_to_string(c.w[1 : x.k], ' ')
+         JOIN f y ON y.lang = c.lang AND y.k = c.k - x.k AND y.phrase = array_to_string(c.w[x.k + 1 : ], ' ')),
+best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, first) = 1),
+inside AS (
+  SELECT lang, phrase, max(f) AS f FROM (
+    SELECT lang, array_to_string(w[1 : 2], ' ') AS phrase, f FROM c WHERE k = 3 UNION ALL SELECT lang, array_to_string(w[2 : 3], ' '), f FROM c WHERE k = 3)
+  GROUP BY lang, phrase),
+alone AS (SELECT b.* FROM best b LEFT JOIN inside i ON i.lang = b.lang AND i.phrase = b.phrase AND b.k = 2 WHERE i.f IS NULL OR 100 * i.f < 50 * b.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM alone)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+ORACLE_SQL = {"op13_collocations": OP13_SQL, "op4_near_duplicates": OP4_SQL}
