@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import json
 import math
-import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm import hashed
+from tidewatch.llm.blobs import numbers, packed, planes, unpacked
 from tidewatch.llm.store import written
 
 MIN_COUNT, TOP, COVERED = 10, 2000, 50
@@ -68,27 +68,6 @@ class _Tokens:
         return self.low[self.starts[at] : self.ends[at]].tobytes()
 
 
-def _packed(*parts: bytes) -> bytes:
-    whole = struct.pack(f"<I{len(parts)}Q", len(parts), *[len(p) for p in parts]) + b"".join(parts)
-    return struct.pack("<Q", len(whole)) + pa.compress(whole, codec="zstd", asbytes=True)
-
-
-def _unpacked(blob: bytes) -> list[bytes]:
-    whole = pa.decompress(blob[8:], decompressed_size=struct.unpack_from("<Q", blob)[0], codec="zstd", asbytes=True)
-    (n,) = struct.unpack_from("<I", whole)
-    edges = np.cumsum([4 + 8 * n, *struct.unpack_from(f"<{n}Q", whole, 4)])
-    return [whole[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
-
-
-def _planes(x: np.ndarray) -> bytes:
-    """Numbers below 2^32, all lowest bytes first, then the next ones."""
-    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
-
-
-def _numbers(b: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.uint64)
-
-
 class Trie:
     """Count trie of depth three of some tokens. Levels are sorted by path; words are ranks in ``vocabulary``."""
 
@@ -136,10 +115,10 @@ class Trie:
             step = lambda x: np.diff(x, prepend=0)
             yield (
                 r,
-                _packed(
-                    keys.astype("<u8").tobytes(), b" ".join(w for w, _ in own), json.dumps(langs).encode(), _planes(np.array([at[x] for _, x in own], np.uint32)),
-                    _planes(step(local[0])), _planes(self.count1[a1:b1]), _planes(step(local[1])), _planes(local[2]), _planes(self.count2[a2:b2]),
-                    _planes(step(local[3])), _planes(local[4]), _planes(local[5]), _planes(self.count3[a3:b3]),
+                packed(
+                    keys.astype("<u8").tobytes(), b" ".join(w for w, _ in own), json.dumps(langs).encode(), planes(np.array([at[x] for _, x in own], np.uint32)),
+                    planes(step(local[0])), planes(self.count1[a1:b1]), planes(step(local[1])), planes(local[2]), planes(self.count2[a2:b2]),
+                    planes(step(local[3])), planes(local[4]), planes(local[5]), planes(self.count3[a3:b3]),
                 ),
             )
 
@@ -235,16 +214,16 @@ def _found(codes: np.ndarray, wanted: np.ndarray, values: np.ndarray) -> tuple[n
 
 def merged(blobs: list[bytes], least: int) -> pa.Table:
     """Rows of NODE: the nodes of a range with ``least`` and more, and the number of words of each language (depth 0)."""
-    parts = [_unpacked(b) for b in blobs]
+    parts = [unpacked(b) for b in blobs]
     known = [np.frombuffer(p[0], "<u8") for p in parts]
     vocabulary = np.unique(np.concatenate(known))
     ranks = [np.searchsorted(vocabulary, k).astype(np.uint64) for k in known]
-    level = lambda at: np.concatenate([r[_numbers(p[at]).astype(np.int64)] for r, p in zip(ranks, parts, strict=True)])
-    walked = lambda at: np.concatenate([r[np.cumsum(_numbers(p[at])).astype(np.int64)] for r, p in zip(ranks, parts, strict=True)])
-    count = lambda at: np.concatenate([_numbers(p[at]) for p in parts])
+    level = lambda at: np.concatenate([r[numbers(p[at]).astype(np.int64)] for r, p in zip(ranks, parts, strict=True)])
+    walked = lambda at: np.concatenate([r[np.cumsum(numbers(p[at])).astype(np.int64)] for r, p in zip(ranks, parts, strict=True)])
+    count = lambda at: np.concatenate([numbers(p[at]) for p in parts])
     wide = np.uint64(32)
     words = [w for p in parts if len(p[4]) for w in p[1].split(b" ")]
-    langs = [names[k] for p in parts for names in [json.loads(p[2])] for k in _numbers(p[3]).tolist()]
+    langs = [names[k] for p in parts for names in [json.loads(p[2])] for k in numbers(p[3]).tolist()]
     one, f1, at1 = _summed(walked(4), count(5))
     two, f2, _ = _summed(walked(6) << wide | level(7), count(8))
     pairs, pair = np.unique(walked(9) << wide | level(10), return_inverse=True)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import html_text, lm, neardup, phrases, repair, site_quality, toxicity
+from tidewatch.llm import html_text, lm, neardup, phrases, repair, setjoin, site_quality, toxicity
 from tidewatch.llm.store import table
 
 
@@ -29,6 +29,10 @@ def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_documents(table(spark, sf_dir, "documents"))[0]
 
 
+def op11_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setjoin.join_documents(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repaired_damage(table(spark, sf_dir, "conversations"))
 
@@ -37,7 +41,7 @@ def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_text, op3_site_quality, op4_near_duplicates, op5_toxicity, op7_lm_score, op12_conversation_repair, op13_collocations)}
+QUERIES = {f.__name__: f for f in (op1_html_text, op3_site_quality, op4_near_duplicates, op5_toxicity, op7_lm_score, op11_set_join, op12_conversation_repair, op13_collocations)}
 
 OP4_SQL = r"""
 WITH RECURSIVE d AS (
@@ -52,6 +56,8 @@ SELECT doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(y) AS component_id
 FROM r JOIN documents ON r.x = doc_id LEFT JOIN n USING (doc_id) GROUP BY doc_id
 """
 
+OP11_SQL = OP4_SQL.replace("i + 4]", "i + 5]").replace("len(w) - 4", "len(w) - 5").replace(", min(y) = doc_id AS kept", "")
+
 #: States of the grammar by number: 1 start, 2 behind a system row, 3 behind a user's, 4 behind an assistant's.
 OP12_SQL = r"""
 WITH RECURSIVE crc AS (
@@ -123,4 +129,4 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a
 SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
 """
 
-ORACLE_SQL = {"op12_conversation_repair": OP12_SQL, "op13_collocations": OP13_SQL, "op4_near_duplicates": OP4_SQL}
+ORACLE_SQL = {"op11_set_join": OP11_SQL, "op12_conversation_repair": OP12_SQL, "op13_collocations": OP13_SQL, "op4_near_duplicates": OP4_SQL}
