@@ -57,8 +57,25 @@ def test_stage_lookup(spark):
 
 def test_resolution(spark):
     every7 = series(spark, [(7 * i, 1) for i in range(9)]).unionByName(series(spark, [(120 * i, 1) for i in range(3)], "temperature"))
-    assert align.choose_resolution(every7).first().resolution_s == 10
-    assert align.choose_resolution(series(spark, [(0, 1)])).first().resolution_s == 60
+    one = night(spark, 180)
+    assert align.choose_resolution(every7, one).first().resolution_s == 10
+    assert align.choose_resolution(series(spark, [(0, 1)]), one).first().resolution_s == 60
+    assert align.choose_resolution(series(spark, [(0, 1), (1, 1)], "steps"), one).first().resolution_s == 60
+
+
+def test_each_session_has_its_own_step(spark):
+    both = night(spark, 100).withColumn("session_id", F.explode(F.array(F.lit("s"), F.lit("quiet"), F.lit("none"))))
+    dense, sparse = series(spark, [(7 * i, i) for i in range(12)]), series(spark, [(0, 4), (100, 6)]).withColumn("session_id", F.lit("quiet"))
+    steps = series(spark, [(15, 9)], "steps")
+    line = align.timeline(dense.unionByName(sparse).unionByName(steps), both)
+    got = {k: [(r.us // SEC, r.value) for r in line.filter(f"session_id = '{k}' and metric = 'heart_rate'").orderBy("k").collect()] for k in ("s", "quiet", "none")}
+    assert [t for t, _ in got["s"]] == list(range(0, 100, 10)) and got["s"][:3] == [(0, 0.5), (10, 2.0), (20, 3.5)] and got["s"][9] == (90, None)
+    assert got["quiet"] == [(0, 4.0), (60, 5.2)] and got["none"] == []
+    held = {k: [(r.us // SEC, r.value) for r in line.filter(f"session_id = '{k}' and metric = 'steps'").orderBy("k").collect()] for k in ("s", "none")}
+    assert held["s"] == [(t, 9.0 if 15 <= t < 75 else None) for t in range(0, 100, 10)] and held["none"] == [(0, None), (60, None)]
+    stages = align.assign_stages(spark.createDataFrame([("s", 5 * SEC, 42 * SEC, "deep", False)], S.SEGMENTS), align.with_steps(both, dense))
+    runs = {(r.session_id, r.stage, r.start_us // SEC, r.end_us // SEC) for r in events.stage_runs(stages).collect()}
+    assert runs == {("s", "unknown", 0, 10), ("s", "deep", 10, 50), ("s", "unknown", 50, 100), ("quiet", "unknown", 0, 120), ("none", "unknown", 0, 120)}
 
 
 def test_coarse_states(spark):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewatch import schema as S
 from tidewatch.functions import scalars as X
-from tidewatch.operators.asof import as_of, lerp
+from tidewatch.operators.asof import lerp
 
 
 def _clamped_mean(c: str) -> Column:
@@ -62,40 +62,87 @@ def median_interval(series: DataFrame) -> DataFrame:
     return series.withColumn("step", step).groupBy("session_id", "metric").agg(F.percentile("step", F.lit(0.5)).alias("median_us"))
 
 
-def choose_resolution(series: DataFrame) -> DataFrame:
-    """(session_id, resolution_s): the least of the choices that the densest continuous metric's median step doesn't exceed."""
-    least = median_interval(series).filter(F.col("metric").isin(*S.CONTINUOUS)).groupBy("session_id").agg(F.min("median_us").alias("m"))
+def choose_resolution(series: DataFrame, sessions: DataFrame) -> DataFrame:
+    """(session_id, resolution_s) for every session: the least of the choices that the densest continuous metric's median step doesn't exceed;
+    the fallback without two points of one, or if they are further apart."""
+    least = median_interval(series.filter(F.col("metric").isin(*S.CONTINUOUS))).groupBy("session_id").agg(F.min("median_us").alias("m"))
     pick = F.lit(S.FALLBACK_RESOLUTION_S)
     for r in reversed(S.RESOLUTIONS_S):
         pick = F.when(F.col("m") <= r * S.US, r).otherwise(pick)
-    return least.select("session_id", pick.alias("resolution_s"))
+    return sessions.select("session_id").join(least, "session_id", "left").select("session_id", pick.alias("resolution_s"))
 
 
-def sample_grid(sessions: DataFrame, res_us: int | Column) -> DataFrame:
-    """(session_id, k, us): every step from the start on that comes before the end."""
-    res = F.lit(res_us) if isinstance(res_us, int) else res_us
-    n = F.ceil((F.col("end_us") - F.col("start_us")) / res).cast("bigint")
-    ks = sessions.select("session_id", "start_us", res.cast("bigint").alias("_res"), F.explode(F.when(n > 0, F.sequence(F.lit(0).cast("bigint"), n - 1))).alias("k"))
-    return ks.select("session_id", "k", (F.col("start_us") + F.col("k") * F.col("_res")).alias("us"))
+def with_steps(sessions: DataFrame, series: DataFrame) -> DataFrame:
+    """Sessions with ``res_us``, the step of their grid, chosen by the density of their own series."""
+    step = (F.col("resolution_s") * F.lit(S.US)).cast("bigint").alias("res_us")
+    return sessions.join(choose_resolution(series, sessions).select("session_id", step), "session_id")
 
 
-def bucket_means(series: DataFrame, sessions: DataFrame, res_us: int) -> DataFrame:
+def _stepped(sessions: DataFrame, res_us: int | None) -> DataFrame:
+    """Sessions with the step given, or with their own, and the number of their samples."""
+    own = sessions if res_us is None else sessions.withColumn("res_us", F.lit(res_us).cast("bigint"))
+    n = F.ceil((F.col("end_us") - F.col("start_us")) / F.col("res_us")).cast("bigint")
+    return own.select("session_id", "start_us", "end_us", "res_us", n.alias("_n"))
+
+
+def _samples(first: Column, last: Column) -> Column:
+    return F.explode(F.when(last >= first, F.sequence(first, last)))
+
+
+def sample_grid(sessions: DataFrame, res_us: int | None = None) -> DataFrame:
+    """(session_id, k, us): every step from the start on that comes before the end. Here and below the step is ``res_us``, or without it the
+    column of that name in ``sessions``."""
+    ks = _stepped(sessions, res_us).select("session_id", "start_us", "res_us", _samples(F.lit(0).cast("bigint"), F.col("_n") - 1).alias("k"))
+    return ks.select("session_id", "k", (F.col("start_us") + F.col("k") * F.col("res_us")).alias("us"))
+
+
+def bucket_means(series: DataFrame, sessions: DataFrame, res_us: int | None = None) -> DataFrame:
     """(session_id, metric, k, value): the mean of the points of each grid step; a point at the end is in none."""
-    inside = series.join(sessions, "session_id").filter((F.col("us") >= F.col("start_us")) & (F.col("us") < F.col("end_us")))
-    k = F.floor((F.col("us") - F.col("start_us")) / res_us).cast("bigint")
+    inside = series.join(_stepped(sessions, res_us), "session_id").filter((F.col("us") >= F.col("start_us")) & (F.col("us") < F.col("end_us")))
+    k = F.floor((F.col("us") - F.col("start_us")) / F.col("res_us")).cast("bigint")
     return inside.withColumn("k", k).groupBy("session_id", "metric", "k").agg(_clamped_mean("value").alias("value"))
 
 
-def resample(series: DataFrame, sessions: DataFrame, res_us: int) -> DataFrame:
+def resample(series: DataFrame, sessions: DataFrame, res_us: int | None = None) -> DataFrame:
     """(session_id, metric, k, us, value, prev_us, next_us) of continuous metrics that have a point: bucket means, and where a
-    bucket is empty the line between its neighbours if they are close enough; never beyond the first or last point."""
-    own = series.filter(F.col("metric").isin(*S.CONTINUOUS))
-    probes = sample_grid(sessions, res_us).join(own.select("session_id", "metric").distinct(), "session_id")
-    bracketed = as_of(own, probes.select("session_id", "metric", "us", "k"), ["session_id", "metric"], inclusive_before=False, forward=True)
-    means = bucket_means(own, sessions, res_us).withColumnRenamed("value", "mean")
-    gap = F.col("next_us") - F.col("prev_us")
-    line = F.when(gap <= X.lookup(F.col("metric"), S.MAX_GAP_US), lerp(F.col("us"), F.col("prev_us"), F.col("prev_value"), F.col("next_us"), F.col("next_value")))
-    return bracketed.join(means, ["session_id", "metric", "k"], "left").select("session_id", "metric", "k", "us", F.coalesce("mean", line).alias("value"), "prev_us", "next_us")
+    bucket is empty the line between its neighbours if they are close enough; never beyond the first or last point.
+
+    Points are gathered by bucket before they are ordered, so a series is never longer than its grid; each bucket then makes the
+    samples since the one before, and nothing is joined with the grid.
+    """
+    own = series.filter(F.col("metric").isin(*S.CONTINUOUS)).join(_stepped(sessions, res_us), "session_id").filter("us >= start_us and us <= end_us")
+    # a point at the very end stands behind all samples
+    k = F.when(F.col("us") < F.col("end_us"), F.floor((F.col("us") - F.col("start_us")) / F.col("res_us")).cast("bigint")).otherwise(F.col("_n"))
+    point = F.struct("us", "value")
+    buckets = own.groupBy("session_id", "metric", "start_us", "res_us", "_n", k.alias("_b")).agg(_clamped_mean("value").alias("_mean"), F.min(point).alias("_first"), F.max(point).alias("_last"))
+    order = Window.partitionBy("session_id", "metric").orderBy("_b")
+    near = buckets.select("*", F.lag("_b").over(order).alias("_before"), F.lag("_last").over(order).alias("_prev"), F.lead("_b").over(order).isNull().alias("_end"))
+    until = F.when(F.col("_end"), F.col("_n") - 1).otherwise(F.least(F.col("_b"), F.col("_n") - 1))
+    made = near.withColumn("k", _samples(F.coalesce(F.col("_before") + 1, F.lit(0).cast("bigint")), until)).withColumn("us", F.col("start_us") + F.col("k") * F.col("res_us"))
+    upto = F.col("k") <= F.col("_b")
+    gap = F.col("_first.us") - F.col("_prev.us")
+    line = F.when(gap <= X.lookup(F.col("metric"), S.MAX_GAP_US), lerp(F.col("us"), F.col("_prev.us"), F.col("_prev.value"), F.col("_first.us"), F.col("_first.value")))
+    value = F.when(F.col("k") == F.col("_b"), F.col("_mean")).when(upto, line)
+    return made.select(
+        "session_id", "metric", "k", "us", value.alias("value"), F.when(upto, F.col("_prev.us")).otherwise(F.col("_last.us")).alias("prev_us"), F.when(upto, F.col("_first.us")).alias("next_us")
+    )
+
+
+def _latest(marks: DataFrame, sessions: DataFrame, res_us: int | None, carry: tuple[str, ...]) -> DataFrame:
+    """(session_id, k, us, res_us, prev_us, prev_*): each sample of every session with the last of the marks (session_id, us, ...) at or before it.
+
+    Of the marks between two samples only the last is kept; each makes the samples up to the next one.
+    """
+    at = _stepped(sessions, res_us)
+    first = F.least(F.col("_n"), F.greatest(F.lit(0).cast("bigint"), F.ceil((F.col("us") - F.col("start_us")) / F.col("res_us")).cast("bigint")))
+    held = marks.select("session_id", "us", F.struct("us", *carry).alias("_m"))
+    own = held.join(at, "session_id").select("session_id", first.alias("_b"), "_m").groupBy("session_id", "_b").agg(F.max("_m").alias("_m"))
+    order = Window.partitionBy("session_id").orderBy("_b")
+    near = at.join(own, "session_id", "left").withColumn("_b", F.coalesce("_b", "_n"))
+    near = near.select("*", F.lag("_b").over(order).isNull().alias("_start"), F.coalesce(F.lead("_b").over(order), F.col("_n")).alias("_until"))
+    made = near.withColumn("k", _samples(F.when(F.col("_start"), F.lit(0).cast("bigint")).otherwise(F.col("_b")), F.col("_until") - 1))
+    mark = lambda c: F.when(F.col("k") >= F.col("_b"), F.col(f"_m.{c}")).alias(f"prev_{c}")
+    return made.select("session_id", "k", (F.col("start_us") + F.col("k") * F.col("res_us")).alias("us"), "res_us", mark("us"), *[mark(c) for c in carry])
 
 
 def gaps(resampled: DataFrame) -> DataFrame:
@@ -108,25 +155,27 @@ def gap_summary(found: DataFrame) -> DataFrame:
     return found.groupBy("session_id", "metric").agg(F.count(F.lit(1)).alias("n_gaps"), F.sum("elapsed_us").alias("total_us"))
 
 
-def hold_steps(series: DataFrame, sessions: DataFrame, res_us: int, hold_us: int = S.STEPS_HOLD_US) -> DataFrame:
-    """(session_id, k, us, value) of steps: the latest point, held for its span."""
-    own = series.filter("metric = 'steps'").join(sessions, "session_id").filter("us >= start_us").select("session_id", "us", "value")
-    held = as_of(own, sample_grid(sessions, res_us), ["session_id"])
+def hold_steps(series: DataFrame, sessions: DataFrame, res_us: int | None = None, hold_us: int = S.STEPS_HOLD_US) -> DataFrame:
+    """(session_id, k, us, value) of steps: the latest point since the start, held for its span."""
+    own = series.filter("metric = 'steps'").join(sessions.select("session_id", "start_us"), "session_id").filter("us >= start_us").select("session_id", "us", "value")
+    held = _latest(own, sessions, res_us, ("value",))
     return held.select("session_id", "k", "us", F.when(F.col("us") - F.col("prev_us") < hold_us, F.col("prev_value")).alias("value"))
 
 
-def assign_stages(segments: DataFrame, sessions: DataFrame, res_us: int) -> DataFrame:
-    """(session_id, k, us, stage): the stage whose segment holds the sample, else unknown."""
-    starts = segments.select("session_id", F.col("start_us").alias("us"), "end_us", "stage")
-    found = as_of(starts, sample_grid(sessions, res_us), ["session_id"], carry=("end_us", "stage"))
-    return found.select("session_id", "k", "us", F.when(F.col("us") < F.col("prev_end_us"), F.col("prev_stage")).otherwise("unknown").alias("stage"))
+def assign_stages(segments: DataFrame, sessions: DataFrame, res_us: int | None = None) -> DataFrame:
+    """(session_id, k, us, stage, res_us): the stage whose segment holds the sample, else unknown."""
+    found = _latest(segments.select("session_id", F.col("start_us").alias("us"), "end_us", "stage"), sessions, res_us, ("end_us", "stage"))
+    stage = F.when(F.col("us") < F.col("prev_end_us"), F.col("prev_stage")).otherwise("unknown")
+    return found.select("session_id", "k", "us", stage.alias("stage"), "res_us")
 
 
-def timeline(series: DataFrame, sessions: DataFrame, res_us: int) -> DataFrame:
-    """(session_id, metric, k, us, value): continuous metrics and steps together; null is missing."""
-    steps = hold_steps(series, sessions, res_us).withColumn("metric", F.lit("steps"))
+def timeline(series: DataFrame, sessions: DataFrame, res_us: int | None = None) -> DataFrame:
+    """(session_id, metric, k, us, value): continuous metrics and steps together; null is missing. Without ``res_us`` and a column of that name
+    each session has the step of its own density."""
+    stepped = sessions if res_us is not None or "res_us" in sessions.columns else with_steps(sessions, series)
+    steps = hold_steps(series, stepped, res_us).withColumn("metric", F.lit("steps"))
     cols = ["session_id", "metric", "k", "us", "value"]
-    return resample(series, sessions, res_us).select(*cols).unionByName(steps.select(*cols))
+    return resample(series, stepped, res_us).select(*cols).unionByName(steps.select(*cols))
 
 
 def unavailable(series: DataFrame, sessions: DataFrame) -> DataFrame:

@@ -1,10 +1,11 @@
 """The driver's tables read as telemetry, in Spark and as SQL fragments.
 
 ``events`` are points: the type is the metric, the user picks one of three
-sensors and the unit, times are cut to the minute so that some collide. Three
-hundred users are a subject (a household); a session is a subject's day, from
-its first event to a minute after its last. Each event is also a change of
-sleep stage. Orders are candidate sessions of a customer.
+sensors and the unit, times are cut to the minute so that some collide. On each
+seventh day heart rates come twice, half a minute apart, so that sessions
+differ in their step. Fifty users are a subject (a household); a session is a
+subject's day, from its first event to a minute after its last. Each point is
+also a change of sleep stage. Orders are candidate sessions of a customer.
 """
 
 from __future__ import annotations
@@ -12,7 +13,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-CUT_US, RES_US, AFTER_US, TARGET_S, USERS = 60_000_000, 300_000_000, 61_234_567, 180, 300
+from tidewatch.operators.align import with_steps
+
+CUT_US, ECHO_US, AFTER_US, TARGET_S, USERS = 60_000_000, 30_000_000, 61_234_567, 180, 50
 METRIC = {"view": "heart_rate", "click": "hrv_rmssd", "purchase": "steps", "signup": "temperature", "error": "pressure"}
 
 
@@ -37,7 +40,10 @@ def _keyed(spark: SparkSession, sf_dir: str, where: str | None = None) -> DataFr
 
 
 def points(spark: SparkSession, sf_dir: str, where: str | None = None) -> DataFrame:
-    return _keyed(spark, sf_dir, where).select(
+    again = (F.col("event_type") == "view") & (F.dayofmonth("ts") % 7 == 0)
+    after = F.explode(F.when(again, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    twice = _keyed(spark, sf_dir, where).withColumn("_n", after).withColumn("us", F.col("us") + F.col("_n") * ECHO_US).withColumn("value", F.col("value") + F.col("_n"))
+    return twice.select(
         "session_id", "subject", "us", F.concat(F.lit("sensorpush:"), (F.col("user_id") % 3).cast("string")).alias("source"), F.expr(_case("event_type", METRIC)).alias("metric"),
         "value", F.expr(UNIT_SQL).alias("unit"), "event_id", "user_id",
     )
@@ -47,6 +53,11 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _keyed(spark, sf_dir).groupBy("session_id", "subject").agg(F.min("us").alias("start_us"), (F.max("us") + AFTER_US).alias("end_us"))
 
 
+def stepped(spark: SparkSession, sf_dir: str, series: DataFrame) -> DataFrame:
+    """Sessions with the step that the density of their series calls for."""
+    return with_steps(sessions(spark, sf_dir), series)
+
+
 def stage_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw intervals that may overlap: (session_id, src_idx, start_us, end_us, stage, is_brief)."""
     stage = F.expr("CASE event_id % 5 WHEN 0 THEN 'light' WHEN 1 THEN 'deep' WHEN 2 THEN 'rem' WHEN 3 THEN 'awake' ELSE 'restless' END")
@@ -78,8 +89,9 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- the same as SQL: each fragment is a list of common table expressions
 
 POINTS = f"""
-points AS (SELECT strftime(ts, '%Y-%m-%d') || '/' || (user_id // {USERS}) AS session_id, CAST(user_id // {USERS} AS VARCHAR) AS subject, epoch_us(ts) // {CUT_US} * {CUT_US} AS us,
-  'sensorpush:' || (user_id % 3) AS source, {_case("event_type", METRIC)} AS metric, value, {UNIT_SQL} AS unit, event_id, user_id FROM events)"""
+heard AS (SELECT *, 0 AS n FROM events UNION ALL SELECT *, 1 AS n FROM events WHERE event_type = 'view' AND day(ts) % 7 = 0),
+points AS (SELECT strftime(ts, '%Y-%m-%d') || '/' || (user_id // {USERS}) AS session_id, CAST(user_id // {USERS} AS VARCHAR) AS subject, epoch_us(ts) // {CUT_US} * {CUT_US} + n * {ECHO_US} AS us,
+  'sensorpush:' || (user_id % 3) AS source, {_case("event_type", METRIC)} AS metric, value + n AS value, {UNIT_SQL} AS unit, event_id, user_id FROM heard)"""
 SESSIONS = f"""
 sessions AS (SELECT strftime(ts, '%Y-%m-%d') || '/' || (user_id // {USERS}) AS session_id, CAST(user_id // {USERS} AS VARCHAR) AS subject, min(epoch_us(ts) // {CUT_US} * {CUT_US}) AS start_us,
   max(epoch_us(ts) // {CUT_US} * {CUT_US}) + {AFTER_US} AS end_us FROM events GROUP BY ALL)"""
@@ -96,14 +108,19 @@ SERIES = """
 series AS (SELECT d.session_id, d.metric, us, avg(value) AS value FROM dedup d LEFT JOIN chosen c ON c.session_id = d.session_id AND c.metric = d.metric
   WHERE c.source IS NULL OR c.source = d.source GROUP BY ALL)"""
 NORMAL = ",".join((POINTS, SESSIONS, CONVERTED, DEDUP, CHOSEN, SERIES))
-GRID = f"""
-grid AS (SELECT session_id, k, start_us + k * {RES_US} AS us FROM (SELECT session_id, start_us, unnest(range(0, (end_us - start_us + {RES_US} - 1) // {RES_US})) AS k FROM sessions))"""
+GRID = """
+apart AS (SELECT session_id, metric, us - lag(us) OVER (PARTITION BY session_id, metric ORDER BY us) AS step FROM series WHERE metric <> 'steps'),
+densest AS (SELECT session_id, min(m) AS m FROM (SELECT session_id, metric, median(step) AS m FROM apart GROUP BY ALL) GROUP BY 1),
+picked AS (SELECT s.session_id, CASE WHEN m <= 1000000 THEN 1 WHEN m <= 5000000 THEN 5 WHEN m <= 10000000 THEN 10 WHEN m <= 15000000 THEN 15 WHEN m <= 30000000 THEN 30 ELSE 60 END AS resolution_s
+  FROM sessions s LEFT JOIN densest d ON d.session_id = s.session_id),
+stepped AS (SELECT s.*, CAST(resolution_s * 1000000 AS BIGINT) AS res_us FROM sessions s JOIN picked p ON p.session_id = s.session_id),
+grid AS (SELECT session_id, k, start_us + k * res_us AS us, res_us FROM (SELECT session_id, start_us, res_us, unnest(range(0, (end_us - start_us + res_us - 1) // res_us)) AS k FROM stepped))"""
 RESAMPLED = f"""
 cont AS (SELECT * FROM series WHERE metric <> 'steps'),
 probes AS (SELECT g.session_id, metric, k, us FROM grid g JOIN (SELECT DISTINCT session_id, metric FROM cont) USING (session_id)),
 before AS (SELECT p.*, c.us AS prev_us, c.value AS pv FROM probes p ASOF LEFT JOIN cont c ON p.session_id = c.session_id AND p.metric = c.metric AND p.us > c.us),
 around AS (SELECT p.*, c.us AS next_us, c.value AS nv FROM before p ASOF LEFT JOIN cont c ON p.session_id = c.session_id AND p.metric = c.metric AND p.us <= c.us),
-means AS (SELECT session_id, metric, (us - start_us) // {RES_US} AS k, avg(value) AS mean FROM cont JOIN sessions USING (session_id) WHERE us < end_us GROUP BY ALL),
+means AS (SELECT session_id, metric, (us - start_us) // res_us AS k, avg(value) AS mean FROM cont JOIN stepped USING (session_id) WHERE us < end_us GROUP BY ALL),
 resampled AS (SELECT a.session_id, a.metric, a.k, a.us, prev_us, next_us, coalesce(mean, CASE WHEN next_us - prev_us <= CASE a.metric WHEN 'heart_rate' THEN 300000000 ELSE 900000000 END
   THEN pv + (nv - pv) * ((a.us - prev_us) / CAST(next_us - prev_us AS DOUBLE)) END) AS value FROM around a LEFT JOIN means m ON m.session_id = a.session_id AND m.metric = a.metric AND m.k = a.k)"""
 HELD = """

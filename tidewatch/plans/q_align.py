@@ -19,11 +19,12 @@ def _series(spark, d):
 
 
 def _resampled(spark, d):
-    return A.resample(_series(spark, d), C.sessions(spark, d), C.RES_US)
+    series = _series(spark, d)
+    return A.resample(series, C.stepped(spark, d, series))
 
 
 def _timeline(spark, d):
-    return A.timeline(_series(spark, d), C.sessions(spark, d), C.RES_US)
+    return A.timeline(_series(spark, d), C.sessions(spark, d))
 
 
 @query(f"""WITH {C.POINTS}, broken AS (SELECT CASE WHEN event_id % 11 = 0 THEN NULL ELSE us END AS us, CASE WHEN event_id % 13 = 0 THEN ' ' ELSE source END AS source,
@@ -88,22 +89,21 @@ def median_interval(spark, d):
     return A.median_interval(_series(spark, d))
 
 
-@query(f"""WITH {C.NORMAL}, steps AS (SELECT session_id, metric, us - lag(us) OVER (PARTITION BY session_id, metric ORDER BY us) AS step FROM series WHERE metric <> 'steps'),
-m AS (SELECT session_id, metric, median(step) AS m FROM steps GROUP BY ALL), least AS (SELECT session_id, min(m) AS m FROM m GROUP BY 1)
-SELECT session_id, CASE WHEN m <= 1000000 THEN 1 WHEN m <= 5000000 THEN 5 WHEN m <= 10000000 THEN 10 WHEN m <= 15000000 THEN 15 WHEN m <= 30000000 THEN 30 ELSE 60 END AS resolution_s FROM least""")
+@query(f"WITH {C.NORMAL}, {C.GRID} SELECT session_id, resolution_s FROM picked")
 def resolution_pick(spark, d):
-    return A.choose_resolution(_series(spark, d))
+    return A.choose_resolution(_series(spark, d), C.sessions(spark, d))
 
 
-@query(f"WITH {C.SESSIONS}, {C.GRID} SELECT session_id, k, us FROM grid")
+@query(f"WITH {C.NORMAL}, {C.GRID} SELECT session_id, k, us FROM grid")
 def sample_grid(spark, d):
-    return A.sample_grid(C.sessions(spark, d), C.RES_US)
+    return A.sample_grid(C.stepped(spark, d, _series(spark, d)))
 
 
-@query(f"""WITH {C.NORMAL} SELECT session_id, metric, (us - start_us) // {C.RES_US} AS k, round(avg(value), 6) AS value FROM series JOIN sessions USING (session_id)
+@query(f"""WITH {C.NORMAL}, {C.GRID} SELECT session_id, metric, (us - start_us) // res_us AS k, round(avg(value), 6) AS value FROM series JOIN stepped USING (session_id)
   WHERE us >= start_us AND us < end_us GROUP BY ALL""")
 def resample_mean(spark, d):
-    return A.bucket_means(_series(spark, d), C.sessions(spark, d), C.RES_US).withColumn("value", F.round("value", 6))
+    series = _series(spark, d)
+    return A.bucket_means(series, C.stepped(spark, d, series)).withColumn("value", F.round("value", 6))
 
 
 @query(f"WITH {C.NORMAL}, {C.GRID}, {C.RESAMPLED} SELECT session_id, metric, k, us, round(value, 6) AS value FROM resampled")
@@ -125,13 +125,14 @@ def gap_summary(spark, d):
 
 @query(f"WITH {C.NORMAL}, {C.GRID}, {C.HELD} SELECT session_id, k, us, round(value, 6) AS value FROM held")
 def hold_forward(spark, d):
-    return A.hold_steps(_series(spark, d), C.sessions(spark, d), C.RES_US).select("session_id", "k", "us", rounded("value"))
+    series = _series(spark, d)
+    return A.hold_steps(series, C.stepped(spark, d, series)).select("session_id", "k", "us", rounded("value"))
 
 
-@query(f"""WITH {C.POINTS}, {C.SESSIONS}, {C.GRID}, {C.RAW_STAGES}, {C.SEGMENTS} SELECT g.session_id, k, us, CASE WHEN us < s.end_us THEN stage ELSE 'unknown' END AS stage
+@query(f"""WITH {C.NORMAL}, {C.GRID}, {C.RAW_STAGES}, {C.SEGMENTS} SELECT g.session_id, k, us, CASE WHEN us < s.end_us THEN stage ELSE 'unknown' END AS stage
 FROM grid g ASOF LEFT JOIN segments s ON g.session_id = s.session_id AND g.us >= s.start_us""")
 def assign_state(spark, d):
-    return A.assign_stages(C.segments(spark, d), C.sessions(spark, d), C.RES_US)
+    return A.assign_stages(C.segments(spark, d), C.stepped(spark, d, _series(spark, d))).drop("res_us")
 
 
 @query(f"""WITH {C.NORMAL} SELECT session_id, metric FROM sessions, (SELECT unnest(['heart_rate', 'hrv_rmssd', 'steps', 'temperature', 'humidity', 'pressure']) AS metric)

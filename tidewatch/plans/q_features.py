@@ -16,14 +16,14 @@ from tidewatch.plans.register import Registry, off_ties, rounded
 
 query = Registry()
 STAGED = ",".join((C.POINTS, C.SESSIONS, C.RAW_STAGES, C.SEGMENTS, C.WINDOWS, C.OVERLAP, C.FRACTIONS))
-SAMPLED = ",".join((C.POINTS, C.SESSIONS, C.GRID, C.RAW_STAGES, C.SEGMENTS))
-STAGE_AT = f"""stages AS (SELECT g.session_id, k, us, CASE WHEN us < s.end_us THEN stage ELSE 'unknown' END AS stage FROM grid g ASOF LEFT JOIN segments s ON g.session_id = s.session_id AND g.us >= s.start_us),
+SAMPLED = ",".join((C.NORMAL, C.GRID, C.RAW_STAGES, C.SEGMENTS))
+STAGE_AT = """stages AS (SELECT g.session_id, k, us, res_us, CASE WHEN us < s.end_us THEN stage ELSE 'unknown' END AS stage FROM grid g ASOF LEFT JOIN segments s ON g.session_id = s.session_id AND g.us >= s.start_us),
 r0 AS (SELECT *, CASE WHEN stage = lag(stage) OVER (PARTITION BY session_id ORDER BY us) THEN 0 ELSE 1 END AS fresh FROM stages), r1 AS (SELECT *, sum(fresh) OVER (PARTITION BY session_id ORDER BY us) AS run FROM r0),
-runs AS (SELECT session_id, stage, min(us) AS start_us, min(us) + count(*) * {C.RES_US} AS end_us FROM r1 GROUP BY session_id, run, stage)"""
+runs AS (SELECT session_id, stage, min(us) AS start_us, min(us) + count(*) * any_value(res_us) AS end_us FROM r1 GROUP BY session_id, run, stage)"""
 
 
 def _stages(spark, d):
-    return A.assign_stages(C.segments(spark, d), C.sessions(spark, d), C.RES_US)
+    return A.assign_stages(C.segments(spark, d), C.stepped(spark, d, _series(spark, d)))
 
 
 def _fractions(spark, d):
@@ -35,7 +35,8 @@ def _states(spark, d):
 
 
 def _movement(spark, d, steps=True):
-    own = A.hold_steps(_series(spark, d).filter("metric = 'steps'"), C.sessions(spark, d), C.RES_US)
+    series = _series(spark, d)
+    own = A.hold_steps(series, C.stepped(spark, d, series))
     return W.movement(own if steps else own.filter("false"), C.segments(spark, d), C.sessions(spark, d), C.TARGET_S)
 
 
@@ -114,7 +115,7 @@ def metric_availability(spark, d):
 
 @query(f"WITH {SAMPLED}, {STAGE_AT} SELECT session_id, stage, start_us, end_us FROM runs")
 def state_runs(spark, d):
-    return E.stage_runs(_stages(spark, d), C.RES_US)
+    return E.stage_runs(_stages(spark, d))
 
 
 def _threshold_sql(op: str, threshold: float, least: int) -> str:
@@ -151,7 +152,7 @@ EVENTS = """events_ AS (SELECT session_id, 'sleep_onset' AS type, onset_us AS us
 
 
 def _stage_events(spark, d):
-    return E.stage_events(E.stage_runs(_stages(spark, d), C.RES_US), I.sleep_bounds(C.segments(spark, d)))
+    return E.stage_events(E.stage_runs(_stages(spark, d)), I.sleep_bounds(C.segments(spark, d)))
 
 
 @query(f"WITH {SAMPLED}, {STAGE_AT}, {BOUNDS}, {EVENTS} SELECT session_id, type, us, round(magnitude, 6) AS magnitude FROM events_")
@@ -231,5 +232,5 @@ def cap_transients(spark, d):
 def detect_events(spark, d):
     """All kinds of events of all nights."""
     smooth = W.sample_smooth(_resampled(spark, d).select("session_id", "metric", "k", "us", "value"))
-    stage_runs, bounds, windows = E.stage_runs(_stages(spark, d), C.RES_US), I.sleep_bounds(C.segments(spark, d)), W.windows(C.sessions(spark, d), C.TARGET_S)
+    stage_runs, bounds, windows = E.stage_runs(_stages(spark, d)), I.sleep_bounds(C.segments(spark, d)), W.windows(C.sessions(spark, d), C.TARGET_S)
     return E.detect(stage_runs, bounds, _movement(spark, d), windows, smooth, C.sessions(spark, d), "Europe/Berlin", C.TARGET_S)

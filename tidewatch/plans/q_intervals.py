@@ -14,7 +14,7 @@ from tidewatch.operators import intervals as I
 from tidewatch.operators import manifest as M
 from tidewatch.operators import trajectories as T
 from tidewatch.plans import canonical as C
-from tidewatch.plans.q_align import _series, _timeline
+from tidewatch.plans.q_align import _resampled, _series, _timeline
 from tidewatch.plans.q_features import STAGED, _fractions, _movement, _states, _stage_events
 from tidewatch.plans.register import Registry, off_ties, rounded
 
@@ -357,7 +357,7 @@ def widest_gap(spark, d):
 SELECT x.session_id FROM sessions x LEFT JOIN cover USING (session_id) WHERE coalesce(c, 0) < 0.5 AND EXISTS
   (SELECT 1 FROM points p WHERE p.subject = x.subject AND p.metric = 'heart_rate' AND (p.us BETWEEN start_us - 50400000000 AND start_us - 1 OR p.us BETWEEN end_us + 1 AND end_us + 50400000000))""")
 def nearby_exists(spark, d):
-    resampled = A.resample(_series(spark, d), C.sessions(spark, d), C.RES_US)
+    resampled = _resampled(spark, d)
     return A.timezone_suspects(resampled, C.points(spark, d), C.sessions(spark, d)).filter("suspect").select("session_id")
 
 

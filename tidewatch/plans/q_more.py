@@ -126,7 +126,7 @@ SELECT a.session_id, metric, round(CASE WHEN metric = 'steps' AND missing = 1 AN
 def availability_fallbacks(spark, d):
     """As if no night had steps, and subject 0 had daily HRV."""
     s = C.sessions(spark, d)
-    none = A.sample_grid(s, C.RES_US).select("session_id", F.lit("steps").alias("metric"), "k", "us", F.lit(None).cast("double").alias("value"))
+    none = A.sample_grid(C.stepped(spark, d, _series(spark, d))).select("session_id", F.lit("steps").alias("metric"), "k", "us", F.lit(None).cast("double").alias("value"))
     timeline = _resampled(spark, d).select("session_id", "metric", "k", "us", "value").unionByName(none)
     daily = s.filter("session_id like '%/0'").select("session_id", F.lit(40.0).alias("rmssd"))
     return W.availability(timeline, _fractions(spark, d), daily).withColumn("missing", F.round("missing", 6))
