@@ -44,7 +44,7 @@ class Sizes:
     shard: int = 2_000_000
     part: int = 2_000_000
     least_parts: int = 16
-    counters: int = 1 << 20
+    counters: int = 1 << 18
 
 
 def least_common(n: np.ndarray, similarity: int) -> np.ndarray:
@@ -202,6 +202,12 @@ def _counted(counters: int):
     return run
 
 
+def _packed_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        one = [pa.array([batch.column(k).to_numpy(zero_copy_only=False).astype("<i8").tobytes()], pa.binary()) for k in (0, 1)]
+        yield pa.RecordBatch.from_arrays(one, ["counters", "counts"])
+
+
 def _prefixes(counts: np.ndarray, similarity: int):
     """(rep, n, key, prefix): the rarest tokens of a set, as many as leave one in common with each similar set, and the most frequent of them."""
 
@@ -344,8 +350,8 @@ def similar_sets(sets: DataFrame, similarity: int = SIMILARITY, sizes: Sizes = S
     """(node, component) of the sets (rep, set: sorted 64-bit tokens as bytes, not empty) that are linked with others, by similarity over all pairs."""
     counters = written(sets.select("set").mapInArrow(_counted(sizes.counters), "counter bigint, n bigint").groupBy("counter").agg(F.sum("n").alias("n")), "setjoin-counts")
     counts = np.zeros(sizes.counters, np.int64)
-    seen = counters.toPandas()
-    counts[seen["counter"].to_numpy(np.int64)] = seen["n"].to_numpy(np.int64)
+    for r in counters.mapInArrow(_packed_counts, "counters binary, counts binary").collect():  # a row for some ten thousand counters
+        counts[np.frombuffer(r["counters"], "<i8")] = np.frombuffer(r["counts"], "<i8")
 
     keyed = written(sets.mapInArrow(_prefixes(counts, similarity), "rep bigint, n bigint, key bigint, prefix binary"), "setjoin-prefixes")
     size = keyed.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / sizes.group).alias("cuts"))
