@@ -74,6 +74,14 @@ def window_smooth(timeline: DataFrame, sessions: DataFrame, target_s: int = S.DE
     return both.filter("w is not null").select("session_id", "metric", "w", "smoothed")
 
 
+def window_values(timeline: DataFrame, sessions: DataFrame, target_s: int = S.DEFAULT_TARGET_S, widths: dict[str, int] = S.SMOOTHING_US) -> DataFrame:
+    """(session_id, metric, w, smoothed, present): smoothing also reaches windows without a sample of their own; these aren't ``present``."""
+    at = timeline.filter("value is not null").join(sessions.select("session_id", "start_us", "end_us"), "session_id")
+    own = at.select("session_id", "metric", window_of(F.col("us"), F.col("start_us"), F.col("end_us"), target_s).alias("w")).distinct().withColumn("_own", F.lit(True))
+    smooth = window_smooth(timeline, sessions, target_s, widths)
+    return smooth.join(own, ["session_id", "metric", "w"], "left").select("session_id", "metric", "w", "smoothed", F.coalesce("_own", F.lit(False)).alias("present"))
+
+
 def sample_smooth(timeline: DataFrame, widths: dict[str, int] = S.SMOOTHING_US) -> DataFrame:
     """Each sample with ``smoothed``: the mean within half a width to both sides; missing samples stay missing."""
     order = Window.partitionBy("session_id", "metric").orderBy("us")
@@ -160,20 +168,23 @@ def brief_awakenings(segments: DataFrame, sessions: DataFrame, target_s: int = S
     return own.filter((F.col("end_us") - F.col("start_us")) / float(S.US) < F.col("ratio")).select("session_id", "start_us", "end_us")
 
 
-def availability(timeline: DataFrame, fractions: DataFrame | None = None, daily_hrv: DataFrame | None = None) -> DataFrame:
-    """(session_id, metric, missing, available): the share of samples without a value, and whether there is any to follow.
+def availability(timeline: DataFrame, sessions: DataFrame, stages: DataFrame | None = None, daily_hrv: DataFrame | None = None) -> DataFrame:
+    """(session_id, metric, missing, available) for each metric of every session: the share of samples without a value, and whether there is any
+    to follow. A metric without rows misses all.
 
-    HRV is available in sessions with a daily figure (session_id, rmssd), too. Where there are no steps but stages, movement is
-    available, and its missing share is that of the unknown stage over the windows (session_id, w, stage, us, fraction).
+    HRV is available in sessions with a daily figure (session_id, rmssd), too. Where there are no steps but samples of known stages
+    (session_id, us, stage), movement is available, and its missing share is that of the samples of the unknown stage.
     """
-    out = timeline.groupBy("session_id", "metric").agg((1 - F.count("value") / F.count(F.lit(1))).alias("missing"))
+    every = sessions.select("session_id", F.explode(F.array(*[F.lit(m) for m in S.METRICS])).alias("metric"))
+    share = timeline.groupBy("session_id", "metric").agg((1 - F.count("value") / F.count(F.lit(1))).alias("missing"))
+    out = every.join(share, ["session_id", "metric"], "left").withColumn("missing", F.coalesce("missing", F.lit(1.0)))
     day, unknown = F.lit(False), F.lit(None).cast("double")
     if daily_hrv is not None:
         out = out.join(daily_hrv.filter("rmssd is not null").select("session_id", F.lit(True).alias("_day")), "session_id", "left")
         day = (F.col("metric") == "hrv_rmssd") & F.coalesce("_day", F.lit(False))
-    if fractions is not None:
-        share = fractions.groupBy("session_id").agg((F.sum(F.when(F.col("stage") == "unknown", F.col("us"))) / F.sum("us")).alias("_unknown"))
-        out = out.join(share.filter("_unknown < 1"), "session_id", "left")
+    if stages is not None:
+        dark = stages.groupBy("session_id").agg((F.count(F.when(F.col("stage") == "unknown", 1)) / F.count(F.lit(1))).alias("_unknown"))
+        out = out.join(dark.filter("_unknown < 1"), "session_id", "left")
         unknown = F.when((F.col("metric") == "steps") & (F.col("missing") == 1), F.col("_unknown"))
     missing = F.coalesce(unknown, F.col("missing"))
     return out.select("session_id", "metric", missing.alias("missing"), ((F.col("missing") < 1) | day | unknown.isNotNull()).alias("available"))

@@ -1,7 +1,9 @@
 """Parameter trajectories: normalising, contributions with hysteresis and glides, combining, rate limits, presets, schedules.
 
-Times are seconds of the replay. What depends on the value before is a fold over
-a key's array (a session's windows), which Spark deals out by session.
+Times are seconds of the replay. Windows that have no sample of their own (not
+``present``) are missing, although smoothing gives them a value. Hysteresis and
+glides are a fold over the windows of a session, which are as many as the replay
+is long; rate limits are scans that take keys of any length.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from tidewatch.functions import scalars as X
 from tidewatch.functions.arrays import fold_each, let
 from tidewatch.operators.asof import as_of, lerp
 from tidewatch.operators.events import runs
+from tidewatch.operators.scans import slew
 from tidewatch.session import written
 
 
@@ -52,20 +55,23 @@ def _span(lo: Column, hi: Column, metric: Column) -> tuple[Column, Column]:
     return (lo + hi) / 2 - half, (lo + hi) / 2 + half
 
 
+def _value() -> Column:
+    """A window's smoothed value, if it has a sample of its own."""
+    return F.when(F.col("present"), F.col("smoothed"))
+
+
 def spans(smoothed: DataFrame) -> DataFrame:
-    """(session_id, metric, low, high): the range of the smoothed values, widened around its middle to the metric's least span."""
-    r = smoothed.filter("smoothed is not null").groupBy("session_id", "metric").agg(F.min("smoothed").alias("lo"), F.max("smoothed").alias("hi"))
+    """(session_id, metric, low, high): the range of the windows' values, widened around its middle to the metric's least span."""
+    r = smoothed.filter("present and smoothed is not null").groupBy("session_id", "metric").agg(F.min("smoothed").alias("lo"), F.max("smoothed").alias("hi"))
     low, high = _span(F.col("lo"), F.col("hi"), F.col("metric"))
     return r.select("session_id", "metric", low.alias("low"), high.alias("high"))
 
 
 def normalize_windows(smoothed: DataFrame, sensitivity: Mapping[str, float]) -> DataFrame:
-    """(session_id, metric, w, smoothed, n, v): values within their span, and mapped by sensitivity; missing stays missing."""
-    whole = Window.partitionBy("session_id", "metric")
-    low, high = _span(F.col("_lo"), F.col("_hi"), F.col("metric"))
-    own = smoothed.withColumn("_lo", F.min("smoothed").over(whole)).withColumn("_hi", F.max("smoothed").over(whole))
-    n = F.when(F.col("smoothed").isNotNull(), X.normalized(F.col("smoothed"), low, high))
-    mapped = own.select("session_id", "metric", "w", "smoothed", n.alias("n"))
+    """(session_id, metric, w, smoothed, present, n, v): values within their span, and mapped by sensitivity; missing stays missing."""
+    own = smoothed.withColumn("_v", _value()).join(spans(smoothed), ["session_id", "metric"], "left")
+    n = F.when(F.col("_v").isNotNull(), X.normalized(F.col("_v"), F.col("low"), F.col("high")))
+    mapped = own.select("session_id", "metric", "w", "smoothed", "present", n.alias("n"))
     return mapped.withColumn("v", F.when(F.col("n").isNotNull(), X.mapped_value(F.col("n"), F.col("metric"), _of_metric(sensitivity, 1.0))))
 
 
@@ -77,11 +83,9 @@ def _fold(rows: DataFrame, keys: list[str], order: str, values: list[str], start
     return each.select(*keys, F.col("_e._a._o").alias(order), *[F.col(f"_e._a.{v}").alias(v) for v in values], F.col("_e._s").alias("out"))
 
 
-def rate_limit(rows: DataFrame, value: str = "v", rate: float | Column = S.RATE_SLOW, dt: float = S.WINDOW_S, keys: tuple[str, ...] = ("session_id", "metric"), order: str = "w") -> DataFrame:
-    """Each value as near to its target as a largest change per step of ``dt`` allows."""
-    most = rate * dt
-    step = lambda last, x: F.when(last.isNull(), x[value]).otherwise(F.greatest(last - most, F.least(last + most, x[value])))
-    return _fold(rows, list(keys), order, [value], F.lit(None), step, "double")
+def rate_limit(rows: DataFrame, value: str = "v", rate: float = S.RATE_SLOW, dt: float = S.WINDOW_S, keys: tuple[str, ...] = ("session_id", "metric"), order: str = "w") -> DataFrame:
+    """(keys, order, value, out): each value as near to its target as a largest change per step of ``dt`` allows."""
+    return slew(rows.withColumn("_most", F.lit(float(rate * dt))), list(keys), [order], value, "_most")
 
 
 def hysteresis(rows: DataFrame, value: str, threshold: float, applied: str | None = None, keys: tuple[str, ...] = ("session_id", "metric")) -> DataFrame:
@@ -105,14 +109,17 @@ STATE = "struct<missing:boolean,ref:double,applied:double,t0:double,v0:double,t1
 def contributions(mapped: DataFrame, spans_: DataFrame, routes: Routes, target_s: int, daily_hrv: DataFrame | None = None) -> DataFrame:
     """(session_id, metric, t, v): each metric's trajectory as breakpoints.
 
-    ``mapped`` has (session_id, metric, w, smoothed, v) for every window. A metric that drives nothing, or has no value in the
-    session, rests at the middle; HRV without values takes the session's daily figure (session_id, rmssd) if there is one.
+    ``mapped`` has (session_id, metric, w, smoothed, present, v) for every window. A metric that drives nothing, or has no value in
+    the session, with or without rows, rests at the middle; HRV without samples takes the session's daily figure (session_id,
+    rmssd) if there is one.
     Values follow the raw value with hysteresis, at the windows' middles. Where values go missing or come back, the
     trajectory glides within a second from where it is, at the window's start; a glide that another one interrupts is cut.
     """
     end = float(target_s)
     mapped = written(mapped, "contribution-windows")  # read twice below
-    have = mapped.groupBy("session_id", "metric").agg(F.count("smoothed").alias("_have"))
+    own = mapped.groupBy("session_id", "metric").agg(F.count(_value()).alias("_have"), F.max("present").alias("_own"))
+    every = spans_.select("session_id").distinct().select("session_id", F.explode(F.array(*[F.lit(m) for m in routes])).alias("metric"))
+    have = every.join(own, ["session_id", "metric"], "left").na.fill({"_have": 0, "_own": False})
     enabled = F.col("metric").isin([m for m, r in routes.items() if r.enabled])
     # movement is never missing, so it is followed whatever it is
     alive = have.withColumn("_live", enabled & (F.col("_have") > 0))
@@ -121,10 +128,10 @@ def contributions(mapped: DataFrame, spans_: DataFrame, routes: Routes, target_s
     else:
         alive = alive.withColumn("rmssd", F.lit(None).cast("double"))
     of_day = X.mapped_value(X.clamp(F.col("rmssd") / 100), F.col("metric"), _of_metric({m: r.sensitivity for m, r in routes.items()}, 0.0))
-    still = F.when((F.col("metric") == "hrv_rmssd") & enabled & F.col("rmssd").isNotNull(), of_day).otherwise(F.lit(S.NEUTRAL))
+    still = F.when((F.col("metric") == "hrv_rmssd") & enabled & ~F.col("_own") & F.col("rmssd").isNotNull(), of_day).otherwise(F.lit(S.NEUTRAL))
     flat = alive.filter("not _live").select("session_id", "metric", F.explode(F.array(F.lit(0.0), F.lit(end))).alias("t"), still.alias("v"))
 
-    rows = mapped.join(alive.filter("_live").select("session_id", "metric"), ["session_id", "metric"]).join(spans_, ["session_id", "w"])
+    rows = mapped.withColumn("smoothed", _value()).join(alive.filter("_live").select("session_id", "metric"), ["session_id", "metric"]).join(spans_, ["session_id", "w"])
     rows = rows.withColumn("limit", _of_metric({m: float(r.hysteresis) for m, r in routes.items()}, 0.0)).withColumnsRenamed({"t0": "a", "t1": "b"})
 
     def step(s: Column, x: Column) -> Column:
@@ -196,71 +203,57 @@ def combine(contributions_: DataFrame, spans_: DataFrame, routes: Routes, target
     raise some parameters; a value changes no faster than the parameter's rate.
     """
     end = float(target_s)
-    contributions_ = written(contributions_, "contributions")  # read four times below
+    contributions_ = written(contributions_, "contributions")  # read twice below
+    drives = {m: r for m, r in routes.items() if r.enabled}
+    movement = drives.get("steps")
     middles = spans_.select("session_id", "w", ((F.col("t0") + F.col("t1")) / 2).alias("t"))
     ends = spans_.select("session_id").distinct().select("session_id", F.explode(F.array(F.lit(0.0), F.lit(end))).alias("t"))
     times = contributions_.select("session_id", "t").filter(F.col("t") <= end).unionByName(middles.select("session_id", "t")).unionByName(ends).distinct()
-    times = written(times, "trajectory-times")
-    drives = {m: r for m, r in routes.items() if r.enabled}
-    own = contributions_.filter(F.col("metric").isin(list(drives)))
-    have = own.select("session_id", "metric").distinct()
-    values = evaluate(own, times.join(have, "session_id"), ["session_id", "metric"], at="t", value="v")
-    weight = _of_metric({m: float(r.sensitivity) for m, r in drives.items()}, 0.0)
-    param = _of_metric({m: r.target for m, r in drives.items()})
-    mixed = values.withColumn("param", param).groupBy("session_id", "param", "t").agg((F.sum(F.col("v") * weight) / F.sum(weight)).alias("v"))
-    every = times.select("session_id", "t", F.explode(F.array(*[F.lit(p) for p in S.PARAMETERS])).alias("param"))
-    mixed = every.join(mixed, ["session_id", "param", "t"], "left").withColumn("v", F.coalesce("v", F.lit(S.NEUTRAL)))
-    movement = routes.get("steps")
-    if restless is not None and movement is not None and movement.enabled:
+    # every metric once at all times, the raising of restless windows like one of them
+    lines = contributions_.filter(F.col("metric").isin(list(drives))).select("session_id", "metric", "t", "v")
+    if restless is not None and movement is not None:
         more = F.when(F.col("restless"), F.lit(S.RESTLESS_BOOST * movement.sensitivity)).otherwise(0.0)
-        at = middles.join(restless, ["session_id", "w"]).select("session_id", "w", "t", more.alias("boost"))
-        raised = evaluate(at.select("session_id", "t", "boost"), times, ["session_id"], at="t", value="boost")
-        mixed = mixed.join(raised, ["session_id", "t"], "left")
-        lifted = F.when(F.col("param").isin(*S.BOOSTED), F.least(F.lit(1.0), F.col("v") + F.coalesce("boost", F.lit(0.0)))).otherwise(F.col("v"))
-        mixed = mixed.withColumn("v", lifted)
+        lines = lines.unionByName(middles.join(restless, ["session_id", "w"]).select("session_id", F.lit("boost").alias("metric"), "t", more.alias("v")))
+    else:
+        lines = lines.unionByName(ends.select("session_id", F.lit("boost").alias("metric"), "t", F.lit(0.0).alias("v")))
+    probes = times.select("session_id", F.explode(F.array(*[F.lit(m) for m in (*drives, "boost")])).alias("metric"), "t")
+    values = evaluate(lines, probes, ["session_id", "metric"], at="t", value="v")
+    at = lambda m: F.max(F.when(F.col("metric") == m, F.col("v")))
+    wide = values.groupBy("session_id", "t").agg(*[at(m).alias(f"_{m}") for m in (*drives, "boost")])
 
-    def step(last: Column, x: Column) -> Column:
-        most = x["rate"] * (x["_o"] - last["t"])
-        near = F.least(last["v"] + most, F.greatest(last["v"] - most, x["v"]))
-        return F.struct(x["_o"].alias("t"), F.when(last["t"].isNull(), x["v"]).otherwise(X.clamp(near)).alias("v"))
+    def mean(param: str) -> Column:
+        some = [(F.col(f"_{m}"), float(r.sensitivity)) for m, r in drives.items() if r.target == param]
+        total = sum((F.when(v.isNotNull(), F.lit(s)).otherwise(0.0) for v, s in some), F.lit(0.0))
+        v = F.coalesce(sum((F.coalesce(v * s, F.lit(0.0)) for v, s in some), F.lit(0.0)) / F.when(total > 0, total), F.lit(S.NEUTRAL))
+        return F.least(F.lit(1.0), v + F.coalesce("_boost", F.lit(0.0))) if param in S.BOOSTED else v
 
-    rated = mixed.withColumn("rate", F.when(F.col("param").isin(*S.FAST_PARAMETERS), S.RATE_FAST).otherwise(S.RATE_SLOW))
-    kind = "struct<t:double,v:double>"
-    out = _fold(rated.select("session_id", "param", "t", "v", "rate"), ["session_id", "param"], "t", ["v", "rate"], F.from_json(F.lit("{}"), kind), step, kind)
-    return out.select("session_id", "param", "t", F.col("out.v").alias("v"))
+    rate = lambda p: F.lit(S.RATE_FAST if p in S.FAST_PARAMETERS else S.RATE_SLOW)
+    each = F.explode(F.array(*[F.struct(F.lit(p).alias("param"), mean(p).alias("v"), rate(p).alias("rate")) for p in S.PARAMETERS]))
+    rated = wide.select("session_id", "t", each.alias("p")).select("session_id", "p.param", "t", "p.v", "p.rate")
+    return slew(rated, ["session_id", "param"], ["t"], "v", "rate", by_time=True).select("session_id", "param", "t", F.col("out").alias("v"))
 
 
 def nature_controls(smoothed: DataFrame, spans_: DataFrame, routes: Routes, target_s: int, scales: Mapping[str, float] = S.VARIATION_SCALES) -> DataFrame:
     """(session_id, metric, t, v): how far a room metric is from the session's median, in its scale and by its sensitivity, moving slowly.
 
-    Missing windows and metrics that drive nothing have 0 as their target. Windows beyond the end stand at the end.
+    Missing windows and metrics that drive nothing have 0 as their target, and so have metrics without any. Windows beyond the end
+    stand at the end.
     """
     end = float(target_s)
-    own = smoothed.filter(F.col("metric").isin(*scales)).join(spans_, ["session_id", "w"])
-    middle = F.percentile("smoothed", F.lit(0.5)).over(Window.partitionBy("session_id", "metric"))
+    own = smoothed.filter(F.col("metric").isin(*scales)).select("session_id", "metric", "w", _value().alias("_v"))
+    middle = own.groupBy("session_id", "metric").agg(F.percentile("_v", F.lit(0.5)).alias("_mid"))
     strength = _of_metric({m: float(r.sensitivity) if r.enabled else 0.0 for m, r in routes.items()}, 0.0)
-    away = F.when(F.col("smoothed").isNotNull(), F.least(F.lit(1.0), F.abs(F.col("smoothed") - middle) / _of_metric(scales)) * strength)
-    rows = own.select("session_id", "metric", "w", F.least(F.lit(end), (F.col("t0") + F.col("t1")) / 2).alias("t"), F.coalesce(away, F.lit(0.0)).alias("target"))
-
-    def step(last: Column, x: Column) -> Column:
-        since = x["t"] - F.coalesce(last["t"], F.lit(0.0))
-        v0 = F.coalesce(last["v"], x["target"])
-        most = S.RATE_NATURE * since
-        v = v0 + F.greatest(-most, F.least(most, x["target"] - v0))
-        keep = since > 0
-        return F.struct(F.when(keep, x["t"]).otherwise(last["t"]).alias("t"), F.when(keep, v).otherwise(v0).alias("v"), F.coalesce(keep, F.lit(False)).alias("own"))
-
-    kind = "struct<t:double,v:double,own:boolean>"
-    folded = _fold(rows, ["session_id", "metric"], "w", ["t", "target"], F.from_json(F.lit("{}"), kind), step, kind)
-    by = Window.partitionBy("session_id", "metric")
-    marked = folded.withColumn("_first", F.row_number().over(by.orderBy("w")) == 1).withColumn("_last", F.row_number().over(by.orderBy(F.desc("w"))) == 1)
-    point = lambda t, v: F.struct(t.alias("t"), v.alias("v"))
-    none = F.lit(None).cast("struct<t:double,v:double>")
-    points = F.array(
-        F.when(F.col("_first"), point(F.lit(0.0), F.col("target"))).otherwise(none), F.when(F.col("out.own"), point(F.col("out.t"), F.col("out.v"))).otherwise(none),
-        F.when(F.col("_last") & (F.col("out.t") < end), point(F.lit(end), F.col("out.v"))).otherwise(none),
-    )
-    return marked.select("session_id", "metric", F.explode(F.array_compact(points)).alias("p")).select("session_id", "metric", "p.t", "p.v")
+    every = spans_.select("session_id", "w", F.least(F.lit(end), (F.col("t0") + F.col("t1")) / 2).alias("t"), F.explode(F.array(*[F.lit(m) for m in scales])).alias("metric"))
+    both = every.join(own, ["session_id", "metric", "w"], "left").join(middle, ["session_id", "metric"], "left")
+    away = F.when(F.col("_v").isNotNull(), F.least(F.lit(1.0), F.abs(F.col("_v") - F.col("_mid")) / _of_metric(scales)) * strength)
+    rows = both.select("session_id", "metric", "t", "w", F.coalesce(away, F.lit(0.0)).alias("target"), F.lit(S.RATE_NATURE).alias("rate"))
+    out = written(slew(rows, ["session_id", "metric"], ["t", "w"], "target", "rate", by_time=True), "nature-steps")
+    # windows at one time are one point; the first target stands at the start, the last value up to the end
+    points = out.groupBy("session_id", "metric", "t").agg(F.min_by("out", "w").alias("v")).filter("t > 0")
+    first = out.groupBy("session_id", "metric").agg(F.min_by("target", F.struct("t", "w")).alias("v"), F.max("t").alias("_t"), F.max_by("out", F.struct("t", "w")).alias("_v"))
+    start = first.select("session_id", "metric", F.lit(0.0).alias("t"), "v")
+    stop = first.filter(F.col("_t") < end).select("session_id", "metric", F.lit(end).alias("t"), F.col("_v").alias("v"))
+    return points.select("session_id", "metric", "t", "v").unionByName(start).unionByName(stop)
 
 
 def preset_spans(states: DataFrame, window_s: float = S.WINDOW_S) -> DataFrame:

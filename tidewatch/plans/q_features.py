@@ -108,9 +108,11 @@ def brief_awakenings(spark, d):
     return W.brief_awakenings(C.segments(spark, d), C.sessions(spark, d), 48)
 
 
-@query(f"WITH {C.ALIGNED} SELECT session_id, metric, round(1 - count(value) / CAST(count(*) AS DOUBLE), 6) AS missing, count(value) > 0 AS available FROM timeline GROUP BY session_id, metric")
+@query(f"""WITH {C.ALIGNED}, share AS (SELECT session_id, metric, 1 - count(value) / CAST(count(*) AS DOUBLE) AS missing FROM timeline GROUP BY session_id, metric)
+SELECT x.session_id, x.metric, round(coalesce(missing, 1), 6) AS missing, coalesce(missing, 1) < 1 AS available
+FROM (SELECT session_id, unnest(['heart_rate', 'hrv_rmssd', 'steps', 'temperature', 'humidity', 'pressure']) AS metric FROM sessions) x LEFT JOIN share a ON a.session_id = x.session_id AND a.metric = x.metric""")
 def metric_availability(spark, d):
-    return W.availability(_timeline(spark, d)).withColumn("missing", F.round("missing", 6))
+    return W.availability(_timeline(spark, d), C.sessions(spark, d)).withColumn("missing", F.round("missing", 6))
 
 
 @query(f"WITH {SAMPLED}, {STAGE_AT} SELECT session_id, stage, start_us, end_us FROM runs")

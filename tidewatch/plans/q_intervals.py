@@ -121,17 +121,18 @@ def display_units(spark, d):
     return e.select("event_id", off_ties("shown"))
 
 
-SMOOTHED = f"{C.ALIGNED}, {C.WINDOWS}, {C.SMOOTH}"
+VALUED = """valued AS (SELECT m.session_id, m.metric, m.w, CASE WHEN coalesce(present, 0) > 0 THEN smoothed END AS smoothed FROM smooth m LEFT JOIN stats s ON s.session_id = m.session_id AND s.metric = m.metric AND s.w = m.w)"""
+SMOOTHED = f"{C.ALIGNED}, {C.WINDOWS}, {C.STATS}, {C.SMOOTH}, {VALUED}"
 LEAST = "CASE metric WHEN 'heart_rate' THEN 10.0 WHEN 'hrv_rmssd' THEN 10.0 WHEN 'temperature' THEN 2.0 WHEN 'humidity' THEN 10.0 WHEN 'pressure' THEN 3.0 ELSE 1.0 END"
-SPANS = f"""lim AS (SELECT session_id, metric, min(smoothed) AS lo, max(smoothed) AS hi FROM smooth WHERE smoothed IS NOT NULL GROUP BY ALL),
+SPANS = f"""lim AS (SELECT session_id, metric, min(smoothed) AS lo, max(smoothed) AS hi FROM valued WHERE smoothed IS NOT NULL GROUP BY ALL),
 spans AS (SELECT session_id, metric, (lo + hi) / 2 - greatest(hi - lo, {LEAST}) / 2 AS low, (lo + hi) / 2 + greatest(hi - lo, {LEAST}) / 2 AS high FROM lim)"""
 SENS = "CASE metric WHEN 'heart_rate' THEN 1.0 WHEN 'hrv_rmssd' THEN 0.5 WHEN 'steps' THEN 0.8 WHEN 'temperature' THEN 0.6 WHEN 'pressure' THEN 0.4 END"
-MAPPED = f"""nrm AS (SELECT s.session_id, s.metric, w, smoothed, least(1.0, greatest(0.0, (smoothed - low) / (high - low))) AS n FROM smooth s LEFT JOIN spans p ON p.session_id = s.session_id AND p.metric = s.metric WHERE smoothed IS NOT NULL),
+MAPPED = f"""nrm AS (SELECT s.session_id, s.metric, w, smoothed, least(1.0, greatest(0.0, (smoothed - low) / (high - low))) AS n FROM valued s LEFT JOIN spans p ON p.session_id = s.session_id AND p.metric = s.metric WHERE smoothed IS NOT NULL),
 mapped AS (SELECT session_id, metric, w, smoothed, n, least(1.0, greatest(0.0, 0.5 + {SENS} * (n - 0.5) * CASE WHEN metric = 'pressure' THEN 0.5 ELSE 1.0 END)) AS v FROM nrm)"""
 
 
 def _smooth(spark, d):
-    return W.window_smooth(_timeline(spark, d), C.sessions(spark, d), C.TARGET_S)
+    return W.window_values(_timeline(spark, d), C.sessions(spark, d), C.TARGET_S)
 
 
 def _mapped(spark, d):
@@ -148,7 +149,7 @@ def _spans(spark, d):
 
 def _followed(spark, d):
     """The windows' values with movement in place of steps."""
-    steps = _movement(spark, d).select("session_id", F.lit("steps").alias("metric"), "w", F.col("intensity").alias("smoothed"), F.col("intensity").alias("n"))
+    steps = _movement(spark, d).select("session_id", F.lit("steps").alias("metric"), "w", F.col("intensity").alias("smoothed"), F.lit(True).alias("present"), F.col("intensity").alias("n"))
     steps = steps.withColumn("v", X.mapped_value(F.col("n"), F.col("metric"), F.lit(ROUTES["steps"].sensitivity)))
     return _mapped(spark, d).filter("metric <> 'steps'").unionByName(steps)
 
@@ -174,9 +175,10 @@ def mapped_values(spark, d):
 # replay seconds, and each metric's trajectory: a fold over the windows, then its breakpoints but for glides that were cut
 REPLAY = """rs AS (SELECT x.session_id, w, (w_start - start_us) / 1e6 / ((end_us - start_us) / 1e6 / 180) AS a, (w_end - start_us) / 1e6 / ((end_us - start_us) / 1e6 / 180) AS b FROM windows x JOIN sessions s USING (session_id))"""
 LIMIT = "CASE metric WHEN 'heart_rate' THEN 2.03 WHEN 'hrv_rmssd' THEN 5.07 WHEN 'temperature' THEN 0.51 ELSE 0.0 END"
-FOLLOWED = f"""{REPLAY}, every_ AS (SELECT s.session_id, s.metric, s.w, s.smoothed, v FROM smooth s LEFT JOIN mapped m ON m.session_id = s.session_id AND m.metric = s.metric AND m.w = s.w WHERE s.metric <> 'steps'
+FOLLOWED = f"""{REPLAY}, every_ AS (SELECT s.session_id, s.metric, s.w, s.smoothed, v FROM valued s LEFT JOIN mapped m ON m.session_id = s.session_id AND m.metric = s.metric AND m.w = s.w WHERE s.metric <> 'steps'
   UNION ALL SELECT session_id, 'steps', w, intensity, least(1.0, greatest(0.0, 0.5 + 0.8 * (intensity - 0.5))) FROM movement),
-live AS (SELECT session_id, metric, metric <> 'pressure' AND count(smoothed) > 0 AS live FROM every_ GROUP BY session_id, metric),
+live AS (SELECT x.session_id, x.metric, x.metric <> 'pressure' AND count(smoothed) > 0 AS live FROM (SELECT session_id, unnest(['heart_rate', 'hrv_rmssd', 'steps', 'temperature', 'pressure']) AS metric FROM sessions) x
+  LEFT JOIN every_ e ON e.session_id = x.session_id AND e.metric = x.metric GROUP BY x.session_id, x.metric),
 fo AS (SELECT e.session_id, e.metric, e.w, smoothed, v, a, b, (a + b) / 2 AS c, {LIMIT.replace("metric", "e.metric")} AS lim FROM every_ e JOIN live l ON l.session_id = e.session_id AND l.metric = e.metric AND l.live
   JOIN rs r ON r.session_id = e.session_id AND r.w = e.w),
 fold AS (SELECT session_id, metric, w, smoothed IS NULL AS missing, smoothed AS ref, v AS applied, 0e0 AS t0, coalesce(v, 0.5e0) AS v0, c AS t1, coalesce(v, 0.5e0) AS v1, false AS flip, true AS center FROM fo WHERE w = 0
@@ -190,7 +192,7 @@ fold AS (SELECT session_id, metric, w, smoothed IS NULL AS missing, smoothed AS
 fl AS (SELECT *, min(CASE WHEN flip THEN t0 END) OVER (PARTITION BY session_id, metric ORDER BY w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS later, max(w) OVER (PARTITION BY session_id, metric) AS last FROM fold),
 contr AS (SELECT session_id, metric, t0 AS t, v0 AS v FROM fl WHERE w = 0 OR flip UNION ALL SELECT session_id, metric, t1, v1 FROM fl WHERE center OR flip AND (later IS NULL OR t1 < later)
   UNION ALL SELECT session_id, metric, 180e0, v1 FROM fl WHERE w = last AND t1 < 180 UNION ALL SELECT session_id, metric, unnest([0e0, 180e0]), 0.5e0 FROM live WHERE NOT live)"""
-SOUND = f"{SMOOTHED}, {C.RAW_STAGES}, {C.SEGMENTS}, {C.STATS}, {C.OVERLAP}, {C.MOVEMENT}, {SPANS}, {MAPPED}, {FOLLOWED}"
+SOUND = f"{SMOOTHED}, {C.RAW_STAGES}, {C.SEGMENTS}, {C.OVERLAP}, {C.MOVEMENT}, {SPANS}, {MAPPED}, {FOLLOWED}"
 RESTLESS = f"""{C.FRACTIONS}, {C.STATES},
 q0 AS (SELECT m.session_id, m.w, w_start, w_end, intensity > {S.RESTLESS} AS up, state FROM movement m JOIN states s ON s.session_id = m.session_id AND s.w = m.w JOIN windows x ON x.session_id = m.session_id AND x.w = m.w),
 q1 AS (SELECT *, CASE WHEN up = lag(up) OVER (PARTITION BY session_id ORDER BY w) THEN 0 ELSE 1 END AS fresh FROM q0), q2 AS (SELECT *, sum(fresh) OVER (PARTITION BY session_id ORDER BY w) AS run FROM q1),
@@ -207,7 +209,7 @@ def contribution(spark, d):
     return _contributions(spark, d).select("session_id", "metric", rounded("t"), off_ties("v", digits=5))
 
 
-@query(f"WITH {SMOOTHED}, {C.RAW_STAGES}, {C.SEGMENTS}, {C.STATS}, {C.OVERLAP}, {C.MOVEMENT}, {RESTLESS} SELECT session_id, w, restless FROM restless")
+@query(f"WITH {SMOOTHED}, {C.RAW_STAGES}, {C.SEGMENTS}, {C.OVERLAP}, {C.MOVEMENT}, {RESTLESS} SELECT session_id, w, restless FROM restless")
 def restless_windows(spark, d):
     return _restless(spark, d)
 
@@ -240,17 +242,18 @@ def rate_limit(spark, d):
     return T.rate_limit(own).select("session_id", "w", F.col("out").alias("v")).select("session_id", F.col("w").cast("int").alias("w"), off_ties("v", digits=5))
 
 
-@query(f"""WITH RECURSIVE {SMOOTHED}, {SPANS}, {MAPPED}, o AS (SELECT s.session_id, s.w, s.smoothed AS x, v FROM smooth s LEFT JOIN mapped m ON m.session_id = s.session_id AND m.metric = s.metric AND m.w = s.w WHERE s.metric = 'hrv_rmssd'),
+@query(f"""WITH RECURSIVE {SMOOTHED}, {SPANS}, {MAPPED}, o AS (SELECT s.session_id, s.w, s.smoothed AS x, v FROM valued s LEFT JOIN mapped m ON m.session_id = s.session_id AND m.metric = s.metric AND m.w = s.w WHERE s.metric = 'hrv_rmssd'),
 f AS (SELECT session_id, w, x AS ref, v AS r FROM o WHERE w = 0 UNION ALL SELECT o.session_id, o.w, CASE WHEN o.x IS NULL THEN NULL WHEN f.ref IS NULL OR abs(o.x - f.ref) >= 5.07 THEN o.x ELSE f.ref END,
   CASE WHEN o.x IS NULL THEN NULL WHEN f.ref IS NULL OR abs(o.x - f.ref) >= 5.07 THEN o.v ELSE f.r END FROM f JOIN o ON o.session_id = f.session_id AND o.w = f.w + 1)
 SELECT session_id, w, round(r + 1.7e-9, 5) AS v FROM f""")
 def hysteresis(spark, d):
-    own = _mapped(spark, d).filter("metric = 'hrv_rmssd'")
+    own = _mapped(spark, d).filter("metric = 'hrv_rmssd'").withColumn("smoothed", F.when(F.col("present"), F.col("smoothed")))
     return T.hysteresis(own, "smoothed", 5.07, applied="v").select("session_id", F.col("w").cast("int").alias("w"), F.col("out").alias("v")).select("session_id", "w", off_ties("v", digits=5))
 
 
-@query(f"""WITH RECURSIVE {SMOOTHED}, {REPLAY}, nt AS (SELECT s.session_id, s.metric, s.w, least(180.0, (a + b) / 2) AS t,
-  coalesce(CASE WHEN s.metric = 'temperature' AND smoothed IS NOT NULL THEN least(1.0, abs(smoothed - median(smoothed) OVER (PARTITION BY s.session_id, s.metric)) / 1.0) * 0.6 END, 0.0) AS x FROM smooth s JOIN rs r ON r.session_id = s.session_id AND r.w = s.w WHERE s.metric IN ('temperature', 'pressure')),
+@query(f"""WITH RECURSIVE {SMOOTHED}, {REPLAY}, nt AS (SELECT r.session_id, r.metric, r.w, least(180.0, (a + b) / 2) AS t,
+  coalesce(CASE WHEN r.metric = 'temperature' AND smoothed IS NOT NULL THEN least(1.0, abs(smoothed - median(smoothed) OVER (PARTITION BY r.session_id, r.metric)) / 1.0) * 0.6 END, 0.0) AS x
+  FROM (SELECT *, unnest(['temperature', 'humidity', 'pressure']) AS metric FROM rs) r LEFT JOIN valued s ON s.session_id = r.session_id AND s.metric = r.metric AND s.w = r.w),
 f AS (SELECT session_id, metric, w, t, x AS v, x FROM nt WHERE w = 0 UNION ALL SELECT n.session_id, n.metric, n.w, n.t, f.v + greatest(-0.08 * (n.t - f.t), least(0.08 * (n.t - f.t), n.x - f.v)), n.x
   FROM f JOIN nt n ON n.session_id = f.session_id AND n.metric = f.metric AND n.w = f.w + 1)
 SELECT session_id, metric, round(t, 6) AS t, round(v + 1.7e-9, 5) AS v FROM f UNION ALL SELECT session_id, metric, 0.0, round(v + 1.7e-9, 5) FROM f WHERE w = 0
@@ -302,7 +305,7 @@ def gestures(spark, d):
 @query()
 def manifest_json(spark, d):
     s = C.sessions(spark, d)
-    return M.manifest(s, _states(spark, d), _smooth(spark, d), W.availability(_timeline(spark, d)).drop("available"), C.TARGET_S)
+    return M.manifest(s, _states(spark, d), _smooth(spark, d), W.availability(_timeline(spark, d), s).drop("available"), C.TARGET_S)
 
 
 # of the windows some are left out and some moved, of the fractions some are halved

@@ -14,7 +14,7 @@ from tidewatch.operators import intervals as I
 from tidewatch.operators import trajectories as T
 from tidewatch.plans import canonical as C
 from tidewatch.plans.q_align import _resampled, _series, _timeline
-from tidewatch.plans.q_features import STAGED, _fractions, _movement, _night_events, _states
+from tidewatch.plans.q_features import SAMPLED, STAGE_AT, STAGED, _movement, _night_events, _stages, _states
 from tidewatch.plans.q_intervals import ISLANDS, ROUTES, _contributions, _restless, _smooth, _spans
 from tidewatch.plans.register import Registry, off_ties, rounded
 from tidewatch.sources import fitbit
@@ -119,17 +119,18 @@ def extract_windows(spark, d):
     return by_window.select("session_id", "w", "stage", "state", off_ties("intensity"))
 
 
-@query(f"""WITH {STAGED}, {C.CONVERTED}, {C.DEDUP}, {C.CHOSEN}, {C.SERIES}, {C.GRID}, {C.RESAMPLED}, t AS (SELECT session_id, metric, value FROM resampled UNION ALL SELECT session_id, 'steps', NULL FROM grid),
-a AS (SELECT session_id, metric, 1 - count(value) / CAST(count(*) AS DOUBLE) AS missing FROM t GROUP BY ALL), k AS (SELECT session_id, sum(us) FILTER (stage = 'unknown') / CAST(sum(us) AS DOUBLE) AS unknown FROM fractions GROUP BY 1)
+@query(f"""WITH {SAMPLED}, {STAGE_AT}, {C.RESAMPLED}, t AS (SELECT session_id, metric, value FROM resampled),
+a AS (SELECT x.session_id, x.metric, coalesce(1 - count(value) / CAST(nullif(count(t.metric), 0) AS DOUBLE), 1) AS missing
+  FROM (SELECT session_id, unnest(['heart_rate', 'hrv_rmssd', 'steps', 'temperature', 'humidity', 'pressure']) AS metric FROM sessions) x LEFT JOIN t ON t.session_id = x.session_id AND t.metric = x.metric GROUP BY ALL),
+k AS (SELECT session_id, count(*) FILTER (stage = 'unknown') / CAST(count(*) AS DOUBLE) AS unknown FROM stages GROUP BY 1)
 SELECT a.session_id, metric, round(CASE WHEN metric = 'steps' AND missing = 1 AND unknown < 1 THEN unknown ELSE missing END, 6) AS missing,
   missing < 1 OR (metric = 'hrv_rmssd' AND a.session_id LIKE '%/0') OR (metric = 'steps' AND unknown < 1) AS available FROM a JOIN k USING (session_id)""")
 def availability_fallbacks(spark, d):
     """As if no night had steps, and subject 0 had daily HRV."""
     s = C.sessions(spark, d)
-    none = A.sample_grid(C.stepped(spark, d, _series(spark, d))).select("session_id", F.lit("steps").alias("metric"), "k", "us", F.lit(None).cast("double").alias("value"))
-    timeline = _resampled(spark, d).select("session_id", "metric", "k", "us", "value").unionByName(none)
+    timeline = _resampled(spark, d).select("session_id", "metric", "k", "us", "value")
     daily = s.filter("session_id like '%/0'").select("session_id", F.lit(40.0).alias("rmssd"))
-    return W.availability(timeline, _fractions(spark, d), daily).withColumn("missing", F.round("missing", 6))
+    return W.availability(timeline, s, _stages(spark, d), daily).withColumn("missing", F.round("missing", 6))
 
 
 @query(f"""WITH {C.SESSIONS}, r AS (SELECT session_id, (end_us - start_us) / 180e6 AS ratio, end_us - start_us AS us FROM sessions) SELECT session_id, printf('%.3f', ratio) AS ratio, us <= 180000000 AS too_short,
