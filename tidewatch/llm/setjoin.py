@@ -138,11 +138,11 @@ def _shard_rows(shingle: int, sizes: Sizes, parts: int, bits: int):
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(rep, shard, shared): of a shard's sets, how many tokens of a range another set has too."""
+    """(shard, counts): for each shard in one row, how many tokens of a range its sets have that another set has too."""
 
     def of_part(blobs: list[bytes]) -> pa.RecordBatch:
         parts = [unpacked(b) for b in blobs]
-        shards = [np.frombuffer(p[0], "<u8")[0] for p in parts]
+        shards = [int(np.frombuffer(p[0], "<i8")[0]) for p in parts]
         reps = [np.frombuffer(p[1], "<i8") for p in parts]
         single = [np.cumsum(numbers(p[2], 8), dtype=np.uint64) for p in parts]
         owner = [r[numbers(p[3]).astype(np.int64)] for r, p in zip(reps, parts, strict=True)]
@@ -151,20 +151,16 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = np.repeat(np.arange(len(parts)), [len(s) for s in single])
         order = np.argsort(token, kind="stable")
         token, rep, at = token[order], rep[order], at[order]
-        out = []
+        out: list[tuple[int, bytes]] = []
         if len(token):
             begin = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
             common = (np.minimum.reduceat(rep, begin) != np.maximum.reduceat(rep, begin)) | np.isin(token[begin], many)
             shared = np.repeat(common, np.diff(np.append(begin, len(token))))
-            pairs, n = np.unique(np.stack([at[shared], rep[shared]]), axis=1, return_counts=True)
-            out = [(int(r), shards[k], int(c)) for k, r, c in zip(*pairs.tolist(), n.tolist(), strict=True)]
-        for shard, p in zip(shards, parts, strict=True):
-            if len(p[5]):
-                out += [(r, shard, int(c)) for r, c in zip(np.frombuffer(p[5], "<i8").tolist(), numbers(p[6]), strict=True) if c]
-        cols = list(zip(*out, strict=True)) if out else [(), (), ()]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(cols[0], pa.int64()), pa.array(np.array(cols[1], np.uint64).view(np.int64)), pa.array(cols[2], pa.int64())], ["rep", "shard", "shared"]
-        )
+            (of, who), n = np.unique(np.stack([at[shared], rep[shared]]), axis=1, return_counts=True)
+            for k in np.unique(of).tolist():
+                out.append((shards[k], packed(who[of == k].astype("<i8").tobytes(), planes(n[of == k]))))
+        out += [(shard, packed(p[5], p[6])) for shard, p in zip(shards, parts, strict=True) if len(p[5])]
+        return pa.RecordBatch.from_arrays([pa.array([s for s, _ in out], pa.int64()), pa.array([c for _, c in out], pa.binary())], ["shard", "counts"])
 
     now, blobs = None, []
     for batch in batches:
@@ -178,6 +174,27 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield of_part(blobs)
 
 
+def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rep, shared) of each shard, from its counts over all ranges, sorted by shard."""
+
+    def of_shard(blobs: list[bytes]) -> pa.RecordBatch:
+        parts = [unpacked(b) for b in blobs]
+        reps, at = np.unique(np.concatenate([np.frombuffer(p[0], "<i8") for p in parts]), return_inverse=True)
+        total = np.bincount(at, weights=np.concatenate([numbers(p[1]) for p in parts]).astype(float), minlength=len(reps))
+        return pa.RecordBatch.from_arrays([pa.array(reps), pa.array(total.astype(np.int64))], ["rep", "shared"])
+
+    now, blobs = None, []
+    for batch in batches:
+        for shard, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if shard != now and blobs:
+                yield of_shard(blobs)
+                blobs = []
+            now = shard
+            blobs.append(blob)
+    if blobs:
+        yield of_shard(blobs)
+
+
 def _full(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -336,8 +353,9 @@ def _open_sets(base: DataFrame, sets: DataFrame, shingle: int, similarity: int,
     parts = max(sizes.least_parts, math.ceil(total / sizes.part))
     bits = min(64, max(16, math.ceil(math.log2(total + 2)) + 8))
     sent = base.select("text").mapInArrow(_shard_rows(shingle, sizes, parts, bits), "part int, tokens binary")
-    met = sent.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_shared, "rep bigint, shard bigint, shared bigint")
-    shared = met.groupBy("rep", "shard").agg(F.sum("shared").alias("shared")).groupBy("rep").agg(F.max("shared").alias("shared"))
+    met = sent.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_shared, "shard bigint, counts binary")
+    told = met.repartition("shard").sortWithinPartitions("shard").mapInArrow(_totals, "rep bigint, shared bigint")
+    shared = told.groupBy("rep").agg(F.max("shared").alias("shared"))
     classes = sets.filter("n > 0").groupBy("rep").agg(F.min("text_key").alias("text_key"), F.first("n").alias("n"))
     need = F.ceil(F.col("n") * similarity / 100)
     opened = written(classes.join(shared, "rep").filter(F.col("shared") >= need).select("rep", "text_key"), "setjoin-open")
