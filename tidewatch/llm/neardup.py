@@ -114,20 +114,23 @@ def _alike(similarity: int):
     return run
 
 
-def _confirmed(shingle: int, similarity: int):
-    """Keeps the pairs (a, b, text of a, text of b) whose full sets are similar."""
+def _star_links(similarity: int):
+    """Links (a, b) of rows (a, block, side, rep, set), sorted: the set of a hub comes first, then those that it is held against."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, hub = None, np.zeros(0, np.uint64)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                (wa, ra), (wb, rb) = hashed.words(part.column(2)), hashed.words(part.column(3))
-                keep = []
-                for k in range(part.num_rows):
-                    x, y = hashed.shingle_set(wa[ra[k] : ra[k + 1]], shingle), hashed.shingle_set(wb[rb[k] : rb[k + 1]], shingle)
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(both > 0 and 100 * both >= similarity * (len(x) + len(y) - both))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            a, b = [], []
+            for k, block, side, rep, x in zip(*[batch.column(c).to_pylist() for c in range(5)], strict=True):
+                own = np.frombuffer(x, "<u8")
+                if side == 0:
+                    now, hub = (k, block), own
+                elif now == (k, block):
+                    both = len(np.intersect1d(hub, own, assume_unique=True))
+                    if both and 100 * both >= similarity * (len(hub) + len(own) - both):
+                        a.append(k)
+                        b.append(rep)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return run
 
@@ -285,10 +288,15 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: int = S
         return written(all_texts.join(F.broadcast(need) if few else need, "text_key").dropDuplicates(["doc_id"]).select("doc_id", "text"), name)
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
+        """Pairs that are similar on their full sets. A hub's set is sent once for each block of its pairs, however many these are."""
         own = texts(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), f"{name}-texts")
-        text = lambda k: own.select(F.col("doc_id").alias(k), F.col("text").alias(f"t_{k}"))
-        full = pairs.join(text("a"), "a").join(text("b"), "b").select("a", "b", "t_a", "t_b")
-        return written(full.mapInArrow(_confirmed(shingle, similarity), "a bigint, b bigint"), name)
+        full = own.select(F.col("doc_id").alias("rep"), "text").mapInArrow(_full_sets(shingle), "rep bigint, set binary")
+        load = written(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), f"{name}-load")
+        held = load.select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("side"), F.col("a").alias("rep"))
+        asked = pairs.join(load.hint("merge"), "a").select("a", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"), F.lit(1).alias("side"), F.col("b").alias("rep"))
+        rows = held.union(asked).join(written(full, f"{name}-sets"), "rep").select("a", "block", "side", "rep", "set")
+        dealt = rows.repartition("a", "block").sortWithinPartitions("a", "block", "side", "rep")
+        return written(dealt.mapInArrow(_star_links(similarity), "a bigint, b bigint"), name)
 
     stars = grouped.filter("rep <> a").select("a", F.col("rep").alias("b")).distinct()
     seen = stars.join(side("a"), "a").join(side("b"), "b").select("a", "b", "s_a", "s_b", "n_a", "n_b")
