@@ -4,8 +4,9 @@ Each document of a source expects the same number of copies (target words over
 source words). Documents stand on a line in the order of their size class, a
 salt and their size; the expected copies are summed along it, one random
 offset per source is added, and a copy is emitted per integer crossed. As the
-sizes are laid out in order, the words taken come near the target; of a few
-random offsets, each source has the one that comes nearest.
+sizes are laid out in order, what one document has too much its neighbours of
+like size have too little, and the words taken miss the target by no more than
+a part of the largest document.
 
 The prefix sum is taken over counts in three steps (rows within a cell of
 source, class and salt; cells within a class; classes within a source), so no
@@ -26,8 +27,6 @@ from tidewatch.llm.words import space_words
 #: Rows that a cell of the largest source holds about, and the least number of salts.
 CELL_ROWS, LEAST_SALTS = 50_000, 32
 MAX_COPIES = 3
-#: Random offsets of which a source gets the best.
-OFFSETS = 32
 
 
 def word_count(text: Column) -> Column:
@@ -111,25 +110,17 @@ def systematic_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     each = F.when(F.col("source_size") > 0, F.least(F.lit(float(MAX_COPIES)), F.col("target") / F.col("source_size"))).otherwise(0.0)
     starts = written(starts.withColumn("each", each), "mixing-starts")
     order = Window.partitionBy("skey", "class", "salt").orderBy("size", "mix", "doc_id")
-    own = rows.select("skey", "class", "salt", "size", "mix", "doc_id")
 
-    def copies(offset: Column) -> Column:
-        edge = lambda k: F.floor(k * F.col("each") + offset)
-        return F.least(F.lit(MAX_COPIES), edge(F.col("at")) - edge(F.col("at") - 1)).cast("long")
-
-    offset = lambda k: F.pmod(F.xxhash64(F.lit(seed), F.lit("offset"), k, F.col("skey")), F.lit(1 << 30)) / float(1 << 30)
-    tried = own.withColumn("row", F.row_number().over(order)).join(starts, ["skey", "class", "salt"]).withColumn("at", F.col("start") + F.col("row"))
-    some = tried.select("skey", "size", "at", "each", "target", F.explode(F.sequence(F.lit(0), F.lit(OFFSETS - 1))).alias("k"))
-    missed = some.groupBy("skey", "k").agg(F.abs(F.sum(F.col("size") * copies(offset(F.col("k")))) - F.first("target")).alias("missed"))
-    best = written(missed.groupBy("skey").agg(F.min_by("k", F.struct("missed", "k")).alias("k")).withColumn("offset", offset(F.col("k"))), "mixing-offsets").select("skey", "offset")
-
-    out = rows.withColumn("row", F.row_number().over(order)).join(starts.join(best, "skey"), ["skey", "class", "salt"]).withColumn("at", F.col("start") + F.col("row"))
+    offset = F.pmod(F.xxhash64(F.lit(seed), F.lit("offset"), F.col("skey")), F.lit(1 << 30)) / float(1 << 30)
+    edge = lambda k: F.floor(k * F.col("each") + offset)
+    copies = F.least(F.lit(MAX_COPIES), edge(F.col("at")) - edge(F.col("at") - 1)).cast("long")
+    out = rows.withColumn("row", F.row_number().over(order)).join(starts, ["skey", "class", "salt"]).withColumn("at", F.col("start") + F.col("row"))
     return out.select(
         F.col("doc_id").alias(id_col),
         "size",
         F.col("source_size").cast("long").alias("source_size"),
         F.col("target").cast("double").alias("target"),
-        copies(F.col("offset")).alias("copies"),
+        copies.alias("copies"),
         *[F.col(f"_keep_{i}").alias(c) for i, c in enumerate(keep)],
     )
 
