@@ -317,6 +317,9 @@ def fit_index(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, neig
     chosen = known.orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id", "toxic").limit(examples)
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").filter("text is not null")
     sample = texts.select(F.xxhash64("text").alias("mix"), F.col("toxic").cast("int").alias("toxic"), "text").dropDuplicates(["mix"])
+    # an id may stand on many rows, so the texts are bounded once more, by keys alone
+    kept = sample.select("mix").orderBy(F.xxhash64("mix", F.lit(12)), "mix").limit(examples)
+    sample = sample.join(F.broadcast(kept), "mix")
     counted = written(sample.mapInArrow(_counts, "mix bigint, toxic int, terms binary, tf binary"), "toxicity-examples")
     of_terms = counted.select("toxic", "terms").mapInArrow(_example_terms, "term bigint, n bigint, toxic bigint").groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")).toArrow()
     vocabulary = of_terms.column(0).to_numpy().astype(np.int64).view(np.uint64)
