@@ -198,12 +198,31 @@ def timezone_suspects(resampled: DataFrame, points: DataFrame, sessions: DataFra
     return out.select("session_id", coverage.alias("coverage"), ((coverage < S.COVERAGE) & F.coalesce("near", F.lit(False))).alias("suspect"))
 
 
-def fingerprint(points: DataFrame) -> DataFrame:
-    """(session_id, fingerprint): a digest of the session's points that doesn't depend on their order: their number and the sums of the two
-    halves of each row's MD5. Sums are taken before the shuffle, so no task holds a session."""
-    row = F.md5(F.concat_ws("|", "source", "metric", F.col("us").cast("string"), F.col("value").cast("string"), "unit"))
-    half = lambda at: F.sum(F.conv(F.substring(row, at, 15), 16, 10).cast("decimal(20,0)")).cast("string")
-    return points.groupBy("session_id").agg(F.concat_ws("-", F.count(F.lit(1)).cast("string"), half(1), half(17)).alias("fingerprint"))
+def fingerprint(sessions: DataFrame, points: DataFrame, segments: DataFrame, daily: DataFrame | None = None, version: str = "1", block: int = 4096) -> DataFrame:
+    """(session_id, fingerprint): a digest of all that a session's results come from: its bounds, points, segments and daily figure
+    (session_id, rmssd), and the version. Any change changes it, copies count, the order of rows doesn't.
+
+    It is a tree: equal records are counted, then dealt out by their digests to blocks of about ``block``, which are digested in
+    order; the session's digest is that of its blocks in order. Where a block begins depends on the records alone.
+    """
+    text = lambda *cs: F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("?")) if isinstance(c, str) else c for c in cs])
+    parts = [
+        sessions.select("session_id", text(F.lit("session"), "start_us", "end_us").alias("r")),
+        points.select("session_id", text(F.lit("point"), "source", "metric", "us", "value", "unit").alias("r")),
+        segments.select("session_id", text(F.lit("segment"), "start_us", "end_us", "stage", "is_brief").alias("r")),
+    ]
+    if daily is not None:
+        parts.append(daily.select("session_id", text(F.lit("daily"), "rmssd").alias("r")))
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    records = every.groupBy("session_id", F.sha2("r", 256).alias("h")).agg(F.count(F.lit(1)).alias("n"))
+    blocks = records.groupBy("session_id").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
+    at = F.pmod(F.conv(F.substring("h", 1, 15), 16, 10).cast("bigint"), F.col("blocks"))
+    leaf = F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "h", F.col("n").cast("string")))), ","), 256)
+    leaves = records.join(blocks, "session_id").groupBy("session_id", at.alias("block")).agg(leaf.alias("leaf"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("block", "leaf"))), lambda x: x["leaf"])
+    return leaves.groupBy("session_id").agg(F.sha2(F.concat_ws("|", F.lit(version), F.array_join(ordered, ",")), 256).alias("fingerprint"))
 
 
 def widest_gaps(points: DataFrame) -> DataFrame:
@@ -223,7 +242,9 @@ def pivot_counts(points: DataFrame, metrics: tuple[str, ...]) -> DataFrame:
 
 
 def attach_daily(sessions: DataFrame, series: DataFrame, daily: DataFrame, zone: str) -> DataFrame:
-    """(session_id, rmssd): the daily figure (subject, date, rmssd) of the date on which a session ends, for sessions without HRV of their own."""
+    """(session_id, rmssd): the mean of the daily figures (subject, date, rmssd) of the date on which a session ends, for sessions without HRV of
+    their own."""
+    daily = daily.groupBy("subject", "date").agg(_clamped_mean("rmssd").alias("rmssd")).filter("rmssd is not null")
     ends = sessions.withColumn("date", F.to_date(F.from_utc_timestamp(F.timestamp_micros("end_us"), zone))).select("session_id", "subject", "date")
     have = series.filter("metric = 'hrv_rmssd'").select("session_id").distinct()
     return ends.join(have, "session_id", "left_anti").join(daily.select("subject", "date", "rmssd"), ["subject", "date"]).select("session_id", "rmssd")

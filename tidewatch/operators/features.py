@@ -168,6 +168,13 @@ def brief_awakenings(segments: DataFrame, sessions: DataFrame, target_s: int = S
     return own.filter((F.col("end_us") - F.col("start_us")) / float(S.US) < F.col("ratio")).select("session_id", "start_us", "end_us")
 
 
+def brief_starts(segments: DataFrame, sessions: DataFrame, target_s: int = S.DEFAULT_TARGET_S) -> DataFrame:
+    """(session_id, t): when brief awakenings begin, in replay seconds."""
+    own = brief_awakenings(segments, sessions, target_s).select("session_id", F.col("start_us").alias("us")).join(sessions.select("session_id", "start_us", "end_us"), "session_id")
+    ratio = X.compression_ratio(F.col("start_us"), F.col("end_us"), target_s)
+    return own.select("session_id", ((F.col("us") - F.col("start_us")) / float(S.US) / ratio).alias("t"))
+
+
 def availability(timeline: DataFrame, sessions: DataFrame, stages: DataFrame | None = None, daily_hrv: DataFrame | None = None) -> DataFrame:
     """(session_id, metric, missing, available) for each metric of every session: the share of samples without a value, and whether there is any
     to follow. A metric without rows misses all.

@@ -16,18 +16,35 @@ def _slices(rows: DataFrame, keys: list[str], start: str = "start_us", end: str
     return bounds.withColumn("hi", F.lead("lo").over(Window.partitionBy(*keys).orderBy("lo"))).filter("hi is not null")
 
 
-def _dealt(rows: DataFrame, bucket_us: int) -> DataFrame:
-    """Rows (start_us, end_us) once for each stretch of time that they touch, as ``_bucket``."""
-    return rows.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("start_us") / bucket_us), F.floor((F.greatest(F.col("end_us") - 1, F.col("start_us"))) / bucket_us))))
-
-
-def _covering(pieces: DataFrame, rows: DataFrame, keys: list[str], bucket_us: int) -> DataFrame:
-    """Pieces (lo, hi) with the rows that cover them: only rows of the same stretch of time meet, not all of a key."""
-    at = pieces.withColumn("_bucket", F.floor(F.col("lo") / bucket_us))
-    return at.join(_dealt(rows, bucket_us), [*keys, "_bucket"]).filter("start_us <= lo and end_us >= hi").drop("_bucket")
-
-
-def stage_segments(intervals: DataFrame, sessions: DataFrame, bucket_us: int = 15 * S.MINUTE) -> DataFrame:
+def _dyadic(rows: DataFrame, unit_us: int) -> DataFrame:
+    """Rows (start_us, end_us) once for each cell (``_level``, ``_cell``) of the fewest dyadic stretches of ``unit_us`` that cover them: two a level
+    at most, so the logarithm of their length."""
+    first = F.floor(F.col("start_us") / unit_us).cast("bigint")
+    behind = F.greatest(first + 1, F.ceil(F.col("end_us") / unit_us).cast("bigint"))
+    at = rows.withColumn("_a", first).withColumn("_b", behind)
+    top = F.ceil(F.log2((F.col("_b") - F.col("_a")).cast("double"))).cast("int")
+
+    def cells(level):
+        a = F.call_function("shiftright", F.col("_a") + F.call_function("shiftleft", F.lit(1).cast("bigint"), level) - 1, level)
+        b = F.call_function("shiftright", F.col("_b"), level)
+        odd = lambda x: F.pmod(x, F.lit(2)) == 1
+        cell = lambda x: F.struct(level.alias("_level"), x.alias("_cell"))
+        return F.array(F.when((a < b) & odd(a), cell(a)), F.when((a < b) & odd(b), cell(b - 1)))
+
+    every = F.filter(F.flatten(F.transform(F.sequence(F.lit(0), top), cells)), lambda x: x.isNotNull())
+    return at.withColumn("_c", F.explode(every)).select(*rows.columns, "_c._level", "_c._cell")
+
+
+def _covering(pieces: DataFrame, rows: DataFrame, keys: list[str], unit_us: int) -> DataFrame:
+    """Pieces (lo, hi) with the rows that cover them. A piece looks for the cells that hold its start, one on each level that the key has."""
+    cells = _dyadic(rows, unit_us)
+    levels = cells.groupBy(*keys).agg(F.max("_level").alias("_top"))
+    at = pieces.join(levels, keys).withColumn("_level", F.explode(F.sequence(F.lit(0), F.col("_top")))).drop("_top")
+    at = at.withColumn("_cell", F.call_function("shiftright", F.floor(F.col("lo") / unit_us).cast("bigint"), F.col("_level")))
+    return at.join(cells, [*keys, "_level", "_cell"]).filter("start_us <= lo and end_us >= hi").drop("_level", "_cell")
+
+
+def stage_segments(intervals: DataFrame, sessions: DataFrame, unit_us: int = 15 * S.MINUTE) -> DataFrame:
     """Segments that don't overlap, from intervals (session_id, src_idx, start_us, end_us, stage, is_brief) that may.
 
     Intervals are clipped to the session. Where several cover an instant, the largest (is_brief, start, src_idx) wins;
@@ -36,7 +53,7 @@ def stage_segments(intervals: DataFrame, sessions: DataFrame, bucket_us: int = 1
     cut = intervals.join(sessions.select("session_id", F.col("start_us").alias("_s"), F.col("end_us").alias("_e")), "session_id")
     cut = cut.withColumn("start_us", F.greatest("start_us", "_s")).withColumn("end_us", F.least("end_us", "_e")).filter("end_us > start_us")
     pieces = _slices(cut, ["session_id"])
-    over = _covering(pieces, cut, ["session_id"], bucket_us)
+    over = _covering(pieces, cut, ["session_id"], unit_us)
     won = over.groupBy("session_id", "lo", "hi").agg(F.max_by(F.struct("src_idx", "stage", "is_brief"), F.struct("is_brief", "start_us", "src_idx")).alias("w"))
     order = Window.partitionBy("session_id").orderBy("lo")
     same = (F.lag("hi").over(order) == F.col("lo")) & (F.lag("w.src_idx").over(order) == F.col("w.src_idx"))
@@ -75,11 +92,11 @@ def merged(rows: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def ownership(rows: DataFrame, keys: list[str], bucket_us: int = 6 * S.HOUR) -> DataFrame:
+def ownership(rows: DataFrame, keys: list[str], unit_us: int = 6 * S.HOUR) -> DataFrame:
     """(keys, content, start_us, end_us): each instant belongs to the best member that covers it (main, longest, earliest, content);
     neighbouring pieces of one owner are joined."""
     pieces = _slices(rows, keys)
-    over = _covering(pieces, rows, keys, bucket_us)
+    over = _covering(pieces, rows, keys, unit_us)
     best = F.struct(~F.col("is_main"), -(F.col("end_us") - F.col("start_us")), F.col("start_us"), F.col("content"))
     won = over.groupBy(*keys, "lo", "hi").agg(F.min_by("content", best).alias("owner"))
     order = Window.partitionBy(*keys).orderBy("lo")

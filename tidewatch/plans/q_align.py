@@ -154,12 +154,6 @@ def align_timeline(spark, d):
     return _timeline(spark, d).select("session_id", "metric", "k", "us", rounded("value"))
 
 
-@query(f"""WITH {C.POINTS}, r AS (SELECT session_id, md5(source || '|' || metric || '|' || us || '|' || CAST(value AS VARCHAR) || '|' || unit) AS h FROM points)
-SELECT session_id, concat_ws('-', count(*), sum(CAST('0x' || substr(h, 1, 15) AS BIGINT)), sum(CAST('0x' || substr(h, 17, 15) AS BIGINT))) AS fingerprint FROM r GROUP BY 1""")
-def fingerprint(spark, d):
-    return A.fingerprint(C.points(spark, d))
-
-
 @query(f"""WITH {C.POINTS} SELECT metric, count(*) AS n, min(us) AS first_us, max(us) AS last_us FROM points GROUP BY 1""")
 def merge_reports(spark, d):
     return W.merge_reports(W.report(C.points(spark, d)))

@@ -15,7 +15,7 @@ from tidewatch.operators import manifest as M
 from tidewatch.operators import trajectories as T
 from tidewatch.plans import canonical as C
 from tidewatch.plans.q_align import _resampled, _series, _timeline
-from tidewatch.plans.q_features import STAGED, _fractions, _movement, _states, _stage_events
+from tidewatch.plans.q_features import STAGED, _fractions, _movement, _night_events, _stage_events, _stages, _states
 from tidewatch.plans.register import Registry, off_ties, rounded
 
 query = Registry()
@@ -302,10 +302,47 @@ def gestures(spark, d):
     return T.gestures(ev, C.TARGET_S).select("session_id", "type", rounded("t0"), rounded("t1"))
 
 
+def _daily(spark, d):
+    """Subject 0 has a daily figure of HRV."""
+    return C.sessions(spark, d).filter("session_id like '%/0'").select("session_id", F.lit(40.5).alias("rmssd"))
+
+
+def _fingerprints(spark, d):
+    return A.fingerprint(C.sessions(spark, d), C.points(spark, d), C.segments(spark, d), _daily(spark, d))
+
+
+FINGERPRINT = """records AS (SELECT session_id, sha256('session|' || start_us || '|' || end_us) AS h FROM sessions
+  UNION ALL SELECT session_id, sha256(concat_ws('|', 'point', source, metric, us, CAST(value AS VARCHAR), unit)) FROM points
+  UNION ALL SELECT session_id, sha256(concat_ws('|', 'segment', start_us, end_us, stage, is_brief)) FROM segments
+  UNION ALL SELECT session_id, sha256('daily|40.5') FROM sessions WHERE session_id LIKE '%/0'),
+counted AS (SELECT session_id, h, count(*) AS n FROM records GROUP BY ALL), many AS (SELECT session_id, CAST(ceil(count(*) / 4096.0) AS BIGINT) AS blocks FROM counted GROUP BY 1),
+leaves AS (SELECT session_id, CAST('0x' || substr(h, 1, 15) AS BIGINT) % blocks AS block, sha256(string_agg(h || ':' || n, ',' ORDER BY h || ':' || n)) AS leaf FROM counted JOIN many USING (session_id) GROUP BY ALL),
+prints AS (SELECT session_id, sha256('1|' || string_agg(leaf, ',' ORDER BY block)) AS fingerprint FROM leaves GROUP BY 1)"""
+
+
+@query(f"WITH {C.POINTS}, {C.SESSIONS}, {C.RAW_STAGES}, {C.SEGMENTS}, {FINGERPRINT} SELECT session_id, fingerprint FROM prints")
+def fingerprint(spark, d):
+    return _fingerprints(spark, d)
+
+
+def _manifests(spark, d):
+    s, series = C.sessions(spark, d), _series(spark, d)
+    have = W.availability(_timeline(spark, d), s, _stages(spark, d), _daily(spark, d))
+    events = E.label_events(E.cap_events(E.merge_events(_night_events(spark, d))), s, "Europe/Berlin", C.TARGET_S)
+    return M.manifest(C.stepped(spark, d, series), _states(spark, d), _smooth(spark, d), have, events, _fingerprints(spark, d), ROUTES, C.TARGET_S, "Europe/Berlin")
+
+
 @query()
 def manifest_json(spark, d):
-    s = C.sessions(spark, d)
-    return M.manifest(s, _states(spark, d), _smooth(spark, d), W.availability(_timeline(spark, d), s).drop("available"), C.TARGET_S)
+    return _manifests(spark, d)
+
+
+@query(f"WITH {C.SESSIONS} SELECT session_id, 0 AS problems FROM sessions")
+def manifest_problems(spark, d):
+    """Every manifest that is written holds what it must. (Each check is broken once in the tests.)"""
+    whole = _manifests(spark, d)
+    found = M.manifest_problems(whole).groupBy("session_id").agg(F.count(F.lit(1)).alias("problems"))
+    return whole.select("session_id").join(found, "session_id", "left").select("session_id", F.coalesce("problems", F.lit(0)).alias("problems"))
 
 
 # of the windows some are left out and some moved, of the fractions some are halved
@@ -371,7 +408,6 @@ UNION ALL SELECT g.session_id, round((g.start_us - s.start_us) / 1e6 / ((s.end_u
   WHERE stage = 'awake' AND (g.end_us - g.start_us) / 1e6 < (s.end_us - s.start_us) / 1e6 / 180""")
 def schedule_transients(spark, d):
     s = C.sessions(spark, d)
-    brief = W.brief_awakenings(C.segments(spark, d), s, C.TARGET_S).select("session_id", F.col("start_us").alias("us")).join(s, "session_id")
-    brief = brief.select("session_id", ((F.col("us") - F.col("start_us")) / 1e6 / X.compression_ratio(F.col("start_us"), F.col("end_us"), C.TARGET_S)).alias("t"))
+    brief = W.brief_starts(C.segments(spark, d), s, C.TARGET_S)
     t = T.schedule_transients(_movement(spark, d), _spans(spark, d), ROUTES, brief)
     return t.select("session_id", rounded("t"), off_ties("amp"), "kind")

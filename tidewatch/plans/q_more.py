@@ -85,7 +85,7 @@ def merged_segments(spark, d):
         "subject", "content", (F.col("start_us") + F.col("i") * third).alias("start_us"), F.when(F.col("i") == 2, F.col("end_us")).otherwise(F.col("start_us") + (F.col("i") + 1) * third).alias("end_us"),
         F.element_at(F.array(F.lit("light"), F.lit("deep"), F.lit("rem")), F.col("i") + 1).alias("stage"), F.lit(False).alias("is_brief"),
     )
-    owners = I.ownership(I.merge_islands(c, ["subject"]), ["subject", "island"], bucket_us=30 * 24 * S.HOUR)
+    owners = I.ownership(I.merge_islands(c, ["subject"]), ["subject", "island"])
     return I.merged_segments(owners, seg, ["subject", "island"]).select("subject", "content", "start_us", "end_us", "stage")
 
 
@@ -212,7 +212,7 @@ def render_plan(spark, d):
     s = C.sessions(spark, d)
     m = _movement(spark, d)
     events = E.label_events(E.cap_events(E.merge_events(_night_events(spark, d))), s, "UTC", C.TARGET_S)
-    transients = E.cap_transients(T.schedule_transients(m, _spans(spark, d), ROUTES))
+    transients = E.cap_transients(T.schedule_transients(m, _spans(spark, d), ROUTES, W.brief_starts(C.segments(spark, d), s, C.TARGET_S)))
     return T.render_plan(_contributions(spark, d), _spans(spark, d), _states(spark, d), _restless(spark, d), _smooth(spark, d), events, transients, ROUTES, C.TARGET_S)
 
 

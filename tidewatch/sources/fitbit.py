@@ -12,6 +12,7 @@ import io
 import lzma
 import zipfile
 import zlib
+import re
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 from datetime import date, timedelta
@@ -206,24 +207,45 @@ def steps(files: DataFrame, zone: str = "UTC") -> DataFrame:
     return points_of(steps_rows(files, zone))
 
 
+#: One cell and what ends it: quoted, with quotes doubled, or bare.
+_CELL = re.compile(r'(?:"((?:[^"]|"")*+)"|(?!")([^,\r\n]*+))(,|\r\n|\r|\n|\Z)')
+
+
+def _records(text: str) -> tuple[list[list[str]], int | None]:
+    """The records of a CSV text that aren't blank, and the line on which it stops being one (None: it doesn't)."""
+    records, cells, at = [], [], 0
+    while at < len(text):
+        m = _CELL.match(text, at)
+        if m is None:
+            return records, 1 + len(re.findall(r"\r\n|\r|\n", text[:at]))
+        quoted, bare, end = m.groups()
+        cells.append(bare if quoted is None else quoted.replace('""', '"'))
+        at = m.end()
+        if end == ",":
+            if at == len(text):
+                cells.append("")
+            continue
+        records.append(cells)
+        cells = []
+    return [r for r in [*records, cells] if "".join(r).strip()], None
+
+
 def _csv_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """(name, t, x, problem) of the columns named timestamp and rmssd, whatever their case and place; or why a file can't be read."""
+    wanted = ("timestamp", "rmssd")
     for pdf in batches:
+        out = []
         for name, text in zip(pdf["name"], pdf["text"], strict=True):
-            rows = csv.reader(io.StringIO(text, newline=""), strict=True)
-            try:
-                every = [r for r in rows if any(c.strip() for c in r)]
-            except csv.Error:
-                yield pd.DataFrame([(name, None, None, f"no CSV from line {rows.line_num} on")], columns=["name", "t", "x", "problem"])
-                continue
-            head = [c.strip().lower() for c in every[0]] if every else []
-            lost = [c for c in ("timestamp", "rmssd") if c not in head]
-            if lost:
-                yield pd.DataFrame([(name, None, None, "no column " + " and ".join(lost))], columns=["name", "t", "x", "problem"])
+            records, broken = _records(text)
+            header, *rest = records or [[]]
+            place = {c.strip().lower(): k for k, c in reversed([*enumerate(header)])}
+            missing = " and ".join(c for c in wanted if c not in place)
+            if broken is not None or missing:
+                out.append((name, None, None, f"no column {missing}" if broken is None else f"no CSV from line {broken} on"))
                 continue
-            i, j = head.index("timestamp"), head.index("rmssd")
-            cell = lambda r, k: r[k] if k < len(r) else None
-            yield pd.DataFrame([(name, cell(r, i), cell(r, j), None) for r in every[1:]], columns=["name", "t", "x", "problem"], dtype=object)
+            columns = [[r[place[c]] if place[c] < len(r) else None for r in rest] for c in wanted]
+            out += [(name, t, x, None) for t, x in zip(*columns, strict=True)]
+        yield pd.DataFrame(out, columns=["name", "t", "x", "problem"], dtype=object)
 
 
 def csv_rows(files: DataFrame, kind: str) -> DataFrame:
@@ -248,7 +270,7 @@ def daily_hrv(files: DataFrame) -> DataFrame:
 def sleep_logs(files: DataFrame, zone: str) -> tuple[DataFrame, DataFrame]:
     """Logs (log_id, start_us, end_us, is_main, has_stages, source_file) and their raw intervals.
 
-    A level lasts from its time for its seconds; short data are brief awakenings whatever their level; a log without a valid
+    A level lasts from its time for its seconds, and is left out if these are no number that makes an end after its start; short data are brief awakenings whatever their level; a log without a valid
     level is one unknown interval. Logs that don't end after their start are left out.
     """
     e = json_entries(files, "sleep")
@@ -265,7 +287,7 @@ def sleep_logs(files: DataFrame, zone: str) -> tuple[DataFrame, DataFrame]:
         seconds = F.try_variant_get(v, "$.seconds", "string").try_cast("double")
         name = F.lit("awake") if brief else X.stage_name(F.try_variant_get(v, "$.level", "string"))
         start = us(F.try_variant_get(v, "$.dateTime", "string"))
-        return F.struct(start.alias("start_us"), (start + (seconds * S.US).cast("bigint")).alias("end_us"), name.alias("stage"), F.lit(brief).alias("is_brief"))
+        return F.struct(start.alias("start_us"), F.try_add(start, (seconds * S.US).try_cast("bigint")).alias("end_us"), name.alias("stage"), F.lit(brief).alias("is_brief"))
 
     both = F.concat(F.transform("data", lambda v: level(v, False)), F.coalesce(F.transform("short", lambda v: level(v, True)), F.array().cast("array<struct<start_us:bigint,end_us:bigint,stage:string,is_brief:boolean>>")))
     good = F.filter(both, lambda x: x["start_us"].isNotNull() & (x["end_us"] > x["start_us"]))

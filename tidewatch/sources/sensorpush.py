@@ -13,25 +13,28 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import scalars as X
 
+# What a header must hold.
 IGNORED = ("dew", "vpd", "vapor", "vapour", "deficit")
+TIMES = ("timestamp", "observed", "datetime", "date", "time")
+SENSOR = ("sensor id", "sensorid", "sensor", "device")
 RAW = "path string, line bigint, delimiter string, ts string, sensor string, metric string, header string, text string"
 
 
 def column_kind(header: str) -> str | None:
     """What a column holds, by the words of its header; the first rule that fits decides."""
     h = header.strip().lower()
-    words = set(re.findall(r"[a-z]+", h))
+    words = set(re.findall("[0-9a-z]+", h))
     if any(w in h for w in IGNORED):
         return None
     if "temp" in h:
         return "temperature"
-    if ("humidity" in h or "rh" in words) and "absolute" not in h:
-        return "humidity"
+    if "humidity" in h or "rh" in words:
+        return None if "absolute" in h else "humidity"
     if "pressure" in h or "baro" in h:
         return "pressure"
-    if "sensor" in words or words == {"id"}:
+    if any(w in h for w in SENSOR):
         return "sensor"
-    return "timestamp" if words & {"timestamp", "time", "date", "datetime"} else None
+    return "timestamp" if any(w in h for w in TIMES) else None
 
 
 def header_unit(metric: Column, header: Column) -> Column:
