@@ -63,12 +63,12 @@ def _by_width(metric: Column, widths: dict[str, int], value: Column, order: Wind
 def window_smooth(timeline: DataFrame, sessions: DataFrame, target_s: int = S.DEFAULT_TARGET_S, widths: dict[str, int] = S.SMOOTHING_US) -> DataFrame:
     """(session_id, metric, w, smoothed): the mean of the samples around the window's middle, both ends included.
 
-    Samples and middles stand in one order, of twice their time, so middles are whole numbers; each is read once.
+    Samples with a value and middles stand in one order, of twice their time, so middles are whole numbers; each is read once.
     """
     have = timeline.select("session_id", "metric").distinct()
     none = lambda t: F.lit(None).cast(t)
     middles = windows(sessions, target_s).join(have, "session_id").select("session_id", "metric", (F.col("w_start") + F.col("w_end")).alias("twice"), none("double").alias("value"), "w")
-    samples = timeline.select("session_id", "metric", (2 * F.col("us")).alias("twice"), "value", none("int").alias("w"))
+    samples = timeline.filter("value is not null").select("session_id", "metric", (2 * F.col("us")).alias("twice"), "value", none("int").alias("w"))
     order = Window.partitionBy("session_id", "metric").orderBy("twice")
     both = samples.unionByName(middles).withColumn("smoothed", _by_width(F.col("metric"), widths, F.col("value"), order, 1))
     return both.filter("w is not null").select("session_id", "metric", "w", "smoothed")
@@ -85,7 +85,8 @@ def window_values(timeline: DataFrame, sessions: DataFrame, target_s: int = S.DE
 def sample_smooth(timeline: DataFrame, widths: dict[str, int] = S.SMOOTHING_US) -> DataFrame:
     """Each sample with ``smoothed``: the mean within half a width to both sides; missing samples stay missing."""
     order = Window.partitionBy("session_id", "metric").orderBy("us")
-    return timeline.withColumn("smoothed", F.when(F.col("value").isNotNull(), _by_width(F.col("metric"), widths, F.col("value"), order, 2)))
+    there = timeline.filter("value is not null").withColumn("smoothed", _by_width(F.col("metric"), widths, F.col("value"), order, 2))
+    return there.unionByName(timeline.filter("value is null").withColumn("smoothed", F.lit(None).cast("double")))
 
 
 def metric_window_features(timeline: DataFrame, sessions: DataFrame, target_s: int = S.DEFAULT_TARGET_S, widths: dict[str, int] = S.SMOOTHING_US) -> DataFrame:

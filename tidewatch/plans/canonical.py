@@ -3,7 +3,7 @@
 ``events`` are points: the type is the metric, the user picks one of three
 sensors and the unit, times are cut to the minute so that some collide. On each
 seventh day heart rates come twice, half a minute apart, so that sessions
-differ in their step. Fifty users are a subject (a household); a session is a
+differ in their step. 75 users are a subject (a household); a session is a
 subject's day, from its first event to a minute after its last. Each point is
 also a change of sleep stage. Orders are candidate sessions of a customer.
 """
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators.align import with_steps
 
-CUT_US, ECHO_US, AFTER_US, TARGET_S, USERS = 60_000_000, 30_000_000, 61_234_567, 180, 50
+CUT_US, ECHO_US, AFTER_US, TARGET_S, USERS = 60_000_000, 30_000_000, 61_234_567, 180, 75
 METRIC = {"view": "heart_rate", "click": "hrv_rmssd", "purchase": "steps", "signup": "temperature", "error": "pressure"}
 
 
