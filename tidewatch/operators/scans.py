@@ -102,7 +102,7 @@ def _columns(table: pa.Table, *names: str) -> list[np.ndarray]:
     return [table.column(c).combine_chunks().cast(pa.float64()).to_numpy(zero_copy_only=False) for c in names]
 
 
-def _scan(keys: int, by_time: bool):
+def _scan(keys: int, by_time: bool, low: float, high: float):
     """Whole keys are done; the first and the last key of a partition, which may go on in others, give their function and their rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,8 +116,8 @@ def _scan(keys: int, by_time: bool):
             return iter(t.append_column("_last", pa.array([corners[2]] if corners else [None] * table.num_rows, pa.float64())).combine_chunks().to_batches())
 
         def opened(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            x, time, rate, low, high = _columns(table, "_x", "_time", "_rate", "_low", "_high")
-            whole = Run(float(low[0]), float(high[0]))
+            x, time, rate = _columns(table, "_x", "_time", "_rate")
+            whole = Run(low, high)
             whole.steps(x[1:], _most(time, rate, by_time)[1:])
             yield from given(table.slice(0, 1), PIECE, np.zeros(1), [whole.given.tolist(), whole.result.tolist(), float(time[-1])])
             yield from given(table, ROW, np.zeros(table.num_rows))
@@ -214,13 +214,13 @@ def slew(rows: DataFrame, keys: list[str], order: list[str], value: str, rate: s
 
     Values, rates and times aren't null; rows of a key are distinct in ``order``. A key may be longer than any task's memory.
     """
-    bounds = rows.groupBy(*keys).agg(F.min(value).cast("double").alias("_low"), F.max(value).cast("double").alias("_high"))
-    own = rows.join(bounds, keys).select(*keys, *order, F.col(value).cast("double").alias("_x"), F.col(order[0]).cast("double").alias("_time"), F.col(rate).cast("double").alias("_rate"), "_low", "_high")
+    own = rows.select(*keys, *order, F.col(value).cast("double").alias("_x"), F.col(order[0]).cast("double").alias("_time"), F.col(rate).cast("double").alias("_rate"))
     own = written(own, "slew-rows")
+    bounds = own.agg(F.coalesce(F.min("_x"), F.lit(0.0)).alias("low"), F.coalesce(F.max("_x"), F.lit(0.0)).alias("high")).first()
     ranged = own.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).withColumn("_part", F.spark_partition_id())
     kinds = {f.name: f.dataType.simpleString() for f in own.schema}
     shape = ", ".join([*[f"`{c}` {t}" for c, t in kinds.items()], "_part int, _kind int, out double, _given array<double>, _result array<double>, _last double"])
-    found = written(ranged.mapInArrow(_scan(len(keys), by_time), shape), "slew-parts")
+    found = written(ranged.mapInArrow(_scan(len(keys), by_time, bounds["low"], bounds["high"]), shape), "slew-parts")
     pieces = found.filter(F.col("_kind") == PIECE).repartition(*keys).sortWithinPartitions(*keys, "_part")
     names = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
     begun = pieces.mapInArrow(_begun(len(keys), by_time), f"{names}, _part int, _start double, _since double")
