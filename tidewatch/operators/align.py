@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidewatch import schema as S
 from tidewatch.functions import scalars as X
 from tidewatch.operators.asof import lerp
+from tidewatch.session import written
 
 
 def _clamped_mean(c: str) -> Column:
@@ -171,8 +172,11 @@ def assign_stages(segments: DataFrame, sessions: DataFrame, res_us: int | None =
 
 def timeline(series: DataFrame, sessions: DataFrame, res_us: int | None = None) -> DataFrame:
     """(session_id, metric, k, us, value): continuous metrics and steps together; null is missing. Without ``res_us`` and a column of that name
-    each session has the step of its own density."""
-    stepped = sessions if res_us is not None or "res_us" in sessions.columns else with_steps(sessions, series)
+    each session has the step of its own density. The series and the steps are written, as they are read several times."""
+    if res_us is None and "res_us" not in sessions.columns:
+        series = written(series, "series")
+        sessions = written(with_steps(sessions, series), "steps")
+    stepped = sessions
     steps = hold_steps(series, stepped, res_us).withColumn("metric", F.lit("steps"))
     cols = ["session_id", "metric", "k", "us", "value"]
     return resample(series, stepped, res_us).select(*cols).unionByName(steps.select(*cols))

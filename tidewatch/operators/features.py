@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewatch import schema as S
 from tidewatch.functions import scalars as X
+from tidewatch.session import written
 
 
 def windows(sessions: DataFrame, target_s: int = S.DEFAULT_TARGET_S) -> DataFrame:
@@ -75,7 +76,9 @@ def window_smooth(timeline: DataFrame, sessions: DataFrame, target_s: int = S.DE
 
 
 def window_values(timeline: DataFrame, sessions: DataFrame, target_s: int = S.DEFAULT_TARGET_S, widths: dict[str, int] = S.SMOOTHING_US) -> DataFrame:
-    """(session_id, metric, w, smoothed, present): smoothing also reaches windows without a sample of their own; these aren't ``present``."""
+    """(session_id, metric, w, smoothed, present): smoothing also reaches windows without a sample of their own; these aren't ``present``. The timeline
+    is written, as it is read several times."""
+    timeline = written(timeline, "timeline")
     at = timeline.filter("value is not null").join(sessions.select("session_id", "start_us", "end_us"), "session_id")
     own = at.select("session_id", "metric", window_of(F.col("us"), F.col("start_us"), F.col("end_us"), target_s).alias("w")).distinct().withColumn("_own", F.lit(True))
     smooth = window_smooth(timeline, sessions, target_s, widths)
@@ -91,7 +94,7 @@ def sample_smooth(timeline: DataFrame, widths: dict[str, int] = S.SMOOTHING_US)
 
 def metric_window_features(timeline: DataFrame, sessions: DataFrame, target_s: int = S.DEFAULT_TARGET_S, widths: dict[str, int] = S.SMOOTHING_US) -> DataFrame:
     """(session_id, metric, w, n, present, mean, min, max, slope, missing, smoothed) for every window and every metric with samples."""
-    own = timeline.filter(F.col("metric").isin(*S.CONTINUOUS))
+    own = written(timeline.filter(F.col("metric").isin(*S.CONTINUOUS)), "timeline")  # read several times below
     stats = window_stats(own, sessions, target_s)
     smooth = window_smooth(own, sessions, target_s, widths)
     missing = F.coalesce(1 - F.col("present") / F.col("n"), F.lit(1.0))

@@ -69,6 +69,7 @@ def spans(smoothed: DataFrame) -> DataFrame:
 
 def normalize_windows(smoothed: DataFrame, sensitivity: Mapping[str, float]) -> DataFrame:
     """(session_id, metric, w, smoothed, present, n, v): values within their span, and mapped by sensitivity; missing stays missing."""
+    smoothed = written(smoothed, "smoothed-windows")  # read twice below
     own = smoothed.withColumn("_v", _value()).join(spans(smoothed), ["session_id", "metric"], "left")
     n = F.when(F.col("_v").isNotNull(), X.normalized(F.col("_v"), F.col("low"), F.col("high")))
     mapped = own.select("session_id", "metric", "w", "smoothed", "present", n.alias("n"))

@@ -10,6 +10,7 @@ from tidewatch.operators import align as A
 from tidewatch.operators import features as W
 from tidewatch.plans import canonical as C
 from tidewatch.plans.register import Registry, rounded
+from tidewatch.session import written
 
 query = Registry()
 
@@ -18,13 +19,18 @@ def _series(spark, d):
     return A.normalize(C.points(spark, d), C.sessions(spark, d))
 
 
-def _resampled(spark, d):
-    series = _series(spark, d)
-    return A.resample(series, C.stepped(spark, d, series))
+def _stepped(spark, d):
+    """The series and the sessions with their steps, both written: what is made of them reads each more than once."""
+    series = written(_series(spark, d), "series")
+    return series, written(C.stepped(spark, d, series), "steps")
 
 
-def _timeline(spark, d):
-    return A.timeline(_series(spark, d), C.sessions(spark, d))
+def _resampled(spark, d, base=None):
+    return A.resample(*(base or _stepped(spark, d)))
+
+
+def _timeline(spark, d, base=None):
+    return A.timeline(*(base or _stepped(spark, d)))
 
 
 @query(f"""WITH {C.POINTS}, broken AS (SELECT CASE WHEN event_id % 11 = 0 THEN NULL ELSE us END AS us, CASE WHEN event_id % 13 = 0 THEN ' ' ELSE source END AS source,
@@ -96,14 +102,13 @@ def resolution_pick(spark, d):
 
 @query(f"WITH {C.NORMAL}, {C.GRID} SELECT session_id, k, us FROM grid")
 def sample_grid(spark, d):
-    return A.sample_grid(C.stepped(spark, d, _series(spark, d)))
+    return A.sample_grid(_stepped(spark, d)[1])
 
 
 @query(f"""WITH {C.NORMAL}, {C.GRID} SELECT session_id, metric, (us - start_us) // res_us AS k, round(avg(value), 6) AS value FROM series JOIN stepped USING (session_id)
   WHERE us >= start_us AND us < end_us GROUP BY ALL""")
 def resample_mean(spark, d):
-    series = _series(spark, d)
-    return A.bucket_means(series, C.stepped(spark, d, series)).withColumn("value", F.round("value", 6))
+    return A.bucket_means(*_stepped(spark, d)).withColumn("value", F.round("value", 6))
 
 
 @query(f"WITH {C.NORMAL}, {C.GRID}, {C.RESAMPLED} SELECT session_id, metric, k, us, round(value, 6) AS value FROM resampled")
@@ -125,14 +130,13 @@ def gap_summary(spark, d):
 
 @query(f"WITH {C.NORMAL}, {C.GRID}, {C.HELD} SELECT session_id, k, us, round(value, 6) AS value FROM held")
 def hold_forward(spark, d):
-    series = _series(spark, d)
-    return A.hold_steps(series, C.stepped(spark, d, series)).select("session_id", "k", "us", rounded("value"))
+    return A.hold_steps(*_stepped(spark, d)).select("session_id", "k", "us", rounded("value"))
 
 
 @query(f"""WITH {C.NORMAL}, {C.GRID}, {C.RAW_STAGES}, {C.SEGMENTS} SELECT g.session_id, k, us, CASE WHEN us < s.end_us THEN stage ELSE 'unknown' END AS stage
 FROM grid g ASOF LEFT JOIN segments s ON g.session_id = s.session_id AND g.us >= s.start_us""")
 def assign_state(spark, d):
-    return A.assign_stages(C.segments(spark, d), C.stepped(spark, d, _series(spark, d))).drop("res_us")
+    return A.assign_stages(C.segments(spark, d), _stepped(spark, d)[1]).drop("res_us")
 
 
 @query(f"""WITH {C.NORMAL} SELECT session_id, metric FROM sessions, (SELECT unnest(['heart_rate', 'hrv_rmssd', 'steps', 'temperature', 'humidity', 'pressure']) AS metric)

@@ -11,8 +11,9 @@ from tidewatch.operators import events as E
 from tidewatch.operators import features as W
 from tidewatch.operators import intervals as I
 from tidewatch.plans import canonical as C
-from tidewatch.plans.q_align import _resampled, _series, _timeline
+from tidewatch.plans.q_align import _resampled, _stepped, _timeline
 from tidewatch.plans.register import Registry, off_ties, rounded
+from tidewatch.session import written
 
 query = Registry()
 STAGED = ",".join((C.POINTS, C.SESSIONS, C.RAW_STAGES, C.SEGMENTS, C.WINDOWS, C.OVERLAP, C.FRACTIONS))
@@ -22,8 +23,8 @@ r0 AS (SELECT *, CASE WHEN stage = lag(stage) OVER (PARTITION BY session_id ORDE
 runs AS (SELECT session_id, stage, min(us) AS start_us, min(us) + count(*) * any_value(res_us) AS end_us FROM r1 GROUP BY session_id, run, stage)"""
 
 
-def _stages(spark, d):
-    return A.assign_stages(C.segments(spark, d), C.stepped(spark, d, _series(spark, d)))
+def _stages(spark, d, base=None):
+    return A.assign_stages(C.segments(spark, d), (base or _stepped(spark, d))[1])
 
 
 def _fractions(spark, d):
@@ -34,10 +35,9 @@ def _states(spark, d):
     return W.coarse_states(W.dominant_stage(_fractions(spark, d)))
 
 
-def _movement(spark, d, steps=True):
-    series = _series(spark, d)
-    own = A.hold_steps(series, C.stepped(spark, d, series))
-    return W.movement(own if steps else own.filter("false"), C.segments(spark, d), C.sessions(spark, d), C.TARGET_S)
+def _movement(spark, d, steps=True, base=None):
+    own = A.hold_steps(*(base or _stepped(spark, d))) if steps else spark.createDataFrame([], "session_id string, k bigint, us bigint, value double")
+    return W.movement(own, C.segments(spark, d), C.sessions(spark, d), C.TARGET_S)
 
 
 @query(f"WITH {C.SESSIONS}, {C.WINDOWS} SELECT session_id, w, w_start, w_end FROM windows")
@@ -153,8 +153,8 @@ EVENTS = """events_ AS (SELECT session_id, 'sleep_onset' AS type, onset_us AS us
     WHERE stage IN ('light', 'deep', 'rem') AND start_us > onset_us AND end_us - start_us >= 600000000)"""
 
 
-def _stage_events(spark, d):
-    return E.stage_events(E.stage_runs(_stages(spark, d)), I.sleep_bounds(C.segments(spark, d)))
+def _stage_events(spark, d, base=None):
+    return E.stage_events(written(E.stage_runs(_stages(spark, d, base)), "stage-runs"), I.sleep_bounds(C.segments(spark, d)))
 
 
 @query(f"WITH {SAMPLED}, {STAGE_AT}, {BOUNDS}, {EVENTS} SELECT session_id, type, us, round(magnitude, 6) AS magnitude FROM events_")
@@ -175,12 +175,13 @@ merged AS (SELECT session_id, type, anchor AS us, max(magnitude) AS magnitude FR
 NIGHT = f"{C.ALIGNED}, {C.RAW_STAGES}, {C.SEGMENTS}, {C.WINDOWS}, {C.OVERLAP}, {STAGE_AT}, {BOUNDS}, {EVENTS}, {MOVES}"
 
 
-def _movement_events(spark, d):
-    return E.movement_events(_movement(spark, d), W.windows(C.sessions(spark, d), C.TARGET_S))
+def _movement_events(spark, d, base=None):
+    return E.movement_events(written(_movement(spark, d, base=base), "movement"), W.windows(C.sessions(spark, d), C.TARGET_S))
 
 
-def _night_events(spark, d):
-    return _stage_events(spark, d).unionByName(_movement_events(spark, d))
+def _night_events(spark, d, base=None):
+    base = base or _stepped(spark, d)
+    return _stage_events(spark, d, base).unionByName(_movement_events(spark, d, base))
 
 
 @query(f"WITH {C.ALIGNED}, {C.RAW_STAGES}, {C.SEGMENTS}, {C.WINDOWS}, {C.OVERLAP}, {MOVES} SELECT session_id, type, us, round(magnitude + 1.7e-9, 6) AS magnitude FROM moves")
@@ -225,7 +226,7 @@ def room_events(spark, d):
 def cap_transients(spark, d):
     from tidewatch.operators import trajectories as T
 
-    m, spans = _movement(spark, d), T.window_spans(W.windows(C.sessions(spark, d), C.TARGET_S), C.sessions(spark, d), C.TARGET_S)
+    m, spans = written(_movement(spark, d), "movement"), T.window_spans(W.windows(C.sessions(spark, d), C.TARGET_S), C.sessions(spark, d), C.TARGET_S)
     drawn = [T.schedule_transients(m, spans, {"steps": T.Route("texture_density", 0.8)}, seed=k).withColumn("kind", F.lit(f"kind {k}")) for k in (1, 2, 3)]
     return E.cap_transients(drawn[0].unionByName(drawn[1]).unionByName(drawn[2]))
 
@@ -233,6 +234,7 @@ def cap_transients(spark, d):
 @query()
 def detect_events(spark, d):
     """All kinds of events of all nights."""
-    smooth = W.sample_smooth(_resampled(spark, d).select("session_id", "metric", "k", "us", "value"))
-    stage_runs, bounds, windows = E.stage_runs(_stages(spark, d)), I.sleep_bounds(C.segments(spark, d)), W.windows(C.sessions(spark, d), C.TARGET_S)
-    return E.detect(stage_runs, bounds, _movement(spark, d), windows, smooth, C.sessions(spark, d), "Europe/Berlin", C.TARGET_S)
+    base = _stepped(spark, d)
+    smooth = W.sample_smooth(_resampled(spark, d, base).select("session_id", "metric", "k", "us", "value"))
+    stage_runs, bounds, windows = E.stage_runs(_stages(spark, d, base)), I.sleep_bounds(C.segments(spark, d)), W.windows(C.sessions(spark, d), C.TARGET_S)
+    return E.detect(stage_runs, bounds, written(_movement(spark, d, base=base), "movement"), windows, smooth, C.sessions(spark, d), "Europe/Berlin", C.TARGET_S)

@@ -14,9 +14,10 @@ from tidewatch.operators import intervals as I
 from tidewatch.operators import manifest as M
 from tidewatch.operators import trajectories as T
 from tidewatch.plans import canonical as C
-from tidewatch.plans.q_align import _resampled, _series, _timeline
+from tidewatch.plans.q_align import _resampled, _series, _stepped, _timeline
 from tidewatch.plans.q_features import STAGED, _fractions, _movement, _night_events, _stage_events, _stages, _states
 from tidewatch.plans.register import Registry, off_ties, rounded
+from tidewatch.session import written
 
 query = Registry()
 #: Pressure drives nothing, so it rests.
@@ -131,12 +132,12 @@ MAPPED = f"""nrm AS (SELECT s.session_id, s.metric, w, smoothed, least(1.0, grea
 mapped AS (SELECT session_id, metric, w, smoothed, n, least(1.0, greatest(0.0, 0.5 + {SENS} * (n - 0.5) * CASE WHEN metric = 'pressure' THEN 0.5 ELSE 1.0 END)) AS v FROM nrm)"""
 
 
-def _smooth(spark, d):
-    return W.window_values(_timeline(spark, d), C.sessions(spark, d), C.TARGET_S)
+def _smooth(spark, d, base=None):
+    return W.window_values(_timeline(spark, d, base), C.sessions(spark, d), C.TARGET_S)
 
 
-def _mapped(spark, d):
-    return T.normalize_windows(_smooth(spark, d), SENSITIVITY)
+def _mapped(spark, d, base=None):
+    return T.normalize_windows(_smooth(spark, d, base), SENSITIVITY)
 
 
 def _windows(spark, d):
@@ -147,19 +148,21 @@ def _spans(spark, d):
     return T.window_spans(_windows(spark, d), C.sessions(spark, d), C.TARGET_S)
 
 
-def _followed(spark, d):
+def _followed(spark, d, base=None, movement=None):
     """The windows' values with movement in place of steps."""
-    steps = _movement(spark, d).select("session_id", F.lit("steps").alias("metric"), "w", F.col("intensity").alias("smoothed"), F.lit(True).alias("present"), F.col("intensity").alias("n"))
+    base = base or _stepped(spark, d)
+    movement = movement or _movement(spark, d, base=base)
+    steps = movement.select("session_id", F.lit("steps").alias("metric"), "w", F.col("intensity").alias("smoothed"), F.lit(True).alias("present"), F.col("intensity").alias("n"))
     steps = steps.withColumn("v", X.mapped_value(F.col("n"), F.col("metric"), F.lit(ROUTES["steps"].sensitivity)))
-    return _mapped(spark, d).filter("metric <> 'steps'").unionByName(steps)
+    return _mapped(spark, d, base).filter("metric <> 'steps'").unionByName(steps)
 
 
-def _contributions(spark, d):
-    return T.contributions(_followed(spark, d), _spans(spark, d), ROUTES, C.TARGET_S)
+def _contributions(spark, d, base=None, movement=None):
+    return T.contributions(_followed(spark, d, base, movement), _spans(spark, d), ROUTES, C.TARGET_S)
 
 
-def _restless(spark, d):
-    return T.restless_windows(_movement(spark, d), _states(spark, d), _windows(spark, d))
+def _restless(spark, d, movement=None):
+    return T.restless_windows(movement or _movement(spark, d), _states(spark, d), _windows(spark, d))
 
 
 @query(f"WITH {SMOOTHED}, {SPANS} SELECT session_id, metric, round(low + 1.7e-9, 5) AS low, round(high + 1.7e-9, 5) AS high FROM spans")
@@ -230,7 +233,9 @@ o AS (SELECT *, row_number() OVER (PARTITION BY session_id, param ORDER BY t) AS
 f AS (SELECT session_id, param, i, t, x AS v FROM o WHERE i = 1 UNION ALL SELECT o.session_id, o.param, o.i, o.t, least(1.0, greatest(0.0, least(f.v + rate * (o.t - f.t), greatest(f.v - rate * (o.t - f.t), o.x)))) FROM f JOIN o ON o.session_id = f.session_id AND o.param = f.param AND o.i = f.i + 1)
 SELECT session_id, param, round(t, 6) AS t, round(v + 1.7e-9, 5) AS v FROM f""")
 def weighted_combine(spark, d):
-    out = T.combine(_contributions(spark, d), _spans(spark, d), ROUTES, C.TARGET_S, _restless(spark, d))
+    base = _stepped(spark, d)
+    movement = written(_movement(spark, d, base=base), "movement")
+    out = T.combine(_contributions(spark, d, base, movement), _spans(spark, d), ROUTES, C.TARGET_S, _restless(spark, d, movement))
     return out.select("session_id", "param", rounded("t"), off_ties("v", digits=5))
 
 
@@ -326,10 +331,11 @@ def fingerprint(spark, d):
 
 
 def _manifests(spark, d):
-    s, series = C.sessions(spark, d), _series(spark, d)
-    have = W.availability(_timeline(spark, d), s, _stages(spark, d), _daily(spark, d))
-    events = E.label_events(E.cap_events(E.merge_events(_night_events(spark, d))), s, "Europe/Berlin", C.TARGET_S)
-    return M.manifest(C.stepped(spark, d, series), _states(spark, d), _smooth(spark, d), have, events, _fingerprints(spark, d), ROUTES, C.TARGET_S, "Europe/Berlin")
+    base = _stepped(spark, d)
+    s, timeline = base[1], written(_timeline(spark, d, base), "timeline")
+    have = W.availability(timeline, s, _stages(spark, d, base), _daily(spark, d))
+    events = E.label_events(E.cap_events(written(E.merge_events(_night_events(spark, d, base)), "events")), s.drop("res_us"), "Europe/Berlin", C.TARGET_S)
+    return M.manifest(s, _states(spark, d), W.window_values(timeline, s, C.TARGET_S), have, events, _fingerprints(spark, d), ROUTES, C.TARGET_S, "Europe/Berlin")
 
 
 @query()
