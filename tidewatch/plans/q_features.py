@@ -45,10 +45,10 @@ def window_edges(spark, d):
     return W.windows(C.sessions(spark, d), C.TARGET_S)
 
 
-@query(f"WITH {C.ALIGNED}, {C.WINDOWS}, {C.STATS} SELECT session_id, metric, w, n, present, round(mean, 6) AS mean, round(lo, 6) AS min, round(hi, 6) AS max FROM stats")
+@query(f"WITH {C.ALIGNED}, {C.WINDOWS}, {C.STATS} SELECT session_id, metric, w, n, present, round(mean + 1.7e-9, 6) AS mean, round(lo + 1.7e-9, 6) AS min, round(hi + 1.7e-9, 6) AS max FROM stats")
 def tumbling_stats(spark, d):
     s = W.window_stats(_timeline(spark, d), C.sessions(spark, d), C.TARGET_S)
-    return s.select("session_id", "metric", "w", "n", "present", rounded("mean"), rounded("min"), rounded("max"))
+    return s.select("session_id", "metric", "w", "n", "present", *[off_ties(c) for c in ("mean", "min", "max")])
 
 
 @query(f"WITH {C.ALIGNED}, {C.WINDOWS}, {C.STATS} SELECT session_id, metric, w, round(slope + 1.7e-9, 3) AS slope FROM stats")
