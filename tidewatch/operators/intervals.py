@@ -164,17 +164,17 @@ def auto_select(sessions: DataFrame, zone: str, key: str = "subject") -> DataFra
     return sessions.groupBy(key).agg(F.max_by("content", main).alias("content"))
 
 
-def containing(old: DataFrame, new: DataFrame, key: str = "subject", bucket_us: int = 30 * 24 * S.HOUR) -> DataFrame:
+def containing(old: DataFrame, new: DataFrame, key: str = "subject", unit_us: int = 24 * S.HOUR) -> DataFrame:
     """Each old session with the new one that contains it, or null: one with the same bounds, else the shortest (ties: least content).
 
-    Only sessions of the same stretch of time meet.
+    Sessions meet in dyadic cells of time, so a long one makes few rows.
     """
-    n = _dealt(new.select(key, "start_us", "end_us", F.col("content").alias("_c")), bucket_us).withColumnsRenamed({"start_us": "_s", "end_us": "_e"})
-    both = old.withColumn("_bucket", F.floor(F.col("start_us") / bucket_us)).join(n, [key, "_bucket"], "left")
-    inside = (F.col("_s") <= F.col("start_us")) & (F.col("_e") >= F.col("end_us"))
-    other = (F.col("_s") != F.col("start_us")) | (F.col("_e") != F.col("end_us"))
-    rank = F.struct(other.alias("other"), (F.col("_e") - F.col("_s")).alias("d"), F.col("_c").alias("c"))
-    return both.groupBy(key, "content").agg(F.min(F.when(inside, rank))["c"].alias("container"))
+    pieces = old.select(key, "content", F.col("start_us").alias("lo"), F.col("end_us").alias("hi"))
+    inside = _covering(pieces, new.select(key, "start_us", "end_us", F.col("content").alias("_holder")), [key], unit_us)
+    other = (F.col("start_us") != F.col("lo")) | (F.col("end_us") != F.col("hi"))
+    rank = F.struct(other.alias("other"), (F.col("end_us") - F.col("start_us")).alias("d"), F.col("_holder").alias("c"))
+    best = inside.groupBy(key, "content").agg(F.min(rank)["c"].alias("container"))
+    return old.select(key, "content").distinct().join(best, [key, "content"], "left")
 
 
 def choose(sessions: DataFrame, choices: DataFrame, key: str = "subject") -> DataFrame:
