@@ -279,6 +279,32 @@ def test_neighbours_are_exact_and_blocks_are_skipped():
     assert index.seen < 0.8 * index.held
 
 
+def test_vectors_of_several_kinds_are_ordered_and_blocks_hold_their_own_terms():
+    rng = np.random.default_rng(3)
+    vocabulary = np.unique(rng.integers(1, 2**62, 240).astype(np.uint64))
+    rows = sparse_examples(rng, vocabulary, 1200)
+    index = toxicity.Index(vocabulary, rng.uniform(1, 5, len(vocabulary)), rows, [int(x) for x in rng.random(1200) < 0.2])
+    dense = np.zeros((1200, len(vocabulary)))
+    for place, i in enumerate(index.order):
+        at, w = index.vector(*rows[i])
+        dense[place, at] = w
+    vectors = [index.vector(*r) for r in rows[:500]]  # the kinds alternate; several times as many as are dealt with together
+    without = [int(p) for p in index.place[:500]]
+    assert len(vectors) > 2 * toxicity.ALIKE
+    for (at, w), own, (ids, cosines) in zip(vectors, without, index.nearest(vectors, 15, without), strict=True):
+        every = dense[:, at] @ w
+        every[own] = 0
+        want = np.sort(every[every > 0])[::-1][:15]
+        assert own not in ids and len(ids) == len(want)
+        assert np.allclose(cosines, want, atol=1e-5) and np.allclose(every[ids], cosines, atol=1e-5)
+    alone = [index.nearest([v], 15, [p])[0] for v, p in zip(vectors[:40], without, strict=False)]
+    together = index.nearest(vectors[:40], 15, without[:40])
+    assert all(np.allclose(x[1], y[1], atol=1e-6) for x, y in zip(alone, together, strict=True))
+    # a block is multiplied by the terms that its examples have, not by all frequent ones
+    assert all((block > 0).any(axis=1).all() for _, block in index.blocks)
+    assert sum(block.size for _, block in index.blocks) < 0.5 * index.frequent[0] * 1200
+
+
 def brute_toxicity(texts, known, least_factor):
     """Scores by plain loops: {id: text}, {id: label} of the examples; all examples are used for the calibration."""
     cut = re.compile("[^\\x00-\\x2f\\x3a-\\x40\\x5b-\\x60\\x7b-\\x7f]+")

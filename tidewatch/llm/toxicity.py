@@ -28,7 +28,9 @@ from tidewatch.llm.store import written
 
 #: Labelled examples at most: the classifier's bounded sample.
 EXAMPLES = 6_000
-NEIGHBOURS, TOGETHER, CALIBRATED = 15, 64, 3_000
+NEIGHBOURS, CALIBRATED = 15, 3_000
+#: Texts that are ordered by their best block, and of these the alike ones that look into the same blocks.
+TOGETHER, ALIKE = 512, 64
 PREFIXES = (4, 6)
 #: Weight of the general rate among the votes, as the squared cosine of one neighbour.
 PRIOR_WEIGHT = 0.25
@@ -36,8 +38,8 @@ PRIOR_WEIGHT = 0.25
 LEAST_FACTOR, HALF_G2 = 0.25, 12.0
 #: Terms in a larger share of the examples have block maxima; of the others all postings are read.
 FREQUENT_SHARE = 1 / 32
-#: Examples to a block at most; blocks that are looked into before the first and the second cut; what bounds may be off by.
-BLOCK, FIRST_BLOCKS, SLACK = 64, (2, 8), 1e-5
+#: Examples to a block at most; a text's blocks that are looked into before the cut; what bounds may be off by.
+BLOCK, FIRST_BLOCKS, SLACK = 64, 4, 1e-5
 #: The terms that most examples have, by which the examples are ordered.
 ORDERED_BY = 256
 BREAKS = np.zeros(256, bool)
@@ -147,17 +149,18 @@ class Index:
         return self.__dict__ | {"blocks": None, "maxima": None}
 
     def _spread(self) -> None:
-        """Lays out the frequent terms' weights by block, with their maxima; tasks do it for themselves, so that less is sent."""
+        """Lays out the weights of the frequent terms that a block has, with their maxima; tasks do it for themselves, so that less is sent."""
         n_frequent, ids, slot, weight = self.frequent
         by_place = np.argsort(ids, kind="stable")
         edges = np.searchsorted(ids[by_place], self.starts)
-        self.blocks = []
-        for a, b, x, y in zip(self.starts[:-1], self.starts[1:], edges[:-1], edges[1:], strict=True):
+        self.blocks, self.maxima = [], np.zeros((n_frequent, len(self.starts) - 1), np.float32)
+        for b, (a, e, x, y) in enumerate(zip(self.starts[:-1], self.starts[1:], edges[:-1], edges[1:], strict=True)):
             own = by_place[x:y]
-            block = np.zeros((n_frequent, b - a), np.float32)
-            block[slot[own], ids[own] - a] = weight[own]
-            self.blocks.append(block)
-        self.maxima = np.stack([x.max(axis=1) for x in self.blocks], axis=1) if self.blocks else np.zeros((n_frequent, 0), np.float32)
+            here, row = np.unique(slot[own], return_inverse=True)
+            block = np.zeros((len(here), e - a), np.float32)
+            block[row, ids[own] - a] = weight[own]
+            self.blocks.append((here, block))
+            self.maxima[here, b] = block.max(axis=1)
 
     def weighed(self, keys: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Known terms and their weights."""
@@ -178,44 +181,79 @@ class Index:
         if not size.sum():
             return np.zeros(len(self.labels))
         ends = np.cumsum(size)
-        posting = np.arange(ends[-1]) + np.repeat(start - ends + size, size)
-        return np.bincount(self.ids[posting], weights=np.repeat(w[few], size) * self.weights[posting], minlength=len(self.labels))
+        posting = np.repeat(start - ends + size, size)
+        posting += np.arange(ends[-1])
+        added = np.repeat(w[few], size)
+        added *= self.weights[posting]
+        return np.bincount(self.ids[posting], weights=added, minlength=len(self.labels))
 
     def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each vector the places of the k largest positive cosines and these; ``without`` is an own place that doesn't count.
 
-        No cosine in a block is above its bound, the block's maxima times the vector and the largest sum of rare terms. So
-        blocks under the k-th cosine so far are skipped; what is found is exact.
+        Vectors with the same best block are dealt with together, ``ALIKE`` at a time: a block that most of them ask is looked into for all.
         """
         m, n = len(vectors), len(self.labels)
         if not n:
             return [(np.zeros(0, np.int64), np.zeros(0))] * m
         if self.blocks is None:
             self._spread()
-        n_blocks = len(self.blocks)
-        query, rare = np.zeros((m, len(self.maxima)), np.float32), np.empty((m, n))
-        for k_row, (at, w) in enumerate(vectors):
-            many = self.slot[at] >= 0
-            query[k_row, self.slot[at[many]]] = w[many]
-            rare[k_row] = self._rare(at, w)
-        bound = (query @ self.maxima).astype(float) + np.maximum.reduceat(rare, self.starts[:-1], axis=1)
-        scores, seen = np.zeros((m, n)), np.zeros((m, n_blocks), bool)
-        least = np.zeros((m, 1))
-        for first in (*FIRST_BLOCKS, n_blocks):
-            ask = (bound + SLACK >= least) & (bound > 0) & ~seen
-            if first < n_blocks:
-                cut = np.partition(bound, n_blocks - first, axis=1)[:, n_blocks - first : n_blocks - first + 1]
-                ask &= bound >= cut
+        best = [np.argmax(self._frequent_part(vectors[a : a + ALIKE]) @ self.maxima, axis=1) for a in range(0, m, ALIKE)]
+        order, out = np.argsort(np.concatenate(best), kind="stable") if m else [], [None] * m
+        for a in range(0, m, ALIKE):
+            rows = order[a : a + ALIKE]
+            found = self._alike([vectors[r] for r in rows], k, None if without is None else np.array(without)[rows])
+            for row, near in zip(rows, found, strict=True):
+                out[row] = near
+        return out
+
+    def _frequent_part(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """The vectors' weights of the frequent terms."""
+        out = np.zeros((len(vectors), len(self.maxima)), np.float32)
+        for row, (at, w) in enumerate(vectors):
+            slot = self.slot[at]
+            out[row, slot[slot >= 0]] = w[slot >= 0]
+        return out
+
+    def _alike(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int, without: np.ndarray | None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """:meth:`nearest` of some vectors.
+
+        No cosine in a block is above its bound, the block's maxima times the vector and the largest sum of rare terms. So
+        blocks under the k-th cosine so far are skipped; what is found is exact.
+        """
+        m, n, n_blocks = len(vectors), len(self.labels), len(self.blocks)
+        rare = np.empty((m, n), np.float32)
+        for row, vector in enumerate(vectors):
+            rare[row] = self._rare(*vector)
+        query = self._frequent_part(vectors)
+        bound = query @ self.maxima + np.maximum.reduceat(rare, self.starts[:-1], axis=1)
+        by_term, part = np.ascontiguousarray(query.T), np.empty((query.shape[1], m), np.float32)
+        scores, seen, least = np.zeros((m, n), np.float32), np.zeros((m, n_blocks), bool), np.zeros((m, 1), np.float32)
+        cut = np.partition(bound, max(0, n_blocks - FIRST_BLOCKS), axis=1)[:, max(0, n_blocks - FIRST_BLOCKS), None]
+        for last in (False, True):
+            ask = (bound > 0) & ~seen & (bound + SLACK >= (least if last else cut))
             for b in np.flatnonzero(ask.any(axis=0)):
-                rows, a, e = np.flatnonzero(ask[:, b]), self.starts[b], self.starts[b + 1]
-                scores[rows, a:e] = query[rows] @ self.blocks[b] + rare[rows, a:e]
-            seen |= ask
+                (here, block), a, e = self.blocks[b], self.starts[b], self.starts[b + 1]
+                own = np.take(by_term, here, axis=0, out=part[: len(here)], mode="clip")  # "raise" would need a second buffer
+                rows = np.flatnonzero(ask[:, b])
+                if 2 * len(rows) > m:  # all of them cost less than to pick these
+                    np.add(own.T @ block, rare[:, a:e], out=scores[:, a:e])
+                    seen[:, b] = True
+                else:
+                    scores[rows, a:e] = own[:, rows].T @ block + rare[rows, a:e]
+                    seen[rows, b] = True
             if without is not None:
                 scores[np.arange(m), without] = 0
-            if n > k:
-                least = np.partition(scores, n - k, axis=1)[:, n - k : n - k + 1]
+            if not last:
+                some = scores[:, np.repeat(seen.any(axis=0), np.diff(self.starts))]
+                if some.shape[1] > k:
+                    least = np.partition(some, some.shape[1] - k, axis=1)[:, some.shape[1] - k, None]
         self.seen, self.held = self.seen + int(seen.sum()), self.held + seen.size
-        return [self.best(s, k) for s in scores]
+        out = []
+        for row, places in enumerate((scores > 0) & (scores + SLACK >= least)):
+            ids = np.flatnonzero(places)
+            near, cosines = self.best(scores[row, ids], k)
+            out.append((ids[near], cosines))
+        return out
 
     @staticmethod
     def best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
