@@ -11,11 +11,14 @@ from tidewatch.session import written
 
 
 def windows(sessions: DataFrame, target_s: int = S.DEFAULT_TARGET_S) -> DataFrame:
-    """(session_id, w, w_start, w_end): half a replay second each, edges to the nearest microsecond."""
+    """(session_id, w, w_start, w_end): half a replay second each, edges to the nearest microsecond.
+
+    They join by sorting: Spark takes what is exploded to be as small as the sessions, and would broadcast all windows of all sessions.
+    """
     n = int(target_s / S.WINDOW_S)
     w = sessions.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("w"))
     edge = lambda i: X.window_edge(i, F.col("start_us"), F.col("end_us"), target_s)
-    return w.select("session_id", "w", edge(F.col("w")).alias("w_start"), edge(F.col("w") + 1).alias("w_end"))
+    return w.select("session_id", "w", edge(F.col("w")).alias("w_start"), edge(F.col("w") + 1).alias("w_end")).hint("merge")
 
 
 def window_of(us: Column, start_us: Column, end_us: Column, target_s: int) -> Column:
@@ -48,7 +51,7 @@ def missing_fraction(stats: DataFrame, sessions: DataFrame, metrics: DataFrame,
     """(session_id, metric, w, missing): 1 for windows without samples."""
     every = windows(sessions, target_s).select("session_id", "w").join(metrics, "session_id")
     share = 1 - F.col("present") / F.col("n")
-    return every.join(stats.select("session_id", "metric", "w", "n", "present"), ["session_id", "metric", "w"], "left").select("session_id", "metric", "w", F.coalesce(share, F.lit(1.0)).alias("missing"))
+    return every.join(stats.select("session_id", "metric", "w", "n", "present").hint("merge"), ["session_id", "metric", "w"], "left").select("session_id", "metric", "w", F.coalesce(share, F.lit(1.0)).alias("missing"))
 
 
 def _by_width(metric: Column, widths: dict[str, int], value: Column, order: Window, half: int) -> Column:

@@ -1,5 +1,7 @@
 """Parameter trajectories: normalising, contributions with hysteresis and glides, combining, rate limits, presets, schedules.
 
+Tables by window join by sorting: those of long runs are small as files and large in memory, so their size says nothing.
+
 Times are seconds of the replay. Windows that have no sample of their own (not
 ``present``) are missing, although smoothing gives them a value. Hysteresis and
 glides are a fold over the windows of a session, which are as many as the replay
@@ -132,7 +134,7 @@ def contributions(mapped: DataFrame, spans_: DataFrame, routes: Routes, target_s
     still = F.when((F.col("metric") == "hrv_rmssd") & enabled & ~F.col("_own") & F.col("rmssd").isNotNull(), of_day).otherwise(F.lit(S.NEUTRAL))
     flat = alive.filter("not _live").select("session_id", "metric", F.explode(F.array(F.lit(0.0), F.lit(end))).alias("t"), still.alias("v"))
 
-    rows = mapped.withColumn("smoothed", _value()).join(alive.filter("_live").select("session_id", "metric"), ["session_id", "metric"]).join(spans_, ["session_id", "w"])
+    rows = mapped.withColumn("smoothed", _value()).join(alive.filter("_live").select("session_id", "metric").hint("merge"), ["session_id", "metric"]).join(spans_.hint("merge"), ["session_id", "w"])
     rows = rows.withColumn("limit", _of_metric({m: float(r.hysteresis) for m, r in routes.items()}, 0.0)).withColumnsRenamed({"t0": "a", "t1": "b"})
 
     def step(s: Column, x: Column) -> Column:
@@ -179,7 +181,7 @@ def contributions(mapped: DataFrame, spans_: DataFrame, routes: Routes, target_s
 
 def restless_windows(intensity: DataFrame, states: DataFrame, windows: DataFrame) -> DataFrame:
     """(session_id, w, restless): windows in a restless state, or in a run of movement above a threshold that lasts ten minutes of the night."""
-    both = windows.select("session_id", "w", "w_start", "w_end").join(intensity, ["session_id", "w"]).join(states.select("session_id", "w", "state"), ["session_id", "w"])
+    both = windows.select("session_id", "w", "w_start", "w_end").join(intensity, ["session_id", "w"]).join(states.select("session_id", "w", "state").hint("merge"), ["session_id", "w"])
     order = Window.partitionBy("session_id").orderBy("w")
     up = F.col("intensity") > S.RESTLESS
     marked = both.withColumn("_up", up).withColumn("_run", F.sum(F.when(F.col("_up").eqNullSafe(F.lag("_up").over(order)), 0).otherwise(1)).over(order))
@@ -214,7 +216,7 @@ def combine(contributions_: DataFrame, spans_: DataFrame, routes: Routes, target
     lines = contributions_.filter(F.col("metric").isin(list(drives))).select("session_id", "metric", "t", "v")
     if restless is not None and movement is not None:
         more = F.when(F.col("restless"), F.lit(S.RESTLESS_BOOST * movement.sensitivity)).otherwise(0.0)
-        lines = lines.unionByName(middles.join(restless, ["session_id", "w"]).select("session_id", F.lit("boost").alias("metric"), "t", more.alias("v")))
+        lines = lines.unionByName(middles.join(restless.hint("merge"), ["session_id", "w"]).select("session_id", F.lit("boost").alias("metric"), "t", more.alias("v")))
     else:
         lines = lines.unionByName(ends.select("session_id", F.lit("boost").alias("metric"), "t", F.lit(0.0).alias("v")))
     probes = times.select("session_id", F.explode(F.array(*[F.lit(m) for m in (*drives, "boost")])).alias("metric"), "t")
@@ -245,7 +247,7 @@ def nature_controls(smoothed: DataFrame, spans_: DataFrame, routes: Routes, targ
     middle = own.groupBy("session_id", "metric").agg(F.percentile("_v", F.lit(0.5)).alias("_mid"))
     strength = _of_metric({m: float(r.sensitivity) if r.enabled else 0.0 for m, r in routes.items()}, 0.0)
     every = spans_.select("session_id", "w", F.least(F.lit(end), (F.col("t0") + F.col("t1")) / 2).alias("t"), F.explode(F.array(*[F.lit(m) for m in scales])).alias("metric"))
-    both = every.join(own, ["session_id", "metric", "w"], "left").join(middle, ["session_id", "metric"], "left")
+    both = every.join(own.hint("merge"), ["session_id", "metric", "w"], "left").join(middle, ["session_id", "metric"], "left")
     away = F.when(F.col("_v").isNotNull(), F.least(F.lit(1.0), F.abs(F.col("_v") - F.col("_mid")) / _of_metric(scales)) * strength)
     rows = both.select("session_id", "metric", "t", "w", F.coalesce(away, F.lit(0.0)).alias("target"), F.lit(S.RATE_NATURE).alias("rate"))
     out = written(slew(rows, ["session_id", "metric"], ["t", "w"], "target", "rate", by_time=True), "nature-steps")
@@ -300,7 +302,7 @@ def schedule_transients(intensity: DataFrame, spans_: DataFrame, routes: Routes,
     movement = routes.get("steps")
     named = F.concat_ws(":", F.lit(str(seed)), "session_id", F.col("w").cast("string"))
     jitter = F.conv(F.substring(F.md5(named), 1, 8), 16, 10).cast("bigint") / float(1 << 32)
-    both = intensity.filter(F.col("intensity") > S.TRANSIENT).join(spans_, ["session_id", "w"])
+    both = intensity.filter(F.col("intensity") > S.TRANSIENT).join(spans_.hint("merge"), ["session_id", "w"])
     t = F.col("t0") + (F.col("t1") - F.col("t0")) * (0.25 + 0.5 * jitter)
     strength = movement.sensitivity if movement is not None and movement.enabled else 0.0
     out = both.filter(F.lit(strength > 0)).select("session_id", t.alias("t"), (F.lit(strength) * F.col("intensity")).alias("amp"), F.lit("movement").alias("kind"))

@@ -13,8 +13,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewatch.operators.align import with_steps
-
 CUT_US, ECHO_US, AFTER_US, TARGET_S, USERS = 60_000_000, 30_000_000, 61_234_567, 180, 75
 METRIC = {"view": "heart_rate", "click": "hrv_rmssd", "purchase": "steps", "signup": "temperature", "error": "pressure"}
 
@@ -53,11 +51,6 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _keyed(spark, sf_dir).groupBy("session_id", "subject").agg(F.min("us").alias("start_us"), (F.max("us") + AFTER_US).alias("end_us"))
 
 
-def stepped(spark: SparkSession, sf_dir: str, series: DataFrame) -> DataFrame:
-    """Sessions with the step that the density of their series calls for."""
-    return with_steps(sessions(spark, sf_dir), series)
-
-
 def stage_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw intervals that may overlap: (session_id, src_idx, start_us, end_us, stage, is_brief)."""
     stage = F.expr("CASE event_id % 5 WHEN 0 THEN 'light' WHEN 1 THEN 'deep' WHEN 2 THEN 'rem' WHEN 3 THEN 'awake' ELSE 'restless' END")
@@ -65,10 +58,11 @@ def stage_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points(spark, sf_dir).select("session_id", F.col("event_id").alias("src_idx"), F.col("us").alias("start_us"), end.alias("end_us"), stage.alias("stage"), (F.col("event_id") % 4 == 0).alias("is_brief"))
 
 
-def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Disjoint segments, each up to the next change; the last up to the end of the session."""
+def segments(spark: SparkSession, sf_dir: str, own_sessions: DataFrame | None = None) -> DataFrame:
+    """Disjoint segments, each up to the next change; the last up to the end of the session. Sessions that are written already are read."""
+    ends = (own_sessions or sessions(spark, sf_dir)).select("session_id", "end_us")
     raw = stage_changes(spark, sf_dir).groupBy("session_id", "start_us").agg(F.min_by(F.struct("stage", "is_brief"), "src_idx").alias("s"))
-    own = raw.join(sessions(spark, sf_dir).select("session_id", "end_us"), "session_id").filter("start_us < end_us")
+    own = raw.join(ends, "session_id").filter("start_us < end_us")
     until = F.coalesce(F.lead("start_us").over(Window.partitionBy("session_id").orderBy("start_us")), F.col("end_us"))
     return own.select("session_id", "start_us", until.alias("end_us"), "s.stage", "s.is_brief")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import functions as F
 
 from tidewatch import schema as S
@@ -19,10 +21,60 @@ def _series(spark, d):
     return A.normalize(C.points(spark, d), C.sessions(spark, d))
 
 
+class Night:
+    """What the parts of one query share, each written at its first use: else every use scans the events and is planned anew.
+
+    Sessions are small, but made from all events; segments, steps, movement and states are read by several parts.
+    """
+
+    def __init__(self, spark, d):
+        self.spark, self.d = spark, d
+
+    @cached_property
+    def sessions(self):
+        return written(C.sessions(self.spark, self.d), "sessions")
+
+    @cached_property
+    def segments(self):
+        return written(C.segments(self.spark, self.d, self.sessions), "segments")
+
+    @cached_property
+    def series(self):
+        return written(A.normalize(C.points(self.spark, self.d), self.sessions), "series")
+
+    @cached_property
+    def steps(self):
+        """Sessions with the step that the density of their series calls for."""
+        return written(A.with_steps(self.sessions, self.series), "steps")
+
+    @property
+    def base(self):
+        return self.series, self.steps
+
+    @cached_property
+    def timeline(self):
+        return written(A.timeline(*self.base), "timeline")
+
+    @cached_property
+    def smooth(self):
+        return written(W.window_values(self.timeline, self.sessions, C.TARGET_S), "smoothed-windows")
+
+    @cached_property
+    def movement(self):
+        return written(W.movement(A.hold_steps(*self.base), self.segments, self.sessions, C.TARGET_S), "movement")
+
+    @property
+    def windows(self):
+        return W.windows(self.sessions, C.TARGET_S)
+
+    @cached_property
+    def states(self):
+        return written(W.coarse_states(W.dominant_stage(W.stage_fractions(self.segments, self.sessions, C.TARGET_S))), "states")
+
+
 def _stepped(spark, d):
     """The series and the sessions with their steps, both written: what is made of them reads each more than once."""
-    series = written(_series(spark, d), "series")
-    return series, written(C.stepped(spark, d, series), "steps")
+    return Night(spark, d).base
 
 
 def _resampled(spark, d, base=None):

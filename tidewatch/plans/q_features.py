@@ -11,7 +11,7 @@ from tidewatch.operators import events as E
 from tidewatch.operators import features as W
 from tidewatch.operators import intervals as I
 from tidewatch.plans import canonical as C
-from tidewatch.plans.q_align import _resampled, _stepped, _timeline
+from tidewatch.plans.q_align import Night, _resampled, _timeline
 from tidewatch.plans.register import Registry, off_ties, rounded
 from tidewatch.session import written
 
@@ -23,8 +23,9 @@ r0 AS (SELECT *, CASE WHEN stage = lag(stage) OVER (PARTITION BY session_id ORDE
 runs AS (SELECT session_id, stage, min(us) AS start_us, min(us) + count(*) * any_value(res_us) AS end_us FROM r1 GROUP BY session_id, run, stage)"""
 
 
-def _stages(spark, d, base=None):
-    return A.assign_stages(C.segments(spark, d), (base or _stepped(spark, d))[1])
+def _stages(spark, d, night=None):
+    n = night or Night(spark, d)
+    return A.assign_stages(n.segments, n.steps)
 
 
 def _fractions(spark, d):
@@ -35,9 +36,10 @@ def _states(spark, d):
     return W.coarse_states(W.dominant_stage(_fractions(spark, d)))
 
 
-def _movement(spark, d, steps=True, base=None):
-    own = A.hold_steps(*(base or _stepped(spark, d))) if steps else spark.createDataFrame([], "session_id string, k bigint, us bigint, value double")
-    return W.movement(own, C.segments(spark, d), C.sessions(spark, d), C.TARGET_S)
+def _movement(spark, d, steps=True):
+    n = Night(spark, d)
+    own = A.hold_steps(*n.base) if steps else spark.createDataFrame([], "session_id string, k bigint, us bigint, value double")
+    return W.movement(own, n.segments, n.sessions, C.TARGET_S)
 
 
 @query(f"WITH {C.SESSIONS}, {C.WINDOWS} SELECT session_id, w, w_start, w_end FROM windows")
@@ -60,14 +62,16 @@ def window_slope(spark, d):
 SELECT x.session_id, m.metric, x.w, round(coalesce(1 - present / CAST(n AS DOUBLE), 1.0), 6) AS missing FROM windows x JOIN m ON m.session_id = x.session_id
 LEFT JOIN stats s ON s.session_id = x.session_id AND s.metric = m.metric AND s.w = x.w""")
 def missing_fraction(spark, d):
-    t, s = _timeline(spark, d), C.sessions(spark, d)
-    stats = W.window_stats(t, s, C.TARGET_S)
-    return W.missing_fraction(stats, s, t.select("session_id", "metric").distinct(), C.TARGET_S).withColumn("missing", F.round("missing", 6))
+    night = Night(spark, d)
+    stats = W.window_stats(_timeline(spark, d, night.base), night.sessions, C.TARGET_S).select("session_id", "metric", "w", "n", "present")
+    stats = written(stats, "window-counts")  # each sample is in a window, so these have all metrics of the timeline
+    return W.missing_fraction(stats, night.sessions, stats.select("session_id", "metric").distinct(), C.TARGET_S).withColumn("missing", F.round("missing", 6))
 
 
 @query(f"WITH {C.ALIGNED}, {C.WINDOWS}, {C.SMOOTH} SELECT session_id, metric, w, round(smoothed + 1.7e-9, 6) AS smoothed FROM smooth")
 def window_smooth_mid(spark, d):
-    return W.window_smooth(_timeline(spark, d), C.sessions(spark, d), C.TARGET_S).select("session_id", "metric", "w", off_ties("smoothed"))
+    night = Night(spark, d)
+    return W.window_smooth(night.timeline, night.sessions, C.TARGET_S).select("session_id", "metric", "w", off_ties("smoothed"))
 
 
 @query(f"""WITH {C.ALIGNED} SELECT session_id, metric, k, round(CASE WHEN value IS NOT NULL THEN CASE WHEN metric = 'heart_rate'
@@ -153,8 +157,9 @@ EVENTS = """events_ AS (SELECT session_id, 'sleep_onset' AS type, onset_us AS us
     WHERE stage IN ('light', 'deep', 'rem') AND start_us > onset_us AND end_us - start_us >= 600000000)"""
 
 
-def _stage_events(spark, d, base=None):
-    return E.stage_events(written(E.stage_runs(_stages(spark, d, base)), "stage-runs"), I.sleep_bounds(C.segments(spark, d)))
+def _stage_events(spark, d, night=None):
+    n = night or Night(spark, d)
+    return E.stage_events(written(E.stage_runs(_stages(spark, d, n)), "stage-runs"), I.sleep_bounds(n.segments))
 
 
 @query(f"WITH {SAMPLED}, {STAGE_AT}, {BOUNDS}, {EVENTS} SELECT session_id, type, us, round(magnitude, 6) AS magnitude FROM events_")
@@ -175,13 +180,14 @@ merged AS (SELECT session_id, type, anchor AS us, max(magnitude) AS magnitude FR
 NIGHT = f"{C.ALIGNED}, {C.RAW_STAGES}, {C.SEGMENTS}, {C.WINDOWS}, {C.OVERLAP}, {STAGE_AT}, {BOUNDS}, {EVENTS}, {MOVES}"
 
 
-def _movement_events(spark, d, base=None):
-    return E.movement_events(written(_movement(spark, d, base=base), "movement"), W.windows(C.sessions(spark, d), C.TARGET_S))
+def _movement_events(spark, d, night=None):
+    n = night or Night(spark, d)
+    return E.movement_events(n.movement, n.windows)
 
 
-def _night_events(spark, d, base=None):
-    base = base or _stepped(spark, d)
-    return _stage_events(spark, d, base).unionByName(_movement_events(spark, d, base))
+def _night_events(spark, d, night=None):
+    n = night or Night(spark, d)
+    return written(_stage_events(spark, d, n).unionByName(_movement_events(spark, d, n)), "night-events")
 
 
 @query(f"WITH {C.ALIGNED}, {C.RAW_STAGES}, {C.SEGMENTS}, {C.WINDOWS}, {C.OVERLAP}, {MOVES} SELECT session_id, type, us, round(magnitude + 1.7e-9, 6) AS magnitude FROM moves")
@@ -234,7 +240,7 @@ def cap_transients(spark, d):
 @query()
 def detect_events(spark, d):
     """All kinds of events of all nights."""
-    base = _stepped(spark, d)
-    smooth = W.sample_smooth(_resampled(spark, d, base).select("session_id", "metric", "k", "us", "value"))
-    stage_runs, bounds, windows = E.stage_runs(_stages(spark, d, base)), I.sleep_bounds(C.segments(spark, d)), W.windows(C.sessions(spark, d), C.TARGET_S)
-    return E.detect(stage_runs, bounds, written(_movement(spark, d, base=base), "movement"), windows, smooth, C.sessions(spark, d), "Europe/Berlin", C.TARGET_S)
+    n = Night(spark, d)
+    smooth = W.sample_smooth(_resampled(spark, d, n.base).select("session_id", "metric", "k", "us", "value"))
+    stage_runs = written(E.stage_runs(_stages(spark, d, n)), "stage-runs")
+    return E.detect(stage_runs, I.sleep_bounds(n.segments), n.movement, n.windows, smooth, n.sessions, "Europe/Berlin", C.TARGET_S)

@@ -14,8 +14,8 @@ from tidewatch.operators import intervals as I
 from tidewatch.operators import manifest as M
 from tidewatch.operators import trajectories as T
 from tidewatch.plans import canonical as C
-from tidewatch.plans.q_align import _resampled, _series, _stepped, _timeline
-from tidewatch.plans.q_features import STAGED, _fractions, _movement, _night_events, _stage_events, _stages, _states
+from tidewatch.plans.q_align import Night, _resampled, _series
+from tidewatch.plans.q_features import STAGED, _fractions, _night_events, _stage_events, _stages, _states
 from tidewatch.plans.register import Registry, off_ties, rounded
 from tidewatch.session import written
 
@@ -132,47 +132,41 @@ MAPPED = f"""nrm AS (SELECT s.session_id, s.metric, w, smoothed, least(1.0, grea
 mapped AS (SELECT session_id, metric, w, smoothed, n, least(1.0, greatest(0.0, 0.5 + {SENS} * (n - 0.5) * CASE WHEN metric = 'pressure' THEN 0.5 ELSE 1.0 END)) AS v FROM nrm)"""
 
 
-def _smooth(spark, d, base=None):
-    return W.window_values(_timeline(spark, d, base), C.sessions(spark, d), C.TARGET_S)
-
-
-def _mapped(spark, d, base=None):
-    return T.normalize_windows(_smooth(spark, d, base), SENSITIVITY)
+def _mapped(night):
+    return T.normalize_windows(night.smooth, SENSITIVITY)
 
 
 def _windows(spark, d):
     return W.windows(C.sessions(spark, d), C.TARGET_S)
 
 
-def _spans(spark, d):
-    return T.window_spans(_windows(spark, d), C.sessions(spark, d), C.TARGET_S)
+def _spans(night):
+    return T.window_spans(night.windows, night.sessions, C.TARGET_S)
 
 
-def _followed(spark, d, base=None, movement=None):
+def _followed(night):
     """The windows' values with movement in place of steps."""
-    base = base or _stepped(spark, d)
-    movement = movement or _movement(spark, d, base=base)
-    steps = movement.select("session_id", F.lit("steps").alias("metric"), "w", F.col("intensity").alias("smoothed"), F.lit(True).alias("present"), F.col("intensity").alias("n"))
+    steps = night.movement.select("session_id", F.lit("steps").alias("metric"), "w", F.col("intensity").alias("smoothed"), F.lit(True).alias("present"), F.col("intensity").alias("n"))
     steps = steps.withColumn("v", X.mapped_value(F.col("n"), F.col("metric"), F.lit(ROUTES["steps"].sensitivity)))
-    return _mapped(spark, d, base).filter("metric <> 'steps'").unionByName(steps)
+    return _mapped(night).filter("metric <> 'steps'").unionByName(steps)
 
 
-def _contributions(spark, d, base=None, movement=None):
-    return T.contributions(_followed(spark, d, base, movement), _spans(spark, d), ROUTES, C.TARGET_S)
+def _contributions(night):
+    return T.contributions(_followed(night), _spans(night), ROUTES, C.TARGET_S)
 
 
-def _restless(spark, d, movement=None):
-    return T.restless_windows(movement or _movement(spark, d), _states(spark, d), _windows(spark, d))
+def _restless(night):
+    return T.restless_windows(night.movement, night.states, night.windows)
 
 
 @query(f"WITH {SMOOTHED}, {SPANS} SELECT session_id, metric, round(low + 1.7e-9, 5) AS low, round(high + 1.7e-9, 5) AS high FROM spans")
 def normalize_span(spark, d):
-    return T.spans(_smooth(spark, d)).select("session_id", "metric", off_ties("low", digits=5), off_ties("high", digits=5))
+    return T.spans(Night(spark, d).smooth).select("session_id", "metric", off_ties("low", digits=5), off_ties("high", digits=5))
 
 
 @query(f"WITH {SMOOTHED}, {SPANS}, {MAPPED} SELECT session_id, metric, w, round(n + 1.7e-9, 5) AS n, round(v + 1.7e-9, 5) AS v FROM mapped")
 def mapped_values(spark, d):
-    return _mapped(spark, d).filter("n is not null").select("session_id", "metric", "w", off_ties("n", digits=5), off_ties("v", digits=5))
+    return _mapped(Night(spark, d)).filter("n is not null").select("session_id", "metric", "w", off_ties("n", digits=5), off_ties("v", digits=5))
 
 
 # replay seconds, and each metric's trajectory: a fold over the windows, then its breakpoints but for glides that were cut
@@ -204,17 +198,17 @@ restless AS (SELECT session_id, w, state = 'restless' OR up AND max(w_end) OVER
 
 @query(f"WITH {C.SESSIONS}, {C.WINDOWS}, {REPLAY} SELECT session_id, w, round(a, 6) AS t0, round(b, 6) AS t1 FROM rs")
 def window_spans(spark, d):
-    return _spans(spark, d).select("session_id", "w", rounded("t0"), rounded("t1"))
+    return _spans(Night(spark, d)).select("session_id", "w", rounded("t0"), rounded("t1"))
 
 
 @query(f"WITH RECURSIVE {SOUND} SELECT session_id, metric, round(t, 6) AS t, round(v + 1.7e-9, 5) AS v FROM contr")
 def contribution(spark, d):
-    return _contributions(spark, d).select("session_id", "metric", rounded("t"), off_ties("v", digits=5))
+    return _contributions(Night(spark, d)).select("session_id", "metric", rounded("t"), off_ties("v", digits=5))
 
 
 @query(f"WITH {SMOOTHED}, {C.RAW_STAGES}, {C.SEGMENTS}, {C.OVERLAP}, {C.MOVEMENT}, {RESTLESS} SELECT session_id, w, restless FROM restless")
 def restless_windows(spark, d):
-    return _restless(spark, d)
+    return _restless(Night(spark, d))
 
 
 @query(f"""WITH RECURSIVE {SOUND}, {RESTLESS}, times AS (SELECT session_id, t FROM contr WHERE t <= 180 UNION SELECT session_id, (a + b) / 2 FROM rs UNION SELECT session_id, unnest([0e0, 180e0]) FROM sessions),
@@ -233,9 +227,8 @@ o AS (SELECT *, row_number() OVER (PARTITION BY session_id, param ORDER BY t) AS
 f AS (SELECT session_id, param, i, t, x AS v FROM o WHERE i = 1 UNION ALL SELECT o.session_id, o.param, o.i, o.t, least(1.0, greatest(0.0, least(f.v + rate * (o.t - f.t), greatest(f.v - rate * (o.t - f.t), o.x)))) FROM f JOIN o ON o.session_id = f.session_id AND o.param = f.param AND o.i = f.i + 1)
 SELECT session_id, param, round(t, 6) AS t, round(v + 1.7e-9, 5) AS v FROM f""")
 def weighted_combine(spark, d):
-    base = _stepped(spark, d)
-    movement = written(_movement(spark, d, base=base), "movement")
-    out = T.combine(_contributions(spark, d, base, movement), _spans(spark, d), ROUTES, C.TARGET_S, _restless(spark, d, movement))
+    night = Night(spark, d)
+    out = T.combine(_contributions(night), _spans(night), ROUTES, C.TARGET_S, _restless(night))
     return out.select("session_id", "param", rounded("t"), off_ties("v", digits=5))
 
 
@@ -243,7 +236,7 @@ def weighted_combine(spark, d):
 f AS (SELECT session_id, i, w, v AS x, v AS r FROM o WHERE i = 1 UNION ALL SELECT o.session_id, o.i, o.w, o.v, greatest(f.r - 0.1, least(f.r + 0.1, o.v)) FROM f JOIN o ON o.session_id = f.session_id AND o.i = f.i + 1)
 SELECT session_id, w, round(r + 1.7e-9, 5) AS v FROM f""")
 def rate_limit(spark, d):
-    own = _mapped(spark, d).filter("n is not null and metric = 'temperature'")
+    own = _mapped(Night(spark, d)).filter("n is not null and metric = 'temperature'")
     return T.rate_limit(own).select("session_id", "w", F.col("out").alias("v")).select("session_id", F.col("w").cast("int").alias("w"), off_ties("v", digits=5))
 
 
@@ -252,7 +245,7 @@ f AS (SELECT session_id, w, x AS ref, v AS r FROM o WHERE w = 0 UNION ALL SELECT
   CASE WHEN o.x IS NULL THEN NULL WHEN f.ref IS NULL OR abs(o.x - f.ref) >= 5.07 THEN o.v ELSE f.r END FROM f JOIN o ON o.session_id = f.session_id AND o.w = f.w + 1)
 SELECT session_id, w, round(r + 1.7e-9, 5) AS v FROM f""")
 def hysteresis(spark, d):
-    own = _mapped(spark, d).filter("metric = 'hrv_rmssd'").withColumn("smoothed", F.when(F.col("present"), F.col("smoothed")))
+    own = _mapped(Night(spark, d)).filter("metric = 'hrv_rmssd'").withColumn("smoothed", F.when(F.col("present"), F.col("smoothed")))
     return T.hysteresis(own, "smoothed", 5.07, applied="v").select("session_id", F.col("w").cast("int").alias("w"), F.col("out").alias("v")).select("session_id", "w", off_ties("v", digits=5))
 
 
@@ -264,7 +257,8 @@ f AS (SELECT session_id, metric, w, t, x AS v, x FROM nt WHERE w = 0 UNION ALL S
 SELECT session_id, metric, round(t, 6) AS t, round(v + 1.7e-9, 5) AS v FROM f UNION ALL SELECT session_id, metric, 0.0, round(v + 1.7e-9, 5) FROM f WHERE w = 0
 UNION ALL SELECT session_id, metric, 180.0, round(arg_max(v, w) + 1.7e-9, 5) FROM f GROUP BY ALL""")
 def variation_score(spark, d):
-    out = T.nature_controls(_smooth(spark, d), _spans(spark, d), ROUTES, C.TARGET_S)
+    night = Night(spark, d)
+    out = T.nature_controls(night.smooth, _spans(night), ROUTES, C.TARGET_S)
     return out.select("session_id", "metric", rounded("t"), off_ties("v", digits=5))
 
 
@@ -307,13 +301,14 @@ def gestures(spark, d):
     return T.gestures(ev, C.TARGET_S).select("session_id", "type", rounded("t0"), rounded("t1"))
 
 
-def _daily(spark, d):
+def _daily(sessions):
     """Subject 0 has a daily figure of HRV."""
-    return C.sessions(spark, d).filter("session_id like '%/0'").select("session_id", F.lit(40.5).alias("rmssd"))
+    return sessions.filter("session_id like '%/0'").select("session_id", F.lit(40.5).alias("rmssd"))
 
 
 def _fingerprints(spark, d):
-    return A.fingerprint(C.sessions(spark, d), C.points(spark, d), C.segments(spark, d), _daily(spark, d))
+    s = C.sessions(spark, d)
+    return A.fingerprint(s, C.points(spark, d), C.segments(spark, d), _daily(s))
 
 
 FINGERPRINT = """records AS (SELECT session_id, sha256('session|' || start_us || '|' || end_us) AS h FROM sessions
@@ -331,11 +326,12 @@ def fingerprint(spark, d):
 
 
 def _manifests(spark, d):
-    base = _stepped(spark, d)
-    s, timeline = base[1], written(_timeline(spark, d, base), "timeline")
-    have = W.availability(timeline, s, _stages(spark, d, base), _daily(spark, d))
-    events = E.label_events(E.cap_events(written(E.merge_events(_night_events(spark, d, base)), "events")), s.drop("res_us"), "Europe/Berlin", C.TARGET_S)
-    return M.manifest(s, _states(spark, d), W.window_values(timeline, s, C.TARGET_S), have, events, _fingerprints(spark, d), ROUTES, C.TARGET_S, "Europe/Berlin")
+    n = Night(spark, d)
+    have = W.availability(n.timeline, n.sessions, _stages(spark, d, n), _daily(n.sessions))
+    events = E.label_events(E.cap_events(written(E.merge_events(_night_events(spark, d, n)), "events")), n.sessions, "Europe/Berlin", C.TARGET_S)
+    prints = A.fingerprint(n.sessions, C.points(spark, d), n.segments, _daily(n.sessions))
+    parts = [n.states, n.smooth, written(have, "availability"), written(events, "labelled"), written(prints, "fingerprints")]
+    return M.manifest(n.steps, *parts, ROUTES, C.TARGET_S, "Europe/Berlin")
 
 
 @query()
@@ -346,7 +342,7 @@ def manifest_json(spark, d):
 @query(f"WITH {C.SESSIONS} SELECT session_id, 0 AS problems FROM sessions")
 def manifest_problems(spark, d):
     """Every manifest that is written holds what it must. (Each check is broken once in the tests.)"""
-    whole = _manifests(spark, d)
+    whole = written(_manifests(spark, d), "manifests")  # read twice below
     found = M.manifest_problems(whole).groupBy("session_id").agg(F.count(F.lit(1)).alias("problems"))
     return whole.select("session_id").join(found, "session_id", "left").select("session_id", F.coalesce("problems", F.lit(0)).alias("problems"))
 
@@ -413,7 +409,7 @@ SELECT session_id, round(a + (b - a) * (0.25 + 0.5 * u), 6) AS t, round(0.8 * in
 UNION ALL SELECT g.session_id, round((g.start_us - s.start_us) / 1e6 / ((s.end_us - s.start_us) / 1e6 / 180), 6), 0.4, 'brief_awakening' FROM segments g JOIN sessions s USING (session_id)
   WHERE stage = 'awake' AND (g.end_us - g.start_us) / 1e6 < (s.end_us - s.start_us) / 1e6 / 180""")
 def schedule_transients(spark, d):
-    s = C.sessions(spark, d)
-    brief = W.brief_starts(C.segments(spark, d), s, C.TARGET_S)
-    t = T.schedule_transients(_movement(spark, d), _spans(spark, d), ROUTES, brief)
+    night = Night(spark, d)
+    brief = W.brief_starts(night.segments, night.sessions, C.TARGET_S)
+    t = T.schedule_transients(night.movement, _spans(night), ROUTES, brief)
     return t.select("session_id", rounded("t"), off_ties("amp"), "kind")

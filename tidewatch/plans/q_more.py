@@ -13,9 +13,9 @@ from tidewatch.operators import features as W
 from tidewatch.operators import intervals as I
 from tidewatch.operators import trajectories as T
 from tidewatch.plans import canonical as C
-from tidewatch.plans.q_align import _resampled, _series, _stepped, _timeline
-from tidewatch.plans.q_features import SAMPLED, STAGE_AT, STAGED, _movement, _night_events, _stages, _states
-from tidewatch.plans.q_intervals import ISLANDS, ROUTES, _contributions, _restless, _smooth, _spans
+from tidewatch.plans.q_align import Night, _resampled, _series, _timeline
+from tidewatch.plans.q_features import SAMPLED, STAGE_AT, STAGED, _night_events, _stages, _states
+from tidewatch.plans.q_intervals import ISLANDS, ROUTES, _contributions, _restless, _spans
 from tidewatch.plans.register import Registry, off_ties, rounded
 from tidewatch.session import written
 from tidewatch.sources import fitbit
@@ -210,12 +210,10 @@ def first_of_each(spark, d):
 
 @query()
 def render_plan(spark, d):
-    s = C.sessions(spark, d)
-    base = _stepped(spark, d)
-    m, smooth = written(_movement(spark, d, base=base), "movement"), written(_smooth(spark, d, base), "smoothed-windows")
-    events = E.label_events(E.cap_events(written(E.merge_events(_night_events(spark, d, base)), "events")), s, "UTC", C.TARGET_S)
-    transients = E.cap_transients(T.schedule_transients(m, _spans(spark, d), ROUTES, W.brief_starts(C.segments(spark, d), s, C.TARGET_S)))
-    return T.render_plan(_contributions(spark, d, base, m), _spans(spark, d), _states(spark, d), _restless(spark, d, m), smooth, events, transients, ROUTES, C.TARGET_S)
+    n = Night(spark, d)
+    events = E.label_events(E.cap_events(written(E.merge_events(_night_events(spark, d, n)), "events")), n.sessions, "UTC", C.TARGET_S)
+    transients = E.cap_transients(T.schedule_transients(n.movement, _spans(n), ROUTES, W.brief_starts(n.segments, n.sessions, C.TARGET_S)))
+    return T.render_plan(_contributions(n), _spans(n), n.states, _restless(n), n.smooth, written(events, "labelled"), written(transients, "transients"), ROUTES, C.TARGET_S)
 
 
 @query(f"WITH {C.NORMAL} SELECT subject, metric, count(*) AS n FROM series JOIN sessions USING (session_id) GROUP BY ALL")
