@@ -41,7 +41,7 @@ def plans(spark, monkeypatch, name: str) -> list[str]:
 
 
 #: How often a query scans the events: once for its sessions, once or twice for its series, once for its segments, and for fingerprints.
-SCANS = {"contribution": 4, "manifest_json": 6}
+SCANS = {"contribution": 4, "manifest_json": 6, "manifest_problems": 6}
 
 
 @pytest.mark.parametrize("name", sorted(SCANS))
