@@ -9,6 +9,9 @@ from tidewatch import schema as S
 from tidewatch.functions import scalars as X
 from tidewatch.session import written
 
+#: Up to so many members pieces are held against all of them, which is less to send than a row for each level.
+FEW = 32
+
 
 def _slices(rows: DataFrame, keys: list[str], start: str = "start_us", end: str = "end_us") -> DataFrame:
     """(keys, lo, hi): the pieces between neighbouring bounds of the rows of a key."""
@@ -94,15 +97,24 @@ def merged(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def ownership(rows: DataFrame, keys: list[str], unit_us: int = 6 * S.HOUR) -> DataFrame:
     """(keys, content, start_us, end_us): each instant belongs to the best member that covers it (main, longest, earliest, content);
-    neighbouring pieces of one owner are joined."""
-    pieces = _slices(rows, keys)
-    over = _covering(pieces, rows, keys, unit_us)
+    neighbouring pieces of one owner are joined. A member alone in its group owns itself and isn't cut in pieces.
+
+    In groups of ``FEW`` at most all pieces meet all members, which sends each once; in larger ones they meet in dyadic cells.
+    """
+    counted = rows.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    alone = counted.filter("_n = 1 and end_us > start_us").select(*keys, "content", "start_us", "end_us")
+    few, many = counted.filter((F.col("_n") > 1) & (F.col("_n") <= FEW)).drop("_n"), counted.filter(F.col("_n") > FEW).drop("_n")
     best = F.struct(~F.col("is_main"), -(F.col("end_us") - F.col("start_us")), F.col("start_us"), F.col("content"))
-    won = over.groupBy(*keys, "lo", "hi").agg(F.min_by("content", best).alias("owner"))
     order = Window.partitionBy(*keys).orderBy("lo")
-    same = (F.lag("hi").over(order) == F.col("lo")) & (F.lag("owner").over(order) == F.col("owner"))
-    runs = won.withColumn("run", F.sum(F.when(same, 0).otherwise(1)).over(order))
-    return runs.groupBy(*keys, "run").agg(F.first("owner").alias("content"), F.min("lo").alias("start_us"), F.max("hi").alias("end_us")).drop("run")
+
+    def owned(over: DataFrame) -> DataFrame:
+        won = over.groupBy(*keys, "lo", "hi").agg(F.min_by("content", best).alias("owner"))
+        same = (F.lag("hi").over(order) == F.col("lo")) & (F.lag("owner").over(order) == F.col("owner"))
+        runs = won.withColumn("run", F.sum(F.when(same, 0).otherwise(1)).over(order))
+        return runs.groupBy(*keys, "run").agg(F.first("owner").alias("content"), F.min("lo").alias("start_us"), F.max("hi").alias("end_us")).drop("run")
+
+    met = _slices(few, keys).join(few, keys).filter("start_us <= lo and end_us >= hi")
+    return alone.unionByName(owned(met)).unionByName(owned(_covering(_slices(many, keys), many, keys, unit_us)))
 
 
 def merged_segments(owners: DataFrame, segments: DataFrame, keys: list[str]) -> DataFrame:

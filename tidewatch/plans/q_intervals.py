@@ -58,7 +58,7 @@ g0 AS (SELECT *, CASE WHEN lag(hi) OVER o = lo AND lag(content) OVER o = content
 g1 AS (SELECT *, sum(fresh) OVER (PARTITION BY subject, island ORDER BY lo) AS run FROM g0)
 SELECT subject, content, min(lo) AS start_us, max(hi) AS end_us FROM g1 GROUP BY subject, island, run, content""")
 def interval_ownership(spark, d):
-    return I.ownership(I.merge_islands(C.candidates(spark, d), ["subject"]), ["subject", "island"]).select("subject", "content", "start_us", "end_us")
+    return I.ownership(written(I.merge_islands(C.candidates(spark, d), ["subject"]), "islands"), ["subject", "island"]).select("subject", "content", "start_us", "end_us")
 
 
 ROOTS = """link AS (SELECT a.content AS x, b.content AS y FROM candidates a JOIN candidates b ON a.subject = b.subject AND (a.log_id = b.log_id OR (a.start_us = b.start_us AND a.end_us = b.end_us))),

@@ -80,13 +80,13 @@ g0 AS (SELECT *, CASE WHEN lag(hi) OVER o = lo AND lag(content) OVER o = content
 g1 AS (SELECT *, sum(fresh) OVER (PARTITION BY subject, island ORDER BY lo) AS run FROM g0), own AS (SELECT subject, content, min(lo) AS s, max(hi) AS e FROM g1 GROUP BY subject, island, run, content)
 SELECT o.subject, o.content, greatest(start_us, s) AS start_us, least(end_us, e) AS end_us, stage FROM own o JOIN seg g ON g.subject = o.subject AND g.content = o.content WHERE least(end_us, e) > greatest(start_us, s)""")
 def merged_segments(spark, d):
-    c = C.candidates(spark, d)
+    c = written(I.merge_islands(C.candidates(spark, d), ["subject"]), "islands")  # read by each part of what follows
     third = F.floor((F.col("end_us") - F.col("start_us")) / 3)
     seg = c.withColumn("i", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).select(
-        "subject", "content", (F.col("start_us") + F.col("i") * third).alias("start_us"), F.when(F.col("i") == 2, F.col("end_us")).otherwise(F.col("start_us") + (F.col("i") + 1) * third).alias("end_us"),
+        "subject", "island", "content", (F.col("start_us") + F.col("i") * third).alias("start_us"), F.when(F.col("i") == 2, F.col("end_us")).otherwise(F.col("start_us") + (F.col("i") + 1) * third).alias("end_us"),
         F.element_at(F.array(F.lit("light"), F.lit("deep"), F.lit("rem")), F.col("i") + 1).alias("stage"), F.lit(False).alias("is_brief"),
     )
-    owners = I.ownership(I.merge_islands(c, ["subject"]), ["subject", "island"])
+    owners = I.ownership(c, ["subject", "island"])
     return I.merged_segments(owners, seg, ["subject", "island"]).select("subject", "content", "start_us", "end_us", "stage")
 
 
